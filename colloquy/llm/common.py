@@ -73,3 +73,13 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+def settled(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """With column ``name`` computed once.
+
+    The optimizer moves filters below projections by repeating their expressions, also
+    inside lambda functions, where they would run again for every element. It does not
+    move them below a generator, so the value is made the only row of one.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(c)))
