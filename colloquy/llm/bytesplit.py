@@ -95,10 +95,8 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, width: int) -> list[np.n
         if b - a >= width:
             out.append(np.unique(h[a : b - width + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for k in range(a, b):
-                whole = mix(np.array([whole * np.uint64(0x9E3779B97F4A7C15) + words[k]], np.uint64))[0]
-            out.append(np.array([whole], np.uint64))
+            short = (mix(words[a:b]) * mult[: b - a]).sum(dtype=np.uint64, keepdims=True)
+            out.append(mix(short ^ mult[b - a : b - a + 1]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from . import oracles
 from .decontaminate import op9_decontaminate
+from .minhash import op1_minhash_dedup
 from .mixing import op8_source_mixing
 from .quality_rules import op5_quality_rules
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_source_mixing, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op5_quality_rules, op8_source_mixing, op9_decontaminate)}
 
 SQL = {"op5_quality_rules": oracles.quality_rules, "op8_source_mixing": oracles.source_mixing, "op9_decontaminate": oracles.decontaminate}
 

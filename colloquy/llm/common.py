@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a session, for functions that run in Python there."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_colloquy_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        to = tempfile.mkdtemp(prefix="colloquy-")
+        sc.addPyFile(shutil.make_archive(f"{to}/{package.name}", "zip", package.parent, package.name))
+        sc._colloquy_shipped = True
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation.
 
@@ -37,6 +49,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
