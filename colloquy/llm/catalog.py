@@ -7,9 +7,10 @@ from .decontaminate import op9_decontaminate
 from .minhash import op1_minhash_dedup
 from .mixing import op8_source_mixing
 from .quality_rules import op5_quality_rules
+from .suffix_dedup import op4_suffix_dedup
 from .tokens import op10_token_output
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op5_quality_rules, op8_source_mixing, op9_decontaminate, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_suffix_dedup, op5_quality_rules, op8_source_mixing, op9_decontaminate, op10_token_output)}
 
 SQL = {"op5_quality_rules": oracles.quality_rules, "op8_source_mixing": oracles.source_mixing, "op9_decontaminate": oracles.decontaminate}
 
