@@ -11,9 +11,10 @@ from .quality_rules import op5_quality_rules
 from .secrets import op7_secret_scan
 from .suffix_dedup import op4_suffix_dedup
 from .tokens import op10_token_output
+from .url_model import op6_url_filter
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_dedup, op2_quality_fm, op4_suffix_dedup, op5_quality_rules, op7_secret_scan, op8_source_mixing, op9_decontaminate, op10_token_output,
+    op1_minhash_dedup, op2_quality_fm, op4_suffix_dedup, op5_quality_rules, op6_url_filter, op7_secret_scan, op8_source_mixing, op9_decontaminate, op10_token_output,
 )}
 
 SQL = {"op5_quality_rules": oracles.quality_rules, "op8_source_mixing": oracles.source_mixing, "op9_decontaminate": oracles.decontaminate}
