@@ -60,8 +60,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", "target", copies.alias("copies"), offset.alias("offset"))
 
 
-def copies_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, source, size, source_size, target, n_copies for every row of (doc_id, source, size)."""
+def copies_of(docs: DataFrame, scratch: Scratch, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, n_copies for every row of (doc_id, source, size), and the columns ``keep``."""
     slim = scratch.keep(docs)
     slim = slim.withColumn("slot", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SLOTS)).cast("int"))
     cells = slim.groupBy("source", "size", "slot").agg(F.count("*").alias("n"))
@@ -83,7 +83,7 @@ def copies_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rank = F.col("before") + F.col("k")
     at = lambda r: F.floor(r * F.col("copies") + F.col("offset"))
     n = F.when(slim["size"] == 0, F.lit(0)).otherwise(F.least(at(rank) - at(rank - 1), F.lit(MAX_TIMES)))
-    return t.select("doc_id", slim["source"].alias("source"), slim["size"].alias("size"), "source_size", "target", n.cast("long").alias("n_copies"))
+    return t.select("doc_id", slim["source"].alias("source"), slim["size"].alias("size"), "source_size", "target", n.cast("long").alias("n_copies"), *keep)
 
 
 def _all(conditions):
@@ -93,11 +93,11 @@ def _all(conditions):
     return out
 
 
-def mix_sources(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, n_copies."""
+def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, n_copies, and the columns ``keep``."""
     scratch = Scratch(docs.sparkSession, "mix")
-    t = copies_of(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), scratch)
-    return t.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies")
+    t = copies_of(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *keep), scratch, keep)
+    return t.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies", *keep)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
