@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from colloquy.plans import conversation  # noqa: F401
+from colloquy.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
