@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.sources.scratch import ship
+
 LN2 = math.log(2)
 
 
@@ -78,6 +80,7 @@ def weibull(s: np.ndarray, d: np.ndarray, w: np.ndarray | None = None) -> tuple[
 
 def fit_by_group(units: DataFrame, by: str, fit: Callable = exponential_kernel, names=("alpha", "beta"), least_units: int = 20, least_events: int = 5) -> DataFrame:
     """One fit a group. Durations are counted at whole seconds first, so a group's input is bounded by distinct times, not units."""
+    ship(units.sparkSession)
     cells = units.groupBy(by, (F.greatest(F.round(F.col("duration_hours") * 3600), F.lit(1)) / 3600).alias("s"), F.col("event_observed").alias("d")).agg(F.count("*").cast("double").alias("w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,6 +122,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], rati
 
 def bootstrap_fits(units: DataFrame, cluster: str, reps: int, fit: Callable = exponential_kernel, seed: int = 1) -> DataFrame:
     """One fit a replicate of resampled clusters, each in its own group; times are counted at whole minutes."""
+    ship(units.sparkSession)
     t = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson_weight(F.col(cluster), F.col("rep"), seed)).where("w > 0")
     cells = t.groupBy("rep", (F.greatest(F.ceil(F.col("duration_hours") * 60), F.lit(1)) / 60).alias("s"), F.col("event_observed").alias("d")).agg(F.sum("w").cast("double").alias("w"))
 
@@ -202,6 +206,7 @@ def spectrum(series: DataFrame, minutes: int, sims: int, target: float = 0.25, b
 
     The binned series is one group: a row a bin, whatever the number of events.
     """
+    ship(series.sparkSession)
     per_hour = 60 / minutes
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -230,6 +235,7 @@ def bessel_ratio(kappa: float) -> float:
 
 def detectability(spark, n_events: int, kappas: list[float], draws: int = 50_000, alpha: float = 0.05, seed: int = 1) -> DataFrame:
     """Power of the Rayleigh test over concentrations; each is a group with its own draws. z_critical is -ln(alpha)."""
+    ship(spark)
     critical = -math.log(alpha)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
