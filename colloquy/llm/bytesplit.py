@@ -61,11 +61,12 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def split(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def split(texts: list[bytes], lower: bool = True, spans: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of all words in order, and where each text's words start: one more entry than texts.
 
     A word's hash is the sum over its bytes of a random number for the byte times one
     for its place, then mixed; equal words have equal hashes whatever stands around them.
+    With ``spans`` also the bytes of all texts and where in them words start and end.
     """
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     gap = _GAP[buf]
@@ -73,13 +74,14 @@ def split(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     at = np.concatenate(([0], np.cumsum(lens + 1)))
     bounds = np.searchsorted(starts, at)
+    more = (buf, starts, np.flatnonzero(gap & np.concatenate(([False], ~gap[:-1])))) if spans else ()
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
-    spans = np.diff(np.append(starts, len(buf)))
-    place = np.arange(len(buf) - starts[0]) - np.repeat(starts - starts[0], spans)
+        return np.zeros(0, np.uint64), bounds, *more
+    widths = np.diff(np.append(starts, len(buf)))
+    place = np.arange(len(buf) - starts[0]) - np.repeat(starts - starts[0], widths)
     g = _BYTE[_LOWER[buf[starts[0] :]] if lower else buf[starts[0] :]]
-    g *= _places(int(spans.max()))[place]
-    return mix(np.add.reduceat(g, starts - starts[0])), bounds
+    g *= _places(int(widths.max()))[place]
+    return mix(np.add.reduceat(g, starts - starts[0])), bounds, *more
 
 
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:

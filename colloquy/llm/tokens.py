@@ -37,16 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bytesplit as bs
 from .common import Scratch, table
 
 END_ID = 1
 FIRST_RULE = 1 << 20
 SHARD_TOKENS = 1 << 19
 ROUNDS, RULES_A_ROUND, LEAST_USES = 4, 1024, 4
-MEMO = 400_000
+MEMO = 1_500_000
 
 _SHARD = "part int, shard int, doc_id array<long>, n_tokens array<int>, n_symbols array<int>, rules binary, lengths binary, sequence binary"
-_BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 def default_tokenizer() -> str:
@@ -62,54 +62,93 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Ids of runs between blanks: a run's number in ``at``, its ids in one flat array."""
+    """Ids of runs between blanks, under the runs' 64-bit hashes in an open table.
+
+    ``keys`` and ``place`` are the table; run number k has ``counts[k]`` ids in ``flat``
+    from ``starts[k]``. Everything is arrays, so a batch is looked up at once, and only
+    runs that are new are ever made strings.
+    """
+
+    SLOTS = 1 << 22
+    #: A character that is one token by itself parts new runs in a call of the tokenizer.
+    MARKS = "★●■§¶†"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ids = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in self.MARKS}
+        self.mark, self.mark_id = next((m, i[0]) for m, i in ids.items() if len(i) == 1)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.n_flat = np.zeros(1 << 16, np.uint32), 0
+        self.keys, self.place = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.flat, self.n_flat, self.n = np.zeros(1 << 16, np.uint32), 0, 0
         self.starts, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def learn(self, runs: list[str]) -> None:
-        """One call for all new runs, joined by blanks; ids go to runs by their offsets."""
-        encoding = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
-        ids = np.array(encoding.ids, np.uint32)
-        begins = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(ids))
-        lens = np.fromiter(map(len, runs), np.int64, len(runs))
-        edges = np.concatenate(([0], np.cumsum(lens + 1)))
-        cuts = np.searchsorted(begins, edges)
-        n, k = len(self.at), len(runs)
-        while n + k > len(self.starts):
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of runs; -1 for new ones."""
+        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == h, self.place[slot], -1)
+        open_ = np.flatnonzero((key != h) & (key != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (self.SLOTS - 1)
+            key = self.keys[slot[open_]]
+            hit = key == h[open_]
+            out[open_[hit]] = self.place[slot[open_[hit]]]
+            open_ = open_[~hit & (key != 0)]
+        return out
+
+    def put(self, h: np.ndarray) -> None:
+        """Numbers distinct new runs from n on."""
+        slot, number = (h & np.uint64(self.SLOTS - 1)).astype(np.int64), np.arange(self.n, self.n + len(h), dtype=np.int32)
+        while len(h):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.place[slot[won]] = h[won], number[won]
+            rest = np.ones(len(h), bool)
+            rest[won] = False
+            h, number, slot = h[rest], number[rest], (slot[rest] + 1) & (self.SLOTS - 1)
+
+    def learn(self, h: np.ndarray, runs: list[str]) -> None:
+        plain = [r for r in runs if self.mark not in r]
+        texts = [f" {self.mark} ".join(plain[k : k + 128]) for k in range(0, len(plain), 128)]
+        made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts: list[np.ndarray] = [p for ids in made for p in np.split(ids, np.flatnonzero(ids == self.mark_id))]
+        cut = iter([p[1:] if len(p) and p[0] == self.mark_id else p for p in parts])
+        ids = [next(cut) if self.mark not in r else np.array(self.tokenizer.encode(r, add_special_tokens=False).ids, np.uint32) for r in runs]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(counts.sum())
+        while self.n + len(runs) > len(self.starts):
             self.starts, self.counts = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.counts, 2 * len(self.counts))
-        while self.n_flat + len(ids) > len(self.flat):
+        while self.n_flat + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-        self.starts[n : n + k], self.counts[n : n + k] = self.n_flat + cuts[:-1], np.diff(cuts)
-        self.n_flat += len(ids)
-        self.at.update(zip(runs, range(n, n + k), strict=True))
+        self.flat[self.n_flat : self.n_flat + total] = np.concatenate(ids)
+        self.starts[self.n : self.n + len(runs)] = self.n_flat + np.cumsum(counts) - counts
+        self.counts[self.n : self.n + len(runs)] = counts
+        self.put(h)
+        self.n, self.n_flat = self.n + len(runs), self.n_flat + total
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text's ended by END_ID, and their counts."""
-        split = [t.translate(_BLANKS).split(" ") for t in texts]
-        if len(self.at) > MEMO:
+        if self.n > MEMO:
             self.clear()
-        new = set().union(*split).difference(self.at)
-        if new:
-            self.learn(sorted(new))
-        n_runs = np.fromiter(map(len, split), np.int64, len(split))
-        runs = np.fromiter((k for s in split for k in map(self.at.__getitem__, s)), np.int64, int(n_runs.sum()))
+        h, bounds, buf, begins, ends = bs.split(texts, lower=False, spans=True)
+        h[h == 0] = 1
+        runs = self.find(h)
+        new = np.flatnonzero(runs < 0)
+        if len(new):
+            own, first = np.unique(h[new], return_index=True)
+            at = new[first]
+            self.learn(own, [buf[a:b].tobytes().decode() for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
+            runs[new] = self.find(h[new])
         counts = self.counts[runs]
         ids = self.flat[ragged(self.starts[runs], counts)]
         upto = np.concatenate(([0], np.cumsum(counts)))
-        ends = upto[np.cumsum(n_runs)]
-        n_tokens = np.diff(np.concatenate(([0], ends)))
-        out = np.insert(ids, ends, END_ID) if len(ends) else ids
-        return out, n_tokens + 1
+        stops = upto[bounds]
+        return np.insert(ids, stops[1:], END_ID), np.diff(stops) + 1
 
 
 _memos: dict[str, Memo] = {}
@@ -205,18 +244,14 @@ def _shards(tokenizer: str):
 
         held, size = [], 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            first, chars = 0, 0
-            for k, t in enumerate(texts):
-                chars += len(t or "")
-                if chars >= 1 << 18 or k == len(texts) - 1:
-                    ids, counts = encoder.encode([x or "" for x in texts[first : k + 1]])
-                    held.append((doc_ids[first : k + 1], ids, counts))
-                    size += len(ids)
-                    first, chars = k + 1, 0
-                    if size >= SHARD_TOKENS:
-                        yield made(held)
-                        held, size, shard = [], 0, shard + 1
+            doc_ids, texts = batch.column(0).to_pylist(), bs.as_bytes(batch.column(1))
+            for a, b in bs.pieces(texts):
+                ids, counts = encoder.encode(texts[a:b])
+                held.append((doc_ids[a:b], ids, counts))
+                size += len(ids)
+                if size >= SHARD_TOKENS:
+                    yield made(held)
+                    held, size, shard = [], 0, shard + 1
         if held:
             yield made(held)
 
