@@ -365,8 +365,11 @@ def matched_pairs(spark, d):
 COVARIATES = ["n_comments", "n_unique_agents", "early_comments", "thread_duration_hours"]
 
 
-@query(VIEWS + SIDES + " UNION ALL ".join(f"""SELECT '{c}' AS covariate, round(avg(CASE WHEN side = 0 THEN {c}::DOUBLE END), 6) AS mean_a, round(avg(CASE WHEN side = 1 THEN {c}::DOUBLE END), 6) AS mean_b,
-round((avg(CASE WHEN side = 0 THEN {c}::DOUBLE END) - avg(CASE WHEN side = 1 THEN {c}::DOUBLE END)) / sqrt((var_samp(CASE WHEN side = 0 THEN {c}::DOUBLE END) + var_samp(CASE WHEN side = 1 THEN {c}::DOUBLE END)) / 2), 6) AS smd FROM el""" for c in COVARIATES))
+SMD_SIDES = ", ".join(f"{f}(CASE WHEN side = {k} THEN v END) AS {n}{k}" for f, n in (("avg", "m"), ("var_samp", "v")) for k in (0, 1))
+
+
+@query(VIEWS + SIDES + ", lc AS (" + " UNION ALL ".join(f"SELECT '{c}' AS covariate, side, {c}::DOUBLE AS v FROM el" for c in COVARIATES) + f"), ms AS (SELECT covariate, {SMD_SIDES} FROM lc GROUP BY 1), " + """sd AS (SELECT *, sqrt((v0 + v1) / 2) AS sd FROM ms)
+SELECT covariate, round(m0, 6) AS mean_a, round(m1, 6) AS mean_b, round(CASE WHEN sd > 0 THEN (m0 - m1) / sd WHEN m0 = m1 THEN 0 END, 6) AS smd FROM sd""")
 def smd_numeric(spark, d):
     return rounded(mt.numeric_balance(*sides(spark, d, False), COVARIATES))
 

@@ -39,10 +39,9 @@ def schema_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run(spark: SparkSession, root: str, subset: str, run_id: str) -> DataFrame:
-    """One run of a curated table: its partition is pruned to, and compared again as text."""
-    base = f"{root}/{subset}"
-    df = spark.read.option("basePath", base).parquet(f"{base}/run_id={run_id}")
-    return df.withColumn("run_id", F.col("run_id").cast("string")).where(F.col("run_id") == run_id)
+    """One run of a curated table: only its partition is listed, and its id stays text ('001' is not 1)."""
+    base = f"{root}/{subset}/run_id={run_id}"
+    return spark.read.option("basePath", base).parquet(base).withColumn("run_id", F.lit(run_id))
 
 
 def write_run(df: DataFrame, root: str, subset: str, run_id: str) -> None:
