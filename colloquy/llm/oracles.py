@@ -83,7 +83,7 @@ def quote_links() -> str:
     level = "length(regexp_replace(regexp_extract(x, '^[ \\t]*(?:>[ \\t]?)+'), '[^>]', '', 'g'))"
     norm = "trim(regexp_replace(lower(regexp_replace(x, '^[ \\t]*(?:>[ \\t]?)+', '')), '\\s+', ' ', 'g'))"
     return f"""
-WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS id, * FROM (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)),
+WITH RECURSIVE m AS (SELECT md5(concat_ws('|', coalesce(conv_id::VARCHAR, ''), coalesce(turn::VARCHAR, ''), coalesce(role, ''), text)) AS id, * FROM (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)),
 l AS (SELECT id, conv_id, turn, k, x, {level} AS level, {norm} AS norm FROM (SELECT id, conv_id, turn, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS x FROM (SELECT *, regexp_split_to_array(text, '\\r?\\n') AS ls FROM m))),
 f AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY id ORDER BY k) > 0, false) AS nq FROM l),
 own AS (SELECT * FROM f WHERE level = 0 AND NOT (regexp_matches(x, '(?i)^.*\\bwrote:[ \\t]*$') AND nq)),
@@ -93,9 +93,9 @@ nq AS (SELECT id, sum(n)::BIGINT AS n_quoted FROM asks GROUP BY id),
 says AS (SELECT DISTINCT id, conv_id, turn, norm FROM own WHERE norm <> ''),
 found AS (SELECT a.*, s.id AS said_id, s.turn AS said_turn FROM asks a JOIN says s ON a.conv_id IS NOT DISTINCT FROM s.conv_id AND a.norm = s.norm AND s.turn < a.turn),
 linked AS (SELECT id, sum(n)::BIGINT AS n_linked FROM (SELECT DISTINCT id, level, norm, n FROM found) GROUP BY id),
-best AS (SELECT id, said_id, said_turn FROM (SELECT id, said_id, said_turn, row_number() OVER (PARTITION BY id ORDER BY sum(n) DESC, said_turn DESC) AS r FROM found WHERE level = 1 GROUP BY id, said_id, said_turn) WHERE r = 1),
-p AS (SELECT m.id, m.conv_id, [(turn, m.id)] AS path FROM m WHERE id NOT IN (SELECT id FROM best)
-  UNION ALL SELECT m.id, m.conv_id, list_append(p.path, (m.turn, m.id)) FROM p JOIN best ON best.said_id = p.id JOIN m ON m.id = best.id)
+best AS (SELECT id, said_id, said_turn FROM (SELECT id, said_id, said_turn, row_number() OVER (PARTITION BY id ORDER BY sum(n) DESC, said_turn DESC, said_id DESC) AS r FROM found WHERE level = 1 GROUP BY id, said_id, said_turn) WHERE r = 1),
+p AS (SELECT m.id, m.conv_id, [(coalesce(turn, -9000000000000000000), m.id)] AS path FROM m WHERE id NOT IN (SELECT id FROM best)
+  UNION ALL SELECT m.id, m.conv_id, list_append(p.path, (coalesce(m.turn, -9000000000000000000), m.id)) FROM p JOIN best ON best.said_id = p.id JOIN m ON m.id = best.id)
 SELECT m.conv_id, m.turn, m.role, row_number() OVER (PARTITION BY m.conv_id ORDER BY path) AS position, best.said_turn AS parent_turn, len(path) - 1 AS depth,
   coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked, '<|' || coalesce(m.role, 'unknown') || '|>' || coalesce(body, '') AS formatted
 FROM m JOIN p USING (id) LEFT JOIN body USING (id) LEFT JOIN nq USING (id) LEFT JOIN linked USING (id) LEFT JOIN best USING (id)

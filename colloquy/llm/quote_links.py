@@ -17,7 +17,7 @@ slots of threads, earlier threads' rows, rows within the slot), so one long conv
 is numbered by many tasks. Each row carries its formatted turn, ``<|role|>`` and text.
 
 Defined results: null texts are empty; null roles format as ``unknown``; null conversations are
-one conversation, null turns come first; rows that repeat a message wholly are one
+one conversation, null turns come first, messages of one turn in the order of a hash; rows that repeat a message wholly are one
 message; empty tables give no rows; other columns are ignored.
 """
 
@@ -46,7 +46,8 @@ def level(line: Column) -> Column:
 def parsed(messages: DataFrame) -> DataFrame:
     """Messages with id, own text, and arrays of quoted and own line hashes."""
     t = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    t = t.withColumn("id", F.xxhash64("conv_id", "turn", "role", "text"))
+    parts = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("conv_id", "turn", "role", "text"))
+    t = t.withColumn("id", F.md5(F.concat_ws("|", *parts).cast("binary")))
     t = settled(t, "lines", F.transform(F.split("text", "\\r?\\n"), lambda x: F.struct(x.alias("raw"), level(x).alias("level"), normalised(x).alias("norm"))))
     next_quotes = lambda k: F.coalesce(F.get("lines", k + 1)["level"] > 0, F.lit(False))
     own = F.filter("lines", lambda x, k: (x["level"] == 0) & ~(x["raw"].rlike(ANNOUNCE) & next_quotes(k)))
