@@ -188,3 +188,18 @@ def rounded(df, decimals: int = 12):
 
 def with_metadata(df, **values):
     return df.withColumns({k: F.lit(v) for k, v in values.items()})
+
+
+def time_columns(df) -> list[str]:
+    """Columns whose name says that they hold a time."""
+    return [c for c in df.columns if c.endswith("_at") or c in ("timestamp", "hour")]
+
+
+def with_parsed_times(df):
+    """Each time column as text in ``<c>_raw`` and parsed in ``<c>_utc``."""
+    return df.withColumns({k: v for c in time_columns(df) for k, v in ((f"{c}_raw", F.col(c).cast("string")), (f"{c}_utc", utc_timestamp(F.col(c).cast("string"))))})
+
+
+def endpoint_id(endpoint: Column) -> Column:
+    """The id of ``/posts/{id}/comments``."""
+    return F.when(endpoint.startswith("/posts/") & endpoint.endswith("/comments"), F.get(F.split(endpoint, "/"), F.lit(2)))

@@ -110,6 +110,12 @@ def request_summary(log: DataFrame) -> DataFrame:
     )
 
 
+def interval_coverage(log: DataFrame, expected_calls: int, least_seconds: int) -> DataFrame:
+    """Whether a run made its calls and lasted as long as planned."""
+    seconds = F.timestamp_diff("SECOND", F.min("retrieved_at_utc"), F.max("retrieved_at_utc"))
+    return log.agg(F.count("*").alias("n_calls"), seconds.alias("elapsed_seconds"), (F.count("*") >= expected_calls).alias("calls_met"), F.coalesce(seconds >= least_seconds, F.lit(False)).alias("duration_met"))
+
+
 def campaign_projection(daily: DataFrame, days: int = 30) -> DataFrame:
     """Mean bytes a day, carried to a campaign's length."""
     return daily.agg(F.count("*").alias("n_days"), F.avg("bytes").alias("mean_bytes_per_day"), (F.avg("bytes") * days).alias("projected_bytes"))

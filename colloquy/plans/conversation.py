@@ -406,7 +406,7 @@ def paired_effects(spark, d):
     return rounded(mt.paired_effects(mt.matched_pairs(*mt.overlap(*sides(spark, d)))).drop("w_plus", "w_minus", "wilcoxon", "ties"))
 
 
-@query(VIEWS + PAIRED + "SELECT outcome, w_plus, w_minus, least(w_plus, w_minus) AS wilcoxon FROM ws")
+@query(VIEWS + PAIRED + "SELECT outcome, coalesce(w_plus, 0) AS w_plus, coalesce(w_minus, 0) AS w_minus, coalesce(least(w_plus, w_minus), 0) AS wilcoxon FROM (SELECT DISTINCT outcome FROM lo WHERE d IS NOT NULL) LEFT JOIN ws USING (outcome)")
 def wilcoxon_stat(spark, d):
     return mt.paired_effects(mt.matched_pairs(*mt.overlap(*sides(spark, d)))).select("outcome", "w_plus", "w_minus", "wilcoxon")
 

@@ -112,7 +112,7 @@ def campaign_projection(spark, d):
     return rounded(ql.campaign_projection(daily))
 
 
-@query("SELECT count(*) AS n, count_if(event_type NOT IN ('click', 'view')) AS n_bad_sort, count_if(r > 100) AS n_bad_rank, 0 AS n_null_ids FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) AS r FROM events)")
+@query("SELECT count(*) AS n, count_if(event_type NOT IN ('click', 'view')) AS n_bad_sort, count_if(r > 100) AS n_bad_rank, 0::BIGINT AS n_null_ids FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) AS r FROM events)")
 def feed_invariants(spark, d):
     e = ad.table(spark, d, "events").select("event_type", F.struct("ts", "event_id").alias("s"), F.window("ts", "1 day")["start"].alias("day"))
     feed = e.groupBy("event_type", "day").agg(F.array_sort(F.collect_list("s")).alias("l")).select(F.col("event_type").alias("sort"), F.posexplode("l").alias("p", "s"))
@@ -183,7 +183,7 @@ def sorted_strata(spark, d):
     t = ad.table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
     order = (F.desc("n"), F.desc("total"), F.asc("o_orderpriority"))
     t = t.orderBy(*order).limit(8)
-    return t.withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("total", F.round("total", 2))
+    return t.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).withColumn("total", F.round("total", 2))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
@@ -238,7 +238,7 @@ def jsonl_roundtrip(spark, d):
     return files.read_jsonl(spark, path).groupBy("endpoint").agg(F.count("*").alias("n"), F.count_if(F.col("http_status") != 200).alias("n_failed"))
 
 
-@query("SELECT 'documents' AS table_name, count(*) AS n_rows, 5 AS n_columns FROM documents")
+@query("SELECT 'documents' AS table_name, count(*) AS n_rows, 5::BIGINT AS n_columns FROM documents")
 def footer_schema(spark, d):
     t = files.schema_of(spark, f"{d}/documents.parquet")
     return t.groupBy(F.lit("documents").alias("table_name")).agg(F.max("n_rows").alias("n_rows"), F.count("*").alias("n_columns"))

@@ -11,12 +11,23 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
+def counted(sql: str) -> str:
+    """The statement with each count_if(x) as count(CASE WHEN x THEN 1 END), whose type is BIGINT as in Spark."""
+    while (at := sql.find("count_if(")) >= 0:
+        depth, k = 1, at + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + len('count_if(') : k - 1]} THEN 1 END){sql[k:]}"
+    return sql
+
+
 def query(sql: str | None = None, name: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
         key = name or f.__name__
         QUERIES[key] = f
         if sql:
-            ORACLES[key] = sql
+            ORACLES[key] = counted(sql)
         return f
 
     return add

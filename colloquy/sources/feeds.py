@@ -28,6 +28,25 @@ def stub_feed(spark: SparkSession, sort: str, limit: int, round_index: int) -> D
     )
 
 
+def stub_post(spark: SparkSession, post_id: str) -> DataFrame:
+    """A generated post detail."""
+    return spark.range(1).select(F.lit(post_id).alias("post_id"), F.concat(F.lit("title of "), F.lit(post_id)).alias("title"), F.lit(3).alias("comment_count"))
+
+
+def stub_communities(spark: SparkSession, n: int = 3) -> DataFrame:
+    return spark.range(n).select(F.concat(F.lit("community_"), F.col("id").cast("string")).alias("name"), (F.col("id") * 10).alias("subscriber_count"))
+
+
+def resolve_mode(mode: str, probe: Callable[[], int]) -> str:
+    """``auto`` tries the server once: live if it answers, a stub if it refuses (401, 403) or can't be reached."""
+    if mode != "auto":
+        return mode
+    try:
+        return "stub" if probe() in (401, 403) else "live"
+    except OSError:
+        return "stub"
+
+
 def stub_thread(spark: SparkSession, post_id: str, width: int = 3) -> DataFrame:
     """A generated two-level comment document as nested JSON."""
     leaf = "concat('{\"id\":\"', post, '_c', i, '_', j, '\",\"author\":\"a', j, '\",\"children\":[]}')"

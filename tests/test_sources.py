@@ -124,3 +124,44 @@ def test_every_nth():
     assert [k for k in range(7) if so.every_nth(k, 3)] == [0, 3, 6]
 
 
+def test_campaign_resumes_and_stops(tmp_path):
+    from colloquy.streaming.campaign import run_campaign
+
+    seen = []
+
+    def chunk(day):
+        seen.append(day)
+        if day == "d3" and seen.count("d3") == 1:
+            raise RuntimeError("down")
+        return {"warnings": ["slow"]}
+
+    run = lambda **k: run_campaign(str(tmp_path), ["d1", "d2", "d3"], chunk, expected_warnings=frozenset({"slow"}), **k)
+    assert run(free_gb=lambda p: 1)["stopped"].startswith("d1") and not seen
+    assert run(free_gb=lambda p: 99) == {"done": ["d1", "d2"], "skipped": [], "stopped": "d3: down"}
+    assert run(free_gb=lambda p: 99) == {"done": ["d3"], "skipped": ["d1", "d2"], "stopped": None}
+
+
+def test_modes():
+    def unreachable():
+        raise OSError
+
+    assert [feeds.resolve_mode("auto", lambda s=s: s) for s in (200, 401, 403)] == ["live", "stub", "stub"]
+    assert feeds.resolve_mode("auto", unreachable) == "stub" and feeds.resolve_mode("live", unreachable) == "live"
+
+
+def test_coverage(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([(t,), (t + dt.timedelta(seconds=90),)], "retrieved_at_utc timestamp")
+    r = ql.interval_coverage(log, 2, 100).first()
+    assert (r.n_calls, r.elapsed_seconds, r.calls_met, r.duration_met) == (2, 90, True, False)
+
+
+def test_parsed_time_columns(spark):
+    from colloquy.functions import scalars as sc
+
+    df = spark.createDataFrame([("2024-01-01T00:00:00Z", "x", "/posts/p1/comments")], "created_at string, other string, endpoint string")
+    out = sc.with_parsed_times(df).select("*", sc.endpoint_id(sc.F.col("endpoint")).alias("id"))
+    assert out.columns == ["created_at", "other", "endpoint", "created_at_raw", "created_at_utc", "id"]
+    assert out.first().id == "p1" and out.first().created_at_utc is not None
