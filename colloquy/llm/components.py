@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node u has one link, to a node v that has no link of its own: then v is its component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("as_u").alias("n"), F.max("as_v").alias("top")).where("n > 1 or (n = 1 and top = 1)").isEmpty()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of the links (a, b), component its smallest reachable node.
 
@@ -19,20 +25,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     both = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = scratch.keep(links.where(F.col("a") != F.col("b")).select(*both).distinct())
-    before = None
-    while True:
+    while not _stars(edges):
         around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = around.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), "m", F.col("u").alias("own"))
         small = small.select("u", F.col("m").alias("v")).union(small.select(F.col("own").alias("u"), F.col("m").alias("v")))
         after = scratch.keep(small.where("u != v").distinct())
-        state = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         scratch.drop(edges)
         edges = after
-        if state == before:
-            break
-        before = state
     tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)

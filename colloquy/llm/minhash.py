@@ -44,7 +44,7 @@ from .components import components
 SHINGLE = 5
 PERCENT = 75
 PERMUTATIONS, ROWS = 100, 5
-ROUNDS, BLOCK = 3, 512
+ROUNDS, BLOCK = 2, 512
 BITS = 2 * PERMUTATIONS
 
 _SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>"
