@@ -15,7 +15,7 @@ def _list(items) -> str:
 
 def quality_rules() -> str:
     common = "CASE lang " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in qr.COMMON.items()) + f" ELSE {_list(qr.COMMON[qr.OTHER])} END"
-    classes = ", ".join(f"length(regexp_replace(text, '{p}', '', 'g')) AS n_{k}" for k, p in qr.CLASSES.items())
+    classes = ", ".join(f"length(regexp_replace(text, '[^{p[1:-1]}]+', '', 'g')) AS n_{k}" for k, p in qr.CLASSES.items())
     left = " - ".join(f"n_{k}" for k in list(qr.CLASSES)[1:])
     counts = ", ".join([*(f"n_{k}" for k in qr.CLASSES), "n - word_chars", f"word_chars - n_lower - ({left.replace(' - ', ' + ')})"])
     js = lambda p, q: f"sqrt(greatest(list_sum([CASE WHEN {p}[i] > 0 THEN {p}[i] * log2({p}[i] / (({p}[i] + {q}[i]) / 2)) ELSE 0 END + CASE WHEN {q}[i] > 0 THEN {q}[i] * log2({q}[i] / (({p}[i] + {q}[i]) / 2)) ELSE 0 END FOR i IN range(1, len({p}) + 1)]) / 2, 0))"

@@ -26,8 +26,9 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una".split(),
 }
 OTHER = "en"
-#: Character classes beside blanks and what is left: name and what to strip from a text.
-CLASSES = {"lower": "[^a-z]+", "upper": "[^A-Z]+", "digit": "[^0-9]+", "punct": "[^!-/:-@\\[-`{-~]+"}
+#: Character classes beside blanks and what is left.
+CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "punct": "[!-/:-@\\[-`{-~]"}
+LONGEST_COMMON = max(len(w) for ws in COMMON.values() for w in ws)
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Histograms of fewer words, or of fewer code points in words, are not judged.
@@ -45,7 +46,7 @@ def repeated_words(w: Column) -> dict[str, Column]:
         "win": F.when(F.size(w) >= 3, F.transform(starts, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>")),
         "sorted": F.when(
             F.size(F.array_distinct("win")) < F.size("win"),
-            F.array_sort(F.transform("win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.sort_array(F.transform("win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
         "again": F.filter("sorted", lambda x, k: (F.get("sorted", k - 1)["h"] == x["h"]) | (F.get("sorted", k + 1)["h"] == x["h"])),
         "n_repeat_words": F.size(F.array_distinct(F.flatten(F.transform("again", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))).cast("long"),
@@ -61,7 +62,7 @@ def measured(docs: DataFrame) -> DataFrame:
     for lang, bins in COMMON.items():
         common = F.when(F.coalesce("own_lang", F.lit("")) == lang, F.array(*map(F.lit, bins))).otherwise(common)
     t = t.withColumn("lines", lines).withColumn("common", F.coalesce(common, F.array(*map(F.lit, COMMON[OTHER]))))
-    t = t.withColumn("hits", F.filter(F.transform("w", F.lower), lambda x: F.array_contains("common", x)))
+    t = t.withColumn("hits", F.transform(F.filter("w", lambda x: (F.length(x) <= LONGEST_COMMON) & F.array_contains("common", F.lower(x))), F.lower))
     for name, c in repeated_words(F.col("w")).items():
         t = t.withColumn(name, c)
     t = t.select(
@@ -71,7 +72,8 @@ def measured(docs: DataFrame) -> DataFrame:
         F.length("text").alias("n"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        *(F.length(F.regexp_replace("text", p, "")).alias(f"n_{k}") for k, p in CLASSES.items()),
+        F.length(F.regexp_replace("text", "[^a-z]+", "")).alias("n_lower"),  # most characters: shorter to strip the others
+        *(F.regexp_count("text", F.lit(CLASSES[k])).alias(f"n_{k}") for k in list(CLASSES)[1:]),
     )
     counts = [*(F.col(f"n_{k}") for k in CLASSES), F.col("n") - F.col("word_chars")]
     rest = F.col("n") - sum(counts[1:], counts[0])
