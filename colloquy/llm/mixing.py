@@ -19,7 +19,10 @@ ignored. The offset is a hash of the source's name, so reruns agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, n_words, table
@@ -71,26 +74,22 @@ def copies_of(docs: DataFrame, scratch: Scratch, keep: tuple[str, ...] = ()) ->
     in_source = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     sums = sizes.select("source", (F.col("size") * F.col("n")).alias("size"), "n")
     sizes = sizes.withColumn("below", F.coalesce(F.sum("n").over(in_source), F.lit(0))).drop("n")
-    same = lambda a, b, on: F.lit(True) if not on else _all(a[c].eqNullSafe(b[c]) for c in on)
     to = source_targets(sums)
-    sizes = sizes.join(to, same(sizes, to, ["source"])).select(sizes["source"], "size", "below", "source_size", "target", "copies", "offset")
-    cells = cells.join(sizes, same(cells, sizes, ["source", "size"])).select(
+    sizes = sizes.join(to, _same(sizes, to, "source")).select(sizes["source"], "size", "below", "source_size", "target", "copies", "offset")
+    cells = cells.join(sizes, _same(cells, sizes, "source", "size")).select(
         cells["source"], cells["size"], "slot", (F.col("below") + F.col("in_size")).alias("before"), "source_size", "target", "copies", "offset"
     )
     own = Window.partitionBy("source", "size", "slot").orderBy("doc_id")
     slim = slim.withColumn("k", F.row_number().over(own))
-    t = slim.join(cells, same(slim, cells, ["source", "size", "slot"]))
+    t = slim.join(cells, _same(slim, cells, "source", "size", "slot"))
     rank = F.col("before") + F.col("k")
     at = lambda r: F.floor(r * F.col("copies") + F.col("offset"))
     n = F.when(slim["size"] == 0, F.lit(0)).otherwise(F.least(at(rank) - at(rank - 1), F.lit(MAX_TIMES)))
     return t.select("doc_id", slim["source"].alias("source"), slim["size"].alias("size"), "source_size", "target", n.cast("long").alias("n_copies"), *keep)
 
 
-def _all(conditions):
-    out = None
-    for c in conditions:
-        out = c if out is None else out & c
-    return out
+def _same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
+    return reduce(and_, (a[c].eqNullSafe(b[c]) for c in columns))
 
 
 def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
