@@ -6,10 +6,12 @@ text is a piece of its own), which bounds the memory of the arrays.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 20
 
@@ -44,21 +46,28 @@ def _places(n: int) -> np.ndarray:
     return _PLACE
 
 
-def as_bytes(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of a string column; null is empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The UTF-8 bytes of a string column, null as empty, in runs of about PIECE bytes: (first row, texts).
 
-
-def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about PIECE bytes."""
+    Only one run at a time is held as Python objects.
+    """
+    column = column.cast(pa.binary())
     first, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > PIECE:
-            yield first, k
+    for k, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if size and size + n > PIECE:
+            yield first, [x or b"" for x in column.slice(first, k - first).to_pylist()]
             first, size = k, 0
-        size += len(t) + 1
-    if first < len(texts):
-        yield first, len(texts)
+        size += n + 1
+    if first < len(column):
+        yield first, [x or b"" for x in column.slice(first).to_pylist()]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and so would their peaks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def split(texts: list[bytes], lower: bool = True, spans: bool = False) -> tuple[np.ndarray, ...]:

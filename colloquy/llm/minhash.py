@@ -51,9 +51,8 @@ _SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>,
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
-    texts = bs.as_bytes(batch.column(1))
-    for a, b in bs.pieces(texts):
-        yield a, bs.shingle_sets(*bs.split(texts[a:b]), SHINGLE)
+    for first, texts in bs.pieces(batch.column(1)):
+        yield first, bs.shingle_sets(*bs.split(texts), SHINGLE)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -91,12 +90,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands, bits = _lists([x for x, _ in both]), _lists([x for _, x in both])
             n = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, n, pa.array(k1), pa.array(k2), bands, bits], ["doc_id", "n_shingles", "k1", "k2", "bands", "bits"])
+    bs.trim()
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, sets in _sets(batch):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), _lists(sets)], ["id", "s"])
+    bs.trim()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -127,18 +127,19 @@ class Machine:
         return 1 / (1 + np.exp(-self.margin(*self.rows(doc, bucket, stats, len(texts)))[0]))
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
-    return bs.as_bytes(batch.column(1)), np.array([x or 0 for x in batch.column(2).to_pylist()], float)
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    n_chars = np.array([x or 0 for x in batch.column(2).to_pylist()], float)
+    for first, texts in bs.pieces(batch.column(1)):
+        yield first, texts, n_chars[first : first + len(texts)]
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, y, key, n = [], [], [], 0
     for batch in batches:
-        texts, n_chars = _columns(batch)
-        for a, b in bs.pieces(texts):
-            doc, bucket, stats = features(texts[a:b], n_chars[a:b])
+        for _, texts, n_chars in _pieces(batch):
+            doc, bucket, stats = features(texts, n_chars)
             parts.append((doc + n, bucket, stats))
-            n += b - a
+            n += len(texts)
         y += batch.column(3).to_pylist()
         key += batch.column(4).to_pylist()
     y = np.array(y, float)
@@ -180,10 +181,9 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_chars = _columns(batch)
-            for a, b in bs.pieces(texts):
-                s = model.value.scores(texts[a:b], n_chars[a:b]) if model.value else np.full(b - a, 0.5)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s)], ["doc_id", "score"])
+            for first, texts, n_chars in _pieces(batch):
+                s = model.value.scores(texts, n_chars) if model.value else np.full(len(texts), 0.5)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(s)], ["doc_id", "score"])
 
     t = docs.select("doc_id", "text", "n_chars").mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))

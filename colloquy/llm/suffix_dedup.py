@@ -103,7 +103,7 @@ def anchors(buf: np.ndarray) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         n = np.diff(np.append(first, b - a))
         at = (key[first] & low).astype(np.int64)
-        # the anchor's place in its context is part of what must agree
+        # equal contexts have equal windows, and so their anchor at the same place
         context = rolling.of(a + first, n + LENGTH - 1)
         out.append((h[a + at], context, a + first, n))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -112,19 +112,15 @@ def anchors(buf: np.ndarray) -> tuple[np.ndarray, ...]:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["anchor", "context", "row", "first", "n"]
     for batch in batches:
-        held, size = [], 0
-        texts = bs.as_bytes(batch.column(1))
         rows = batch.column(0).to_pylist()
-        for k, t in enumerate(texts):
-            if len(t) >= LENGTH:
-                a = anchors(np.frombuffer(t, np.uint8))
-                held.append((*a, np.full(len(a[0]), rows[k], np.int64)))
-                size += len(a[0])
-            if held and (size > 100_000 or k == len(texts) - 1):
-                x = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cols = [x[0].view(np.int64), x[1].view(np.int64), x[4], x[2].astype(np.int32), x[3].astype(np.int32)]
+        for first, texts in bs.pieces(batch.column(1)):
+            held = [(*anchors(np.frombuffer(t, np.uint8)), rows[first + k]) for k, t in enumerate(texts) if len(t) >= LENGTH]
+            if held:
+                x = [np.concatenate(c) for c in zip(*(h[:4] for h in held), strict=True)]
+                row = np.repeat(np.array([h[4] for h in held], np.int64), [len(h[0]) for h in held])
+                cols = [x[0].view(np.int64), x[1].view(np.int64), row, x[2].astype(np.int32), x[3].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
-                held, size = [], 0
+    bs.trim()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,23 +260,22 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts, spans = batch.column(0), bs.as_bytes(batch.column(1)), batch.column(2)
-        n_removed, n_spans, sums = [], [], []
-        for k, t in enumerate(texts):
-            own = spans[k].values
-            if own is None:
-                n_removed.append(0), n_spans.append(0), sums.append(hashlib.sha256(t).hexdigest())
-                continue
-            edge = np.zeros(len(t) + 1, np.int32)
-            np.add.at(edge, own.field(0).to_numpy(), 1)
-            np.add.at(edge, own.field(1).to_numpy() + (LENGTH - 1), -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            n_removed.append(int(gone.sum()))
-            n_spans.append(int(np.count_nonzero(gone & ~np.concatenate(([False], gone[:-1])))))
-            sums.append(hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
-        n = pa.array([len(t) for t in texts], pa.int64())
-        cols = [ids, n, pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sums, pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        spans = batch.column(2)
+        for first, texts in bs.pieces(batch.column(1)):
+            rows = []
+            for k, t in enumerate(texts):
+                own = spans[first + k].values
+                edge = np.zeros(len(t) + 1, np.int32)
+                if own is not None:
+                    np.add.at(edge, own.field(0).to_numpy(), 1)
+                    np.add.at(edge, own.field(1).to_numpy() + (LENGTH - 1), -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                kept = np.frombuffer(t, np.uint8)[~gone].tobytes() if own is not None else t
+                n_spans = np.count_nonzero(gone & ~np.concatenate(([False], gone[:-1]))) if len(t) else 0
+                rows.append((len(t), int(gone.sum()), int(n_spans), hashlib.sha256(kept).hexdigest()))
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    bs.trim()
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -44,7 +44,7 @@ END_ID = 1
 FIRST_RULE = 1 << 20
 SHARD_TOKENS = 1 << 19
 ROUNDS, RULES_A_ROUND, LEAST_USES = 4, 1024, 4
-MEMO = 1_500_000
+MEMO = 800_000
 
 _SHARD = "part int, shard int, doc_id array<long>, n_tokens array<int>, n_symbols array<int>, rules binary, lengths binary, sequence binary"
 
@@ -69,9 +69,9 @@ class Memo:
     runs that are new are ever made strings.
     """
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
     #: A character that is one token by itself parts new runs in a call of the tokenizer.
-    MARKS = "★●■§¶†"
+    MARKS = "~^`★●§"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -113,23 +113,29 @@ class Memo:
             h, number, slot = h[rest], number[rest], (slot[rest] + 1) & (self.SLOTS - 1)
 
     def learn(self, h: np.ndarray, runs: list[str]) -> None:
-        plain = [r for r in runs if self.mark not in r]
-        texts = [f" {self.mark} ".join(plain[k : k + 128]) for k in range(0, len(plain), 128)]
+        """Tokenizes new runs, many in one text with a mark before each; runs that hold the mark go alone."""
+        odd = np.fromiter((self.mark in r for r in runs), bool, len(runs))
+        h = np.concatenate((h[~odd], h[odd]))
+        alone = [r for r, o in zip(runs, odd, strict=True) if o] if odd.any() else []
+        runs = [r for r in runs if self.mark not in r] if alone else runs
+        texts = [" ".join(f"{self.mark} {r}" for r in runs[k : k + 256]) for k in range(0, len(runs), 256)]
         made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts: list[np.ndarray] = [p for ids in made for p in np.split(ids, np.flatnonzero(ids == self.mark_id))]
-        cut = iter([p[1:] if len(p) and p[0] == self.mark_id else p for p in parts])
-        ids = [next(cut) if self.mark not in r else np.array(self.tokenizer.encode(r, add_special_tokens=False).ids, np.uint32) for r in runs]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(counts.sum())
-        while self.n + len(runs) > len(self.starts):
+        ids = np.concatenate(made) if made else np.zeros(0, np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        counts = np.diff(np.append(marks, len(ids))) - 1
+        lone = [np.array(self.tokenizer.encode(r, add_special_tokens=False).ids, np.uint32) for r in alone]
+        ids = np.concatenate((ids[ids != self.mark_id], *lone))
+        counts = np.concatenate((counts, np.array([len(x) for x in lone], np.int64)))
+        total, k = len(ids), len(counts)
+        while self.n + k > len(self.starts):
             self.starts, self.counts = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.counts, 2 * len(self.counts))
         while self.n_flat + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.n_flat : self.n_flat + total] = np.concatenate(ids)
-        self.starts[self.n : self.n + len(runs)] = self.n_flat + np.cumsum(counts) - counts
-        self.counts[self.n : self.n + len(runs)] = counts
+        self.flat[self.n_flat : self.n_flat + total] = ids
+        self.starts[self.n : self.n + k] = self.n_flat + np.cumsum(counts) - counts
+        self.counts[self.n : self.n + k] = counts
         self.put(h)
-        self.n, self.n_flat = self.n + len(runs), self.n_flat + total
+        self.n, self.n_flat = self.n + k, self.n_flat + total
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text's ended by END_ID, and their counts."""
@@ -142,7 +148,8 @@ class Memo:
         if len(new):
             own, first = np.unique(h[new], return_index=True)
             at = new[first]
-            self.learn(own, [buf[a:b].tobytes().decode() for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
+            raw = buf.tobytes()
+            self.learn(own, [raw[a:b].decode() for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
             runs[new] = self.find(h[new])
         counts = self.counts[runs]
         ids = self.flat[ragged(self.starts[runs], counts)]
@@ -244,16 +251,17 @@ def _shards(tokenizer: str):
 
         held, size = [], 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), bs.as_bytes(batch.column(1))
-            for a, b in bs.pieces(texts):
-                ids, counts = encoder.encode(texts[a:b])
-                held.append((doc_ids[a:b], ids, counts))
+            doc_ids = batch.column(0).to_pylist()
+            for first, texts in bs.pieces(batch.column(1)):
+                ids, counts = encoder.encode(texts)
+                held.append((doc_ids[first : first + len(texts)], ids, counts))
                 size += len(ids)
                 if size >= SHARD_TOKENS:
                     yield made(held)
                     held, size, shard = [], 0, shard + 1
         if held:
             yield made(held)
+        bs.trim()
 
     return run
 

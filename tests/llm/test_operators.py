@@ -298,7 +298,7 @@ def test_unusual_runs_are_tokenized_as_wholes():
 
     path = tokens.default_tokenizer()
     t, m = Tokenizer.from_file(path), tokens.Memo(path)
-    texts = ["★ a★b ★★", "a\u00a0b\u2003c", "ΑΣ ΟΔΟΣ İstanbul", "<|endoftext|> x<|startoftext|>y", "it's we'll 'S", "e\u0301 ﬁ 漢字 \x1c", "", "  ", "1234 3.14 a1b2"]
+    texts = ["★ a★b ★★ ~ a~b ~~x ~", "a\u00a0b\u2003c", "ΑΣ ΟΔΟΣ İstanbul", "<|endoftext|> x<|startoftext|>y", "it's we'll 'S", "e\u0301 ﬁ 漢字 \x1c", "", "  ", "1234 3.14 a1b2"]
     ids, counts = m.encode([x.encode() for x in texts])
     ends = np.cumsum(counts)
     for k, x in enumerate(texts):
