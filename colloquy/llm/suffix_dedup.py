@@ -46,7 +46,8 @@ from .tokens import ragged
 LENGTH = 200
 GRAM = 40
 WINDOW = LENGTH - GRAM + 1
-BLOCK_BYTES = 2 << 20
+#: Anchors with more bytes of distinct contexts than BLOCK_BYTES are spread; smaller ones share blocks of BATCH_BYTES.
+BLOCK_BYTES, BATCH_BYTES = 2 << 20, 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = bs.seeds(256, 31)
@@ -134,25 +135,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """By prefix doubling. s: symbols in which no suffix repeats another's whole (unique ends)."""
-    n = len(s)
-    _, rank = np.unique(s, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    bits, width = int(rank.max()).bit_length(), 1
-    while 2 * bits <= 62:  # as many symbols as fit one key at first
-        later = np.zeros(n, np.int64)
-        later[: n - width] = rank[width:]
-        rank = (rank << bits) | later
-        bits, width = 2 * bits, 2 * width
+def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in the order of their first ``depth`` symbols at least, by prefix doubling. Symbols have 9 bits.
+
+    Suffixes that agree so far stay in any order: all intervals of prefixes up to that
+    depth are the same as in the complete order, and longer ones are not asked for.
+    """
+    n, width = len(s), 7
+    padded = np.concatenate((s.astype(np.int64), np.zeros(width, np.int64)))
+    rank = padded[:n].copy()
+    for k in range(1, width):
+        rank = (rank << 9) | padded[k : k + n]
     order = np.argsort(rank)
     key = rank[order]
     rank = np.empty(n, np.int64)
     new = np.concatenate(([True], key[1:] != key[:-1]))
+    # a rank is the place of the first suffix of those that agree
     ids = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
     rank[order] = ids
     places = np.flatnonzero(~(new & np.append(new[1:], True)))  # in the order, of suffixes that share a rank
-    while len(places):
+    while len(places) and width < depth:
         open_ = order[places]
         later = np.zeros(len(open_), np.int64)
         inside = open_ + width < n
@@ -161,7 +163,6 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         by = np.argsort(key)
         key, order[places] = key[by], open_[by]
         new = np.concatenate(([True], key[1:] != key[:-1]))
-        # ranks stay distinct and in order: the place of a group's first member
         group = places[np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))] + 1
         ids[places] = group
         rank[order[places]] = group
@@ -173,13 +174,14 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 def repeated_suffixes(s: np.ndarray, length: int) -> np.ndarray:
     """Whether the suffix at each position shares its first ``length`` symbols with another one.
 
-    s: symbols, of which some occur once, as ends of the strings in it.
+    s: symbols, 0 where a string ends. Only positions with ``length`` symbols before the
+    next end are to be asked for; their matches then cross no end.
     Intervals are extended backwards; the longest common prefix before suffix j is fixed
     when the first interval that ends there is reached, in the order of its length.
     """
     n = len(s)
-    order = suffix_array(s)
-    last = s[order - 1]  # the transform; the symbol before the first suffix is an end
+    order = suffix_array(s, length)
+    last = s[order - 1]  # the transform; the symbol before the first suffix is the last end
     last_sorted = np.argsort(last, kind="stable")
     to = np.empty(n, np.int64)
     to[last_sorted] = np.arange(n)  # from a suffix to the one that is longer by the symbol before
@@ -208,11 +210,9 @@ def repeated_suffixes(s: np.ndarray, length: int) -> np.ndarray:
 
 def repeated_windows(contexts: list[bytes], counts: list[int]) -> list[np.ndarray]:
     """For each context which of its first windows repeat among the contexts."""
-    k = len(contexts)
-    buf = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
-    s = buf.astype(np.int64) + k
+    s = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int16) + 1
     ends = np.cumsum([len(c) + 1 for c in contexts])
-    s[ends - 1] = np.arange(k)
+    s[ends - 1] = 0
     long = repeated_suffixes(s, LENGTH)
     return [long[e - len(c) - 1 : e - len(c) - 1 + n] for e, c, n in zip(ends.tolist(), contexts, counts, strict=True)]
 
@@ -239,7 +239,7 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             own = (r["anchor"], r["salt"])
             if own != group:
-                if size > BLOCK_BYTES // 2:
+                if size > BATCH_BYTES:
                     yield done(held)
                     held, size = [], 0
                 group = own
