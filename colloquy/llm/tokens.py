@@ -44,7 +44,7 @@ END_ID = 1
 FIRST_RULE = 1 << 20
 SHARD_TOKENS = 1 << 19
 ROUNDS, RULES_A_ROUND, LEAST_USES = 4, 1024, 4
-MEMO = 800_000
+MEMO = 1_600_000
 
 _SHARD = "part int, shard int, doc_id array<long>, n_tokens array<int>, n_symbols array<int>, rules binary, lengths binary, sequence binary"
 
@@ -69,7 +69,7 @@ class Memo:
     runs that are new are ever made strings.
     """
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 22
     #: A character that is one token by itself parts new runs in a call of the tokenizer.
     MARKS = "~^`★●§"
 
@@ -84,7 +84,7 @@ class Memo:
     def clear(self) -> None:
         self.keys, self.place = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
         self.flat, self.n_flat, self.n = np.zeros(1 << 16, np.uint32), 0, 0
-        self.starts, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The numbers of runs; -1 for new ones."""
