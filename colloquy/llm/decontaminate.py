@@ -4,9 +4,11 @@ Native: DataFrame functions only. A benchmark item is the multiset of its 5-word
 shingles (lower case). Windows of a document, as long as the item, are compared with
 all items:
 
-1. Windows. One with similarity 0.75 or more shares shingles with the item, so only
-   windows that line up a shingle of the document with the same shingle of an item
-   are formed; within a run of equal shingles one window is enough.
+1. Windows. Shifting a window to its next shingle of the item (or a window cut by the
+   document's start back to its last one) never lowers its similarity, so the best
+   window of all offsets begins at such a shingle, or is a start of the document that
+   ends at one. Of these all are formed that hold enough of the item's shingles, in
+   any order, to reach 0.75.
 2. Fingerprints. Each window and item gets a 64-bit SimHash of its shingles.
 3. Multi-index. Fingerprints are cut into 8 blocks of 8 bits. Two that differ in at
    most RADIUS = 23 bits differ in at most 2 bits of some block, so the index lists,
@@ -16,7 +18,8 @@ all items:
 4. Verification. sum(min) / sum(max) of the shingle counts, exactly, against 0.75.
 
 The items and their index are broadcast only while their measured size stays within
-BROADCAST_ROWS; beyond it the same joins shuffle. Shingles are never shuffled.
+BROADCAST_ROWS, as are the places of windows; beyond it the same joins shuffle. Of
+shingles only the positions of those that an item has are shuffled.
 
 Defined results: texts of fewer than 5 words, of documents or items, have their whole
 sequence as one shingle; null or blank texts have none and match nothing; repeated
@@ -31,7 +34,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, settled, table, words
+from .common import Scratch, lower_ascii, settled, table, words
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -51,11 +54,11 @@ def shingles(text: Column) -> dict[str, Column]:
     }
 
 
-def with_shingles(df: DataFrame, id_col: str) -> DataFrame:
-    df = df.select(F.col(id_col), "text")
+def with_shingles(df: DataFrame, *cols: str) -> DataFrame:
+    df = df.select(*cols, "text")
     for name, c in shingles(F.col("text")).items():
         df = settled(df, name, c)
-    return df.select(id_col, "s")
+    return df.select(*cols, "s")
 
 
 def simhash(s: str) -> Column:
@@ -74,21 +77,38 @@ def block_of(fp: str, j: str) -> str:
     return f"cast(shiftright({fp}, {BLOCK_BITS} * {j}) & {2**BLOCK_BITS - 1} as int)"
 
 
+def places(hits: str, item: str, doc: str) -> Column:
+    """(lo, hi) of the windows that can reach 0.75, from the sorted positions that hold a shingle of the item.
+
+    With c of them a window of m shingles has at most c / (m + item - c), which reaches
+    0.75 where 7 c >= 3 (m + item).
+    """
+    begun = f"transform({hits}, (p, i) -> struct(p as lo, least(p + {item}, {doc}) as hi, i as i))"
+    need = f"cast(ceil(3 * (x.hi - x.lo + {item}) / 7) as int)"
+    begun = f"filter({begun}, x -> coalesce(get({hits}, x.i + {need} - 1) < x.hi, false))"
+    cut = f"filter(transform({hits}, (p, i) -> struct(0 as lo, p + 1 as hi, i as i)), x -> x.hi < {item} and 7 * (x.i + 1) >= 3 * (x.hi + {item}))"
+    return F.expr(f"transform(concat({begun}, {cut}), x -> struct(x.lo as lo, x.hi as hi))")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity): each document with each item that it holds."""
     items = with_shingles(benchmark, "item_id").where(F.size("s") > 0).distinct()
     items = items.select("item_id", F.col("s").alias("item_s"), simhash("s").alias("item_fp"))
     n_items, n_shingles = items.agg(F.count("*"), F.coalesce(F.sum(F.size("item_s")), F.lit(0))).first()
 
-    # 1: windows that line up
-    at = items.select(F.size("item_s").alias("len"), "item_s", F.posexplode("item_s").alias("q", "item_h"))
-    at = at.select("len", "q", "item_h", F.get("item_s", F.col("q") - 1).alias("item_before")).distinct()
-    hits = with_shingles(docs, "doc_id").select("doc_id", "s", F.posexplode_outer("s").alias("p", "h"))
-    begins = F.coalesce(F.get("s", F.col("p") - 1) != F.col("item_before"), F.lit(True))
-    hits = hits.join(bounded(at, n_shingles), (F.col("h") == F.col("item_h")) & begins)
-    low = F.greatest(F.col("p") - F.col("q"), F.lit(0))
-    high = F.least(F.col("p") - F.col("q") + F.col("len"), F.size("s"))
-    windows = settled(hits, "win", F.slice("s", low + 1, high - low)).select("doc_id", "win")
+    # 1: windows with enough shingles of an item
+    at = items.select(F.xxhash64("item_id", "item_s").alias("item"), F.size("item_s").alias("len"), F.explode(F.array_distinct("item_s")).alias("item_h"))
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    hits = with_shingles(docs, "row").select("row", F.size("s").alias("size"), F.posexplode("s").alias("p", "h"))
+    hits = hits.join(bounded(at, n_shingles), F.col("h") == F.col("item_h"))
+    hits = hits.groupBy("row", "size", "item", "len").agg(F.sort_array(F.collect_set("p")).alias("hits")).where(4 * F.size("hits") >= 3 * F.col("len"))
+    found = settled(hits, "places", places("hits", "len", "size")).where(F.size("places") > 0)
+    found = found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    found = Scratch(docs.sparkSession, "windows").keep(found.withColumnRenamed("row", "found_row"))
+    n_places = found.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    held = docs.join(bounded(found, n_places), F.col("row") == F.col("found_row"))
+    windows = with_shingles(held, "doc_id", "places").select("doc_id", "s", F.explode("places").alias("at"))
+    windows = settled(windows, "win", F.expr("slice(s, at.lo + 1, at.hi - at.lo)")).select("doc_id", "win")
 
     # 2, 3: fingerprints under the multi-index
     most = RADIUS // BLOCKS

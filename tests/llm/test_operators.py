@@ -279,6 +279,26 @@ def test_decontamination_of_edited_passages(spark):
     assert {x.doc_id for x in decontaminate(d, b).collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_decontamination_of_reordered_passages(spark):
+    """Parts in another order line up at no offset that an item-sized window over the passage has."""
+    from colloquy.llm.decontaminate import leaks
+
+    words = [f"q{j}" for j in range(104)]
+    items = [(1, " ".join(words)), (2, " ".join(f"z{j % 7}" for j in range(30)))]
+    pre, post = [f"pre{j}" for j in range(70)], [f"post{j}" for j in range(70)]
+    halves, thirds = words[52:] + words[:52], words[70:] + words[35:70] + words[:35]
+    rows = [
+        (1, " ".join(pre + halves + post)), (2, " ".join(pre + thirds + post)), (3, " ".join(halves)), (4, " ".join(halves[:85] + post)), (5, " ".join(pre + halves[15:])),
+        (6, " ".join(pre + words[:52] + post + words[52:] + pre)), (7, " ".join(pre + words[::-1] + post)), (8, " ".join(f"z{j % 7}" for j in range(200))), (9, " ".join(pre + halves[:60] + post)),
+    ]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = plain.leaks(rows, items)
+    assert {(1, 1), (2, 1), (3, 1), (8, 2)} <= want
+    got = leaks(d, b).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want
+    assert {x.doc_id: x.similarity for x in got}[1] == round(96 / 104, 6)
+
+
 def test_tokens(spark, docs):
     got = sorted(tuple(r) for r in Q["op10_token_output"](spark, SMALL).collect())
     assert got == sorted(plain.token_rows(sorted(docs), tokens.default_tokenizer()))
