@@ -11,8 +11,9 @@ trees are CASE expressions.
 Labelled URLs: by default all URLs whose host is told by a list of terms, blocked if it
 has one. The model sees neither the terms nor the host, only lexical features: lengths,
 depth, digit ratio, entropy, hyphens, parameters, and for the host's suffix its number
-of labelled URLs and their smoothed rate. Training takes at most TRAIN_ROWS labelled
-URLs, the first in the order of a hash (a documented bound).
+of labelled URLs and their smoothed rate, counted over all labelled URLs. The trees are
+fitted on at most TRAIN_ROWS of them, the first in the order of a hash (a documented
+bound).
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no
 rule and is judged by its features; repeated rows repeat; without labels of both kinds
@@ -101,9 +102,16 @@ def binned() -> dict[str, Column]:
     return {f"b_{k}": sum(((F.col(k) >= e).cast("int") for e in edges[1:]), (F.col(k) >= edges[0]).cast("int")) for k, edges in EDGES.items()}
 
 
-def with_suffix(t: DataFrame, suffixes: DataFrame, base: float) -> DataFrame:
+def suffix_counts(labels: DataFrame) -> DataFrame:
+    """(known, s_block, s_n) of each suffix, over all labelled URLs."""
+    host, _ = host_and_path(F.col("url"))
+    t = labels.select(F.substring_index(host, ".", -2).alias("known"), "y")
+    return t.groupBy("known").agg(F.sum("y").alias("s_block"), F.count("*").alias("s_n"))
+
+
+def with_suffix(t: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
     t = t.join(suffixes, t["suffix"] == suffixes["known"], "left")
-    t = t.withColumn("suffix_rate", (F.coalesce("s_block", F.lit(0)) + PRIOR * base) / (F.coalesce("s_n", F.lit(0)) + PRIOR))
+    t = t.withColumn("suffix_rate", (F.coalesce("s_block", F.lit(0)) + PRIOR * rate) / (F.coalesce("s_n", F.lit(0)) + PRIOR))
     return t.withColumn("suffix_count", F.coalesce("s_n", F.lit(0)))
 
 
@@ -168,13 +176,13 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     t = prepared(pages.select("page_id", "url"))
     if 0 < n_block < n:
         base = n_block / n
-        suffixes = train.groupBy(F.col("suffix").alias("known")).agg(F.sum("y").alias("s_block"), F.count("*").alias("s_n"))
-        suffixes = scratch.keep(suffixes)
+        suffixes = scratch.keep(suffix_counts(labels))
+        rate = suffixes.agg(F.sum("s_block") / F.sum("s_n")).first()[0]
         weight = F.when(F.col("y") == 1, F.lit(0.5 / base)).otherwise(F.lit(0.5 / (1 - base)))
-        rows = with_suffix(train, suffixes, base).withColumns(binned()).withColumn("w", weight)
+        rows = with_suffix(train, suffixes, rate).withColumns(binned()).withColumn("w", weight)
         rows = scratch.keep(rows.groupBy("y", *binned()).agg(F.sum("w").alias("w")))
         margin = boost(rows, 0.5)
-        t = with_suffix(t, suffixes, base).withColumns(binned())
+        t = with_suffix(t, suffixes, rate).withColumns(binned())
         score = 1 / (1 + F.exp(-margin))
     else:
         score = F.lit(0.0)

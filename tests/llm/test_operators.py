@@ -184,6 +184,23 @@ def test_url_model_on_hosts_that_it_has_not_seen(spark):
     assert n > 100 and hit > 0.95
 
 
+def test_suffixes_are_counted_over_all_labels(spark, monkeypatch):
+    """Also those that the sample of the trees does not hold."""
+    rows = [(k, f"http://{'spam' if k % 3 == 0 else 'news'}{k}.s{k % 40}.org/p") for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    seen, own = [], url_model.with_suffix
+
+    def watched(t, suffixes, rate):
+        seen.append(({r.known: (r.s_block, r.s_n) for r in suffixes.collect()}, rate))
+        return own(t, suffixes, rate)
+
+    monkeypatch.setattr(url_model, "with_suffix", watched)
+    monkeypatch.setattr(url_model, "TRAIN_ROWS", 30)
+    assert url_model.filter_urls(pages, url_model.labelled(pages)).count() == 400
+    want = {f"s{j}.org": (sum(k % 3 == 0 for k in range(j, 400, 40)), 10) for j in range(40)}
+    assert seen == [(want, 134 / 400)] * 2
+
+
 def test_secrets(spark, docs, odd_dir, odd_docs):
     for d, rows in ((SMALL, docs), (odd_dir, odd_docs)):
         got = Q["op7_secret_scan"](spark, d).collect()
