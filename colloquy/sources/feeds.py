@@ -11,7 +11,9 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -55,27 +57,48 @@ def stub_thread(spark: SparkSession, post_id: str, width: int = 3) -> DataFrame:
     return spark.range(1).select(F.lit(post_id).alias("post")).select("post", F.expr(doc).alias("json"))
 
 
-def flatten_comments(docs: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(post, id, parent_id, depth, author) of nested comment documents, level by level.
+def comment_rows(doc: str | None) -> Iterator[tuple]:
+    """(id, parent_id, depth, author) of a nested comment document, by a stack: no level is the last."""
+
+    def text(value) -> str | None:
+        if isinstance(value, bool):
+            return "true" if value else "false"
+        out = value if value is None or isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+        return None if out is None else out.encode("utf-8", "replace").decode()
+
+    try:
+        payload = json.loads(doc or "null", parse_int=str, parse_float=str)
+    except json.JSONDecodeError:
+        return
+    below = lambda of, key: [c for c in v if isinstance(c, dict)] if isinstance(of, dict) and isinstance(v := of.get(key), list) else []
+    stack = [(c, None, 0) for c in reversed(below(payload, "comments"))]
+    while stack:
+        node, outer, depth = stack.pop()
+        own, author = text(node.get("id")), node.get("author")
+        yield own, text(node.get("parent_id")) or outer, depth, text(author.get("name") if isinstance(author, dict) else author)
+        stack += [(c, own, depth + 1) for c in reversed(below(node, "children"))]
+
+
+def flatten_comments(docs: DataFrame) -> DataFrame:
+    """(post, id, parent_id, depth, author) of nested comment documents, however deep.
 
     A node's own parent_id counts if it is not empty, else the node that encloses it.
-    Levels end with the first empty one or at max_depth.
+    Documents that are no JSON have no rows; one nested beyond the JSON parser's own
+    limit (thousands of levels) fails, it is not cut.
     """
-    from colloquy.functions.scalars import name_or_text
-    from colloquy.sources.scratch import written
-
-    level = docs.select("post", F.lit(None).cast("string").alias("outer"), F.explode(F.from_json(F.get_json_object("json", "$.comments"), "array<string>")).alias("node"))
-    out = None
-    for depth in range(max_depth):
-        level = written(level, "level")
-        if level.isEmpty():
-            break
-        node = F.col("node")
-        own = F.nullif(F.get_json_object(node, "$.parent_id"), F.lit(""))
-        here = level.select("post", F.get_json_object(node, "$.id").alias("id"), F.coalesce(own, "outer").alias("parent_id"), F.lit(depth).alias("depth"), name_or_text(node, "author").alias("author"))
-        out = here if out is None else out.unionByName(here)
-        level = level.select("post", F.get_json_object(node, "$.id").alias("outer"), F.explode(F.from_json(F.get_json_object(node, "$.children"), "array<string>")).alias("node"))
-    return out
+    from colloquy.sources.scratch import ship
+
+    ship(docs.sparkSession)
+    kinds = pa.schema([("post", pa.string()), ("id", pa.string()), ("parent_id", pa.string()), ("depth", pa.int32()), ("author", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc in batch.to_pylist():
+                rows = comment_rows(doc["json"])
+                while part := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([doc["post"]] * len(part), *zip(*part)), kinds.types)], schema=kinds)
+
+    return docs.select(F.col("post").cast("string"), F.col("json").cast("string")).mapInArrow(run, "post string, id string, parent_id string, depth int, author string")
 
 
 def backoff_seconds(attempt: int, retry_after: str | None, base: float, cap: float = 60.0) -> float:

@@ -92,6 +92,19 @@ def test_nested_comments(spark):
     assert by["p_c1_0"].parent_id == "p_c1" and by["p_c1_0"].depth == 1 and by["p_c1"].author == "a1"
 
 
+@pytest.mark.parametrize("depth", [17, 700])
+def test_nested_comments_of_any_depth(spark, depth):
+    doc = "".join(f'{{"id":"c{k}","author":"a","children":[' for k in range(depth)) + "]}" * depth
+    rows = feeds.flatten_comments(spark.createDataFrame([("p", f'{{"comments":[{doc}]}}'), ("q", "no json {"), ("r", None)], "post string, json string")).collect()
+    assert sorted((r.depth, r.post, r.id, r.parent_id) for r in rows) == [(k, "p", f"c{k}", f"c{k - 1}" if k else None) for k in range(depth)]
+
+
+def test_nested_comments_with_odd_members(spark):
+    doc = '{"comments":[{"id":12345678901234567890,"author":{"name":"n"},"children":[{"id":"b","parent_id":""},{"id":"c","parent_id":"z","author":null},7,null]},{"children":{}}]}'
+    rows = [tuple(r)[1:] for r in feeds.flatten_comments(spark.createDataFrame([("p", doc)], "post string, json string")).collect()]
+    assert rows == [("12345678901234567890", None, 0, "n"), ("b", "12345678901234567890", 1, None), ("c", "z", 1, None), (None, None, 0, None)]
+
+
 def test_feed_checks(spark):
     feed = feeds.stub_feed(spark, "new", 5, 0).unionByName(feeds.stub_feed(spark, "odd", 2, 1))
     r = ql.feed_invariants(feed, ["new"], 4).first()
