@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from colloquy.sources.scratch import ship
 
 LN2 = math.log(2)
+#: Simulated paths of a part.
+PATHS = 50
 
 
 def exponential_kernel(s: np.ndarray, d: np.ndarray, w: np.ndarray | None = None) -> tuple[float, float, float]:
@@ -78,10 +80,16 @@ def weibull(s: np.ndarray, d: np.ndarray, w: np.ndarray | None = None) -> tuple[
     return k, scale, ll
 
 
+def fine(hours: Column) -> Column:
+    """Seven significant digits of a duration: within 5e-7 of it, and boundedly many distinct values in each power of ten."""
+    scale = F.pow(F.lit(10.0), 6 - F.floor(F.log10(hours)))
+    return F.when(hours > 0, F.round(hours * scale) / scale).otherwise(hours)
+
+
 def fit_by_group(units: DataFrame, by: str, fit: Callable = exponential_kernel, names=("alpha", "beta"), least_units: int = 20, least_events: int = 5) -> DataFrame:
-    """One fit a group. Durations are counted at whole seconds first, so a group's input is bounded by distinct times, not units."""
+    """One fit a group. Durations are counted at ``fine`` values first, so a group's input is bounded by distinct times, not units."""
     ship(units.sparkSession)
-    cells = units.groupBy(by, (F.greatest(F.round(F.col("duration_hours") * 3600), F.lit(1)) / 3600).alias("s"), F.col("event_observed").alias("d")).agg(F.count("*").cast("double").alias("w"))
+    cells = units.groupBy(by, fine(F.col("duration_hours")).alias("s"), F.col("event_observed").alias("d")).agg(F.count("*").cast("double").alias("w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n, k = pdf.w.sum(), (pdf.w * pdf.d).sum()
@@ -121,10 +129,11 @@ def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], rati
 
 
 def bootstrap_fits(units: DataFrame, cluster: str, reps: int, fit: Callable = exponential_kernel, seed: int = 1) -> DataFrame:
-    """One fit a replicate of resampled clusters, each in its own group; times are counted at whole minutes."""
+    """One fit a replicate of resampled clusters, each in its own group; durations are counted as in ``fit_by_group``."""
     ship(units.sparkSession)
-    t = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson_weight(F.col(cluster), F.col("rep"), seed)).where("w > 0")
-    cells = t.groupBy("rep", (F.greatest(F.ceil(F.col("duration_hours") * 60), F.lit(1)) / 60).alias("s"), F.col("event_observed").alias("d")).agg(F.sum("w").cast("double").alias("w"))
+    cells = units.groupBy(F.col(cluster).alias("c"), fine(F.col("duration_hours")).alias("s"), F.col("event_observed").alias("d")).agg(F.count("*").alias("n"))
+    t = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson_weight(F.col("c"), F.col("rep"), seed)).where("w > 0")
+    cells = t.groupBy("rep", "s", "d").agg(F.sum(F.col("w") * F.col("n")).cast("double").alias("w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, _ = fit(pdf.s.to_numpy(), pdf.d.to_numpy(float), pdf.w.to_numpy())
@@ -204,9 +213,11 @@ def ar1_paths(n: int, phi: float, sigma: float, paths: int, rng: np.random.Gener
 def spectrum(series: DataFrame, minutes: int, sims: int, target: float = 0.25, band: float = 0.03, seed: int = 1) -> DataFrame:
     """Density at the target frequency (per hour), median background, dominant frequency, Fisher g and its AR(1) p-value.
 
-    The binned series is one group: a row a bin, whatever the number of events.
+    The binned series is one group: a row a bin, whatever the number of events. The null's
+    paths are simulated in parts of at most PATHS, dealt over tasks.
     """
-    ship(series.sparkSession)
+    spark = series.sparkSession
+    ship(spark)
     per_hour = 60 / minutes
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,11 +226,22 @@ def spectrum(series: DataFrame, minutes: int, sims: int, target: float = 0.25, b
         g = fisher_g(periodogram(y, per_hour)[1])
         at = int(np.argmin(np.abs(f - target)))
         phi, sigma = fit_ar1(y)
-        rng = np.random.default_rng(seed)
-        null = np.concatenate([[fisher_g(periodogram(z, per_hour)[1]) for z in ar1_paths(len(y), phi, sigma, min(200, sims - k), rng)] for k in range(0, sims, 200)])
-        return pd.DataFrame({"target_power": [p[at]], "background_power": [float(np.median(p[np.abs(f - target) > band]))], "dominant_frequency": [f[np.argmax(p)]], "fisher_g": [g], "phi": [phi], "p_value": [float((null >= g).mean())]})
-
-    return series.groupBy(F.lit(1).alias("one")).applyInPandas(run, "target_power double, background_power double, dominant_frequency double, fisher_g double, phi double, p_value double")
+        return pd.DataFrame({"target_power": [p[at]], "background_power": [float(np.median(p[np.abs(f - target) > band]))], "dominant_frequency": [f[np.argmax(p)]], "fisher_g": [g], "phi": [phi], "sigma": [sigma], "length": [len(y)]})
+
+    def null(batches):
+        for pdf in batches:
+            hits, n = [], []
+            for r in pdf.itertuples():
+                n.append(min(PATHS, sims - r.part * PATHS))
+                paths = ar1_paths(int(r.length), r.phi, r.sigma, n[-1], np.random.default_rng([seed, r.part]))
+                hits.append(sum(fisher_g(periodogram(z, per_hour)[1]) >= r.fisher_g for z in paths))
+            yield pdf.drop(columns="part").assign(hits=hits, n=n)
+
+    columns = [f"{c} double" for c in ("target_power", "background_power", "dominant_frequency", "fisher_g", "phi", "sigma")]
+    own = series.groupBy(F.lit(1).alias("one")).applyInPandas(run, ", ".join([*columns, "length long"]))
+    parts = spark.range(-(-sims // PATHS)).withColumnRenamed("id", "part").crossJoin(F.broadcast(own))
+    t = parts.mapInPandas(null, ", ".join([*columns, "length long", "hits long", "n long"]))
+    return t.groupBy("target_power", "background_power", "dominant_frequency", "fisher_g", "phi").agg((F.sum("hits") / F.sum("n")).alias("p_value"))
 
 
 def bessel_ratio(kappa: float) -> float:

@@ -19,7 +19,7 @@ from colloquy.sources import adapters as ad
 from colloquy.sources.scratch import shared_path, ship
 from colloquy.streaming import operators as so
 
-REPS = 50
+REPS, SIMS = 400, 2000
 
 
 @query()
@@ -111,7 +111,7 @@ def cloglog_glm(spark, d):
 def welch_psd(spark, d):
     """Spectrum at a 4-hour period with its AR(1) null."""
     series = ts.detrended(ts.binned_counts(ad.comments(spark, d), "created_at_utc", 15))
-    return rounded(es.spectrum(series, 15, 200))
+    return rounded(es.spectrum(series, 15, SIMS))
 
 
 @query()
@@ -119,7 +119,7 @@ def spectrum_by_bin_width(spark, d):
     parts = []
     for minutes in (5, 15, 30):
         series = ts.detrended(ts.binned_counts(ad.comments(spark, d), "created_at_utc", minutes), 24 * 60 // minutes)
-        parts.append(es.spectrum(series, minutes, 50).withColumn("bin_minutes", F.lit(minutes)))
+        parts.append(es.spectrum(series, minutes, SIMS).withColumn("bin_minutes", F.lit(minutes)))
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from colloquy.operators import estimators as es
@@ -65,3 +66,30 @@ def test_bootstrap_brackets_the_estimate(spark):
 def test_power_grows(spark):
     p = [r.power for r in es.detectability(spark, 1000, [0.0, 0.1, 0.3], 4000).orderBy("kappa").collect()]
     assert p[0] == pytest.approx(0.05, abs=0.02) and p[0] < p[1] < p[2]
+
+
+def test_bootstrap_and_fit_use_the_same_fine_durations(spark):
+    """Replies within seconds: whole minutes, or whole seconds, would be other data."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    s = rng.exponential(2 / 3600, 3000)
+    df = spark.createDataFrame(pd.DataFrame({"c": np.arange(3000) % 300, "g": "x", "duration_hours": s, "event_observed": (rng.random(3000) < 0.5).astype(int)}))
+    for fit in (es.exponential_kernel, es.weibull):
+        exact = fit(s, np.array([r.event_observed for r in df.select("event_observed").collect()], float))
+        row = es.fit_by_group(df, "g", fit).first()
+        assert (row.alpha, row.beta) == pytest.approx(exact[:2], rel=1e-5)
+        reps = es.bootstrap_fits(df, "c", 60, fit).agg(F.percentile("first", [0.0, 1.0]).alias("a"), F.percentile("second", [0.0, 1.0]).alias("b")).first()
+        assert reps.a[0] < exact[0] < reps.a[1] and reps.b[0] < exact[1] < reps.b[1]
+
+
+def test_replicates_and_simulations_are_those_of_the_reference(spark, monkeypatch):
+    from colloquy.plans import catalog, modelling
+
+    seen, own = [], es.spectrum
+    monkeypatch.setattr(modelling.es, "spectrum", lambda series, minutes, sims, **k: seen.append(sims) or own(series, minutes, sims, **k))
+    for name in ("welch_psd", "spectrum_by_bin_width"):
+        for r in catalog.queries()[name](spark, "/root/testdata/sf0.001").collect():
+            assert 0 <= r.p_value <= 1 and r.p_value * 2000 == pytest.approx(round(r.p_value * 2000), abs=0.01)
+    assert seen == [2000] * 4
+    assert catalog.queries()["bootstrap_half_life"](spark, "/root/testdata/sf0.001").first().n_reps == 400
