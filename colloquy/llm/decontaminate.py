@@ -138,9 +138,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; a null doc_id is matched as a value."""
-    hit = leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    """The rows that hold no benchmark item; rows that share a doc_id, or have none, are judged each by its text."""
+    row = F.xxhash64("doc_id", "text")
+    hit = leaks(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("leaked_row")).distinct()
+    return docs.join(hit, row == F.col("leaked_row"), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

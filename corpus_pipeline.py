@@ -34,10 +34,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = _keyed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return out.dropDuplicates([KEY]).select(docs.columns)
+    """The document with the smallest doc_id of each group of near-duplicates; one without a doc_id only where all are."""
+    keyed = _keyed(docs)
+    groups = near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text")).select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    ids = keyed.select(KEY, "doc_id").dropDuplicates([KEY])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY))
+    kept = groups.join(ids, KEY).groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{KEY}").alias(KEY))
+    return keyed.join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,20 @@ def test_odd_rows(spark, odd_dir):
     rows = cp.run(spark, odd_dir).collect()
     assert all(r.n_tokens > 0 for r in rows)
     assert cp.run(spark, f"{odd_dir}/empty").collect() == []
+
+
+def test_rows_that_share_a_doc_id_are_judged_each_by_its_text(spark):
+    from colloquy.llm.decontaminate import decontaminate
+
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    item = " ".join(words("item", 40))
+    clean = [(None, " ".join(words("a", 60))), (7, " ".join(words("b", 60)))]
+    rows = [*clean, (None, f"before {item} after"), (7, f"{item} after")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate(frame(rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, clean))
+
+    near = lambda name, k: " ".join([*words(name, 100), f"end{k}"])
+    rows = [(None, near("c", 1)), (None, near("c", 2)), (5, near("d", 1)), (5, near("e", 1)), (None, near("d", 2)), (9, near("e", 2)), (3, near("e", 3)), (5, None), (None, "")]
+    got = {tuple(r) for r in dict(cp.STAGES)["near_dedup"](spark, frame(rows), "").collect()}
+    assert len(got) == 5 and {(5, near("d", 1)), (3, near("e", 3)), (5, None), (None, "")} < got
