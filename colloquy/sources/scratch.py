@@ -10,13 +10,24 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    A session on one machine that names none gets a temporary one; on a cluster that is an
+    error, as other machines could not see it.
+    """
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="colloquy-"))
+    return context.getCheckpointDir()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder only where the session names none."""
-    root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
