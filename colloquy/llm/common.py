@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.sources.scratch import ship
+from colloquy.sources.scratch import shared_root, ship
 
 #: The characters between words: space, and tab to carriage return.
 GAPS = "[\\x20\\x09-\\x0D]+"
@@ -19,19 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: that of spark.checkpoint.dir.
-
-    Only where the session names none (as in tests) a temporary one is set.
-    """
-    found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="colloquy-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation.
 
@@ -41,7 +27,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def path(self) -> str:
@@ -86,3 +72,40 @@ def settled(df: DataFrame, name: str, c: Column) -> DataFrame:
     move them below a generator, so the value is made the only row of one.
     """
     return df.withColumn(name, F.explode_outer(F.array(c)))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns."""
+    lower = {c.lower() for c in columns}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+def row_key(columns: list[str]) -> Column:
+    """128 bits of hashes of a row: rows that share it agree in all these columns, nulls apart from values."""
+    parts = [x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return F.concat(F.hex(F.xxhash64(*parts)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *parts)))
+
+
+def with_before(t: DataFrame, group: list[str], levels: dict[str, Column], order: list[str], weight: str, name: str, scratch: Scratch) -> DataFrame:
+    """With column ``name``, the sum of ``weight`` over the rows before each in the order within its group.
+
+    ``levels`` coarsen the order step by step. What lies before a row is a sum over earlier
+    cells of the first level, earlier cells of the second within its own, and so on, and
+    over the rows of the last cell, so that no task orders a whole group. Group columns
+    and levels must not be null.
+    """
+    keys, before = list(group), F.lit(0).cast("long")
+    made = []
+    for k, (level, c) in enumerate(levels.items()):
+        t = t.withColumn(level, c)
+        cells = t.groupBy(*keys, level).agg(F.sum(weight).alias("_n"))
+        earlier = Window.partitionBy(*keys).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+        cells = scratch.keep(cells.select(*keys, level, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(f"_before{k}")))
+        keys.append(level)
+        made.append(f"_before{k}")
+        t = t.join(cells, keys)
+        before = before + F.col(f"_before{k}")
+    own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return t.withColumn(name, (before + F.coalesce(F.sum(weight).over(own), F.lit(0))).cast("long")).drop(*made, *levels)

@@ -6,7 +6,8 @@
    20 of maxima, each over other permutations). A pair at the threshold shares a band
    with probability 1 - (1 - 0.75^5)^40 = 0.99998, a pair at 0.9 with 1 - 1e-15.
 2. Copies. Documents with the same set (128-bit key) are one representative from here
-   on; grouping by key pre-aggregates, so large groups of copies are cheap.
+   on, a node with a number of its own; grouping by key pre-aggregates, so large groups
+   of copies are cheap. Sets that share a doc_id are linked.
 3. Buckets. Representatives that share a band are candidates. Round by round each bucket
    gives the pairs of one centre (at first the member with most copies) with all members
    that are not yet in its component; near-copies of one text join in a round or two, so
@@ -19,13 +20,14 @@
    then by full sets, all pairs of two blocks as one matrix product. Only one link
    between two components leaves a block pair, so no link is lost and none is repeated.
 4. Confirmation. Links are tested on full sets: 100 * |A n B| >= 75 * |A u B|.
-5. Components by alternating stars; the smallest doc_id names its component.
+5. Components by alternating stars over nodes; the smallest doc_id names each.
 
 Every stage is written to the shared folder. Only counts come to the driver.
 
 Defined results: null and blank texts have an empty set and stand alone; a null doc_id
-is never linked and has a null component_id, but is kept; rows that repeat a doc_id
-are the same node; empty tables give no rows; other columns are ignored.
+is never linked and has a null component_id, but is kept; a doc_id that repeats with
+other texts links all of them, whatever the order of the rows; texts of any length are
+taken whole; empty tables give no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -47,11 +49,11 @@ PERMUTATIONS, ROWS = 100, 5
 ROUNDS, BLOCK = 2, 512
 BITS = 2 * PERMUTATIONS
 
-_SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>"
+_SIGNATURE = "n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>"
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for first, texts in bs.pieces(batch.column(1)):
+def _sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    for first, texts in bs.pieces(texts):
         yield first, bs.shingle_sets(*bs.split(texts), SHINGLE)
 
 
@@ -80,23 +82,28 @@ def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bs.mix(rows.sum(axis=1) + np.arange(len(rows), dtype=np.uint64)), np.packbits(bits).view(np.uint64)
 
 
+def _keys(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """128 bits of each set, whatever the order of its shingles."""
+    salts = np.uint64(0), np.uint64(0x5851F42D4C957F2D)
+    return tuple(pa.array(np.array([bs.mix(s ^ salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for salt in salts)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, sets in _sets(batch):
+        for first, sets in _sets(batch.column(1)):
             ids = batch.column(0).slice(first, len(sets))
-            k1 = np.array([bs.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            k2 = np.array([bs.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            k1, k2 = _keys(sets)
             both = [signature(s) if len(s) else (s, s) for s in sets]
             bands, bits = _lists([x for x, _ in both]), _lists([x for _, x in both])
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, n, pa.array(k1), pa.array(k2), bands, bits], ["doc_id", "n_shingles", "k1", "k2", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([ids, n, k1, k2, bands, bits], ["doc_id", "n_shingles", "k1", "k2", "bands", "bits"])
     bs.trim()
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, sets in _sets(batch):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), _lists(sets)], ["id", "s"])
+        for _, sets in _sets(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([*_keys(sets), _lists(sets)], ["k1", "k2", "s"])
     bs.trim()
 
 
@@ -115,9 +122,10 @@ def _likely(m: str, m2: str) -> Column:
     return (100 * low >= PERCENT * high) & (4 * apart <= BITS)
 
 
-def _meetings(t: DataFrame) -> DataFrame:
+def _meetings(t: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of (band, rep, ...) once for every pair of blocks (i, j) of their bucket that they meet in."""
-    sizes = t.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    t = scratch.keep(t)
+    sizes = scratch.keep(t.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     t = t.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(9)), "blocks").cast("int"))
     t = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return t.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "blocks")
@@ -167,57 +175,78 @@ def _linked(t: pa.Table) -> pa.Table:
     return pa.table({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y])})
 
 
+def _shared_ids(linked: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the sets of a doc_id that has several."""
+    own = F.struct("k1", "k2")
+    several = linked.groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low != high").select("doc_id")
+    at = linked.join(several, "doc_id").select("doc_id", "k1", "k2").distinct().join(reps.select("k1", "k2", "node"), ["k1", "k2"])
+    low = at.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return at.join(low, "doc_id").where("node != b").select(F.col("node").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+    """doc_id, n_shingles, component_id, kept for every row of (doc_id, text), whatever the type of doc_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signatures = scratch.keep(docs.mapInArrow(_signatures, _SIGNATURE))
+    docs = docs.select("doc_id", "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    signatures = scratch.keep(docs.mapInArrow(_signatures, f"doc_id {id_type}, {_SIGNATURE}"))
 
     linked = signatures.where("n_shingles > 0 and doc_id is not null")
-    reps = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "bits")))
-    reps = scratch.keep(reps)
-    rows = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
-    members = rows.join(buckets, "band").join(reps.select("rep", F.col("n_shingles").alias("n"), "bits", "copies"), "rep")
-    members = scratch.keep(members.select("band", F.struct("rep", "n", "bits", "copies").alias("m")))
-    ids = members.select(F.col("m.rep").alias("doc_id")).distinct()
-    sets = scratch.keep(docs.join(ids, "doc_id").mapInArrow(_full_sets, "id long, s array<long>").dropDuplicates(["id"]))
+    reps = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "bits")))
+    reps = scratch.keep(reps.withColumn("node", F.monotonically_increasing_id()))
+    # tables that are joined to rows of hot keys are written first: the join is then one of
+    # two plain shuffles, which skew handling can split
+    rows = reps.select("node", F.explode("bands").alias("band"))
+    buckets = scratch.keep(rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"))
+    members = rows.join(buckets, "band").join(reps.select("node", F.col("n_shingles").alias("n"), "bits", "copies", "k1"), "node")
+    members = scratch.keep(members.select("band", F.struct(F.col("node").alias("rep"), "n", "bits", "copies", "k1").alias("m")))
+    chosen = members.select(F.col("m.rep").alias("node")).distinct().join(reps.select("node", "least", "k1", "k2"), "node")
+    chosen = scratch.keep(chosen.select(F.col("node").alias("id"), F.col("least").alias("doc_id"), "k1", "k2"))
+    # a doc_id may have other texts too: a set is known by its key
+    sets = docs.join(chosen.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(_full_sets, "k1 long, k2 long, s array<long>")
+    sets = scratch.keep(sets.join(chosen.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "s").dropDuplicates(["id"]))
 
     links = labels = tested = None
 
+    def linked_by(found: DataFrame) -> None:
+        nonlocal links, labels
+        links = scratch.keep(found if links is None else links.union(found))
+        labels = scratch.keep(components(links, scratch))
+
     def in_components() -> DataFrame:
         if labels is None:
             return members.withColumn("c", F.col("m.rep"))
         return members.join(labels, F.col("m.rep") == F.col("node"), "left").select("band", "m", F.coalesce("component", "m.rep").alias("c"))
 
+    same_id = scratch.keep(_shared_ids(linked, reps))
+    if not same_id.isEmpty():
+        linked_by(same_id)
     for k in range(ROUNDS):
         here = scratch.keep(in_components())
-        first = F.struct(-F.col("m.copies") if k == 0 else F.lit(0), F.xxhash64("m.rep", F.lit(k)))
+        first = F.struct(-F.col("m.copies") if k == 0 else F.lit(0), F.xxhash64("m.k1", F.lit(k)))
         open_ = here.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min_by(F.struct("m", "c"), first).alias("x")).where("c1 < c2")
-        centre = open_.select("band", F.col("x.m").alias("m2"), F.col("x.c").alias("c2"))
+        centre = scratch.keep(open_.select("band", F.col("x.m").alias("m2"), F.col("x.c").alias("c2")))
         new = here.join(centre, (here["band"] == centre["band"]) & (F.col("c") != F.col("c2")) & _likely("m", "m2"))
         new = new.select(F.least("m.rep", "m2.rep").alias("a"), F.greatest("m.rep", "m2.rep").alias("b")).distinct()
         new = scratch.keep(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
         tested = new if tested is None else tested.union(new)
         if not new.isEmpty():
-            found = _confirmed(new, sets)
-            links = scratch.keep(found if links is None else links.union(found))
-            labels = scratch.keep(components(links, scratch))
+            linked_by(_confirmed(new, sets))
 
-    here = in_components().select("band", "m.rep", "m.n", "m.bits", "c")
-    open_ = here.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("band")
-    rest = _meetings(here.join(open_, "band")).groupBy("band", "i", "j").applyInArrow(_hopeful, "band long, rep long, n long, c long")
+    here = scratch.keep(in_components().select("band", "m.rep", "m.n", "m.bits", "c"))
+    open_ = scratch.keep(here.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("band"))
+    rest = _meetings(here.join(open_, "band"), scratch).groupBy("band", "i", "j").applyInArrow(_hopeful, "band long, rep long, n long, c long")
     rest = scratch.keep(rest.distinct())
     if not rest.isEmpty():
-        rest = _meetings(rest).join(sets.withColumnRenamed("id", "rep"), "rep")
-        found = rest.groupBy("band", "i", "j").applyInArrow(_linked, "a long, b long").distinct()
-        links = scratch.keep(found if links is None else links.union(found))
-        labels = scratch.keep(components(links, scratch))
+        rest = _meetings(rest, scratch).join(sets.withColumnRenamed("id", "rep"), "rep")
+        linked_by(rest.groupBy("band", "i", "j").applyInArrow(_linked, "a long, b long").distinct())
     if labels is None:
-        labels = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+        labels = reps.select("node", F.col("node").alias("component")).limit(0)
 
-    top = reps.join(labels, reps["rep"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    top = scratch.keep(reps.join(labels, "node", "left").select("k1", "k2", "least", F.coalesce("component", "node").alias("c")))
+    names = top.groupBy("c").agg(F.min("least").alias("component_id"))
+    top = scratch.keep(top.join(names, "c").select("k1", "k2", "component_id"))
     out = signatures.select("doc_id", "n_shingles", "k1", "k2").join(top, ["k1", "k2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))

@@ -82,17 +82,21 @@ SELECT doc_id, item_id, round(max(similarity), 6) AS similarity FROM v WHERE sim
 def quote_links() -> str:
     level = "length(regexp_replace(regexp_extract(x, '^[ \\t]*(?:>[ \\t]?)+'), '[^>]', '', 'g'))"
     norm = "trim(regexp_replace(lower(regexp_replace(x, '^[ \\t]*(?:>[ \\t]?)+', '')), '\\s+', ' ', 'g'))"
+    known = " || ".join(f"CASE WHEN {c} IS NULL THEN '0' ELSE '1' END" for c in ("conv_id", "turn", "role"))
     return f"""
-WITH RECURSIVE m AS (SELECT md5(concat_ws('|', coalesce(conv_id::VARCHAR, ''), coalesce(turn::VARCHAR, ''), coalesce(role, ''), text)) AS id, * FROM (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)),
+WITH RECURSIVE m AS (SELECT md5(concat_ws('|', {known}, coalesce(conv_id::VARCHAR, ''), coalesce(turn::VARCHAR, ''), coalesce(role, ''), text)) AS id, * FROM (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)),
 l AS (SELECT id, conv_id, turn, k, x, {level} AS level, {norm} AS norm FROM (SELECT id, conv_id, turn, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS x FROM (SELECT *, regexp_split_to_array(text, '\\r?\\n') AS ls FROM m))),
-f AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY id ORDER BY k) > 0, false) AS nq FROM l),
-own AS (SELECT * FROM f WHERE level = 0 AND NOT (regexp_matches(x, '(?i)^.*\\bwrote:[ \\t]*$') AND nq)),
-body AS (SELECT id, trim(regexp_replace(string_agg(x, chr(10) ORDER BY k), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) AS body FROM own GROUP BY id),
-asks AS (SELECT id, conv_id, turn, level, norm, count(*) AS n FROM l WHERE level > 0 AND norm <> '' GROUP BY ALL),
+f AS (SELECT *, level = 0 AND regexp_matches(x, '(?i)^.*\\bwrote:[ \\t]*$') AND coalesce(lead(level) OVER (PARTITION BY id ORDER BY k) > 0, false) AS announces FROM l),
+body AS (SELECT id, trim(regexp_replace(string_agg(x, chr(10) ORDER BY k), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) AS body FROM f WHERE level = 0 AND NOT announces GROUP BY id),
+g AS (SELECT id, conv_id, turn, k, level, CASE WHEN announces THEN '' ELSE norm END AS norm FROM f),
+s AS (SELECT *, sum(CASE WHEN norm <> '' AND coalesce(before, '') <> '' AND above = level THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY k) AS para FROM (SELECT *, lag(norm) OVER w AS before, lag(level) OVER w AS above FROM g WINDOW w AS (PARTITION BY id ORDER BY k))),
+p1 AS (SELECT id, conv_id, turn, level, para, string_agg(norm, ' ' ORDER BY k) AS t FROM s WHERE norm <> '' GROUP BY ALL),
+ps AS (SELECT id, conv_id, turn, level, unnest(string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))) AS norm FROM p1),
+asks AS (SELECT id, conv_id, turn, level, norm, count(*) AS n FROM ps WHERE level > 0 GROUP BY ALL),
 nq AS (SELECT id, sum(n)::BIGINT AS n_quoted FROM asks GROUP BY id),
-says AS (SELECT DISTINCT id, conv_id, turn, norm FROM own WHERE norm <> ''),
-found AS (SELECT a.*, s.id AS said_id, s.turn AS said_turn FROM asks a JOIN says s ON a.conv_id IS NOT DISTINCT FROM s.conv_id AND a.norm = s.norm AND s.turn < a.turn),
-linked AS (SELECT id, sum(n)::BIGINT AS n_linked FROM (SELECT DISTINCT id, level, norm, n FROM found) GROUP BY id),
+says AS (SELECT conv_id, turn, norm, max(id) AS id FROM ps WHERE level = 0 AND turn IS NOT NULL GROUP BY ALL),
+found AS (SELECT a.id, a.level, a.norm, a.n, max(s.turn) AS said_turn, arg_max(s.id, s.turn) AS said_id FROM asks a JOIN says s ON a.conv_id IS NOT DISTINCT FROM s.conv_id AND a.norm = s.norm AND s.turn < a.turn GROUP BY ALL),
+linked AS (SELECT id, sum(n)::BIGINT AS n_linked FROM found GROUP BY id),
 best AS (SELECT id, said_id, said_turn FROM (SELECT id, said_id, said_turn, row_number() OVER (PARTITION BY id ORDER BY sum(n) DESC, said_turn DESC, said_id DESC) AS r FROM found WHERE level = 1 GROUP BY id, said_id, said_turn) WHERE r = 1),
 p AS (SELECT m.id, m.conv_id, [(coalesce(turn, -9000000000000000000), m.id)] AS path FROM m WHERE id NOT IN (SELECT id FROM best)
   UNION ALL SELECT m.id, m.conv_id, list_append(p.path, (coalesce(m.turn, -9000000000000000000), m.id)) FROM p JOIN best ON best.said_id = p.id JOIN m ON m.id = best.id)

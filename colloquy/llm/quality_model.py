@@ -11,13 +11,15 @@ a document is scored in time linear in its features.
 
 Training takes the labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most
 TRAIN_ROWS of them, the first in the order of a hash (a documented bound: more rows do
-not change the model much). One task fits the model by Adagrad with balanced classes;
-only the model (about 0.6 MB, whatever the corpus) passes through the driver.
+not change the model much). Their features are made by the tasks that read the
+documents; one task fits the model to these by Adagrad with balanced classes; only the
+model (about 0.6 MB, whatever the corpus) passes through the driver.
 
 Defined results: null text counts as empty and gets a score like any other; a null
-doc_id is scored and not held out; without labels of both classes every score is 0.5;
-repeated rows and labels repeat or are taken once (the larger label); other columns,
-lang and source among them, are ignored.
+n_chars counts as 0; a null doc_id is scored and not held out; without labels of both
+classes every score is 0.5; repeated rows are scored each and train once, repeated labels
+count once (the larger one); very long texts are scored whole; empty tables give no rows;
+other columns, whatever their names, lang and source among them, are ignored.
 """
 
 from __future__ import annotations
@@ -127,46 +129,65 @@ class Machine:
         return 1 / (1 + np.exp(-self.margin(*self.rows(doc, bucket, stats, len(texts)))[0]))
 
 
+def _slim(docs: DataFrame, *more: str) -> DataFrame:
+    """What the model reads; a table without n_chars has it null."""
+    n_chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    return docs.select("doc_id", "text", n_chars.cast("double").alias("n_chars"), *more)
+
+
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    n_chars = np.array([x or 0 for x in batch.column(2).to_pylist()], float)
+    n_chars = np.maximum(np.nan_to_num(np.array(batch.column(2).to_pylist(), float)), 0)
     for first, texts in bs.pieces(batch.column(1)):
         yield first, texts, n_chars[first : first + len(texts)]
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts, y, key, n = [], [], [], 0
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled documents as features: bounded rows, whatever the texts' lengths."""
     for batch in batches:
-        for _, texts, n_chars in _pieces(batch):
+        for first, texts, n_chars in _pieces(batch):
             doc, bucket, stats = features(texts, n_chars)
-            parts.append((doc + n, bucket, stats))
-            n += len(texts)
-        y += batch.column(3).to_pylist()
-        key += batch.column(4).to_pylist()
-    y = np.array(y, float)
+            ends = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(bucket)), pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * STATS), pa.array(stats.ravel()))
+            yield pa.RecordBatch.from_arrays([*lists, *(batch.column(k).slice(first, len(texts)) for k in (3, 4))], ["buckets", "stats", "y", "key"])
+    bs.trim()
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [r for batch in batches for r in batch.to_pylist()]
+    held.sort(key=lambda r: r["key"])  # rows may arrive in any order
+    y = np.array([r["y"] for r in held], float)
     if len(set(y)) < 2:
         return
-    doc, bucket, stats = (np.concatenate(p) for p in zip(*parts, strict=True))
-    # rows may arrive in any order: number them by their hash
-    place = np.empty(n, np.int64)
-    order = np.argsort(np.array(key, np.int64), kind="stable")
-    place[order] = np.arange(n)
-    doc, stats, y = place[doc], stats[order], y[order]
-    by = np.lexsort((bucket, doc))
+    n = len(held)
+    doc = np.repeat(np.arange(n), [len(r["buckets"]) for r in held])
+    bucket = np.concatenate([np.array(r["buckets"], np.int64) for r in held])
+    stats = np.array([r["stats"] for r in held])
     machine = Machine(stats.mean(axis=0), stats.std(axis=0) + 1e-6)
-    machine.fit(*machine.rows(doc[by], bucket[by], stats, n), y)
+    machine.fit(*machine.rows(doc, bucket, stats, n), y)
     model = pickle.dumps((machine.mean, machine.deviation, machine.bias, machine.w.astype(np.float32), machine.v.astype(np.float32)))
     yield pa.RecordBatch.from_arrays([pa.array([model])], ["model"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
-    """The machine fitted to at most ``rows`` labelled documents outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(buckets, stats, y, key) of at most ``rows`` labelled documents outside the held-out fold.
+
+    Features are made where the documents are read; only they are gathered in one partition.
+    Of rows that repeat a doc_id one counts, the first in the order of a hash of its text.
+    """
     ship(docs.sparkSession)
     own = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("y"))
     own = own.where(F.col("y").isin(0, 1) & (F.crc32(F.col("label_id").cast("string").cast("binary")) % FOLDS != 0))
     own = own.groupBy("label_id").agg(F.max("y").alias("y")).withColumn("key", F.xxhash64("label_id", F.lit(7)))
     own = own.orderBy("key", "label_id").limit(rows)
-    t = docs.join(F.broadcast(own), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "n_chars", "y", "key")
-    found = t.coalesce(1).mapInArrow(_fit, "model binary").collect()
+    t = _slim(docs).join(F.broadcast(own), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "n_chars", "y", "key")
+    t = t.mapInArrow(_featured, "buckets array<long>, stats array<double>, y int, key long")
+    one = F.min(F.struct(F.xxhash64("buckets", "stats").alias("at"), "buckets", "stats", "y")).alias("r")
+    return t.groupBy("key").agg(one).select("r.buckets", "r.stats", "r.y", "key").repartition(1)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
+    """The machine fitted to the training rows; null where they do not hold both classes."""
+    found = training_rows(docs, labels, rows).mapInArrow(_fit, "model binary").collect()
     if not found:
         return None
     mean, deviation, bias, w, v = pickle.loads(found[0].model)
@@ -185,7 +206,7 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
                 s = model.value.scores(texts, n_chars) if model.value else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(s)], ["doc_id", "score"])
 
-    t = docs.select("doc_id", "text", "n_chars").mapInArrow(run, "doc_id long, score double")
+    t = _slim(docs).mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     return t.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -7,7 +7,7 @@ corpus is first cut to what can repeat, without losing a repeat:
 1. Anchors. Every 200-byte window holds WINDOW = 161 strings of 40 bytes; the one with
    the smallest hash, leftmost of equals, is its anchor. Equal windows have equal
    anchors, so windows are compared only under a common anchor. Neighbouring windows
-   share anchors: a row (anchor, context, doc_id, first, n) stands for n windows, its
+   share anchors: a row (anchor, context, row, first, n) stands for n windows, its
    context being all bytes that they cover. That is about 1.2 rows per 100 bytes.
 2. Contexts. Anchors that occur once are dropped. Contexts that are equal as a whole
    repeat all their windows and are one from here on (pre-aggregated by key).
@@ -20,13 +20,15 @@ corpus is first cut to what can repeat, without losing a repeat:
 4. Removal. Repeated windows go back to all their occurrences, and each document drops
    the union of its windows.
 
-Anchors whose distinct contexts exceed BLOCK_BYTES are spread over several blocks by
-context. Their windows that repeat within a block are found there; the others meet once
-more under the hash of the whole window, which pre-aggregates. Hashes have 64 bits.
+Anchors whose distinct contexts exceed BLOCK_BYTES fit no block: one task would hold
+them. Their windows are grouped instead, as bytes, after a hash has left out those that
+occur once; the result is the same. Contexts that agree in the anchor's 64 bits and 128
+bits of their own are taken as equal.
 
 Defined results: null text is empty; documents of fewer than 200 bytes lose bytes to
-none; rows that repeat a doc_id are separate documents (a row number is added); empty
-tables give no rows; other columns are ignored.
+none; very long texts are cut in steps of STEP windows, so the arrays stay small; rows
+that repeat a doc_id are separate documents (a written row number tells them apart);
+empty tables give no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -46,11 +48,14 @@ from .tokens import ragged
 LENGTH = 200
 GRAM = 40
 WINDOW = LENGTH - GRAM + 1
-#: Anchors with more bytes of distinct contexts than BLOCK_BYTES are spread; smaller ones share blocks of BATCH_BYTES.
+#: Anchors with more bytes of distinct contexts than BLOCK_BYTES are grouped by window; smaller ones share blocks of BATCH_BYTES.
 BLOCK_BYTES, BATCH_BYTES = 2 << 20, 1 << 18
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BYTE = bs.seeds(256, 31)
+#: Windows of a text that are worked on at once.
+STEP = 1 << 20
+#: Odd bases, and random numbers for bytes, of two independent hashes.
+_BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_BYTES = bs.seeds(256, 31), bs.seeds(256, 32)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -67,72 +72,74 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Rolling:
     """Hashes of any substring of a byte array: differences of prefix sums, shifted to place 0."""
 
-    _n, _up, _down = 0, None, None
+    _held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, buf: np.ndarray):
-        if Rolling._n < len(buf) + 1:
+    def __init__(self, buf: np.ndarray, which: int = 0):
+        up, down = Rolling._held.get(which, (None, None))
+        if up is None or len(up) < len(buf) + 1:
             n = 1 << int(len(buf) + 1).bit_length()
             with np.errstate(over="ignore"):
-                Rolling._up, Rolling._down = _powers(int(_BASE), n), _powers(pow(int(_BASE), -1, 1 << 64), n)
-            Rolling._n = n
+                up, down = _powers(_BASES[which], n), _powers(pow(_BASES[which], -1, 1 << 64), n)
+            Rolling._held[which] = up, down
+        self.down = down
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * Rolling._up[: len(buf)], out=self.sums[1:])
+        np.cumsum(_BYTES[which][buf] * up[: len(buf)], out=self.sums[1:])
 
     def every(self, width: int) -> np.ndarray:
         h = self.sums[width:] - self.sums[:-width]
-        h *= Rolling._down[: len(h)]
+        h *= self.down[: len(h)]
         return bs.mix(h)
 
     def of(self, first: np.ndarray, width: np.ndarray) -> np.ndarray:
-        return bs.mix((self.sums[first + width] - self.sums[first]) * Rolling._down[first] + bs.mix(width.astype(np.uint64)))
-
-
-def anchors(buf: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of one text: anchor hash, context hash, first window, windows; one entry a run of windows."""
-    rolling = Rolling(buf)
-    h = rolling.every(GRAM)
-    low = np.uint64((1 << 24) - 1)
-    out = []
-    for a in range(0, len(buf) - LENGTH + 1, 1 << 22):  # windows a .. b, positions in 24 bits
-        b = min(a + (1 << 22), len(buf) - LENGTH + 1)
-        key = (h[a : b + WINDOW - 1] & ~low) | np.arange(b + WINDOW - 1 - a, dtype=np.uint64)
+        return bs.mix((self.sums[first + width] - self.sums[first]) * self.down[first] + bs.mix(width.astype(np.uint64)))
+
+
+def anchors(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of STEP windows of a text at a time: anchor hash, two context hashes, first window, windows; one entry a run of windows."""
+    whole, low = np.frombuffer(text, np.uint8), np.uint64((1 << 24) - 1)
+    for a in range(0, len(whole) - LENGTH + 1, STEP):
+        n_windows = min(STEP, len(whole) - LENGTH + 1 - a)
+        buf = whole[a : a + n_windows + LENGTH - 1]
+        rolling = Rolling(buf)
+        h = rolling.every(GRAM)
+        key = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # positions in 24 bits
         width = 1
         while 2 * width <= WINDOW:
             key = np.minimum(key[:-width], key[width:])
             width *= 2
-        key = np.minimum(key[: b - a], key[WINDOW - width : WINDOW - width + b - a])
+        key = np.minimum(key[:n_windows], key[WINDOW - width : WINDOW - width + n_windows])
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        n = np.diff(np.append(first, b - a))
+        n = np.diff(np.append(first, n_windows))
         at = (key[first] & low).astype(np.int64)
         # equal contexts have equal windows, and so their anchor at the same place
-        context = rolling.of(a + first, n + LENGTH - 1)
-        out.append((h[a + at], context, a + first, n))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        contexts = [r.of(first, n + LENGTH - 1) for r in (rolling, Rolling(buf, 1))]
+        yield h[at], *contexts, a + first, n
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "context", "row", "first", "n"]
+    names = ["anchor", "context", "context2", "row", "first", "n"]
     for batch in batches:
         rows = batch.column(0).to_pylist()
         for first, texts in bs.pieces(batch.column(1)):
-            held = [(*anchors(np.frombuffer(t, np.uint8)), rows[first + k]) for k, t in enumerate(texts) if len(t) >= LENGTH]
+            held = [(*x, rows[first + k]) for k, t in enumerate(texts) for x in anchors(t)]
             if held:
-                x = [np.concatenate(c) for c in zip(*(h[:4] for h in held), strict=True)]
-                row = np.repeat(np.array([h[4] for h in held], np.int64), [len(h[0]) for h in held])
-                cols = [x[0].view(np.int64), x[1].view(np.int64), row, x[2].astype(np.int32), x[3].astype(np.int32)]
+                x = [np.concatenate(c) for c in zip(*(h[:5] for h in held), strict=True)]
+                row = np.repeat(np.array([h[5] for h in held], np.int64), [len(h[0]) for h in held])
+                cols = [*(c.view(np.int64) for c in x[:3]), row, *(c.astype(np.int32) for c in x[3:])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
     bs.trim()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Context bytes of (text, [(anchor, context, first, n, salt)])."""
+    """Context bytes of (text, [(anchor, context, first, n, hot)])."""
+    schema = pa.schema([("anchor", pa.int64()), ("hot", pa.bool_()), ("context", pa.int64()), ("context2", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
     for batch in batches:
-        for part in batch.to_pylist():
-            text = part["text"].encode()
-            yield pa.RecordBatch.from_pylist(
-                [{"anchor": w["anchor"], "salt": w["salt"], "blocks": w["blocks"], "context": w["context"], "n": w["n"], "bytes": text[w["first"] : w["first"] + w["n"] + LENGTH - 1]} for w in part["wanted"]],
-                schema=pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("blocks", pa.int32()), ("context", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())]),
-            )
+        texts = batch.column(0).cast(pa.binary())
+        for k in range(len(batch)):
+            text, wanted = texts[k].as_py(), batch.column(1)[k].values
+            for a in range(0, len(wanted), 10_000):
+                part = wanted.slice(a, 10_000).to_pylist()
+                yield pa.RecordBatch.from_pylist([{**w, "bytes": text[w["first"] : w["first"] + w["n"] + LENGTH - 1]} for w in part], schema=schema)
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
@@ -222,27 +229,27 @@ def _runs(flags: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-_FOUND = "anchor long, context long, runs array<struct<a:int,b:int>>"
-_FOUND_ARROW = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+_RUNS = "runs array<struct<a:int,b:int>>"
+_FOUND = f"anchor long, context long, context2 long, {_RUNS}"
+_FOUND_ARROW = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("context2", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
 
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole (anchor, salt) groups; the rows come sorted by group."""
+    """Blocks of whole anchors; the rows come sorted by anchor."""
 
     def done(rows):
         flags = repeated_windows([r["bytes"] for r in rows], [r["n"] for r in rows])
-        found = [{"anchor": r["anchor"], "context": r["context"], "runs": _runs(f)} for r, f in zip(rows, flags, strict=True) if f.any()]
+        found = [{"anchor": r["anchor"], "context": r["context"], "context2": r["context2"], "runs": _runs(f)} for r, f in zip(rows, flags, strict=True) if f.any()]
         return pa.RecordBatch.from_pylist(found, schema=_FOUND_ARROW)
 
     held, group, size = [], None, 0
     for batch in batches:
         for r in batch.to_pylist():
-            own = (r["anchor"], r["salt"])
-            if own != group:
+            if r["anchor"] != group:
                 if size > BATCH_BYTES:
                     yield done(held)
                     held, size = [], 0
-                group = own
+                group = r["anchor"]
             held.append(r)
             size += len(r["bytes"])
     if held:
@@ -254,59 +261,85 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for r in batch.to_pylist():
             n = r["n"]
             h = Rolling(np.frombuffer(r["bytes"], np.uint8)).every(LENGTH)[:n].view(np.int64)
-            cols = [np.full(n, r["anchor"]), np.full(n, r["context"]), np.arange(n, dtype=np.int32), h]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "context", "p", "window"])
+            cols = [*(np.full(n, r[c]) for c in ("anchor", "context", "context2")), np.arange(n, dtype=np.int32), h]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "context", "context2", "p", "window"])
+
+
+def _spread(hot: DataFrame, scratch: Scratch) -> DataFrame:
+    """Repeated windows among the distinct contexts of anchors too large for a block.
+
+    Windows meet under a hash of themselves, which deals them evenly and pre-aggregates;
+    of those whose hash repeats the bytes are grouped, and these decide.
+    """
+    keys = ["anchor", "context", "context2"]
+    windows = scratch.keep(hot.mapInArrow(_window_hashes, "anchor long, context long, context2 long, p int, window long"))
+    often = scratch.keep(windows.groupBy("window").agg(F.count("*").alias("uses")).where("uses > 1").select("window"))
+    likely = windows.join(often, "window").groupBy(*keys).agg(F.collect_list("p").alias("ps"))
+    t = hot.join(likely, keys).select(*keys, "bytes", F.explode("ps").alias("p"))
+    t = scratch.keep(t.select(*keys, "p", F.substring("bytes", F.col("p") + 1, F.lit(LENGTH)).alias("string")))
+    same = scratch.keep(t.groupBy("string").agg(F.count("*").alias("uses")).where("uses > 1").select("string"))
+    one = F.struct(F.col("p").alias("a"), (F.col("p") + 1).alias("b"))
+    return t.join(same, "string").groupBy(*keys).agg(F.collect_list(one).alias("runs"))
+
+
+def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, str]:
+    """Bytes and maximal runs removed, and the hash of what stays, of a text without its windows [start, end)."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order].astype(np.int64), np.maximum.accumulate(ends[order].astype(np.int64)) + LENGTH - 1
+    new = np.flatnonzero(np.concatenate(([True], starts[1:] > ends[:-1]))) if len(starts) else np.zeros(0, int)
+    a, b = starts[new], ends[np.append(new[1:], len(starts)) - 1] if len(starts) else ends
+    kept, at = hashlib.sha256(), 0
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        kept.update(memoryview(text)[at:x])
+        at = y
+    kept.update(memoryview(text)[at:])
+    return int((b - a).sum()), len(a), kept.hexdigest()
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = np.zeros(0, np.int32)
     for batch in batches:
         spans = batch.column(2)
         for first, texts in bs.pieces(batch.column(1)):
             rows = []
             for k, t in enumerate(texts):
                 own = spans[first + k].values
-                edge = np.zeros(len(t) + 1, np.int32)
-                if own is not None:
-                    np.add.at(edge, own.field(0).to_numpy(), 1)
-                    np.add.at(edge, own.field(1).to_numpy() + (LENGTH - 1), -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = np.frombuffer(t, np.uint8)[~gone].tobytes() if own is not None else t
-                n_spans = np.count_nonzero(gone & ~np.concatenate(([False], gone[:-1]))) if len(t) else 0
-                rows.append((len(t), int(gone.sum()), int(n_spans), hashlib.sha256(kept).hexdigest()))
+                rows.append((len(t), *(_kept(t, none, none) if own is None else _kept(t, own.field(0).to_numpy(), own.field(1).to_numpy()))))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
     bs.trim()
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, spans) of documents (row, text): windows [a, b) of starts that repeat, by row."""
-    rows = scratch.keep(docs.select("row", "text").mapInArrow(_anchor_rows, "anchor long, context long, row long, first int, n int"))
-    often = rows.groupBy("anchor").agg(F.count("*").alias("uses")).where("uses > 1").select("anchor")
+    """(row, spans) of documents (row, text): windows [a, b) of starts that repeat, by row.
+
+    What is joined to rows of common anchors or contexts is written before, so that skew
+    handling can split the join.
+    """
+    keys = ["anchor", "context", "context2"]
+    rows = scratch.keep(docs.select("row", "text").mapInArrow(_anchor_rows, "anchor long, context long, context2 long, row long, first int, n int"))
+    often = scratch.keep(rows.groupBy("anchor").agg(F.count("*").alias("uses")).where("uses > 1").select("anchor"))
     shared = scratch.keep(rows.join(often, "anchor"))
     scratch.drop(rows)
 
-    contexts = shared.groupBy("anchor", "context").agg(F.count("*").alias("uses"), F.min(F.struct("row", "first", "n")).alias("at"))
+    contexts = shared.groupBy(*keys).agg(F.count("*").alias("uses"), F.min(F.struct("row", "first", "n")).alias("at"))
     contexts = scratch.keep(contexts)
     size = F.col("at.n") + LENGTH
     varied = contexts.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(size).alias("size")).where("k > 1")
-    varied = varied.select("anchor", F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("blocks"))
-    wanted = contexts.join(varied, "anchor").select("at.row", F.struct("anchor", F.pmod("context", "blocks").cast("int").alias("salt"), "blocks", "context", "at.first", "at.n").alias("w"))
+    varied = scratch.keep(varied.select("anchor", (F.col("size") > BLOCK_BYTES).alias("hot")))
+    wanted = contexts.join(varied, "anchor").select("at.row", F.struct("anchor", "hot", "context", "context2", "at.first", "at.n").alias("w"))
     wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    cut = wanted.join(docs, "row").select("text", "wanted").mapInArrow(_cut, "anchor long, salt int, blocks int, context long, n int, bytes binary")
+    cut = wanted.join(docs, "row").select("text", "wanted").mapInArrow(_cut, "anchor long, hot boolean, context long, context2 long, n int, bytes binary")
     cut = scratch.keep(cut)
-    found = cut.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_expanded, _FOUND)
-    hot = cut.where("blocks > 1")
+    found = cut.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_expanded, _FOUND)
+    hot = cut.where("hot")
     if not hot.isEmpty():
-        windows = scratch.keep(hot.mapInArrow(_window_hashes, "anchor long, context long, p int, window long"))
-        again = windows.groupBy("window").agg(F.count("*").alias("uses")).where("uses > 1").select("window")
-        one = F.struct(F.col("p").alias("a"), (F.col("p") + 1).alias("b"))
-        more = windows.join(again, "window").groupBy("anchor", "context").agg(F.collect_list(one).alias("more"))
-        found = found.join(more, ["anchor", "context"], "full").select("anchor", "context", F.concat(F.coalesce("runs", F.array()), F.coalesce("more", F.array())).alias("runs"))
+        found = found.unionByName(_spread(hot, scratch))
 
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("at.n").alias("b")))
-    marks = contexts.join(scratch.keep(found), ["anchor", "context"], "left")
-    marks = marks.select("anchor", "context", F.when(F.col("uses") > 1, whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
-    hits = shared.join(marks, ["anchor", "context"]).select("row", "first", F.explode("runs").alias("r"))
+    marks = contexts.join(scratch.keep(found), keys, "left")
+    marks = marks.select(*keys, F.when(F.col("uses") > 1, whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
+    hits = shared.join(scratch.keep(marks), keys).select("row", "first", F.explode("runs").alias("r"))
     span = F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b")).alias("b"))
     return hits.groupBy("row").agg(F.collect_list(span).alias("spans"))
 
@@ -315,7 +348,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     scratch = Scratch(docs.sparkSession, "suffix")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    docs = scratch.keep(docs.withColumn("row", F.monotonically_increasing_id()))
     spans = repeated_spans(docs, scratch)
     t = docs.join(spans, "row", "left").select("doc_id", "text", "spans")
     return t.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
