@@ -14,13 +14,14 @@ def _list(items) -> str:
 
 
 def quality_rules() -> str:
-    common = "CASE lang " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in qr.COMMON.items()) + f" ELSE {_list(qr.COMMON[qr.OTHER])} END"
+    common = "CASE lang " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in qr.COMMON.items()) + " ELSE []::VARCHAR[] END"
     classes = ", ".join(f"length(regexp_replace(text, '[^{p[1:-1]}]+', '', 'g')) AS n_{k}" for k, p in qr.CLASSES.items())
     left = " - ".join(f"n_{k}" for k in list(qr.CLASSES)[1:])
     counts = ", ".join([*(f"n_{k}" for k in qr.CLASSES), "n - word_chars", f"word_chars - n_lower - ({left.replace(' - ', ' + ')})"])
     js = lambda p, q: f"sqrt(greatest(list_sum([CASE WHEN {p}[i] > 0 THEN {p}[i] * log2({p}[i] / (({p}[i] + {q}[i]) / 2)) ELSE 0 END + CASE WHEN {q}[i] > 0 THEN {q}[i] * log2({q}[i] / (({p}[i] + {q}[i]) / 2)) ELSE 0 END FOR i IN range(1, len({p}) + 1)]) / 2, 0))"
-    n_class, n_word = len(qr.CLASSES) + 2, len(qr.COMMON[qr.OTHER]) + 1
-    mean = lambda c, n: "[" + ", ".join(f"avg({c}[{i + 1}])" for i in range(n)) + "]"
+    n_class, n_word = len(qr.CLASSES) + 2, qr.N_COMMON + 1
+    total = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"
+    others = lambda s, p: f"CASE WHEN {p} IS NOT NULL AND n_ref - teaches::INT >= {qr.MIN_REFERENCE} THEN [greatest({s}[i] - CASE WHEN teaches THEN {p}[i] ELSE 0 END, 0) / (n_ref - teaches::INT) FOR i IN range(1, len({p}) + 1)] END"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, lang, {common} AS common, {WORDS} AS w FROM documents),
 win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
@@ -32,11 +33,12 @@ m AS (SELECT d.rid, doc_id, lang, common, len(w) AS n_words, length(array_to_str
   FROM d LEFT JOIN rep USING (rid)),
 h AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, list_transform([{counts}], lambda c: c::DOUBLE / greatest(n, 1)) AS class_p,
   list_concat(list_transform(common, lambda c: len(list_filter(hits, lambda y: y = c))::DOUBLE / greatest(n_words, 1)), [(n_words - len(hits))::DOUBLE / greatest(n_words, 1)]) AS word_p,
-  n_words >= {qr.JUDGE_WORDS} AND word_chars >= {qr.JUDGE_CHARS} AS judged FROM m),
-ref AS (SELECT lang, {mean("class_p", n_class)} AS class_q, {mean("word_p", n_word)} AS word_q FROM h WHERE judged GROUP BY lang),
-j AS (SELECT h.*, {js("class_p", "class_q")} AS class_js, {js("word_p", "word_q")} AS word_js FROM h LEFT JOIN ref ON h.lang IS NOT DISTINCT FROM ref.lang),
-v AS (SELECT *, n_words < {qr.MIN_WORDS} OR 100 * n_repeat_words > {qr.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  coalesce(judged AND greatest(class_js - {qr.MAX_CLASS_DISTANCE}, word_js - {qr.MAX_WORD_DISTANCE}, class_js + word_js - {qr.MAX_SUM}) > {qr.NOISE} / sqrt(greatest(n_words, 1)), false) AS far FROM j)
+  n_words >= {qr.JUDGE_WORDS} AND word_chars >= {qr.JUDGE_CHARS} AS judged, n_words < {qr.MIN_WORDS} OR 100 * n_repeat_words > {qr.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
+t AS (SELECT * EXCLUDE (word_p), CASE WHEN len(common) > 0 THEN word_p END AS word_p, judged AND NOT base_failed AS teaches FROM h),
+ref AS (SELECT lang, count(*) AS n_ref, {total("class_p", n_class)} AS class_sum, {total("word_p", n_word)} AS word_sum FROM t WHERE teaches GROUP BY lang),
+o AS (SELECT t.*, {others("class_sum", "class_p")} AS class_q, {others("word_sum", "word_p")} AS word_q FROM t LEFT JOIN ref ON t.lang IS NOT DISTINCT FROM ref.lang),
+j AS (SELECT *, CASE WHEN class_q IS NOT NULL THEN {js("class_p", "class_q")} END AS class_js, CASE WHEN word_q IS NOT NULL THEN {js("word_p", "word_q")} END AS word_js FROM o),
+v AS (SELECT *, coalesce(judged AND class_js IS NOT NULL AND greatest(class_js - {qr.MAX_CLASS_DISTANCE}, coalesce(word_js, 0) - {qr.MAX_WORD_DISTANCE}, class_js + coalesce(word_js, 0) - {qr.MAX_SUM}) > {qr.NOISE} / sqrt(greatest(n_words, 1)), false) AS far FROM j)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept, round(class_js, 6) AS class_js, round(word_js, 6) AS word_js FROM v
 """

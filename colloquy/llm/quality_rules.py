@@ -2,13 +2,17 @@
 
 Native: DataFrame functions only. Two histograms are taken of every whole text,
 one over character classes and one over the common words of its language. The
-reference of a language is the mean histogram of all its documents that are long
-enough; the verdict compares Jensen-Shannon distances (base 2, so 0 to 1) with
-thresholds. Short documents have noisy histograms and are left to the base rules.
-
-Defined results: a null text counts as empty; a null or unlisted language has its
-own reference under the list of ``OTHER``; repeated rows give repeated results; an
-empty table gives an empty result; other columns are ignored.
+reference of a language is the mean histogram of its documents that pass the base rules
+and are long enough, without the judged one; the verdict compares Jensen-Shannon
+distances (base 2, so 0 to 1) with thresholds. Short documents have noisy histograms and
+are left to the base rules, as are documents of a language with fewer than
+MIN_REFERENCE others to learn from.
+
+Defined results: a null text counts as empty; null is a language of its own; a language
+without a list of common words is judged by character classes alone, and its word_js is
+null; a document without a reference has null distances; repeated rows give repeated
+results; very long texts are measured whole; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem".split(),
     "es": "de la que el en y a los se del las un por con no una".split(),
 }
-OTHER = "en"
+N_COMMON = len(COMMON["en"])
 #: Character classes beside blanks and what is left.
 CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "punct": "[!-/:-@\\[-`{-~]"}
 LONGEST_COMMON = max(len(w) for ws in COMMON.values() for w in ws)
@@ -33,6 +37,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Histograms of fewer words, or of fewer code points in words, are not judged.
 JUDGE_WORDS, JUDGE_CHARS = 50, 200
+#: A reference is the mean of so many documents at least.
+MIN_REFERENCE = 5
 #: A text goes if one histogram lies this far off, or if both together do. Chance moves
 #: the histograms of short texts, so NOISE / sqrt(words) comes on top.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MAX_SUM, NOISE = 0.28, 0.28, 0.36, 0.5
@@ -58,10 +64,10 @@ def measured(docs: DataFrame) -> DataFrame:
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("own_lang"))
     t = t.withColumn("w", words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    common = F.lit(None).cast("array<string>")
+    common = F.array().cast("array<string>")
     for lang, bins in COMMON.items():
         common = F.when(F.coalesce("own_lang", F.lit("")) == lang, F.array(*map(F.lit, bins))).otherwise(common)
-    t = t.withColumn("lines", lines).withColumn("common", F.coalesce(common, F.array(*map(F.lit, COMMON[OTHER]))))
+    t = t.withColumn("lines", lines).withColumn("common", common)
     t = t.withColumn("hits", F.transform(F.filter("w", lambda x: (F.length(x) <= LONGEST_COMMON) & F.array_contains("common", F.lower(x))), F.lower))
     for name, c in repeated_words(F.col("w")).items():
         t = t.withColumn(name, c)
@@ -82,7 +88,7 @@ def measured(docs: DataFrame) -> DataFrame:
     return t.select(
         "doc_id", "own_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.array(*(share(c, F.col("n")) for c in [*counts, rest])).alias("class_p"),
-        F.concat(each, F.array(share(F.col("n_words") - F.size("hits"), F.col("n_words")))).alias("word_p"),
+        F.when(F.size("common") > 0, F.concat(each, F.array(share(F.col("n_words") - F.size("hits"), F.col("n_words"))))).alias("word_p"),
     )
 
 
@@ -90,18 +96,34 @@ def judged() -> Column:
     return (F.col("n_words") >= JUDGE_WORDS) & (F.col("word_chars") >= JUDGE_CHARS)
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def teaches() -> Column:
+    """Whether a document counts in the reference of its language."""
+    return judged() & ~base_failed()
+
+
 def references(m: DataFrame) -> DataFrame:
-    """Mean histograms by language, over all documents that are long enough: a few rows."""
-    n_class, n_word = len(CLASSES) + 2, len(COMMON[OTHER]) + 1
-    mean = lambda c, n, name: F.array(*(F.avg(F.get(c, F.lit(i))) for i in range(n))).alias(name)
-    return m.where(judged()).groupBy("own_lang").agg(mean("class_p", n_class, "class_q"), mean("word_p", n_word, "word_q"))
+    """Sums of histograms by language, over all documents that teach: a few rows."""
+    total = lambda c, n, name: F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(n))).alias(name)
+    return m.where(teaches()).groupBy("own_lang").agg(F.count("*").alias("n_ref"), total("class_p", len(CLASSES) + 2, "class_sum"), total("word_p", N_COMMON + 1, "word_sum"))
+
+
+def without_own(sums: str, own: str) -> Column:
+    """The mean of the others: sums less what the judged document added; null where too few are left."""
+    n = F.col("n_ref") - F.when(teaches(), 1).otherwise(0)
+    mean = F.zip_with(sums, own, lambda s, p: F.greatest(s - F.when(teaches(), p).otherwise(0.0), F.lit(0.0)) / n)
+    return F.when(n >= MIN_REFERENCE, mean)
 
 
 def js_distance(p: str, q: str) -> Column:
     """Square root of the Jensen-Shannon divergence in bits of two arrays of shares."""
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
     terms = F.zip_with(p, q, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    whole = F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    return F.when(F.col(p).isNotNull() & F.col(q).isNotNull(), whole)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -115,13 +137,14 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     m = scratch.keep(measured(docs))
     ref = references(m).withColumnRenamed("own_lang", "ref_lang")
     t = m.join(ref, F.col("own_lang").eqNullSafe(F.col("ref_lang")), "left")
+    t = t.withColumns({"class_q": without_own("class_sum", "class_p"), "word_q": without_own("word_sum", "word_p")})
     t = t.withColumns({"class_js": js_distance("class_p", "class_q"), "word_js": js_distance("word_p", "word_q")})
-    bad = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    over = F.greatest(F.col("class_js") - MAX_CLASS_DISTANCE, F.col("word_js") - MAX_WORD_DISTANCE, F.col("class_js") + F.col("word_js") - MAX_SUM)
-    far = judged() & (over > NOISE / F.sqrt("n_words"))
+    word = F.coalesce("word_js", F.lit(0.0))
+    over = F.greatest(F.col("class_js") - MAX_CLASS_DISTANCE, word - MAX_WORD_DISTANCE, F.col("class_js") + word - MAX_SUM)
+    far = judged() & F.col("class_js").isNotNull() & (over > NOISE / F.sqrt("n_words"))
     return t.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        bad.alias("base_failed"), (~bad & ~F.coalesce(far, F.lit(False))).alias("kept"),
+        base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(far, F.lit(False))).alias("kept"),
         F.round("class_js", 6).alias("class_js"), F.round("word_js", 6).alias("word_js"),
     )
 
