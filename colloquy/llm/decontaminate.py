@@ -17,14 +17,16 @@ all items:
    deviation of 3.
 4. Verification. sum(min) / sum(max) of the shingle counts, exactly, against 0.75.
 
-The items and their index are broadcast only while their measured size stays within
-BROADCAST_ROWS, as are the places of windows; beyond it the same joins shuffle. Of
-shingles only the positions of those that an item has are shuffled.
+The items' shingles, the index (without the shingles) and the places of windows are
+broadcast only while their measured size stays within BROADCAST_BYTES; beyond it the
+same joins shuffle. Of shingles only the positions of those that an item has are
+shuffled, never a document's array with each.
 
 Defined results: texts of fewer than 5 words, of documents or items, have their whole
 sequence as one shingle; null or blank texts have none and match nothing; repeated
-items and documents add no second row for a pair; empty tables give no rows; other
-columns are ignored.
+items and documents add no second row for a pair; a null doc_id or item_id is a value
+like any other; very long texts are cut into windows whole; empty tables give no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +36,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, settled, table, words
+from .common import Scratch, fresh, lower_ascii, row_key, settled, table, words
 
 SHINGLE = 5
 SIMILARITY = 0.75
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
-BROADCAST_ROWS = 500_000
+#: Measured sizes up to this are broadcast; ROW_BYTES stands for what a row costs beside its arrays.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 
 
 def shingles(text: Column) -> dict[str, Column]:
@@ -69,8 +72,8 @@ def simhash(s: str) -> Column:
     )
 
 
-def bounded(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def bounded(df: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
 def block_of(fp: str, j: str) -> str:
@@ -92,21 +95,23 @@ def places(hits: str, item: str, doc: str) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity): each document with each item that it holds."""
+    scratch = Scratch(docs.sparkSession, "windows")
     items = with_shingles(benchmark, "item_id").where(F.size("s") > 0).distinct()
-    items = items.select("item_id", F.col("s").alias("item_s"), simhash("s").alias("item_fp"))
+    items = items.select("item_id", F.xxhash64("item_id", "s").alias("item"), F.col("s").alias("item_s"), simhash("s").alias("item_fp"))
+    items = scratch.keep(items)
     n_items, n_shingles = items.agg(F.count("*"), F.coalesce(F.sum(F.size("item_s")), F.lit(0))).first()
 
     # 1: windows with enough shingles of an item
-    at = items.select(F.xxhash64("item_id", "item_s").alias("item"), F.size("item_s").alias("len"), F.explode(F.array_distinct("item_s")).alias("item_h"))
+    at = items.select("item", F.size("item_s").alias("len"), F.explode(F.array_distinct("item_s")).alias("item_h"))
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     hits = with_shingles(docs, "row").select("row", F.size("s").alias("size"), F.posexplode("s").alias("p", "h"))
-    hits = hits.join(bounded(at, n_shingles), F.col("h") == F.col("item_h"))
+    hits = hits.join(bounded(at, n_shingles * ROW_BYTES), F.col("h") == F.col("item_h"))
     hits = hits.groupBy("row", "size", "item", "len").agg(F.sort_array(F.collect_set("p")).alias("hits")).where(4 * F.size("hits") >= 3 * F.col("len"))
     found = settled(hits, "places", places("hits", "len", "size")).where(F.size("places") > 0)
     found = found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    found = Scratch(docs.sparkSession, "windows").keep(found.withColumnRenamed("row", "found_row"))
-    n_places = found.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-    held = docs.join(bounded(found, n_places), F.col("row") == F.col("found_row"))
+    found = scratch.keep(found.withColumnRenamed("row", "found_row"))
+    n_found, n_places = found.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    held = docs.join(bounded(found, n_found * ROW_BYTES + n_places * 16), F.col("row") == F.col("found_row"))
     windows = with_shingles(held, "doc_id", "places").select("doc_id", "s", F.explode("places").alias("at"))
     windows = settled(windows, "win", F.expr("slice(s, at.lo + 1, at.hi - at.lo)")).select("doc_id", "win")
 
@@ -115,7 +120,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     masks = [sum(1 << b for b in bits) for k in range(most + 1) for bits in combinations(range(BLOCK_BITS), k)]
     index = items.withColumn("j", F.explode(F.array(*map(F.lit, range(BLOCKS)))))
     index = index.withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
-    index = index.select("item_id", "item_s", "item_fp", F.col("j").alias("item_j"), F.expr(f"{block_of('item_fp', 'j')} ^ mask").alias("item_block"))
+    index = index.select("item", "item_fp", F.col("j").alias("item_j"), F.expr(f"{block_of('item_fp', 'j')} ^ mask").alias("item_block"))
     windows = settled(windows, "fp", simhash("win"))
     probes = windows.withColumn("j", F.explode(F.array(*map(F.lit, range(BLOCKS)))))
     probes = settled(probes, "block", F.expr(block_of("fp", "j")))
@@ -125,13 +130,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for j in reversed(range(BLOCKS)):
         first = F.when(fits[j], F.lit(j)).otherwise(first)
     match = (F.col("j") == F.col("item_j")) & (F.col("block") == F.col("item_block")) & near & (F.col("j") == first)
-    pairs = probes.join(bounded(index, n_items * BLOCKS * len(masks)), match)
+    pairs = probes.join(bounded(index, n_items * BLOCKS * len(masks) * ROW_BYTES), match)
 
     # 4: exact similarity of the multisets
-    common = F.expr(
-        "aggregate(array_distinct(win), 0, (n, x) -> n + least(size(filter(win, y -> y = x)), size(filter(item_s, y -> y = x))))"
-    )
-    pairs = settled(pairs, "common", common)
+    pairs = pairs.select("doc_id", "win", "item").join(bounded(items.select("item", "item_id", "item_s"), n_items * ROW_BYTES + n_shingles * 8), "item")
+    repeats = (F.size(F.array_distinct("win")) < F.size("win")) & (F.size(F.array_distinct("item_s")) < F.size("item_s"))
+    counted = F.expr("aggregate(array_distinct(array_intersect(win, item_s)), 0, (n, x) -> n + least(size(filter(win, y -> y = x)), size(filter(item_s, y -> y = x))))")
+    # where a shingle repeats on one side only, it is common once
+    pairs = settled(pairs, "common", F.when(repeats, counted).otherwise(F.size(F.array_intersect("win", "item_s"))))
     similarity = F.col("common") / (F.size("win") + F.size("item_s") - F.col("common"))
     pairs = pairs.select("doc_id", "item_id", similarity.alias("similarity")).where(F.col("similarity") >= SIMILARITY)
     return pairs.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
@@ -139,9 +145,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that hold no benchmark item; rows that share a doc_id, or have none, are judged each by its text."""
-    row = F.xxhash64("doc_id", "text")
-    hit = leaks(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("leaked_row")).distinct()
-    return docs.join(hit, row == F.col("leaked_row"), "left_anti")
+    key, hit = fresh(docs.columns, "row_key"), fresh(docs.columns, "leaked_key")
+    keyed = docs.withColumn(key, row_key(["doc_id", "text"]))
+    found = leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(hit)).distinct()
+    return keyed.join(found, F.col(key) == F.col(hit), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,22 @@
 
 Native: DataFrame functions only. Within a source every document has the same
 expected number of copies, target / source size. Laying these end to end in the
-order (size, doc_id) and adding one random offset, a document is taken once for
+order (size, hash of doc_id) and adding one random offset, a document is taken once for
 each whole number that its stretch crosses. As the order is by size, the taken
 words stay within about the largest document of the target.
 
 The running position of a document is its rank times the expected copies. The rank
 is a sum of three counts, none of which puts a source into one task: rows of smaller
-size (from the table of sizes), rows of the same size in earlier slots (a slot is
-doc_id mod 256), and the row number within source, size and slot.
+size (from the table of sizes), rows of the same size in earlier slots (a slot is two
+digits of the MD5 of doc_id and text), and the row number within source, size and slot,
+in the order of that hash. Only tables of a row a source are ordered in one task.
 
 Defined results: a null or blank text has size 0 and is never taken; null sources
-are one source, weighted last; a null doc_id sorts first in its slot; repeated rows
-are documents of their own; an empty table gives an empty result; other columns are
-ignored. The offset is a hash of the source's name, so reruns agree.
+are one source, weighted last; rows without a doc_id, or with one that repeats, are told
+apart by their text; repeated rows are documents of their own, equal in all that counts;
+texts of any length count whole; an empty table gives an empty result; other columns,
+whatever their names, are ignored. The offset is a hash of the source's name, so reruns
+agree.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ from .common import Scratch, n_words, table
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_TIMES = 2
-SLOTS = 256
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -64,9 +66,12 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def copies_of(docs: DataFrame, scratch: Scratch, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, n_copies for every row of (doc_id, source, size), and the columns ``keep``."""
+    """doc_id, source, size, source_size, target, n_copies for every row of (doc_id, source, size, at), and the columns ``keep``.
+
+    at: text that orders the rows of one size; its first two characters are the slot.
+    """
     slim = scratch.keep(docs)
-    slim = slim.withColumn("slot", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SLOTS)).cast("int"))
+    slim = slim.withColumn("slot", F.substring("at", 1, 2))
     cells = slim.groupBy("source", "size", "slot").agg(F.count("*").alias("n"))
     in_size = Window.partitionBy("source", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("in_size", F.coalesce(F.sum("n").over(in_size), F.lit(0)))
@@ -79,7 +84,7 @@ def copies_of(docs: DataFrame, scratch: Scratch, keep: tuple[str, ...] = ()) ->
     cells = cells.join(sizes, _same(cells, sizes, "source", "size")).select(
         cells["source"], cells["size"], "slot", (F.col("below") + F.col("in_size")).alias("before"), "source_size", "target", "copies", "offset"
     )
-    own = Window.partitionBy("source", "size", "slot").orderBy("doc_id")
+    own = Window.partitionBy("source", "size", "slot").orderBy("at", *keep)
     slim = slim.withColumn("k", F.row_number().over(own))
     t = slim.join(cells, _same(slim, cells, "source", "size", "slot"))
     rank = F.col("before") + F.col("k")
@@ -95,7 +100,8 @@ def _same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
 def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, n_copies, and the columns ``keep``."""
     scratch = Scratch(docs.sparkSession, "mix")
-    t = copies_of(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *keep), scratch, keep)
+    at = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary"))
+    t = copies_of(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), at.alias("at"), *keep), scratch, keep)
     return t.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies", *keep)
 
 

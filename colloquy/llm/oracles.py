@@ -47,7 +47,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 def source_mixing() -> str:
     weights = "[" + ", ".join(f"{w}.0::DOUBLE" for w in mx.WEIGHTS) + "]"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len({WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS place FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, {weights}[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mx.WEIGHTS)}] AS weight, {mx.MAX_TIMES}.0::DOUBLE * source_size AS most FROM s),
 l AS (SELECT *, ({mx.SHARE}::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS own,
@@ -56,7 +56,7 @@ l AS (SELECT *, ({mx.SHARE}::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coale
 f AS (SELECT arg_min(own, k) AS level FROM l WHERE own * weight <= most),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN most ELSE least(level * weight, most) END AS target FROM l LEFT JOIN f ON true),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies, ('0x' || substr(md5(coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS offs FROM t),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, coalesce(doc_id, 0) % {mx.SLOTS}, doc_id NULLS FIRST) AS k FROM d)
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, place) AS k FROM d)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
   (size * CASE WHEN size = 0 THEN 0 ELSE least(floor(k * copies + offs) - floor((k - 1) * copies + offs), {mx.MAX_TIMES}) END)::BIGINT AS taken
 FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source
