@@ -3,7 +3,8 @@
 Documents are dealt to ranges of doc_id and sorted, each range is tokenized and cut
 into shards of about SHARD_TOKENS ids, and each shard is compressed by its own Re-Pair
 grammar: in every round the most frequent pairs of neighbouring symbols become
-nonterminals. A shard is one row of a Parquet table:
+nonterminals, until no pair has LEAST_USES uses left, below which a rule takes more room
+than it saves. A shard is one row of a Parquet table:
 
     part, shard       order of the shards; documents ascend through both
     doc_id            array of the documents' ids
@@ -19,15 +20,17 @@ Pairs never cross a document's end, so one document is decoded from its own symb
 tasks leave no half shards.
 
 Tokenizers work on runs of characters between blanks independently, so the ids of a
-run are computed once and remembered up to MEMO runs a worker.
+run are computed once and remembered, under 64 bits of hash, up to MEMO runs a worker.
 
 Defined results: null text is empty and has the end id alone; null doc_ids come first;
 repeated rows are written repeatedly, rows with one doc_id in the order of their text's
-hash; an empty table gives no shards; other columns are ignored.
+hash; a text longer than a shard is a shard of its own; an empty table gives no shards;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +46,10 @@ from .common import Scratch, table
 END_ID = 1
 FIRST_RULE = 1 << 20
 SHARD_TOKENS = 1 << 19
-ROUNDS, RULES_A_ROUND, LEAST_USES = 4, 1024, 4
+#: A rule of fewer uses takes more room than it saves.
+LEAST_USES = 4
+#: Rules of the first round, and hash buckets in which pairs are counted first.
+RULES, BUCKETS = 1024, 1 << 18
 MEMO = 1_600_000
 
 _SHARD = "part int, shard int, doc_id array<long>, n_tokens array<int>, n_symbols array<int>, rules binary, lengths binary, sequence binary"
@@ -69,6 +75,7 @@ class Memo:
     runs that are new are ever made strings.
     """
 
+    #: At most 6 of 10 slots are used; a piece with more new runs gets a larger table.
     SLOTS = 1 << 22
     #: A character that is one token by itself parts new runs in a call of the tokenizer.
     MARKS = "~^`★●§"
@@ -76,6 +83,8 @@ class Memo:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # a task has one core; threads of its own would only wait on each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         ids = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in self.MARKS}
         self.mark, self.mark_id = next((m, i[0]) for m, i in ids.items() if len(i) == 1)
@@ -88,12 +97,13 @@ class Memo:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The numbers of runs; -1 for new ones."""
-        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        top = len(self.keys) - 1
+        slot = (h & np.uint64(top)).astype(np.int64)
         key = self.keys[slot]
         out = np.where(key == h, self.place[slot], -1)
         open_ = np.flatnonzero((key != h) & (key != 0))
         while len(open_):
-            slot[open_] = (slot[open_] + 1) & (self.SLOTS - 1)
+            slot[open_] = (slot[open_] + 1) & top
             key = self.keys[slot[open_]]
             hit = key == h[open_]
             out[open_[hit]] = self.place[slot[open_[hit]]]
@@ -102,7 +112,15 @@ class Memo:
 
     def put(self, h: np.ndarray) -> None:
         """Numbers distinct new runs from n on."""
-        slot, number = (h & np.uint64(self.SLOTS - 1)).astype(np.int64), np.arange(self.n, self.n + len(h), dtype=np.int32)
+        number = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        size = len(self.keys)
+        while 10 * (self.n + len(h)) > 6 * size:
+            size *= 2
+        if size > len(self.keys):
+            held = self.keys != 0
+            h, number = np.concatenate((self.keys[held], h)), np.concatenate((self.place[held], number))
+            self.keys, self.place = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        slot = (h & np.uint64(size - 1)).astype(np.int64)
         while len(h):
             free = np.flatnonzero(self.keys[slot] == 0)
             _, first = np.unique(slot[free], return_index=True)
@@ -110,7 +128,7 @@ class Memo:
             self.keys[slot[won]], self.place[slot[won]] = h[won], number[won]
             rest = np.ones(len(h), bool)
             rest[won] = False
-            h, number, slot = h[rest], number[rest], (slot[rest] + 1) & (self.SLOTS - 1)
+            h, number, slot = h[rest], number[rest], (slot[rest] + 1) & (size - 1)
 
     def learn(self, h: np.ndarray, runs: list[str]) -> None:
         """Tokenizes new runs, many in one text with a mark before each; runs that hold the mark go alone."""
@@ -167,47 +185,96 @@ def memo(path: str) -> Memo:
     return _memos[path]
 
 
+def _bucket(pair: np.ndarray) -> np.ndarray:
+    return ((pair * np.int64(0x9E3779B97F4A7C1)) >> 40) & (BUCKETS - 1)
+
+
+def _apart(at: np.ndarray, rule: np.ndarray) -> np.ndarray:
+    """Which of the pairs at ascending places to replace, no two that overlap.
+
+    A pair goes before an overlapping one of a later rule, so the same passage is paired in
+    the same way wherever it stands; of equal pairs in a row it is every second one.
+    """
+    touch = np.concatenate(([False], np.diff(at) == 1, [False]))  # [k]: k overlaps the one before
+    same = touch[1:-1] & (rule[1:] == rule[:-1]) if len(at) else np.zeros(0, bool)
+    run = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(at)), 0))
+    open_ = (np.arange(len(at)) - run) % 2 == 0
+    take = np.zeros(len(at), bool)
+    for _ in range(3):
+        r = np.where(open_, rule, BUCKETS)
+        before = np.where(touch[:-1], np.concatenate(([BUCKETS], r[:-1])), BUCKETS)
+        after = np.where(touch[1:], np.concatenate((r[1:], [BUCKETS])), BUCKETS)
+        won = open_ & (r < before) & (r < after)
+        take |= won
+        by = (np.concatenate(([False], won[:-1])) & touch[:-1]) | (np.concatenate((won[1:], [False])) & touch[1:])
+        open_ &= ~won & ~by
+    return take
+
+
+def _replaced(key: np.ndarray, across: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """New rules, the places of their uses with their numbers, and whether pairs of fewer uses were looked at too.
+
+    key: the pair that begins at each place, ``across``: where it would cross a document's
+    end. At most ``most`` of the most frequent pairs become rules, those with LEAST_USES
+    that do not overlap.
+    """
+    bucket = _bucket(key)
+    bucket[across] = BUCKETS
+    n = np.bincount(bucket, minlength=BUCKETS + 1)
+    n[BUCKETS] = 0
+    floor = max(LEAST_USES, int(np.partition(n, -2 * most)[-2 * most])) if 2 * most < BUCKETS else LEAST_USES
+    often = np.flatnonzero((n >= floor)[bucket])
+    none = np.zeros(0, np.int64)
+    pairs, bucket = key[often], bucket[often]
+    ordered = np.sort(pairs)
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else none
+    pair, uses = ordered[first], np.diff(np.append(first, len(ordered)))
+    best = np.argsort(-uses, kind="stable")[:most]
+    best = pair[best[uses[best] >= LEAST_USES]]
+    # one rule a bucket in a round; the most frequent of its pairs
+    table = np.full(BUCKETS, -1, np.int32)
+    table[_bucket(best[::-1])] = np.arange(len(best))[::-1]
+    rule = table[bucket]
+    hit = np.flatnonzero(rule >= 0)
+    hit = hit[best[rule[hit]] == pairs[hit]]
+    at, rule = often[hit], rule[hit]
+    if len(at):
+        take = _apart(at, rule)
+        used = np.bincount(rule[take], minlength=len(best)) >= LEAST_USES
+        if used.any():
+            take &= used[rule]
+            return best[used], at[take], (np.cumsum(used) - 1)[rule[take]], floor == LEAST_USES
+        # all overlap with others: the first that has uses enough alone
+        by = np.argsort(rule, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(rule[by])) + 1):
+            own = at[part][_apart(at[part], rule[part])]
+            if len(own) >= LEAST_USES:
+                return best[rule[part[:1]]], own, np.zeros(len(own), np.int64), floor == LEAST_USES
+    return none, none, none, floor == LEAST_USES
+
+
 def compress(ids: np.ndarray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: rules, their expansion lengths, the sequence, symbols by document."""
+    """Re-Pair in rounds, until no pair has LEAST_USES: rules, their expansion lengths, the sequence, symbols by document.
+
+    Rounds begin with RULES of the most frequent pairs and take twice as many each time, as
+    the pairs that are left differ less and less in frequency.
+    """
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(n_tokens) - 1] = True
-    rules, lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1] << 21) | seq[1:]
-        bucket = ((key * np.int64(0x9E3779B97F4A7C1)) >> 40) & 0x3FFFF
-        bucket[last[:-1] | last[1:]] = 0
-        n = np.bincount(bucket, minlength=1 << 18)
-        n[0] = 0
-        floor = max(LEAST_USES, int(np.partition(n, -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND]))
-        often = np.flatnonzero(n[bucket] >= floor)
-        if not len(often):
-            break
-        pair, which, uses = np.unique(key[often], return_inverse=True, return_counts=True)
-        best = np.argsort(-uses, kind="stable")[:RULES_A_ROUND]
-        best = best[uses[best] >= LEAST_USES]
-        chosen = np.full(len(pair), -1)
-        chosen[best] = np.arange(len(best))
-        rule = chosen[which]
-        at, rule = often[rule >= 0], rule[rule >= 0]
-        # of overlapping pairs every second one, from the left
-        fresh = np.concatenate(([True], np.diff(at) > 1))
-        run = np.maximum.accumulate(np.where(fresh, at, 0))
-        take = (at - run) % 2 == 0
-        used = np.bincount(rule[take], minlength=len(best))
-        kept = used >= LEAST_USES
-        if not kept.any():
-            break
-        number = np.cumsum(kept) - 1 + len(rules)
-        take &= kept[rule]
-        at, rule = at[take], rule[take]
-        new = pair[best[kept]]
+    rules, lengths, most = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), RULES
+    while True:
+        new, at, rule, all_seen = _replaced((seq[:-1] << 21) | seq[1:], last[:-1] | last[1:], most)
+        most = min(2 * most, BUCKETS)
+        if not len(new):
+            if all_seen:
+                break
+            continue
         new = np.stack((new >> 21, new & 0x1FFFFF), axis=1)
-        size = np.where(new >= FIRST_RULE, lengths[np.maximum(new - FIRST_RULE, 0)] if len(lengths) else 1, 1).sum(axis=1)
-        rules, lengths = np.concatenate((rules, new)), np.concatenate((lengths, size))
-        seq[at] = FIRST_RULE + number[rule]
+        size = np.ones(new.shape, np.int64)
+        size[new >= FIRST_RULE] = lengths[new[new >= FIRST_RULE] - FIRST_RULE]
+        seq[at] = FIRST_RULE + len(rules) + rule
+        rules, lengths = np.concatenate((rules, new)), np.concatenate((lengths, size.sum(axis=1)))
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
