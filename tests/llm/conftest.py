@@ -25,9 +25,10 @@ def odd_rows():
 
 @pytest.fixture(scope="session")
 def odd_dir(spark, odd_rows, tmp_path_factory):
-    """Tables of odd rows, with an extra column in each, and in empty/ the same tables without rows."""
+    """Tables of odd rows, with extra columns of names that operators use, and in empty/ the same tables without rows."""
     d = tmp_path_factory.mktemp("odd")
-    extra = lambda df: df.selectExpr("*", "'x' as component", "1 as rep", "cast(null as string) as w", "2 as row")
+    names = "component rep w row y key label_id kept_id leaked_id n_copies _row_key row_key _copy size slot id k node at hot host path rule score verdict win s fp item band bands bits places spans start part shard before"
+    extra = lambda df: df.selectExpr("*", *(f"'{c}' as {c}" for c in names.split()))
     item = " ".join(odd_rows[7 + 2][1].split()[10:50])
     tables = {
         "documents": spark.createDataFrame(odd_rows, DOC),

@@ -41,12 +41,37 @@ def test_each_stage_does_its_work(spark):
     assert out == [tuple(r) for r in cp.run(spark, SMALL).orderBy("start").collect()]
 
 
-def test_odd_rows(spark, odd_dir):
-    rows = cp.run(spark, odd_dir).collect()
-    assert all(r.n_tokens > 0 for r in rows)
+def test_odd_rows(spark, odd_dir, odd_rows):
+    """Nulls, blank texts, repeated rows and columns of clashing names, stage by stage."""
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    columns, stages = docs.columns, dict(cp.STAGES)
+    rows = lambda df: sorted((tuple(r) for r in df.select("doc_id", "text").collect()), key=repr)
+    kept = stages["quality_rules"](spark, docs, odd_dir).cache()
+    long = [(r[0], r[1]) for r in odd_rows if len(plain.WORD.findall(r[1] or "")) >= 50]
+    assert kept.columns == columns and set(rows(kept)) <= set(long) and {1, 2, 3, 4, None} <= {i for i, _ in rows(kept)}
+    single = stages["near_dedup"](spark, kept, odd_dir).cache()
+    assert single.columns == columns
+    of = {i: c for i, (_, c) in plain.near_duplicates(rows(kept)).items()}
+    assert sorted(i for i, _ in rows(single) if i is not None) == sorted(set(of.values()))
+    clean = stages["decontamination"](spark, single, odd_dir).cache()
+    items = [tuple(r) for r in spark.read.parquet(f"{odd_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    leaked = {i for i, _ in plain.leaks(rows(single), items)}
+    assert clean.columns == columns and rows(clean) == [r for r in rows(single) if r[0] not in leaked] and 8 in leaked
+    mixed = stages["source_mixing"](spark, clean, odd_dir).cache()
+    assert mixed.columns == columns and set(rows(mixed)) <= set(rows(clean)) and max(Counter(rows(mixed)).values()) <= 2
+    out = stages["token_output"](spark, mixed, odd_dir).collect()
+    want = {(i, n, c) for i, _, n, c in plain.token_rows(rows(mixed), default_tokenizer())}
+    assert len(out) == mixed.count() and {(r.doc_id, r.n_tokens, r.ids_crc32) for r in out} == want
     assert cp.run(spark, f"{odd_dir}/empty").collect() == []
 
 
+def test_wholly_repeated_rows_are_mixed_one_by_one(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (2, "e f g", "x"), (None, "h i", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    n = Counter(tuple(r) for r in dict(cp.STAGES)["source_mixing"](spark, df, "").collect())
+    assert set(n) <= set(rows) and n[rows[0]] <= 4 and n[rows[2]] <= 2 and n[rows[3]] <= 2
+
+
 def test_rows_that_share_a_doc_id_are_judged_each_by_its_text(spark):
     from colloquy.llm.decontaminate import decontaminate
 
