@@ -195,16 +195,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = signatures.where("n_shingles > 0 and doc_id is not null")
     reps = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "bits")))
     reps = scratch.keep(reps.withColumn("node", F.monotonically_increasing_id()))
-    # tables that are joined to rows of hot keys are written first: the join is then one of
-    # two plain shuffles, which skew handling can split
+    # tables that are joined to rows of hot keys are written first, and joined by shuffles at
+    # every size: skew handling can split such joins
     rows = reps.select("node", F.explode("bands").alias("band"))
     buckets = scratch.keep(rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"))
-    members = rows.join(buckets, "band").join(reps.select("node", F.col("n_shingles").alias("n"), "bits", "copies", "k1"), "node")
+    members = rows.join(buckets.hint("merge"), "band").join(reps.select("node", F.col("n_shingles").alias("n"), "bits", "copies", "k1"), "node")
     members = scratch.keep(members.select("band", F.struct(F.col("node").alias("rep"), "n", "bits", "copies", "k1").alias("m")))
     chosen = members.select(F.col("m.rep").alias("node")).distinct().join(reps.select("node", "least", "k1", "k2"), "node")
     chosen = scratch.keep(chosen.select(F.col("node").alias("id"), F.col("least").alias("doc_id"), "k1", "k2"))
     # a doc_id may have other texts too: a set is known by its key
-    sets = docs.join(chosen.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(_full_sets, "k1 long, k2 long, s array<long>")
+    sets = docs.join(chosen.select("doc_id").distinct().hint("merge"), "doc_id").select("text").mapInArrow(_full_sets, "k1 long, k2 long, s array<long>")
     sets = scratch.keep(sets.join(chosen.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "s").dropDuplicates(["id"]))
 
     links = labels = tested = None
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         first = F.struct(-F.col("m.copies") if k == 0 else F.lit(0), F.xxhash64("m.k1", F.lit(k)))
         open_ = here.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min_by(F.struct("m", "c"), first).alias("x")).where("c1 < c2")
         centre = scratch.keep(open_.select("band", F.col("x.m").alias("m2"), F.col("x.c").alias("c2")))
-        new = here.join(centre, (here["band"] == centre["band"]) & (F.col("c") != F.col("c2")) & _likely("m", "m2"))
+        new = here.join(centre.hint("merge"), (here["band"] == centre["band"]) & (F.col("c") != F.col("c2")) & _likely("m", "m2"))
         new = new.select(F.least("m.rep", "m2.rep").alias("a"), F.greatest("m.rep", "m2.rep").alias("b")).distinct()
         new = scratch.keep(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
         tested = new if tested is None else tested.union(new)
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     top = scratch.keep(reps.join(labels, "node", "left").select("k1", "k2", "least", F.coalesce("component", "node").alias("c")))
     names = top.groupBy("c").agg(F.min("least").alias("component_id"))
     top = scratch.keep(top.join(names, "c").select("k1", "k2", "component_id"))
-    out = signatures.select("doc_id", "n_shingles", "k1", "k2").join(top, ["k1", "k2"], "left")
+    out = signatures.select("doc_id", "n_shingles", "k1", "k2").join(top.hint("merge"), ["k1", "k2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
