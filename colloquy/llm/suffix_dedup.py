@@ -49,7 +49,7 @@ LENGTH = 200
 GRAM = 40
 WINDOW = LENGTH - GRAM + 1
 #: Anchors with more bytes of distinct contexts than BLOCK_BYTES are grouped by window; smaller ones share blocks of BATCH_BYTES.
-BLOCK_BYTES, BATCH_BYTES = 2 << 20, 1 << 18
+BLOCK_BYTES, BATCH_BYTES = 1 << 19, 1 << 18
 
 #: Windows of a text that are worked on at once.
 STEP = 1 << 20
