@@ -49,8 +49,9 @@ SHARD_TOKENS = 1 << 19
 #: A rule of fewer uses takes more room than it saves.
 LEAST_USES = 4
 #: Rules of the first round, and hash buckets in which pairs are counted first.
-RULES, BUCKETS = 1024, 1 << 18
-MEMO = 1_600_000
+RULES, BUCKET_BITS = 1024, 18
+BUCKETS = 1 << BUCKET_BITS
+MEMO = 2_400_000
 
 _SHARD = "part int, shard int, doc_id array<long>, n_tokens array<int>, n_symbols array<int>, rules binary, lengths binary, sequence binary"
 
@@ -185,72 +186,88 @@ def memo(path: str) -> Memo:
     return _memos[path]
 
 
-def _bucket(pair: np.ndarray) -> np.ndarray:
-    return ((pair * np.int64(0x9E3779B97F4A7C1)) >> 40) & (BUCKETS - 1)
+def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A bucket of BUCKETS for each pair of symbols (unsigned 32-bit, which multiply fastest)."""
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKET_BITS)
 
 
-def _apart(at: np.ndarray, rule: np.ndarray) -> np.ndarray:
-    """Which of the pairs at ascending places to replace, no two that overlap.
+def _alone(at: np.ndarray, rule: np.ndarray) -> np.ndarray:
+    """Of pairs at ascending places, those that keep apart from pairs of the same rule: every second one of a row."""
+    same = (np.diff(at) == 1) & (rule[1:] == rule[:-1])
+    place = np.arange(len(at))
+    run = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), place, 0))
+    return (place - run) % 2 == 0
+
+
+def _apart(at: np.ndarray, rule: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """Which of the open pairs at ascending places to replace, no two that overlap.
 
     A pair goes before an overlapping one of a later rule, so the same passage is paired in
-    the same way wherever it stands; of equal pairs in a row it is every second one.
+    the same way wherever it stands.
     """
-    touch = np.concatenate(([False], np.diff(at) == 1, [False]))  # [k]: k overlaps the one before
-    same = touch[1:-1] & (rule[1:] == rule[:-1]) if len(at) else np.zeros(0, bool)
-    run = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(at)), 0))
-    open_ = (np.arange(len(at)) - run) % 2 == 0
     take = np.zeros(len(at), bool)
+    left = np.arange(len(at))[open_]
     for _ in range(3):
-        r = np.where(open_, rule, BUCKETS)
-        before = np.where(touch[:-1], np.concatenate(([BUCKETS], r[:-1])), BUCKETS)
-        after = np.where(touch[1:], np.concatenate((r[1:], [BUCKETS])), BUCKETS)
-        won = open_ & (r < before) & (r < after)
-        take |= won
-        by = (np.concatenate(([False], won[:-1])) & touch[:-1]) | (np.concatenate((won[1:], [False])) & touch[1:])
-        open_ &= ~won & ~by
+        where, r = at[left], rule[left]
+        touch = np.diff(where) == 1
+        beats = r[:-1] < r[1:]
+        lost = np.zeros(len(left), bool)
+        lost[1:] |= touch & beats
+        lost[:-1] |= touch & ~beats
+        won = ~lost
+        take[left[won]] = True
+        by = np.zeros(len(left), bool)
+        by[1:] |= touch & won[:-1]
+        by[:-1] |= touch & won[1:]
+        left = left[lost & ~by]
+        if not len(left):
+            break
     return take
 
 
-def _replaced(key: np.ndarray, across: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+def _replaced(seq: np.ndarray, open_: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """New rules, the places of their uses with their numbers, and whether pairs of fewer uses were looked at too.
 
-    key: the pair that begins at each place, ``across``: where it would cross a document's
-    end. At most ``most`` of the most frequent pairs become rules, those with LEAST_USES
+    ``open_``: whether the pair that begins at a place may be frequent; closed here where it
+    is not. At most ``most`` of the most frequent pairs become rules, those with LEAST_USES
     that do not overlap.
     """
-    bucket = _bucket(key)
-    bucket[across] = BUCKETS
-    n = np.bincount(bucket, minlength=BUCKETS + 1)
-    n[BUCKETS] = 0
+    at = np.flatnonzero(open_)
+    bucket = _bucket(seq[at], seq[at + 1])
+    n = np.bincount(bucket, minlength=BUCKETS)
     floor = max(LEAST_USES, int(np.partition(n, -2 * most)[-2 * most])) if 2 * most < BUCKETS else LEAST_USES
-    often = np.flatnonzero((n >= floor)[bucket])
+    uses = n[bucket]
+    open_[at[uses < LEAST_USES]] = False
+    often = np.flatnonzero(uses >= floor)
     none = np.zeros(0, np.int64)
-    pairs, bucket = key[often], bucket[often]
+    often, bucket = at[often], bucket[often]
+    pairs = (seq[often].astype(np.int64) << 21) | seq[often + 1]
     ordered = np.sort(pairs)
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else none
     pair, uses = ordered[first], np.diff(np.append(first, len(ordered)))
     best = np.argsort(-uses, kind="stable")[:most]
     best = pair[best[uses[best] >= LEAST_USES]]
+    if not len(best):
+        return none, none, none, floor == LEAST_USES
     # one rule a bucket in a round; the most frequent of its pairs
     table = np.full(BUCKETS, -1, np.int32)
-    table[_bucket(best[::-1])] = np.arange(len(best))[::-1]
+    table[_bucket((best >> 21).astype(np.uint32), (best & 0x1FFFFF).astype(np.uint32))[::-1]] = np.arange(len(best))[::-1]
     rule = table[bucket]
     hit = np.flatnonzero(rule >= 0)
     hit = hit[best[rule[hit]] == pairs[hit]]
     at, rule = often[hit], rule[hit]
-    if len(at):
-        take = _apart(at, rule)
-        used = np.bincount(rule[take], minlength=len(best)) >= LEAST_USES
-        if used.any():
-            take &= used[rule]
-            return best[used], at[take], (np.cumsum(used) - 1)[rule[take]], floor == LEAST_USES
+    alone = _alone(at, rule)
+    take = _apart(at, rule, alone)
+    used = np.bincount(rule[take], minlength=len(best)) >= LEAST_USES
+    if not used.any():
         # all overlap with others: the first that has uses enough alone
-        by = np.argsort(rule, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(rule[by])) + 1):
-            own = at[part][_apart(at[part], rule[part])]
-            if len(own) >= LEAST_USES:
-                return best[rule[part[:1]]], own, np.zeros(len(own), np.int64), floor == LEAST_USES
-    return none, none, none, floor == LEAST_USES
+        enough = np.flatnonzero(np.bincount(rule[alone], minlength=len(best)) >= LEAST_USES)[:1]
+        if not len(enough):
+            return none, none, none, floor == LEAST_USES
+        take = alone & (rule == enough[0])
+        used = np.arange(len(best)) == enough[0]
+    take &= used[rule]
+    return best[used], at[take], (np.cumsum(used) - 1)[rule[take]], floor == LEAST_USES
 
 
 def compress(ids: np.ndarray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -259,12 +276,15 @@ def compress(ids: np.ndarray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
     Rounds begin with RULES of the most frequent pairs and take twice as many each time, as
     the pairs that are left differ less and less in frequency.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(n_tokens) - 1] = True
     rules, lengths, most = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), RULES
+    # a pair of too few uses can't gain any: only pairs with a new symbol are looked at again
+    open_ = ~last
+    open_[:-1] &= ~last[1:]
     while True:
-        new, at, rule, all_seen = _replaced((seq[:-1] << 21) | seq[1:], last[:-1] | last[1:], most)
+        new, at, rule, all_seen = _replaced(seq, open_, most)
         most = min(2 * most, BUCKETS)
         if not len(new):
             if all_seen:
@@ -275,32 +295,42 @@ def compress(ids: np.ndarray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
         size[new >= FIRST_RULE] = lengths[new[new >= FIRST_RULE] - FIRST_RULE]
         seq[at] = FIRST_RULE + len(rules) + rule
         rules, lengths = np.concatenate((rules, new)), np.concatenate((lengths, size.sum(axis=1)))
+        open_[at] = ~last[at + 2]
+        before = at[at > 0] - 1
+        open_[before] = ~last[before]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
-    return rules, lengths, seq, np.diff(np.concatenate(([-1], np.flatnonzero(last))))
+        seq, last, open_ = seq[stay], last[stay], open_[stay]
+    return rules, lengths, seq.astype(np.int64), np.diff(np.concatenate(([-1], np.flatnonzero(last))))
 
 
 def expand(rules: np.ndarray, lengths: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
+    """The ids that symbols stand for: rules are written out first, those of known parts together."""
     starts = np.concatenate(([0], np.cumsum(lengths)))
     flat = np.zeros(starts[-1], np.uint32)
-    for k, pair in enumerate(rules.tolist()):
-        at = starts[k]
-        for s in pair:
-            if s < FIRST_RULE:
-                flat[at] = s
-                at += 1
-            else:
-                a, n = starts[s - FIRST_RULE], lengths[s - FIRST_RULE]
-                flat[at : at + n] = flat[a : a + n]
-                at += n
+    known = np.zeros(len(rules), bool)
+    rest = np.arange(len(rules))
+    while len(rest):
+        parts = rules[rest]
+        is_rule = parts >= FIRST_RULE
+        of = np.where(is_rule, parts - FIRST_RULE, 0)
+        ready = (known[of] | ~is_rule).all(axis=1)
+        own, parts, is_rule, of = rest[ready], parts[ready], is_rule[ready], of[ready]
+        at = starts[own]
+        for side in (0, 1):
+            plain = ~is_rule[:, side]
+            flat[at[plain]] = parts[plain, side]
+            a, n, to = starts[of[~plain, side]], lengths[of[~plain, side]], at[~plain]
+            flat[ragged(to, n)] = flat[ragged(a, n)]
+            at = at + np.where(plain, 1, lengths[of[:, side]])
+        known[own] = True
+        rest = rest[~ready]
+    if not len(lengths):
+        return seq.astype(np.uint32)
     pool = np.concatenate((flat, seq[seq < FIRST_RULE].astype(np.uint32)))
     is_rule = seq >= FIRST_RULE
     k = np.where(is_rule, seq - FIRST_RULE, 0)
     own = len(flat) + np.cumsum(~is_rule) - 1
-    if not len(lengths):
-        return pool
     return pool[ragged(np.where(is_rule, starts[k], own), np.where(is_rule, lengths[k], 1))]
 
 
