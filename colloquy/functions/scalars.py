@@ -61,7 +61,10 @@ def partition_day(dump_date: Column | None, created: Column) -> Column:
 
 
 def int_or_zero(c: Column) -> Column:
-    return F.coalesce(c.try_cast("int"), F.lit(0))
+    """A number or numeric text as a whole number, cut towards zero; 0 for all else."""
+    n = c.cast("string").try_cast("double")
+    whole = F.when(~F.isnan(n) & (F.abs(n) < 9.2e18), n.try_cast("bigint"))
+    return F.coalesce(c.cast("string").try_cast("bigint"), whole, F.lit(0).cast("bigint"))
 
 
 def int_or_null(text: Column) -> Column:
@@ -69,6 +72,14 @@ def int_or_null(text: Column) -> Column:
     return F.when(F.btrim(text).rlike("^[+-]?[0-9]+$"), F.btrim(text).try_cast("bigint"))
 
 
+def json_int(json: Column, key: str) -> Column:
+    """A member as a whole number: booleans are 1 and 0, numbers are cut, text counts only if it is whole."""
+    v = F.try_variant_get(F.try_parse_json(json), f"$.{key}", "variant")
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(F.try_parse_json(json), f"$.{key}", "string")
+    return F.when(kind == "BOOLEAN", (text == "true").cast("bigint")).when(kind == "STRING", int_or_null(text)).otherwise(F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint")))
+
+
 def first_present(json: Column, keys: list[str]) -> Column:
     """The value of the first key that the object has, even if that value is null."""
     present = F.json_object_keys(json)

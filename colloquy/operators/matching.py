@@ -43,13 +43,13 @@ def strata_counts(a: DataFrame, b: DataFrame, keys: list[str] = STRATUM) -> Data
 
 
 def smd(mean_a: Column, var_a: Column, mean_b: Column, var_b: Column) -> Column:
-    """Standardised mean difference; a missing variance is 0; equal means without spread give 0."""
+    """Standardised mean difference; a missing variance is 0; without spread equal means give 0, others infinity."""
     sd = F.sqrt((F.coalesce(var_a, F.lit(0.0)) + F.coalesce(var_b, F.lit(0.0))) / 2)
-    return F.when(sd > 0, (mean_a - mean_b) / sd).when(mean_a == mean_b, 0.0)
+    return F.when(sd > 0, (mean_a - mean_b) / sd).when(F.abs(mean_a - mean_b) < 1e-12, 0.0).when(mean_a.isNotNull() & mean_b.isNotNull(), F.lit(float("inf")))
 
 
 def numeric_balance(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """covariate, means and SMD; null where means differ without spread."""
+    """covariate, means and SMD."""
     def side(t, s):
         long = t.select(F.expr("stack({}, {}) as (covariate, x)".format(len(columns), ", ".join(f"'{c}', cast({c} as double)" for c in columns))))
         return long.groupBy("covariate").agg(F.avg("x").alias(f"mean_{s}"), F.var_samp("x").alias(f"var_{s}"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.scalars import hours_between
+from colloquy.sources.scratch import written
 
 BOUNDARY_HOURS = 4
 HORIZONS = (30, 300, 3600)
@@ -108,11 +109,35 @@ def binned_hazard(units: DataFrame, bin_minutes: float = 0.25, max_minutes: floa
 
 
 def kaplan_meier(units: DataFrame, decimals: int = 6) -> DataFrame:
-    """Survival at distinct event times (seconds rounded to whole ones keep the table small)."""
-    t = F.round(F.col("duration_hours") * 3600, 0)
-    n = units.groupBy(t.alias("t_seconds")).agg(F.count("*").alias("n"), F.sum("event_observed").alias("d"))
-    n = n.withColumn("at_risk", F.sum("n").over(Window.orderBy(F.desc("t_seconds")))).where("d > 0")
-    w = Window.orderBy("t_seconds")
-    gone = F.max(F.when(F.col("d") == F.col("at_risk"), 1).otherwise(0)).over(w)
-    s = F.exp(F.sum(F.when(F.col("d") < F.col("at_risk"), F.log(1 - F.col("d") / F.col("at_risk"))).otherwise(0.0)).over(w))
-    return n.select("t_seconds", "at_risk", F.col("d").alias("n_events"), F.round(F.when(gone == 1, 0.0).otherwise(s), decimals).alias("survival"))
+    """Survival at the distinct event times, exactly as they are.
+
+    Running sums over distinct times are taken within ranges of them (64 in each power of
+    two) and over the table of ranges, so no task orders all times.
+    """
+    times = units.groupBy("duration_hours").agg(F.count("*").alias("n"), F.sum("event_observed").alias("d"))
+    times = written(times.withColumn("range", F.floor(F.log2(F.col("duration_hours") * 3.6e9) * 64)), "times")
+    ranges = times.groupBy("range").agg(F.sum("n").alias("n_range"))
+    ranges = ranges.select(F.col("range").alias("r"), F.coalesce(F.sum("n_range").over(Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("later"))
+    own = Window.partitionBy("range")
+    t = times.join(ranges, F.col("range") == F.col("r")).withColumn("at_risk", F.col("later") + F.sum("n").over(own.orderBy(F.desc("duration_hours"))))
+    t = t.where("d > 0").withColumn("log", F.when(F.col("d") < F.col("at_risk"), F.log(1 - F.col("d") / F.col("at_risk"))).otherwise(0.0))
+    t = written(t.withColumn("ends", F.when(F.col("d") == F.col("at_risk"), 1).otherwise(0)).select("range", "duration_hours", "at_risk", "d", "log", "ends"), "times")
+    logs = t.groupBy("range").agg(F.sum("log").alias("log_range"))
+    logs = logs.select(F.col("range").alias("r"), F.coalesce(F.sum("log_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("earlier"))
+    # all are gone at the last time only, if at all
+    s = F.when(F.col("ends") == 1, 0.0).otherwise(F.exp(F.col("earlier") + F.sum("log").over(own.orderBy("duration_hours"))))
+    t = t.join(logs, F.col("range") == F.col("r")).withColumn("s", s)
+    return t.select(F.round(F.col("duration_hours") * 3600, 6).alias("t_seconds"), "at_risk", F.col("d").alias("n_events"), F.round("s", decimals).alias("survival"))
+
+
+def two_part_seconds() -> list[Column]:
+    """The report in seconds and percents: incidence, conditional times, shares within 30 s, 5 min and 1 h of all and of those replied to."""
+    e, sec = F.col("event_observed") == 1, F.col("duration_hours") * 3600
+    n, k = F.count("*"), F.count_if(e)
+    named = {"30s": 30, "5m": 300, "1h": 3600}
+    return [
+        n.alias("n_parents"), k.alias("n_replies"), (100 * k / n).alias("reply_incidence_pct"),
+        F.percentile(F.when(e, sec), 0.5).alias("conditional_t50_seconds"), F.percentile(F.when(e, sec), 0.9).alias("conditional_t90_seconds"),
+        *((100 * F.count_if(e & (sec <= v)) / n).alias(f"p_reply_le_{c}_uncond_pct") for c, v in named.items()),
+        *((100 * F.count_if(e & (sec <= v)) / F.nullif(k, F.lit(0))).alias(f"p_reply_le_{c}_cond_pct") for c, v in named.items()),
+    ]

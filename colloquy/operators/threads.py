@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.scalars import hours_between, keyword_category
+from colloquy.functions.scalars import hours_between, keyword_category, parent_key, parent_type
 from colloquy.sources.scratch import written
 
 ORDER = ("created_at_utc", "comment_id")
@@ -20,9 +20,12 @@ def child_counts(comments: DataFrame) -> DataFrame:
     return comments.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("n_children"))
 
 
-def tree_depths(comments: DataFrame, orphan_policy: str = "null") -> DataFrame:
+def tree_depths(comments: DataFrame, orphan_policy: str = "null", states: bool = False) -> DataFrame:
     """(comment_id, depth), roots at 1, by pointer doubling: chains of n replies take log2(n) joins.
 
+    With ``states`` also why a depth is null: ``missing`` (the chain leaves the thread) or
+    ``cycle`` (it closes on itself).
+
     ``null``: where the chain of parents leaves the thread or closes on itself the depth
     is null. ``ordered``: parents count only if they stand earlier in (time, id) order;
     a comment with no such parent has -1, and its replies count on from there.
@@ -48,17 +51,29 @@ def tree_depths(comments: DataFrame, orphan_policy: str = "null") -> DataFrame:
         )
         t = written(t, "depths")
         rounds += 1
-    return t.select("comment_id", F.when(F.col("top") != 0, F.col("top") + F.col("steps")).cast("int").alias("depth"))
+    state = [F.when(F.col("top").isNull(), "cycle").when(F.col("top") == 0, "missing").alias("state")] if states else []
+    return t.select("comment_id", F.when(F.col("top") != 0, F.col("top") + F.col("steps")).cast("int").alias("depth"), *state)
 
 
-def depth_diagnostics(comments: DataFrame, depths: DataFrame) -> DataFrame:
-    """One row: comments, roots, missing parents, unresolved depths, of these without a missing ancestor (cycles)."""
+def depth_diagnostics(comments: DataFrame) -> DataFrame:
+    """One row: comments, roots, missing parents, unresolved depths, and of these the ones below a missing parent and on or below a cycle."""
     ids = comments.select(F.col("comment_id").alias("known"), F.col("post_id").alias("known_post"))
-    t = comments.join(ids, (F.col("parent_id") == F.col("known")) & (F.col("post_id") == F.col("known_post")), "left").join(depths, "comment_id")
+    t = comments.join(ids, (F.col("parent_id") == F.col("known")) & (F.col("post_id") == F.col("known_post")), "left").join(tree_depths(comments, states=True), "comment_id")
     missing = F.col("parent_id").isNotNull() & F.col("known").isNull()
     return t.agg(
-        F.count("*").alias("n_comments"), F.count_if(F.col("parent_id").isNull()).alias("n_roots"), F.count_if(missing).alias("n_missing_parents"), F.count_if(F.col("depth").isNull()).alias("n_unresolved")
-    )
+        F.count("*").alias("n_comments"), F.count_if(F.col("parent_id").isNull()).alias("n_roots"), F.count_if(missing).alias("n_missing_parents"), F.count_if(F.col("depth").isNull()).alias("n_unresolved"),
+        F.count_if(F.col("state") == "missing").alias("n_below_missing"), F.count_if(F.col("state") == "cycle").alias("n_cycle"),
+    )
+
+
+def reference_diagnostics(comments: DataFrame, parent: Column, submission: Column) -> DataFrame:
+    """Of forum references: how many name a comment, the own submission, another submission, or have no known prefix."""
+    kind = parent_type(parent)
+    other = (kind == "submission") & ~parent_key(parent, "t3_").eqNullSafe(submission)
+    return comments.agg(
+        F.count("*").alias("n"), F.count_if(kind == "comment").alias("n_comment_parents"), F.count_if(kind == "submission").alias("n_submission_parents"),
+        F.count_if(other).alias("n_submission_mismatches"), F.count_if(kind == "unknown").alias("n_unknown_prefixes"),
+    )
 
 
 def thread_events(comments: DataFrame, posts: DataFrame, depths: DataFrame | None = None) -> DataFrame:

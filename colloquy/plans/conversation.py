@@ -61,11 +61,21 @@ def depth_single_pass(spark, d):
     return th.tree_depths(ad.comments(spark, d), "ordered")
 
 
-@query(VIEWS + """SELECT count(*) AS n_comments, count_if(c.parent_id IS NULL) AS n_roots, count_if(c.parent_id IS NOT NULL AND p.comment_id IS NULL) AS n_missing_parents, count_if(dep.depth IS NULL) AS n_unresolved
-FROM comments c LEFT JOIN comments p ON c.parent_id = p.comment_id AND c.post_id = p.post_id LEFT JOIN dep ON dep.comment_id = c.comment_id""")
+@query(VIEWS + """, up AS (SELECT c.comment_id, c.post_id, c.parent_id, c.parent_id IS NOT NULL AND p.comment_id IS NULL AS lost FROM comments c LEFT JOIN comments p ON c.parent_id = p.comment_id AND c.post_id = p.post_id),
+below AS (SELECT comment_id, post_id FROM up WHERE lost UNION ALL SELECT c.comment_id, c.post_id FROM comments c JOIN below b ON c.parent_id = b.comment_id AND c.post_id = b.post_id)
+SELECT count(*) AS n_comments, count_if(parent_id IS NULL) AS n_roots, count_if(lost) AS n_missing_parents, count_if(depth IS NULL) AS n_unresolved,
+(SELECT count(*) FROM below) AS n_below_missing, count_if(depth IS NULL) - (SELECT count(*) FROM below) AS n_cycle FROM up LEFT JOIN dep USING (comment_id)""")
 def depth_diagnostics(spark, d):
-    c = ad.comments(spark, d)
-    return th.depth_diagnostics(c, th.tree_depths(c))
+    return th.depth_diagnostics(ad.comments(spark, d))
+
+
+@query("""SELECT count(*) AS n, count_if(event_id % 4 = 0) AS n_comment_parents, count_if(event_id % 4 = 1) AS n_submission_parents, count_if(event_id % 4 = 1 AND event_id <> event_id // 10 * 10 + 1) AS n_submission_mismatches,
+count_if(event_id % 4 NOT IN (0, 1)) AS n_unknown_prefixes FROM events""")
+def reference_diagnostics(spark, d):
+    """Forum references made of event ids; a submission's own id ends in 1."""
+    k = F.col("event_id")
+    ref = F.when(k % 4 == 0, F.concat(F.lit("t1_"), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("t3_"), k.cast("string"))).when(k % 4 == 2, k.cast("string"))
+    return th.reference_diagnostics(ad.table(spark, d, "events"), ref, (F.floor(k / 10) * 10 + 1).cast("string"))
 
 
 @query(VIEWS + """SELECT comment_id, thread_id, parent_id, comment_agent_id, created_at_utc, submolt_category, parent_type, parent_agent_id, round(lag_since_parent_hours, 6) AS lag_since_parent_hours,
@@ -82,9 +92,11 @@ def child_counts(spark, d):
     return c.join(k, F.col("comment_id") == F.col("p"), "left").select("comment_id", F.coalesce("n_children", F.lit(0)).alias("n_children"))
 
 
-@query(VIEWS + "SELECT user_id AS thread_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) < 0")
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT o_orderkey, count(*) FROM orders GROUP BY 1 HAVING count(*) > 1")
 def many_to_one_check(spark, d):
-    return th.many_to_one(ad.posts(spark, d), "thread_id")
+    """Keys that break a many-to-one join: many of lines, none of orders."""
+    lines, orders = ad.table(spark, d, "lineitem"), ad.table(spark, d, "orders")
+    return th.many_to_one(lines, "l_orderkey").unionByName(th.many_to_one(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey"))
 
 
 @query(VIEWS + """SELECT thread_id, submolt, submolt_category, post_created_at_utc, n_comments, n_unique_agents, depth_max, round(depth_mean, 6) AS depth_mean, first_comment_at, last_comment_at,
@@ -184,16 +196,44 @@ def two_part_grouping_sets(spark, d):
     return rounded(sv.grouping_report(u, {"category": "submolt_category", "claim": "claim"}))
 
 
-@query(VIEWS + """SELECT submolt_category, count(*) AS n_units, count_if(event_observed = 1) AS n_events, round(count_if(event_observed = 1)::DOUBLE / count(*), 6) AS incidence,
-round(median(CASE WHEN event_observed = 1 THEN duration_hours * 60 END), 6) AS median_minutes, count(DISTINCT thread_id) AS n_threads,
-round(1 - exp(-(count_if(event_observed = 1)::DOUBLE / count(*)) / 0.5), 6) AS implied_probability FROM su WHERE NOT excluded_censor_boundary GROUP BY 1""")
-def reply_dynamics(spark, d):
+FAMILIES = {"overall": "'Overall'", "category": "submolt_category", "is_claimed": "CASE WHEN is_claimed = 1 THEN 'Claimed' ELSE 'Unclaimed' END", "follower_count_bin": "CASE WHEN follower_count <= 0 THEN '0' WHEN follower_count <= 9 THEN '1-9' WHEN follower_count > 9 THEN '10+' END"}
+
+
+def family_units(spark, d) -> DataFrame:
+    """Units outside the censoring boundary, once for each family of labels that they have one of."""
+    u = labelled_units(spark, d).where(~F.col("excluded_censor_boundary"))
+    labels = {"overall": F.lit("Overall"), "category": F.col("submolt_category"), "is_claimed": sc.claim_label(F.col("is_claimed"), "primary"), "follower_count_bin": sc.follower_bin(F.col("follower_count"))}
+    own = F.explode(F.array(*(F.struct(F.lit(k).alias("group_family"), c.alias("group_label")) for k, c in labels.items())))
+    return u.withColumn("own", own).select("*", "own.*").where("group_label is not null")
+
+
+@query(VIEWS + ", f AS (" + " UNION ALL ".join(f"SELECT '{k}' AS group_family, {c} AS group_label, * FROM sul WHERE NOT excluded_censor_boundary" for k, c in FAMILIES.items()) + """)
+SELECT group_family, group_label, count(*) AS n_parent_comments, count_if(event_observed = 1) AS n_events, round(avg(event_observed), 6) AS observed_reply_probability,
+round(median(CASE WHEN event_observed = 1 THEN duration_hours * 60 END), 6) AS conditional_median_reply_minutes, count(DISTINCT thread_id) AS n_threads FROM f WHERE group_label IS NOT NULL GROUP BY 1, 2""")
+def reply_dynamics_counts(spark, d):
+    """What is counted of reply dynamics, by family and label."""
     e = F.col("event_observed") == 1
-    t = units(spark, d).where(~F.col("excluded_censor_boundary")).groupBy("submolt_category").agg(
-        F.count("*").alias("n_units"), F.count_if(e).alias("n_events"), (F.count_if(e) / F.count("*")).alias("incidence"),
-        F.median(F.when(e, F.col("duration_hours") * 60)).alias("median_minutes"), F.count_distinct("thread_id").alias("n_threads"),
-    )
-    return rounded(t.withColumn("implied_probability", sc.reply_probability(F.col("incidence"), F.lit(0.5))))
+    return rounded(family_units(spark, d).groupBy("group_family", "group_label").agg(
+        F.count("*").alias("n_parent_comments"), F.count_if(e).alias("n_events"), F.avg("event_observed").alias("observed_reply_probability"),
+        F.median(F.when(e, F.col("duration_hours") * 60)).alias("conditional_median_reply_minutes"), F.count_distinct("thread_id").alias("n_threads"),
+    ))
+
+
+@query()
+def reply_dynamics(spark, d):
+    """Reply dynamics by family and label: counts, and the half-life and chance of a reply of the fitted hazard."""
+    from colloquy.operators import estimators as es
+
+    u = family_units(spark, d).withColumn("group", F.concat_ws("|", "group_family", "group_label"))
+    fits = es.fit_by_group(u, "group", least_units=1, least_events=1).select(F.col("group").alias("fitted"), "alpha", "beta")
+    t = reply_dynamics_counts(spark, d).withColumn("group", F.concat_ws("|", "group_family", "group_label")).join(fits, F.col("group") == F.col("fitted"), "left").drop("group", "fitted")
+    return rounded(t.withColumns({"half_life_hours": F.log(F.lit(2.0)) / F.col("beta"), "implied_eventual_reply_probability": sc.reply_probability(F.col("alpha"), F.col("beta"))}).drop("alpha", "beta"))
+
+
+SECONDS = """count(*) AS n_parents, count_if(event_observed = 1) AS n_replies, round(100 * avg(event_observed), 6) AS reply_incidence_pct,
+round(quantile_cont(CASE WHEN event_observed = 1 THEN duration_hours * 3600 END, 0.5), 6) AS conditional_t50_seconds, round(quantile_cont(CASE WHEN event_observed = 1 THEN duration_hours * 3600 END, 0.9), 6) AS conditional_t90_seconds, """ + ", ".join(
+    f"round(100 * count_if(event_observed = 1 AND duration_hours * 3600 <= {v})::DOUBLE / count(*), 6) AS p_reply_le_{k}_uncond_pct, round(100 * count_if(event_observed = 1 AND duration_hours * 3600 <= {v})::DOUBLE / nullif(count_if(event_observed = 1), 0), 6) AS p_reply_le_{k}_cond_pct" for k, v in {"30s": 30, "5m": 300, "1h": 3600}.items()
+)
 
 
 @query(VIEWS + """SELECT CASE WHEN follower_count <= 0 THEN '0' WHEN follower_count <= 9 THEN '1-9' WHEN follower_count > 9 THEN '10+' END AS followers, count(*) AS n,
@@ -243,17 +283,26 @@ def gap_evidence(spark, d):
     return rounded(sg.gap_evidence(tables, the_gap(spark, d)))
 
 
-@query(VIEWS + GAPS + """, sc AS (SELECT * FROM (SELECT su.*, gap_start, gap_end, unnest(['full', 'pre_gap', 'post_gap', 'exclude_6h', 'exclude_24h']) AS scenario FROM su, pg)
+SCENARIOS = GAPS + """, sc AS (SELECT * FROM (SELECT su.*, gap_start, gap_end, unnest(['full', 'pre_gap', 'post_gap', 'exclude_6h', 'exclude_24h']) AS scenario FROM su, pg)
   WHERE CASE scenario WHEN 'full' THEN true WHEN 'pre_gap' THEN created_at_utc < gap_start WHEN 'post_gap' THEN created_at_utc >= gap_end
   WHEN 'exclude_6h' THEN NOT (created_at_utc > gap_start - INTERVAL 6 HOUR AND created_at_utc <= gap_start) ELSE NOT (created_at_utc > gap_start - INTERVAL 24 HOUR AND created_at_utc <= gap_start) END),
 s2 AS (SELECT * REPLACE (CASE WHEN late THEN 0 ELSE event_observed END AS event_observed, CASE WHEN late THEN """ + hours_sql("created_at_utc", "gap_start") + """ ELSE duration_hours END AS duration_hours)
-  FROM (SELECT *, scenario = 'pre_gap' AND coalesce(first_reply_at > gap_start, true) AS late FROM sc))
-SELECT scenario, """ + TWO_PART + " FROM s2 WHERE duration_hours > 0 GROUP BY 1")
+  FROM (SELECT *, scenario = 'pre_gap' AND coalesce(first_reply_at > gap_start, true) AS late FROM sc))"""
+
+
+@query(VIEWS + SCENARIOS + "SELECT scenario, " + TWO_PART + " FROM s2 WHERE duration_hours > 0 GROUP BY 1")
 def gap_windows(spark, d):
     u = units(spark, d).crossJoin(F.broadcast(the_gap(spark, d)))
     return rounded(sv.scenarios(u, F.col("gap_start"), F.col("gap_end")).groupBy("scenario").agg(*sv.two_part_columns()))
 
 
+@query(VIEWS + SCENARIOS + "SELECT scenario, " + SECONDS + " FROM s2 WHERE duration_hours > 0 GROUP BY 1")
+def gap_windows_seconds(spark, d):
+    """The same windows in seconds and percents."""
+    u = units(spark, d).crossJoin(F.broadcast(the_gap(spark, d)))
+    return rounded(sv.scenarios(u, F.col("gap_start"), F.col("gap_end")).groupBy("scenario").agg(*sv.two_part_seconds()))
+
+
 @query(VIEWS + """, b AS (SELECT least(floor(duration_hours * 60 / 15), 40)::INT AS b, event_observed AS e FROM su WHERE NOT excluded_censor_boundary),
 h AS (SELECT k::INT AS bin, (SELECT count(*) FROM b WHERE b >= k) AS at_risk, (SELECT count(*) FROM b WHERE b = k AND e = 1) AS n_events FROM range(40) t(k))
 SELECT bin, bin * 15.0::DOUBLE AS bin_start_minutes, at_risk, n_events, round(n_events / (at_risk * 15.0::DOUBLE), 6) AS hazard_per_minute, round(n_events / (at_risk * 15.0::DOUBLE) * 60, 6) AS hazard_per_hour FROM h WHERE at_risk > 0""")
@@ -261,9 +310,9 @@ def hazard_binned(spark, d):
     return rounded(sv.binned_hazard(units(spark, d).where(~F.col("excluded_censor_boundary")), 15.0, 600.0))
 
 
-@query(VIEWS + """, n AS (SELECT round(duration_hours * 3600) AS t_seconds, count(*) AS n, sum(event_observed)::BIGINT AS d FROM su GROUP BY 1),
-r AS (SELECT *, sum(n) OVER (ORDER BY t_seconds DESC) AS at_risk FROM n), k AS (SELECT *, sum(CASE WHEN d < at_risk THEN ln(1 - d / at_risk::DOUBLE) ELSE 0 END) OVER (ORDER BY t_seconds) AS l, max((d = at_risk)::INT) OVER (ORDER BY t_seconds) AS gone FROM r WHERE d > 0)
-SELECT t_seconds, at_risk::BIGINT AS at_risk, d AS n_events, round(CASE WHEN gone = 1 THEN 0 ELSE exp(l) END, 6) AS survival FROM k""")
+@query(VIEWS + """, n AS (SELECT duration_hours AS h, count(*) AS n, sum(event_observed)::BIGINT AS d FROM su GROUP BY 1),
+r AS (SELECT *, sum(n) OVER (ORDER BY h DESC) AS at_risk FROM n), k AS (SELECT *, sum(CASE WHEN d < at_risk THEN ln(1 - d / at_risk::DOUBLE) ELSE 0 END) OVER (ORDER BY h) AS l, max((d = at_risk)::INT) OVER (ORDER BY h) AS gone FROM r WHERE d > 0)
+SELECT round(h * 3600, 6) AS t_seconds, at_risk::BIGINT AS at_risk, d AS n_events, round(CASE WHEN gone = 1 THEN 0 ELSE exp(l) END, 6) AS survival FROM k""")
 def km_curve(spark, d):
     return sv.kaplan_meier(units(spark, d))
 
@@ -431,11 +480,14 @@ def keyword_category(spark, d):
 
 VARIANTS = {"baseline": ("baseline", False), "expanded": ("expanded", False), "token_only": ("baseline", True)}
 PIVOTED = ["Builder/Technical", "Spam/Low-Signal"]
+#: Whether one category stands above the other in both measures, as in the baseline.
+ORDERED = """round(avg(CASE WHEN category = 'Builder/Technical' THEN e END), 6) > round(avg(CASE WHEN category = 'Spam/Low-Signal' THEN e END), 6) AS ordering_incidence_preserved,
+round(quantile_cont(CASE WHEN category = 'Builder/Technical' AND e = 1 THEN h * 60 END, 0.9), 6) < round(quantile_cont(CASE WHEN category = 'Spam/Low-Signal' AND e = 1 THEN h * 60 END, 0.9), 6) AS ordering_t90_preserved"""
 
 
 @query(VIEWS + ", k AS (" + " UNION ALL ".join(f"SELECT '{k}' AS variant, {category_sql('p.submolt', *v)} AS category, su.event_observed AS e, su.excluded_censor_boundary AS x, su.duration_hours AS h FROM su JOIN posts p USING (thread_id)" for k, v in VARIANTS.items()) + """),
 f AS (SELECT *, unnest(['all', 'no_boundary', 'large']) AS filter FROM k), n AS (SELECT *, count(*) OVER (PARTITION BY variant, filter, category) AS size FROM f WHERE filter <> 'no_boundary' OR NOT x)
-SELECT variant, filter, """ + ", ".join(f"round(avg(CASE WHEN category = '{c}' THEN e END), 6) AS \"incidence__{c}\", round(quantile_cont(CASE WHEN category = '{c}' AND e = 1 THEN h * 60 END, 0.9), 6) AS \"t90__{c}\"" for c in PIVOTED) + " FROM n WHERE filter <> 'large' OR size >= 1000 GROUP BY 1, 2")
+SELECT variant, filter, """ + ", ".join(f"round(avg(CASE WHEN category = '{c}' THEN e END), 6) AS \"incidence__{c}\", round(quantile_cont(CASE WHEN category = '{c}' AND e = 1 THEN h * 60 END, 0.9), 6) AS \"t90__{c}\"" for c in PIVOTED) + ", " + ORDERED + " FROM n WHERE filter <> 'large' OR size >= 1000 GROUP BY 1, 2")
 def keyword_sensitivity_pivot(spark, d):
     u = units(spark, d).join(ad.posts(spark, d).select("thread_id", "submolt"), "thread_id")
     v = F.array(*(F.struct(F.lit(k).alias("variant"), sc.keyword_category(F.col("submolt"), *a).alias("category")) for k, a in VARIANTS.items()))
@@ -447,21 +499,22 @@ def keyword_sensitivity_pivot(spark, d):
     kept = u.groupBy("variant", "filter").agg(F.max("keep").alias("any"))
     p = u.groupBy("variant", "filter").pivot("category", PIVOTED).agg(F.first("incidence").alias("incidence"), F.first("t90").alias("t90"))
     p = p.join(kept.where("any"), ["variant", "filter"]).select("variant", "filter", *(F.col(f"`{c}_{m}`").alias(f"{m}__{c}") for c in PIVOTED for m in ("incidence", "t90")))
-    return rounded(p)
+    p, (a, b) = rounded(p), PIVOTED
+    return p.withColumns({"ordering_incidence_preserved": F.col(f"incidence__{a}") > F.col(f"incidence__{b}"), "ordering_t90_preserved": F.col(f"t90__{a}") < F.col(f"t90__{b}")})
 
 
-@query(VIEWS + """SELECT m.submolt_category, round(incidence, 6) AS incidence, round(mean_children, 6) AS mean_children, round(p2, 6) AS p_depth2, round(p3, 6) AS p_depth3, round(abs(p2 - least(mean_children, 1)), 6) AS error2, round(abs(p3 - least(mean_children * mean_children, 1)), 6) AS error3
+@query(VIEWS + """SELECT m.submolt_category, round(incidence, 6) AS incidence, round(mean_children, 6) AS mean_children, round(p2, 6) AS p_depth2, round(p3, 6) AS p_depth3, round(p5, 6) AS p_depth5, round(abs(p2 - least(mean_children, 1)), 6) AS error2, round(abs(p3 - least(mean_children * mean_children, 1)), 6) AS error3, round(abs(p5 - least(mean_children ** 4, 1)), 6) AS error5
 FROM (SELECT submolt_category, avg(event_observed) AS incidence FROM su GROUP BY 1) s JOIN (SELECT submolt_category, avg(n_children) AS mean_children FROM te GROUP BY 1) e USING (submolt_category)
-JOIN (SELECT submolt_category, avg((depth_max >= 2)::INT) AS p2, avg((depth_max >= 3)::INT) AS p3 FROM tm GROUP BY 1) m USING (submolt_category)""")
+JOIN (SELECT submolt_category, avg((depth_max >= 2)::INT) AS p2, avg((depth_max >= 3)::INT) AS p3, avg((depth_max >= 5)::INT) AS p5 FROM tm GROUP BY 1) m USING (submolt_category)""")
 def model_vs_observed_tails(spark, d):
     e = events(spark, d)
     s = sv.survival_units(e).groupBy("submolt_category").agg(F.avg("event_observed").alias("incidence"))
     c = e.groupBy("submolt_category").agg(F.avg("n_children").alias("mean_children"))
     tail = lambda k: F.avg((F.col("depth_max") >= k).cast("int")).alias(f"p_depth{k}")
-    m = th.thread_metrics(e).groupBy("submolt_category").agg(tail(2), tail(3))
+    m = th.thread_metrics(e).groupBy("submolt_category").agg(tail(2), tail(3), tail(5))
     t = s.join(c, "submolt_category").join(m, "submolt_category")
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    return rounded(t.withColumns({"error2": F.abs(F.col("p_depth2") - clip(F.col("mean_children"))), "error3": F.abs(F.col("p_depth3") - clip(F.pow("mean_children", F.lit(2))))}))
+    return rounded(t.withColumns({"error2": F.abs(F.col("p_depth2") - clip(F.col("mean_children"))), "error3": F.abs(F.col("p_depth3") - clip(F.pow("mean_children", F.lit(2)))), "error5": F.abs(F.col("p_depth5") - clip(F.pow("mean_children", F.lit(4))))}))
 
 
 @query(VIEWS + "SELECT count(*) AS n_rows, count(DISTINCT thread_id) AS n_threads, count(DISTINCT comment_agent_id) AS n_agents, count_if(lag_since_parent_hours IS NULL) AS n_null_lags, count_if(lag_since_parent_hours < 0) AS n_negative_lags, min(created_at_utc) AS first_at, max(created_at_utc) AS last_at FROM te")
