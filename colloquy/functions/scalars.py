@@ -113,6 +113,15 @@ def json_type(json: Column) -> Column:
     )
 
 
+def variant_type(v: Column) -> Column:
+    """Type name of a parsed JSON value: null, bool, int, float, str, object or array."""
+    kind = F.schema_of_variant(v)
+    return (
+        F.when(v.isNull() | (kind == "VOID"), "null").when(kind == "BOOLEAN", "bool").when(kind == "BIGINT", "int").when(kind == "STRING", "str")
+        .when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise("float")
+    )
+
+
 def parent_type(parent: Column) -> Column:
     """Of forum references: t1_ a comment, t3_ a submission, else unknown."""
     return F.when(parent.startswith("t1_"), "comment").when(parent.startswith("t3_"), "submission").otherwise("unknown")

@@ -101,38 +101,66 @@ def fit_by_group(units: DataFrame, by: str, fit: Callable = exponential_kernel,
 
 
 def poisson_weight(cluster: Column, replicate: Column, seed: int) -> Column:
-    """A Poisson(1) count from a hash: how often a replicate draws a cluster."""
-    u = F.pmod(F.xxhash64(cluster, replicate, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    out, p, total = F.lit(9), math.exp(-1), 0.0
-    bounds = []
+    """A Poisson(1) count from 52 bits of a hash: how often a replicate draws a cluster."""
+    text = F.concat_ws("|", cluster.cast("string"), replicate.cast("string"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    out = F.lit(9)
+    for k, total in reversed(poisson_steps()):
+        out = F.when(u < total, k).otherwise(out)
+    return out
+
+
+def poisson_steps() -> list[tuple[int, float]]:
+    """(k, chance of at most k) of a Poisson(1) count, up to 8."""
+    bounds, p, total = [], math.exp(-1), 0.0
     for k in range(9):
         total += p
         bounds.append((k, total))
         p /= k + 1
-    for k, b in reversed(bounds):
-        out = F.when(u < b, k).otherwise(out)
-    return out
+    return bounds
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], ratios: dict[str, tuple[str, str]], reps: int, seed: int = 1) -> DataFrame:
-    """Percentile intervals of ratios of sums under resampled clusters: (metric, estimate, low, high)."""
-    per = df.groupBy(cluster).agg(*(F.sum(c).cast("double").alias(k) for k, c in sums.items()))
-    reps_ = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    weight = F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.col(cluster), F.col("rep"), seed))
-    t = reps_.withColumn("w", weight).groupBy("rep").agg(*(F.sum(F.col("w") * F.col(k)).alias(k) for k in sums))
-    stack = ", ".join(f"'{m}', {a} / nullif({b}, 0)" for m, (a, b) in ratios.items())
-    t = t.select("rep", F.expr(f"stack({len(ratios)}, {stack}) as (metric, value)"))
-    own = lambda c: F.when(F.col("rep") > 0, c)
-    return t.groupBy("metric").agg(
-        F.max(F.when(F.col("rep") == 0, F.col("value"))).alias("estimate"), F.percentile(own(F.col("value")), 0.025).alias("low"), F.percentile(own(F.col("value")), 0.975).alias("high"), F.count(own(F.col("value"))).alias("n_reps")
+def replicated(per: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
+    """Rows once a replicate with their cluster's weight ``w``, replicate 0 being the rows as they are; undrawn ones left out."""
+    t = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    return t.withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.col(cluster), F.col("rep"), seed))).where("w > 0")
+
+
+def percentile_interval(t: DataFrame, by: list[str], value: str) -> DataFrame:
+    """estimate (replicate 0), low, high, n_reps by group."""
+    own = F.when(F.col("rep") > 0, F.col(value))
+    return t.groupBy(*by).agg(
+        F.max(F.when(F.col("rep") == 0, F.col(value))).alias("estimate"), F.percentile(own, 0.025).alias("low"), F.percentile(own, 0.975).alias("high"), F.count(own).alias("n_reps")
     )
 
 
+def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], ratios: dict[str, tuple[str, str]], reps: int, seed: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Percentile intervals of ratios of sums under resampled clusters, by group: (group..., metric, estimate, low, high, n_reps)."""
+    per = df.groupBy(cluster, *by).agg(*(F.sum(c).cast("double").alias(k) for k, c in sums.items()))
+    t = replicated(per, cluster, reps, seed).groupBy(*by, "rep").agg(*(F.sum(F.col("w") * F.col(k)).alias(k) for k in sums))
+    stack = ", ".join(f"'{m}', {a} / nullif({b}, 0)" for m, (a, b) in ratios.items())
+    return percentile_interval(t.select(*by, "rep", F.expr(f"stack({len(ratios)}, {stack}) as (metric, value)")), [*by, "metric"], "value")
+
+
+def bootstrap_quantiles(df: DataFrame, cluster: str, value: str, probs: dict[str, float], reps: int, seed: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Percentile intervals of quantiles under resampled clusters: the smallest value whose running weight reaches p of the total.
+
+    Rows are counted by cluster and value first; running weights go over distinct values.
+    """
+    cells = df.groupBy(cluster, *by, F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    t = replicated(cells, cluster, reps, seed).groupBy(*by, "rep", "x").agg(F.sum(F.col("w") * F.col("n")).alias("w"))
+    own = Window.partitionBy(*by, "rep")
+    t = t.withColumns({"upto": F.sum("w").over(own.orderBy("x")), "total": F.sum("w").over(own)})
+    t = t.groupBy(*by, "rep").agg(*(F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("x"))).alias(k) for k, p in probs.items()))
+    t = t.select(*by, "rep", F.expr("stack({}, {}) as (metric, value)".format(len(probs), ", ".join(f"'{k}', {k}" for k in probs))))
+    return percentile_interval(t, [*by, "metric"], "value")
+
+
 def bootstrap_fits(units: DataFrame, cluster: str, reps: int, fit: Callable = exponential_kernel, seed: int = 1) -> DataFrame:
     """One fit a replicate of resampled clusters, each in its own group; durations are counted as in ``fit_by_group``."""
     ship(units.sparkSession)
     cells = units.groupBy(F.col(cluster).alias("c"), fine(F.col("duration_hours")).alias("s"), F.col("event_observed").alias("d")).agg(F.count("*").alias("n"))
-    t = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson_weight(F.col("c"), F.col("rep"), seed)).where("w > 0")
+    t = replicated(cells, "c", reps, seed).where("rep > 0")
     cells = t.groupBy("rep", "s", "d").agg(F.sum(F.col("w") * F.col("n")).cast("double").alias("w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -256,7 +284,7 @@ def bessel_ratio(kappa: float) -> float:
 
 
 def detectability(spark, n_events: int, kappas: list[float], draws: int = 50_000, alpha: float = 0.05, seed: int = 1) -> DataFrame:
-    """Power of the Rayleigh test over concentrations; each is a group with its own draws. z_critical is -ln(alpha)."""
+    """Power of the Rayleigh test over concentrations; each is a group with its own draws, and the first with a power of 0.8. z_critical is -ln(alpha)."""
     ship(spark)
     critical = -math.log(alpha)
 
@@ -268,7 +296,9 @@ def detectability(spark, n_events: int, kappas: list[float], draws: int = 50_000
         return pd.DataFrame({"kappa": [kappa], "rho": [bessel_ratio(kappa)], "power": [float((z >= critical).mean())]})
 
     t = spark.createDataFrame([(float(k),) for k in kappas], "kappa double")
-    return t.groupBy("kappa").applyInPandas(run, "kappa double, rho double, power double")
+    t = t.groupBy("kappa").applyInPandas(run, "kappa double, rho double, power double")
+    crosses = F.min(F.when(F.col("power") >= 0.8, F.col("kappa"))).over(Window.partitionBy())
+    return t.withColumn("kappa_power_crosses_0p8", crosses)
 
 
 def wilcoxon_p(w: float, n: int, ties: float) -> float:
@@ -287,6 +317,28 @@ def sign_test_p(positive: int, negative: int) -> float:
 
 
 def random_unit_per_cluster(df: DataFrame, cluster: str, key: str, seed: int = 1) -> DataFrame:
-    """One row a cluster, the first in the order of a seeded hash."""
-    w = Window.partitionBy(cluster).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """One row a cluster, the first in the order of a seeded hash; found by a minimum, so a large cluster is pre-aggregated."""
+    at = F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), F.col(key))
+    first = df.groupBy(cluster).agg(F.min(at).alias("_first")).select(F.col(f"_first.{key}").alias("_key"))
+    return df.join(first, F.col(key) == F.col("_key"), "left_semi")
+
+
+def two_way_covariance(units: DataFrame, score: list[Column], inverse: np.ndarray, first: str, second: str) -> dict[str, np.ndarray]:
+    """Covariances robust to clusters of each of two columns and of both: sums of scores by cluster, their products summed.
+
+    Both: that of the first plus that of the second less that of their crossing. Each has the
+    usual small-sample factor G / (G - 1) * (N - 1) / (N - K).
+    """
+    k = len(score)
+    t = units.select(first, second, *(c.alias(f"s{i}") for i, c in enumerate(score)))
+    n = t.count()
+
+    def of(keys: list[str]) -> np.ndarray:
+        sums = t.groupBy(*keys).agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k)))
+        m = sums.agg(F.count("*").alias("g"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
+        meat = np.array([[m[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+        g = m["g"]
+        return inverse @ meat @ inverse * (g / max(1, g - 1) * (n - 1) / max(1, n - k))
+
+    a, b, both = of([first]), of([second]), of([first, second])
+    return {"first": a, "second": b, "two_way": a + b - both}

@@ -91,13 +91,13 @@ def counters(events: DataFrame) -> DataFrame:
 
 def json_keys(df: DataFrame, json: str, by: list[str]) -> DataFrame:
     """By group: each key with its rows, whether all rows have it, and the JSON types of its values."""
-    from colloquy.functions.scalars import json_type
+    from colloquy.functions.scalars import variant_type
 
     t = df.select(*by, F.col(json).alias("_j")).where(F.json_object_keys("_j").isNotNull())
     total = t.groupBy(*by).agg(F.count("*").alias("n_objects"))
     keys = t.select(*by, "_j", F.explode(F.json_object_keys("_j")).alias("key"))
-    value = F.from_json("_j", "map<string,string>")[F.col("key")]
-    found = keys.groupBy(*by, "key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(json_type(value))).alias("types"))
+    value = F.from_json("_j", "map<string,variant>")[F.col("key")]
+    found = keys.groupBy(*by, "key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(variant_type(value))).alias("types"))
     return found.join(total, by).withColumn("in_all", F.col("n") == F.col("n_objects"))
 
 

@@ -85,12 +85,45 @@ def monotonicity(spark, d):
     return t.agg(F.count_if(F.col("last") < F.col("first")).alias("n_backwards"), F.count_if(F.col("last") > F.to_timestamp_ntz(F.lit("2024-01-20"))).alias("n_future"))
 
 
-@query("SELECT event_type, key, count(*) AS n, 'int' AS types, count(*) = max(total) AS in_all FROM (SELECT event_type, unnest(json_keys(props)) AS key, count(*) OVER (PARTITION BY event_type) AS total FROM events) GROUP BY 1, 2")
+MADE_JSON = """CASE event_id % 5 WHEN 0 THEN '{"id":' || event_id::VARCHAR || ',"tags":["a",1],"by":{"name":"x"}}' WHEN 1 THEN '{"id":"' || event_id::VARCHAR || '","ok":true,"tags":[]}'
+WHEN 2 THEN '{"id":null,"score":' || (event_id % 7)::VARCHAR || '.7,"ok":false}' WHEN 3 THEN '{"score":3,"by":"y"}' ELSE 'not json' END"""
+
+
+def made_json(spark, d) -> DataFrame:
+    """Objects of several shapes by event id, and texts that are no JSON."""
+    k = F.col("event_id")
+    text = k.cast("string")
+    made = (
+        F.when(k % 5 == 0, F.concat(F.lit('{"id":'), text, F.lit(',"tags":["a",1],"by":{"name":"x"}}'))).when(k % 5 == 1, F.concat(F.lit('{"id":"'), text, F.lit('","ok":true,"tags":[]}')))
+        .when(k % 5 == 2, F.concat(F.lit('{"id":null,"score":'), (k % 7).cast("string"), F.lit('.7,"ok":false}'))).when(k % 5 == 3, '{"score":3,"by":"y"}').otherwise("not json")
+    )
+    return ad.table(spark, d, "events").select("event_id", "event_type", made.alias("json"))
+
+
+@query(f"""WITH j AS (SELECT event_type, {MADE_JSON} AS json FROM events), o AS (SELECT event_type, json, count(*) OVER (PARTITION BY event_type) AS total FROM j WHERE json_valid(json)),
+k AS (SELECT *, unnest(json_keys(json)) AS key FROM o), v AS (SELECT *, json_type(json, '$."' || key || '"') AS t FROM k),
+y AS (SELECT event_type, key, total, CASE t WHEN 'VARCHAR' THEN 'str' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' ELSE 'array' END AS type FROM v)
+SELECT event_type, key, count(*) AS n, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(*) = max(total) AS in_all FROM y GROUP BY 1, 2""")
 def json_key_discovery(spark, d):
-    t = ql.json_keys(ad.table(spark, d, "events"), "props", ["event_type"])
+    """Keys of objects of several shapes, with the JSON types that their values take."""
+    t = ql.json_keys(made_json(spark, d), "json", ["event_type"])
     return t.select("event_type", "key", "n", F.array_join("types", ",").alias("types"), "in_all")
 
 
+@query(f"""WITH j AS (SELECT event_id, CASE WHEN json_valid(x) THEN x END AS json, x FROM (SELECT event_id, {MADE_JSON} AS x FROM events))
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id WHEN 1 THEN event_id END::BIGINT AS id, CASE event_id % 5 WHEN 2 THEN event_id % 7 WHEN 3 THEN 3 END::BIGINT AS score, CASE event_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 0 END::BIGINT AS ok,
+coalesce(trunc(try_cast(value AS DOUBLE))::BIGINT, 0) AS whole, make_timestamp((event_id % 100000) * 1000000) AS at, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y') ELSE strftime(ts, '%Y-%m-%d') END AS day, value > 0 AS positive FROM j JOIN events USING (event_id)""")
+def scalar_coercions(spark, d):
+    """JSON members and texts as whole numbers, epoch seconds, partition days, positive durations."""
+    t = made_json(spark, d).select("event_id", "json").join(ad.table(spark, d, "events").select("event_id", "ts", "value"), "event_id")
+    k = F.col("event_id")
+    day = F.when(k % 3 == 0, sc.partition_day(F.date_format("ts", "yyyy"), F.col("ts"))).otherwise(sc.partition_day(None, F.col("ts")))
+    return t.select(
+        "event_id", *(sc.json_int(F.col("json"), c).alias(c) for c in ("id", "score", "ok")), sc.int_or_zero(F.col("value").cast("string")).alias("whole"),
+        sc.epoch_timestamp((k % 100_000).cast("string")).cast("timestamp_ntz").alias("at"), day.alias("day"), sc.positive_minutes(F.col("value")).isNotNull().alias("positive"),
+    )
+
+
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, CASE WHEN event_id % 2 = 0 THEN (event_id % 9)::VARCHAR END AS first_present FROM events")
 def json_fields(spark, d):
     """A member as a whole number, and the first present of two keys, which may be null."""
@@ -252,19 +285,20 @@ def latex_lines(spark, d):
     return line.select(F.regexp_replace(F.get(key, F.lit(0)), ",", "").cast("long").alias("key"), F.array_join(F.slice(key, 2, 9), " & ").alias("line"))
 
 
-@query()
+@query("SELECT round::INT AS round, 'new' AS sort, (id + 1)::INT AS rank, 'post_' || (id + round * 3)::VARCHAR AS post_id, ((id * 7 + round) % 50)::INT AS comment_count FROM (SELECT *, row_number() OVER (PARTITION BY id + round * 3 ORDER BY round, id) AS k FROM range(20) i(id), range(3) r(round)) WHERE k = 1")
 def stub_feed_first_seen(spark, d):
     """Three generated polls; each post once, as it was first seen."""
     polls = ql.union_rows([feeds.stub_feed(spark, "new", 20, k) for k in range(3)])
     return ql.keep_first(polls, "post_id", ["round", "rank"])
 
 
-@query()
+@query("""WITH n AS (SELECT 'p' || p::VARCHAR AS post, i, j FROM range(3) a(p), range(3) b(i), range(-1, 2) c(j))
+SELECT post, post || '_c' || i::VARCHAR || CASE WHEN j >= 0 THEN '_' || j::VARCHAR ELSE '' END AS id, CASE WHEN j >= 0 THEN post || '_c' || i::VARCHAR END AS parent_id, CASE WHEN j >= 0 THEN 1 ELSE 0 END::INT AS depth, 'a' || CASE WHEN j >= 0 THEN j ELSE i END::VARCHAR AS author FROM n""")
 def nested_comments(spark, d):
     return feeds.flatten_comments(ql.union_rows([feeds.stub_thread(spark, f"p{k}") for k in range(3)]))
 
 
-@query()
+@query("SELECT 'i' || k::VARCHAR AS id, k * 1000 AS created_at_ms, (k % 40)::INT AS comment_count, 'text ' || (k * 1000)::VARCHAR AS body FROM range(500) t(k)")
 def cursor_window_scan(spark, d):
     feeds.register(spark)
     return spark.read.format("cursor_feed").options(after_ms=0, before_ms=500_000, page_size=64, partitions=4).load()

@@ -1,4 +1,4 @@
-"""Queries of estimators, resampling and streams: no SQL states them, tests hold them against plain versions."""
+"""Queries of estimators, resampling and streams. SQL states the counts, resamplings and streams; tests hold the fits against plain versions."""
 
 from __future__ import annotations
 
@@ -14,12 +14,12 @@ from colloquy.operators import survival as sv
 from colloquy.operators import threads as th
 from colloquy.operators import timeseries as ts
 from colloquy.plans.conversation import flat_events, labelled_units, rounded, sides, units
-from colloquy.plans.registry import query
+from colloquy.plans.registry import TWO_PART, VIEWS, query
 from colloquy.sources import adapters as ad
 from colloquy.sources.scratch import shared_path, ship
 from colloquy.streaming import operators as so
 
-REPS, SIMS = 400, 2000
+REPS, PAIR_REPS, SIMS = 400, 1000, 2000
 
 
 @query()
@@ -43,15 +43,60 @@ def weibull_conditional(spark, d):
     return rounded(es.fit_by_group(u, "submolt_category", es.weibull, ("shape", "scale"), 10, 10))
 
 
-@query()
+def weight_sql(cluster: str, seed: int = 1) -> str:
+    """The weight of a cluster in replicate ``rep``."""
+    u = f"(('0x' || substr(md5({cluster}::VARCHAR || '|' || rep::VARCHAR || '|{seed}'), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE)"
+    steps = " ".join(f"WHEN {u} < {total!r}::DOUBLE THEN {k}" for k, total in es.poisson_steps())
+    return f"CASE WHEN rep = 0 THEN 1 {steps} ELSE 9 END"
+
+
+INTERVAL = "round(max(CASE WHEN rep = 0 THEN v END), 6) AS estimate, round(quantile_cont(CASE WHEN rep > 0 THEN v END, 0.025), 6) AS low, round(quantile_cont(CASE WHEN rep > 0 THEN v END, 0.975), 6) AS high, count(CASE WHEN rep > 0 THEN v END) AS n_reps"
+
+
+def ratio_sql(per: str, cluster: str, ratios: dict[str, tuple[str, str]], by: str = "") -> str:
+    """Of a table ``per`` of sums by cluster: the replicates' ratios and their intervals."""
+    parts = " UNION ALL ".join(f"SELECT {by} rep, '{m}' AS metric, sum(w * {a})::DOUBLE / nullif(sum(w * {b}), 0) AS v FROM r GROUP BY ALL" for m, (a, b) in ratios.items())
+    return f", r AS (SELECT *, {weight_sql(cluster)} AS w FROM {per}, (SELECT unnest(range({REPS} + 1)) AS rep)), v AS ({parts}) SELECT {by} metric, {INTERVAL} FROM v GROUP BY ALL"
+
+
+RATIOS = {"incidence": ("e", "n"), "reentry": ("again", "known"), "reciprocity": ("both_ways", "dyads")}
+HEADLINE = """, h AS (SELECT thread_id, submolt_category, event_observed AS e, 1 AS n, 0 AS again, 0 AS known, 0 AS both_ways, 0 AS dyads FROM su
+UNION ALL SELECT thread_id, submolt_category, 0, 0, (row_number() OVER (PARTITION BY thread_id, comment_agent_id ORDER BY created_at_utc, comment_id) > 1)::INT, 1, 0, 0 FROM te WHERE comment_agent_id IS NOT NULL
+UNION ALL SELECT thread_id, submolt_category, 0, 0, 0, 0, reciprocal::INT, 1 FROM dy JOIN (SELECT DISTINCT thread_id, submolt_category FROM te) USING (thread_id)),
+per AS (SELECT thread_id, category, sum(e) AS e, sum(n) AS n, sum(again) AS again, sum(known) AS known, sum(both_ways) AS both_ways, sum(dyads) AS dyads FROM (SELECT *, unnest(['Overall', submolt_category]) AS category FROM h) GROUP BY ALL)"""
+
+
+@query(VIEWS + HEADLINE + ratio_sql("per", "thread_id", RATIOS, "category,"))
 def cluster_bootstrap(spark, d):
-    """Intervals of incidence, mean children and re-entry under resampled threads."""
+    """Intervals of incidence, re-entry and reciprocity under resampled threads, overall and by category."""
     e = flat_events(spark, d)
-    u = sv.survival_units(e).select("thread_id", F.col("event_observed").alias("e"), F.lit(1).alias("n"))
-    seen = th.seen_before(e).select("thread_id", F.col("seen").cast("int").alias("again"), F.lit(1).alias("known"))
-    t = u.unionByName(seen, allowMissingColumns=True)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return rounded(es.cluster_bootstrap(t, "thread_id", {c: zero(F.col(c)) for c in ("e", "n", "again", "known")}, {"incidence": ("e", "n"), "reentry": ("again", "known")}, 200))
+    u = sv.survival_units(e).select("thread_id", "submolt_category", F.col("event_observed").alias("e"), F.lit(1).alias("n"))
+    of = e.select("thread_id", "submolt_category").distinct()
+    seen = th.seen_before(e).join(of, "thread_id").select("thread_id", "submolt_category", F.col("seen").cast("int").alias("again"), F.lit(1).alias("known"))
+    pairs = th.dyads(e).join(of, "thread_id").select("thread_id", "submolt_category", F.col("reciprocal").cast("int").alias("both_ways"), F.lit(1).alias("dyads"))
+    t = u.unionByName(seen, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True)
+    t = t.withColumn("category", F.explode(F.array(F.lit("Overall"), F.col("submolt_category"))))
+    names = ("e", "n", "again", "known", "both_ways", "dyads")
+    return rounded(es.cluster_bootstrap(t, "thread_id", {c: F.coalesce(F.col(c), F.lit(0)) for c in names}, RATIOS, REPS, by=("category",)))
+
+
+@query(VIEWS + f""", c AS (SELECT thread_id, category, round(duration_hours * 60, 2) AS x, count(*) AS n FROM (SELECT *, unnest(['Overall', submolt_category]) AS category FROM su WHERE event_observed = 1) GROUP BY ALL),
+r AS (SELECT *, {weight_sql("thread_id")} AS w FROM c, (SELECT unnest(range({REPS} + 1)) AS rep)), x AS (SELECT category, rep, x, sum(w * n) AS w FROM r WHERE w > 0 GROUP BY ALL),
+q AS (SELECT *, sum(w) OVER (PARTITION BY category, rep ORDER BY x) AS upto, sum(w) OVER (PARTITION BY category, rep) AS total FROM x),
+v AS (SELECT category, rep, 'p50' AS metric, min(CASE WHEN upto >= 0.5 * total THEN x END) AS v FROM q GROUP BY ALL UNION ALL SELECT category, rep, 'p90', min(CASE WHEN upto >= 0.9 * total THEN x END) FROM q GROUP BY ALL)
+SELECT category, metric, {INTERVAL} FROM v GROUP BY ALL""")
+def bootstrap_reply_quantiles(spark, d):
+    """Intervals of median and 90 % reply minutes (to a hundredth) under resampled threads, overall and by category."""
+    u = units(spark, d).where("event_observed = 1").withColumn("minutes", F.round(F.col("duration_hours") * 60, 2))
+    u = u.withColumn("category", F.explode(F.array(F.lit("Overall"), F.col("submolt_category"))))
+    return rounded(es.bootstrap_quantiles(u, "thread_id", "minutes", {"p50": 0.5, "p90": 0.9}, REPS, by=("category",)))
+
+
+@query()
+def bootstrap_weibull_shape(spark, d):
+    """Percentile interval of the Weibull shape under resampled threads."""
+    t = es.bootstrap_fits(units(spark, d).where(~F.col("excluded_censor_boundary")), "thread_id", REPS, es.weibull)
+    return rounded(t.agg(F.percentile("first", 0.025).alias("low"), F.percentile("first", 0.5).alias("median"), F.percentile("first", 0.975).alias("high"), F.count("*").alias("n_reps")))
 
 
 @query()
@@ -62,19 +107,29 @@ def bootstrap_half_life(spark, d):
     return rounded(t.agg(F.percentile("half_life", 0.025).alias("low"), F.percentile("half_life", 0.5).alias("median"), F.percentile("half_life", 0.975).alias("high"), F.count("*").alias("n_reps")))
 
 
-@query()
+DEPTHS = {"mean_depth": ("d", "one"), "p_depth3": ("deep3", "one"), "p_depth5": ("deep5", "one")}
+
+
+@query(VIEWS + ", per AS (SELECT thread_id, depth_max AS d, 1 AS one, (depth_max >= 3)::INT AS deep3, (depth_max >= 5)::INT AS deep5 FROM tm)" + ratio_sql("per", "thread_id", DEPTHS))
 def bootstrap_depth(spark, d):
     """Mean depth and tails of threads as independent units."""
     m = th.thread_metrics(th.thread_events(ad.comments(spark, d), ad.posts(spark, d)))
-    sums = {"d": F.col("depth_max"), "one": F.lit(1), "deep": (F.col("depth_max") >= 3).cast("int")}
-    return rounded(es.cluster_bootstrap(m, "thread_id", sums, {"mean_depth": ("d", "one"), "p_depth3": ("deep", "one")}, 200))
+    sums = {"d": F.col("depth_max"), "one": F.lit(1), **{f"deep{k}": (F.col("depth_max") >= k).cast("int") for k in (3, 5)}}
+    return rounded(es.cluster_bootstrap(m, "thread_id", sums, DEPTHS, REPS))
+
+
+@query()
+def bootstrap_acf(spark, d):
+    """Interval of the mean 4-hour correlation of agents as independent units."""
+    t = ts.lag_correlation(ad.comments(spark, d), "created_at_utc", "comment_agent_id", 15, 16, 10)
+    return rounded(es.cluster_bootstrap(t, "agent", {"c": F.col("correlation"), "one": F.lit(1)}, {"mean_correlation": ("c", "one")}, REPS))
 
 
 @query()
 def paired_bootstrap(spark, d):
     """Interval of the mean paired difference in comments, with p-values of both tests."""
     pairs = mt.matched_pairs(*mt.overlap(*sides(spark, d, False)))
-    ci = es.cluster_bootstrap(pairs, "pair_id", {"d": F.col("diff_n_comments"), "one": F.lit(1)}, {"n_comments": ("d", "one")}, 200)
+    ci = es.cluster_bootstrap(pairs, "pair_id", {"d": F.col("diff_n_comments"), "one": F.lit(1)}, {"n_comments": ("d", "one")}, PAIR_REPS)
     p = mt.paired_effects(pairs).where("outcome = 'n_comments'")
     ship(spark)
 
@@ -87,24 +142,28 @@ def paired_bootstrap(spark, d):
 
 @query()
 def cloglog_glm(spark, d):
-    """Incidence by category and claim: coefficients with thread-clustered errors."""
-    u = labelled_units(spark, d).withColumn("claim", sc.claim_label(F.col("is_claimed"), "primary"))
+    """Incidence by category and claim: coefficients with errors of the model, by thread, and two-way by thread and author, and the mean prediction.
+
+    Rows without a known author are left out, as they belong to no author's cluster.
+    """
+    u = labelled_units(spark, d).where("comment_agent_id is not null").withColumn("claim", sc.claim_label(F.col("is_claimed"), "primary"))
     cells = u.groupBy("submolt_category", "claim").agg(F.count("*").alias("n"), F.sum("event_observed").alias("k"))
     beta, inverse, names = es.cloglog(cells, ["Social/Casual", "Unclaimed"], ["submolt_category", "claim"])
-
-    # scores by thread: one grouped sum of each design column
     cols = [F.lit(1.0), *(((F.col(n.split("[")[0]) == n.split("[")[1][:-1]).cast("double")) for n in names[1:])]
     eta = sum((c * float(b) for c, b in zip(cols[1:], beta[1:], strict=True)), F.lit(float(beta[0])))
     hz = F.exp(eta)
     p = 1 - F.exp(-hz)
     residual = (F.col("event_observed") - p) * hz * (1 - p) / (p * (1 - p))
-    scores = u.groupBy("thread_id").agg(*(F.sum(c * residual).alias(f"s{k}") for k, c in enumerate(cols)))
-    k = len(names)
-    meat = scores.agg(*(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(k))).first()
-    cov = inverse @ [[meat[f"m{i}_{j}"] for j in range(k)] for i in range(k)] @ inverse
-    rows = [(n, float(b), math.sqrt(max(0.0, cov[i][i]))) for i, (n, b) in enumerate(zip(names, beta, strict=True))]
-    t = spark.createDataFrame([(n, b, s, b / s if s else None, math.erfc(abs(b / s) / math.sqrt(2)) if s else None, b - 1.96 * s, b + 1.96 * s) for n, b, s in rows], "term string, estimate double, se double, z double, p double, low double, high double")
-    return rounded(t)
+    cov = es.two_way_covariance(u, [c * residual for c in cols], inverse, "thread_id", "comment_agent_id")
+    mean = u.agg(F.avg("event_observed").alias("observed"), F.avg(p).alias("predicted")).first()
+
+    def row(i: int, name: str) -> tuple:
+        b, s = float(beta[i]), math.sqrt(max(0.0, cov["two_way"][i][i]))
+        z = b / s if s else None
+        return name, b, math.sqrt(inverse[i][i]), math.sqrt(max(0.0, cov["first"][i][i])), s, z, math.erfc(abs(z) / math.sqrt(2)) if s else None, b - 1.96 * s, b + 1.96 * s, None, None
+
+    rows = [row(i, n) for i, n in enumerate(names)] + [("mean_incidence", *(None,) * 8, float(mean.observed), float(mean.predicted))]
+    return rounded(spark.createDataFrame(rows, "term string, estimate double, se_model double, se_thread double, se_two_way double, z double, p double, low double, high double, observed double, predicted double"))
 
 
 @query()
@@ -129,7 +188,7 @@ def power_curve(spark, d):
     return rounded(es.detectability(spark, n, [0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2]))
 
 
-@query()
+@query(VIEWS + ", one AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY md5(comment_id::VARCHAR || '|1'), comment_id) AS k FROM su), b AS (SELECT 'all' AS sample, * EXCLUDE (k) FROM one UNION ALL SELECT 'one_per_thread', * EXCLUDE (k) FROM one WHERE k = 1) SELECT sample, " + TWO_PART + " FROM b GROUP BY 1")
 def dependence_robustness(spark, d):
     """The two-part report on all units and on one random unit a thread."""
     u = units(spark, d)
@@ -151,22 +210,28 @@ def _stream(spark, d):
     return so.event_stream(spark, f"{d}/events.parque[t]")
 
 
-@query()
+LAST = "(SELECT max(ts) FROM events)"
+
+
+@query(f"SELECT * FROM (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 30 MINUTE <= {LAST} - INTERVAL 300 SECOND")
 def stream_tumbling(spark, d):
+    """Windows that the watermark has passed at the stream's end."""
     t = so.tumbling(_stream(spark, d), "ts", "30 minutes", ["event_type"])
-    return so.run_to_end(t, "stream_tumbling_out", checkpoint=shared_path(spark, "stream"))
+    return so.untimed(so.run_to_end(t, shared_path(spark, "stream")))
 
 
-@query()
+@query(f"""WITH l AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true) AS fresh FROM events), s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
+SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= {LAST} - INTERVAL 300 SECOND""")
 def stream_sessions(spark, d):
+    """Sessions that have ended by the watermark."""
     t = so.sessions(_stream(spark, d), "ts", "6 hours", ["user_id"])
-    return so.run_to_end(t, "stream_sessions_out", checkpoint=shared_path(spark, "stream"))
+    return so.untimed(so.run_to_end(t, shared_path(spark, "stream")))
 
 
-@query()
+@query("SELECT DISTINCT user_id FROM events")
 def stream_first_seen(spark, d):
     t = so.first_seen(_stream(spark, d).select("ts", "user_id"), "ts", "user_id", "60 days")
-    return so.run_to_end(t, "stream_first_seen_out", checkpoint=shared_path(spark, "stream"))
+    return so.run_to_end(t, shared_path(spark, "stream")).select("user_id")
 
 
 def _comment_stream(spark, d):
@@ -176,33 +241,49 @@ def _comment_stream(spark, d):
     return so.event_stream(spark, path, 1000)
 
 
-@query()
+@query(VIEWS + """, m AS (SELECT c.comment_id, epoch_us(c.created_at_utc) // 1000 AS born, epoch_us(f.first_reply_at) // 1000 AS reply FROM comments c LEFT JOIN fr f ON f.parent_id = c.comment_id)
+SELECT comment_id, make_timestamp(born * 1000) AS created_at, CASE WHEN reply - born BETWEEN 0 AND 3600000 THEN (reply - born) / 1000.0::DOUBLE END AS reply_seconds FROM m WHERE born + 3600000 < (SELECT max(epoch_us(created_at_utc) // 1000) FROM comments) - 60000""")
 def stream_first_reply(spark, d):
+    """Comments whose hour of observation the watermark has passed."""
     s = _comment_stream(spark, d).withWatermark("ts", "1 minute")
-    return so.run_to_end(so.first_replies(s, 3600), "stream_first_reply_out", checkpoint=shared_path(spark, "stream"))
+    return so.untimed(so.run_to_end(so.first_replies(s, 3600), shared_path(spark, "stream")))
 
 
-@query()
+@query(VIEWS + "SELECT thread_id, count(comment_agent_id) AS n_known, count(comment_agent_id) - count(DISTINCT comment_agent_id) AS n_again FROM te GROUP BY 1 HAVING count(comment_agent_id) > 0")
 def stream_reentry(spark, d):
     s = _comment_stream(spark, d).withColumnRenamed("post_id", "thread_id").select("thread_id", "comment_id", "comment_agent_id", "ts")
-    return so.run_to_end(so.running_reentry(s), "stream_reentry_out", "update", shared_path(spark, "stream"))
+    path = shared_path(spark, "reentry")
+    so.upserted(so.running_reentry(s), ["thread_id", "comment_agent_id"], "n", path, shared_path(spark, "stream"), "update")
+    return so.read_latest(spark, path).groupBy("thread_id").agg(F.sum("n").alias("n_known"), F.sum(F.col("n") - 1).alias("n_again"))
 
 
-@query()
+@query(VIEWS + ", l AS (SELECT *, lag(src) OVER w AS s0, lag(dst) OVER w AS d0 FROM edges WINDOW w AS (PARTITION BY thread_id ORDER BY created_at_utc, comment_id)) SELECT thread_id, count(*) AS n_edges, count_if(src = d0 AND dst = s0) AS n_answers FROM l GROUP BY 1")
+def stream_chains(spark, d):
+    """Per thread, edges and those that reverse the one before: the steps of reciprocal chains, kept as a running state."""
+    path = shared_path(spark, "edges")
+    th.interaction_edges(flat_events(spark, d)).withColumn("ts", F.col("created_at_utc")).write.parquet(path)
+    s = so.event_stream(spark, path, 1000).select("thread_id", "ts", "comment_id", "src", "dst")
+    out = shared_path(spark, "chains")
+    so.upserted(so.running_chains(s), ["thread_id"], "n_edges", out, shared_path(spark, "stream"), "update")
+    return so.read_latest(spark, out)
+
+
+POLLED = "SELECT 'i' || k::VARCHAR AS id, k * 1000 AS created_at_ms, (k % 40)::INT AS comment_count, 'text ' || (k * 1000)::VARCHAR AS body FROM range({}) t(k)"
+
+
+@query(POLLED.format(100))
 def stream_polling(spark, d):
     """The cursor source as a stream: a page a micro-batch until the window ends."""
     from colloquy.sources import feeds
 
     feeds.register(spark)
     s = spark.readStream.format("cursor_feed").options(after_ms=0, before_ms=100_000, page_size=40).load()
-    return so.run_to_end(s, "stream_polling_out", checkpoint=shared_path(spark, "stream"), paged=True)
+    return so.run_to_end(s, shared_path(spark, "stream"), paged=True)
 
 
-@query()
+@query("SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC) AS k FROM events) WHERE k = 1")
 def stream_latest_state(spark, d):
     """Latest event of each user, merged batch by batch."""
     path = shared_path(spark, "latest")
-    s = _stream(spark, d).select("user_id", "ts", "event_id", "event_type")
-    q = so.upsert_latest(s, "user_id", "ts", path).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/v{q.lastProgress['batchId']}")
+    so.upserted(_stream(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], "ts", path, shared_path(spark, "stream"))
+    return so.untimed(so.read_latest(spark, path))

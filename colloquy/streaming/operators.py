@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,55 +66,108 @@ def first_replies(comments: DataFrame, horizon_seconds: int) -> DataFrame:
 
 
 def running_reentry(comments: DataFrame) -> DataFrame:
-    """Per thread, in arrival order: comments by known authors and how many of them came from authors seen before. Update mode."""
+    """Comments so far by thread and known author, update mode: all but the first of an author are re-entries.
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, n, again = (set(state.get[0]), *state.get[1:]) if state.exists else (set(), 0, 0)
-        for pdf in parts:
-            for a in pdf.sort_values(["ts", "comment_id"]).comment_agent_id:
-                if a is not None:
-                    n, again = n + 1, again + (a in seen)
-                    seen.add(a)
-        state.update((sorted(seen), n, again))
-        yield pd.DataFrame({"thread_id": [key[0]], "n_known": [n], "n_again": [again]})
+    The state is a number a thread and author, so no state grows with a thread.
+    """
+    return comments.where("comment_agent_id is not null").groupBy("thread_id", "comment_agent_id").agg(F.count("*").alias("n"))
 
-    return comments.groupBy("thread_id").applyInPandasWithState(run, "thread_id long, n_known long, n_again long", "seen array<string>, n long, again long", "update", GroupStateTimeout.NoTimeout)
 
+def running_chains(edges: DataFrame) -> DataFrame:
+    """Per thread, in arrival order: edges so far and how many reversed the one before. Update mode; the state is the last edge and two counts."""
 
-def upsert_latest(stream: DataFrame, key: str, order: str, path: str):
-    """foreachBatch: keeps the latest row of each key in a table that is swapped as a whole."""
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        src, dst, n, answers = state.get if state.exists else (None, None, 0, 0)
+        held = pd.concat(list(parts)).sort_values(["ts", "comment_id"])
+        before_src, before_dst = held.src.shift(), held.dst.shift()
+        before_src.iloc[0], before_dst.iloc[0] = src, dst
+        n, answers = n + len(held), answers + int(((held.src == before_dst) & (held.dst == before_src)).sum())
+        state.update((held.src.iloc[-1], held.dst.iloc[-1], n, answers))
+        yield pd.DataFrame({"thread_id": [key[0]], "n_edges": [n], "n_answers": [answers]})
+
+    return edges.groupBy("thread_id").applyInPandasWithState(run, "thread_id long, n_edges long, n_answers long", "src string, dst string, n long, answers long", "update", GroupStateTimeout.NoTimeout)
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The newest written version of each bucket, of batches before the given one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/bucket=*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    out: dict[int, tuple[int, str]] = {}
+    for s in found:
+        p = s.getPath()
+        v, bucket = int(p.getParent().getName()[2:]), int(p.getName()[7:])
+        if before is None or v < before:
+            out[bucket] = max(out.get(bucket, (v, p.toString())), (v, p.toString()))
+    return {b: p for b, (_, p) in out.items()}
+
+
+def upsert_latest(stream: DataFrame, keys: list[str], order: str, path: str, buckets: int = 16):
+    """foreachBatch: keeps the latest row of each key in a table cut into buckets by a hash of the key.
+
+    A batch reads and rewrites the buckets that it touches only, as a new version below its
+    own number; a repeated batch writes the same version again.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(f"{path}/v{batch_id - 1}")
-            batch = before.unionByName(batch)
-        except Exception as e:  # the first batch has nothing before it
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rest = F.struct(order, *[c for c in batch.columns if c not in (key, order)])
-        latest = batch.groupBy(key).agg(F.max(rest).alias("r")).select(key, "r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most ``buckets``
+        held = _versions(spark, path, batch_id)
+        t = batch
+        for b in touched:
+            if b in held:
+                t = t.unionByName(spark.read.schema(batch.drop("bucket").schema).parquet(held[b]).withColumn("bucket", F.lit(b)))
+        rest = F.struct(order, *[c for c in batch.columns if c not in (*keys, order, "bucket")])
+        latest = t.groupBy("bucket", *keys).agg(F.max(rest).alias("r")).select("bucket", *keys, "r.*")
+        if touched:
+            latest.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(merge)
 
 
+def upserted(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Runs all that is there now into the table of ``upsert_latest``."""
+    upsert_latest(stream, keys, order, path).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_latest`` keeps."""
+    return spark.read.parquet(*_versions(spark, path).values())
+
+
 def every_nth(batch_id: int, n: int) -> bool:
     """Whether the costly part of a poll (comments of the top posts) is due in this round."""
     return batch_id % n == 0
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, paged: bool = False) -> DataFrame:
-    """Runs all that is there now into a memory table: for tests and small examples.
+def polled_rounds(stream: DataFrame, comments_of: Callable[[DataFrame], DataFrame], every: int, k: int, path: str):
+    """foreachBatch: writes each round's feed, and in every n-th round the comments of its top k posts."""
+    from colloquy.operators.quality import top_posts
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/feed/round={batch_id}")
+        if every_nth(batch_id, every):
+            comments_of(top_posts(batch, k)).write.mode("overwrite").parquet(f"{path}/comments/round={batch_id}")
+
+    return stream.writeStream.foreachBatch(write)
+
+
+def untimed(df: DataFrame) -> DataFrame:
+    """Timestamps without zone again, as the tables have them; sessions run in UTC."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
+
+
+def run_to_end(stream: DataFrame, path: str, paged: bool = False) -> DataFrame:
+    """Runs all that is there now into a table below ``path`` and reads it back.
 
     paged: the source hands out one page a batch and knows no end, so batches go on until one is empty.
     """
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode)
-    writer = writer.option("checkpointLocation", checkpoint) if checkpoint else writer
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows")
     q = (writer if paged else writer.trigger(availableNow=True)).start()
     if paged:
         q.processAllAvailable()
         q.stop()
     else:
         q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
