@@ -245,8 +245,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = reps.select("node", F.col("node").alias("component")).limit(0)
 
     top = scratch.keep(reps.join(labels, "node", "left").select("k1", "k2", "least", F.coalesce("component", "node").alias("c")))
-    names = top.groupBy("c").agg(F.min("least").alias("component_id"))
-    top = scratch.keep(top.join(names, "c").select("k1", "k2", "component_id"))
+    names = scratch.keep(top.groupBy("c").agg(F.min("least").alias("component_id")))
+    top = scratch.keep(top.join(names.hint("merge"), "c").select("k1", "k2", "component_id"))
     out = signatures.select("doc_id", "n_shingles", "k1", "k2").join(top.hint("merge"), ["k1", "k2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
