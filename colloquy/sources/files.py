@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import math
+import os
+import shutil
+import subprocess
 from datetime import UTC, date, datetime
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +36,15 @@ def export_table(df: DataFrame, path: str, fmt: str = "parquet", max_rows: int |
     return {"path": path, "format": fmt, "rows": df.sparkSession.read.format(fmt).options(header=True).load(path).count(), "columns": df.columns}
 
 
+def export_tables(tables: dict[str, DataFrame], root: str, fmt: str = "parquet", max_rows: int | None = None) -> dict:
+    """Each named table below ``root``, and a manifest of them all in ``root``/manifest, which is returned too."""
+    entries = {name: export_table(df, f"{root}/{name}", fmt, max_rows) for name, df in tables.items()}
+    manifest = {"created_at_utc": datetime.now(UTC).isoformat(), "tables": entries}
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/manifest")
+    return manifest
+
+
 def schema_of(spark: SparkSession, path: str) -> DataFrame:
     """(column, type, n_rows) from footers alone."""
     df = spark.read.parquet(path)
@@ -150,5 +164,43 @@ def ordered_payloads(spark: SparkSession, glob: str) -> DataFrame:
     return docs.select("path", F.posexplode(items).alias("position", "item"))
 
 
-def provenance(run_id: str, **config) -> str:
-    return json.dumps(plain({"run_id": run_id, "created_at_utc": datetime.now(UTC), **config}), sort_keys=True)
+def provenance(run_id: str, repo: str | None = None, commands: list[list[str]] = (), **config) -> str:
+    """A run's id, time and settings as JSON; with ``repo`` the commit and whether files differ from it, with ``commands`` their results."""
+
+    def result(command: list[str], cwd: str | None = None) -> dict:
+        try:
+            r = subprocess.run(command, cwd=cwd, capture_output=True, text=True, timeout=60)
+            return {"command": command, "returncode": r.returncode, "stdout": r.stdout.strip(), "stderr": r.stderr.strip()}
+        except (OSError, subprocess.TimeoutExpired) as e:
+            return {"command": command, "returncode": None, "stdout": "", "stderr": str(e)}
+
+    more = {}
+    if repo:
+        commit, changed = result(["git", "rev-parse", "HEAD"], repo), result(["git", "status", "--porcelain"], repo)
+        more["git"] = {"commit": commit["stdout"] or None, "changed": bool(changed["stdout"]) if changed["returncode"] == 0 else None}
+    if commands:
+        more["commands"] = [result(list(c)) for c in commands]
+    return json.dumps(plain({"run_id": run_id, "created_at_utc": datetime.now(UTC), **more, **config}), sort_keys=True)
+
+
+def gzip_files(folder: str, suffixes: tuple[str, ...] = (".json", ".jsonl")) -> dict:
+    """Raw files of a collector's own folder as .gz of the same content and time; what is done already stays.
+
+    A file is compressed to a temporary name, read back and compared, renamed, and only then removed.
+    """
+    done, before, after = 0, 0, 0
+    for path in sorted(p for p in Path(folder).rglob("*") if p.is_file() and p.suffix in suffixes):
+        to = path.with_name(path.name + ".gz")
+        part = path.with_name(path.name + ".gz.part")
+        with path.open("rb") as raw, part.open("wb") as out, gzip.GzipFile("", "wb", fileobj=out, mtime=0) as packed:
+            shutil.copyfileobj(raw, packed)
+        with gzip.open(part, "rb") as back, path.open("rb") as raw:
+            while (x := raw.read(1 << 20)) or back.peek(1):
+                if x != back.read(len(x) or 1):
+                    raise OSError(f"{part} does not hold {path}")
+        stat = path.stat()
+        os.utime(part, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+        before, after, done = before + stat.st_size, after + part.stat().st_size, done + 1
+        part.rename(to)
+        path.unlink()
+    return {"files": done, "bytes_before": before, "bytes_after": after}

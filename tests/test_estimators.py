@@ -93,3 +93,49 @@ def test_replicates_and_simulations_are_those_of_the_reference(spark, monkeypatc
             assert 0 <= r.p_value <= 1 and r.p_value * 2000 == pytest.approx(round(r.p_value * 2000), abs=0.01)
     assert seen == [2000] * 4
     assert catalog.queries()["bootstrap_half_life"](spark, "/root/testdata/sf0.001").first().n_reps == 400
+
+
+def test_bootstrap_weights_are_poisson(spark):
+    from pyspark.sql import functions as F
+
+    t = spark.range(20_000).select(es.poisson_weight(F.col("id"), F.lit(3), 1).alias("w"))
+    n = {r.w: r["count"] for r in t.groupBy("w").count().collect()}
+    for k in range(4):
+        assert n[k] / 20_000 == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.015)
+
+
+def test_two_way_covariance_against_sums_written_out(spark):
+    rng = np.random.default_rng(5)
+    n, k = 300, 2
+    a, b, x = rng.integers(0, 12, n), rng.integers(0, 9, n), rng.normal(size=(n, k))
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(int(i), int(j), *map(float, v)) for i, j, v in zip(a, b, x)], "a long, b long, x0 double, x1 double")
+    inverse = np.array([[0.5, 0.1], [0.1, 0.3]])
+
+    def of(groups):
+        sums = {}
+        for g, v in zip(groups, x):
+            sums[g] = sums.get(g, 0) + v
+        meat = sum(np.outer(v, v) for v in sums.values())
+        return inverse @ meat @ inverse * len(sums) / (len(sums) - 1) * (n - 1) / (n - k)
+
+    got = es.two_way_covariance(df, [F.col("x0"), F.col("x1")], inverse, "a", "b")
+    want = of(a.tolist()) + of(b.tolist()) - of(list(zip(a.tolist(), b.tolist())))
+    assert got["two_way"] == pytest.approx(want) and got["first"] == pytest.approx(of(a.tolist()))
+
+
+def test_half_life_at_the_published_rates(spark):
+    """Replies of seconds: fit and bootstrap median of the half-life within a hundredth of the truth."""
+    from colloquy.operators import estimators
+
+    rng = np.random.default_rng(7)
+    alpha, beta, n = 5.08585, 52.2088, 400_000
+    e = rng.exponential(size=n)
+    mu = alpha / beta
+    t = np.where(e < mu, -np.log1p(-np.minimum(e, mu * (1 - 1e-12)) / mu) / beta, 4.0)
+    df = spark.createDataFrame(pd.DataFrame({"thread_id": np.arange(n) % 4000, "duration_hours": t, "event_observed": (e < mu).astype(int), "g": "all"}))
+    b = estimators.fit_by_group(df, "g").first().beta
+    assert math.log(2) / b == pytest.approx(math.log(2) / beta, rel=0.02)
+    reps = sorted(r.second for r in estimators.bootstrap_fits(df, "thread_id", 20).collect())
+    assert reps[10] == pytest.approx(b, rel=0.01)

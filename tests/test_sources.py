@@ -118,7 +118,7 @@ def test_sessions_match_batch(spark, tmp_path):
     rows = [(1, t0), (1, t0 + dt.timedelta(hours=1)), (1, t0 + dt.timedelta(hours=9)), (2, t0 + dt.timedelta(days=5))]
     spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/e")
     t = so.sessions(so.event_stream(spark, f"{tmp_path}/e", 10), "ts", "6 hours", ["user_id"])
-    got = sorted((r.user_id, r.n) for r in so.run_to_end(t, "t_sessions", checkpoint=f"{tmp_path}/c").collect())
+    got = sorted((r.user_id, r.n) for r in so.run_to_end(t, f"{tmp_path}/c").collect())
     assert got == [(1, 1), (1, 2)]  # the last one stays open: its gap has not passed
 
 
@@ -129,7 +129,7 @@ def test_first_reply_stream(spark, tmp_path):
     rows = [(1, None, t0), (2, 1, t0 + dt.timedelta(seconds=30)), (3, 1, t0 + dt.timedelta(seconds=10)), (4, 2, t0 + dt.timedelta(hours=3)), (5, None, t0 + dt.timedelta(days=1))]
     spark.createDataFrame(rows, "comment_id long, parent_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/c")
     s = so.event_stream(spark, f"{tmp_path}/c", 10).withWatermark("ts", "1 second")
-    got = {r.comment_id: r.reply_seconds for r in so.run_to_end(so.first_replies(s, 3600), "t_first", checkpoint=f"{tmp_path}/k").collect()}
+    got = {r.comment_id: r.reply_seconds for r in so.run_to_end(so.first_replies(s, 3600), f"{tmp_path}/k").collect()}
     assert got == {1: 10.0, 2: None, 3: None, 4: None}
 
 
@@ -178,3 +178,73 @@ def test_parsed_time_columns(spark):
     out = sc.with_parsed_times(df).select("*", sc.endpoint_id(sc.F.col("endpoint")).alias("id"))
     assert out.columns == ["created_at", "other", "endpoint", "created_at_raw", "created_at_utc", "id"]
     assert out.first().id == "p1" and out.first().created_at_utc is not None
+
+
+def test_latest_state_over_many_batches(spark, tmp_path):
+    """A batch rewrites the buckets it touches; repeating one changes nothing."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    rows = [(r.randrange(30), k, f"v{k}") for k in range(200)]
+    for part in range(5):
+        spark.createDataFrame(rows[part * 40 : part * 40 + 40], "key long, ts long, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("key long, ts long, v string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    so.upserted(s, ["key"], "ts", f"{tmp_path}/out", f"{tmp_path}/state")
+    want = {}
+    for k, t, v in rows:
+        want[k] = max(want.get(k, (t, v)), (t, v))
+    assert {x.key: (x.ts, x.v) for x in so.read_latest(spark, f"{tmp_path}/out").collect()} == want
+    assert so.read_latest(spark, f"{tmp_path}/out").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def test_comments_of_top_posts_in_every_second_round(spark, tmp_path):
+    for k in range(4):
+        spark.createDataFrame([(f"p{k}{j}", j) for j in range(5)], "post_id string, comment_count long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("post_id string, comment_count long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = so.polled_rounds(s, lambda top: top.select("post_id"), 2, 3, f"{tmp_path}/out")
+    q.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out/feed").count() == 20
+    rounds = spark.read.parquet(f"{tmp_path}/out/comments").collect()
+    assert sorted({x["round"] for x in rounds}) == [0, 2] and len(rounds) == 6
+
+
+def test_chains_of_edges_over_batches(spark, tmp_path):
+    edges = [(1, k, k, *("ab" if k % 2 == 0 else "ba")) for k in range(6)] + [(2, k, k, "c", "d") for k in range(6)]
+    for k in range(3):
+        spark.createDataFrame([e for e in edges if e[1] // 2 == k], "thread_id long, ts long, comment_id long, src string, dst string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
+    s = spark.readStream.schema("thread_id long, ts long, comment_id long, src string, dst string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    so.upserted(so.running_chains(s), ["thread_id"], "n_edges", f"{tmp_path}/out", f"{tmp_path}/state", "update")
+    got = {x.thread_id: (x.n_edges, x.n_answers) for x in so.read_latest(spark, f"{tmp_path}/out").collect()}
+    assert got[1][0] == got[2][0] == 6 and got[2][1] == 0 and got[1][1] >= 3
+
+
+def test_exports_with_a_manifest(spark, tmp_path):
+    import json
+
+    got = files.export_tables({"a": spark.range(5).toDF("x"), "b": spark.range(7).toDF("y")}, f"{tmp_path}/e", max_rows=6)
+    assert {k: v["rows"] for k, v in got["tables"].items()} == {"a": 5, "b": 6}
+    assert json.loads(spark.read.text(f"{tmp_path}/e/manifest").first()[0])["tables"] == got["tables"]
+
+
+def test_raw_files_are_packed_once(tmp_path):
+    import gzip
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.json").write_bytes(b"{}" * 5000)
+    (tmp_path / "y.txt").write_text("stays")
+    time = (tmp_path / "d" / "x.json").stat().st_mtime_ns
+    assert files.gzip_files(str(tmp_path))["files"] == 1 and files.gzip_files(str(tmp_path))["files"] == 0
+    packed = tmp_path / "d" / "x.json.gz"
+    assert gzip.open(packed).read() == b"{}" * 5000 and packed.stat().st_mtime_ns == time and sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["x.json.gz", "y.txt"]
+
+
+def test_provenance_tells_commit_and_commands(tmp_path):
+    import json
+    import subprocess
+
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    got = json.loads(files.provenance("r1", repo=str(tmp_path), commands=[["echo", "hi"], ["no-such-command"]], seed=3))
+    assert got["seed"] == 3 and got["git"] == {"commit": "HEAD", "changed": False} or got["git"]["changed"] is False
+    assert got["commands"][0]["stdout"] == "hi" and got["commands"][1]["returncode"] is None

@@ -104,3 +104,36 @@ def test_hazard_first_bin(spark):
     df = spark.range(100).select((F.col("id") / 600).alias("duration_hours"), F.lit(1).alias("event_observed")).where("duration_hours > 0")
     first = sv.binned_hazard(df).orderBy("bin").first()
     assert first.at_risk == 99 and first.hazard_per_hour == pytest.approx(first.n_events / (99 * 0.25 / 60))
+
+
+def test_diagnostics_tell_cycles_from_missing_parents(spark):
+    import datetime as dt
+
+    at = lambda k: dt.datetime(2024, 1, 1, 0, 0, k)
+    rows = [(1, 1, None), (2, 1, 1), (3, 1, 99), (4, 1, 3), (5, 1, 6), (6, 1, 5), (7, 1, 6), (8, 2, 1)]
+    df = spark.createDataFrame([(i, p, up, at(i)) for i, p, up in rows], "comment_id long, post_id long, parent_id long, created_at_utc timestamp_ntz")
+    r = th.depth_diagnostics(df).first()
+    assert (r.n_comments, r.n_roots, r.n_missing_parents, r.n_unresolved, r.n_below_missing, r.n_cycle) == (8, 1, 2, 6, 3, 3)
+
+
+def test_survival_curve_against_products(spark):
+    from colloquy.operators import survival as sv
+
+    rows = [(0.001 * k * k + 1e-6, int(k % 3 != 0)) for k in range(1, 60)] + [(0.5, 1), (0.5, 0), (0.5, 1)]
+    df = spark.createDataFrame(rows, "duration_hours double, event_observed int")
+    got = [(r.t_seconds, r.at_risk, r.n_events, r.survival) for r in sv.kaplan_meier(df).orderBy("t_seconds").collect()]
+    s, want = 1.0, []
+    for t in sorted({t for t, e in rows if e}):
+        n, d = sum(x >= t for x, _ in rows), sum(x == t and e for x, e in rows)
+        s *= 1 - d / n
+        want.append((round(t * 3600, 6), n, d, round(s, 6)))
+    assert got == want
+
+
+def test_differences_without_spread_are_infinite(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.operators import matching as mt
+
+    r = spark.range(1).select(mt.smd(F.lit(2.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("a"), mt.smd(F.lit(1.0), F.lit(None).cast("double"), F.lit(1.0), F.lit(0.0)).alias("b")).first()
+    assert (r.a, r.b) == (float("inf"), 0.0)
