@@ -20,20 +20,20 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     A large star links every larger neighbour of a node with the smallest node around
     it, a small star the same for smaller neighbours; after a few rounds each node is
     linked with the smallest of its component alone. Each round is written to the
-    shared folder, and so are its minima: they are pre-aggregated, and the join of a node's
-    many links with them can be split.
+    shared folder, and so are the minima around a node: they are pre-aggregated, and the
+    join of a node's many links with them can be split.
     """
     both = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = scratch.keep(links.where(F.col("a") != F.col("b")).select(*both).distinct())
     while not _stars(edges):
         around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.keep(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = scratch.keep(around.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.col("v").alias("u"), "m", F.col("u").alias("own"))
+        large = around.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), "m", F.col("u").alias("own"))
         small = small.select("u", F.col("m").alias("v")).union(small.select(F.col("own").alias("u"), F.col("m").alias("v")))
         after = scratch.keep(small.where("u != v").distinct())
-        scratch.drop(edges, large, low)
+        scratch.drop(edges, low)
         edges = after
     tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)

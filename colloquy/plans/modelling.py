@@ -16,7 +16,7 @@ from colloquy.operators import timeseries as ts
 from colloquy.plans.conversation import flat_events, labelled_units, rounded, sides, units
 from colloquy.plans.registry import TWO_PART, VIEWS, query
 from colloquy.sources import adapters as ad
-from colloquy.sources.scratch import shared_path, ship
+from colloquy.sources.scratch import shared_path, ship, written
 from colloquy.streaming import operators as so
 
 REPS, PAIR_REPS, SIMS = 400, 1000, 2000
@@ -147,6 +147,7 @@ def cloglog_glm(spark, d):
     Rows without a known author are left out, as they belong to no author's cluster.
     """
     u = labelled_units(spark, d).where("comment_agent_id is not null").withColumn("claim", sc.claim_label(F.col("is_claimed"), "primary"))
+    u = written(u.select("submolt_category", "claim", "thread_id", "comment_agent_id", "event_observed"), "units")  # read once a sum
     cells = u.groupBy("submolt_category", "claim").agg(F.count("*").alias("n"), F.sum("event_observed").alias("k"))
     beta, inverse, names = es.cloglog(cells, ["Social/Casual", "Unclaimed"], ["submolt_category", "claim"])
     cols = [F.lit(1.0), *(((F.col(n.split("[")[0]) == n.split("[")[1][:-1]).cast("double")) for n in names[1:])]
