@@ -5,6 +5,14 @@ DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the quick brown fox jumps over a lazy dog and runs to that old river bank with great speed".split()
 
 
+NAN, INF = float("nan"), float("inf")
+#: Repeated vectors and ids, null and non-finite entries, shorter and empty vectors, large entries.
+VECTORS = [
+    (1, [0.5, -0.25, 1.0, 3.0, 0.1], 0), (1, [0.5, -0.25, 1.0, 3.0, 0.1], 0), (2, [0.5, -0.25, 1.0, 3.0, 0.1], 1), (3, None, 0), (4, [1.0, None, 2.0, 1.0, 1.0], 0), (5, [1.0, NAN, 2.0, 1.0, 1.0], 0),
+    (6, [INF, 0.0, 0.0, 0.0, 0.0], 0), (7, [2.0, 1.0], 0), (8, [], 0), (None, [-1.0, 7.5, 0.003, -0.003, 2.0], None), (9, [1e5, 1.0, -1e5, 0.0, -0.0], 3), (10, [0.2, 0.4, 0.1, -3.0, 0.7], 3), (11, [5.0, 4.0, 0.5, 0.25, 0.125], 3),
+]
+
+
 def prose(seed, n):
     import random
 
@@ -39,6 +47,7 @@ def odd_dir(spark, odd_rows, tmp_path_factory):
             "page_id long, url string, html string",
         ),
         "conversations": spark.createDataFrame([(1, 0, "user", "Hi"), (1, 1, None, "> Hi\nYes"), (1, 1, None, "> Hi\nYes"), (None, None, "user", None), (None, 2, "x", "")], "conv_id long, turn long, role string, text string"),
+        "embeddings": spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>, label int"),
     }
     for name, df in tables.items():
         extra(df).coalesce(1).write.parquet(f"{d}/{name}.parquet")
