@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.plans import conversation, curation, modelling  # noqa: F401
+from colloquy.plans import conversation, curation, jobs, modelling  # noqa: F401
 from colloquy.plans.registry import ORACLES, QUERIES
 
 
