@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators import scan
+
 STRATUM = ["topic", "hour", "early_bin"]
 OUTCOMES = ["n_comments", "depth_max", "n_unique_agents", "thread_duration_hours", "reentry_rate"]
 
@@ -26,8 +28,8 @@ def matched_pairs(a: DataFrame, b: DataFrame, keys: list[str] = STRATUM) -> Data
     Strata are numbered by their keys as text; a pair's number follows from the pairs of
     the strata before it, which are a row a stratum.
     """
-    w = Window.partitionBy(*keys).orderBy("early_comments", "post_created_at_utc", "thread_id")
-    side = lambda t, s: t.withColumn("rank", F.row_number().over(w)).select(*keys, "rank", *(F.col(c).alias(f"{c}_{s}") for c in ("thread_id", "early_comments", *OUTCOMES)))
+    order = ["early_comments", "post_created_at_utc", "thread_id"]
+    side = lambda t, s: scan.with_rank(scan.ranged(t, order, keys), order, keys).select(*keys, "rank", *(F.col(c).alias(f"{c}_{s}") for c in ("thread_id", "early_comments", *OUTCOMES)))
     pairs = side(a, "a").join(side(b, "b"), [*keys, "rank"])
     sizes = pairs.groupBy(*keys).agg(F.count("*").alias("n"))
     before = Window.orderBy(*(F.col(k).cast("string") if k != "hour" else F.col(k) for k in keys)).rowsBetween(Window.unboundedPreceding, -1)
@@ -84,9 +86,10 @@ def paired_effects(pairs: DataFrame) -> DataFrame:
     """Per outcome: means, mean and median difference, paired Cohen d, signed-rank sums (zeros dropped, ties at mean rank), signs."""
     long = pairs.select(F.expr("stack({}, {}) as (outcome, a, b, d)".format(len(OUTCOMES), ", ".join(f"'{c}', cast({c}_a as double), cast({c}_b as double), diff_{c}" for c in OUTCOMES)))).where("d is not null")
     base = long.groupBy("outcome").agg(
-        F.count("*").alias("n_pairs"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("d").alias("mean_diff"), F.median("d").alias("median_diff"), F.stddev_samp("d").alias("sd"),
+        F.count("*").alias("n_pairs"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"),
         F.count_if(F.col("d") > 0).alias("n_positive"), F.count_if(F.col("d") < 0).alias("n_negative"),
     )
+    base = scan.with_quantiles(base, long, "d", {"median_diff": 0.5}, ["outcome"])
     # ranks over distinct absolute differences: a row a value, not a row a pair
     v = long.where("d <> 0").groupBy("outcome", F.abs("d").alias("x")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("np"))
     w = Window.partitionBy("outcome").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators import scan
+
 
 def latest_state(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The last row of each key; ``order`` lists descending columns and ends with a unique one."""
@@ -137,8 +139,5 @@ def top_posts(posts: DataFrame, k: int) -> DataFrame:
 
 
 def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: list[float], by: list[str]) -> DataFrame:
-    """Smallest value whose running weight reaches p of the total; runs over distinct values."""
-    n = df.groupBy(*by, F.col(value).alias("x")).agg(F.sum(weight).alias("w"))
-    w = Window.partitionBy(*by)
-    n = n.withColumns({"cw": F.sum("w").over(w.orderBy("x")), "total": F.sum("w").over(w)})
-    return n.groupBy(*by).agg(*(F.min(F.when(F.col("cw") >= p * F.col("total"), F.col("x"))).alias(f"p{round(p * 100)}") for p in probs))
+    """Smallest value whose running weight reaches p of the total."""
+    return scan.quantiles(df, value, {f"p{round(p * 100)}": p for p in probs}, by, "least", weight)

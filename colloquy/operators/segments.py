@@ -1,25 +1,18 @@
-"""Gaps and segments of one long ordered series, without ordering it in one task.
-
-Rows are dealt to days and ordered within each; what a row needs of earlier days comes
-from a table with one row a day.
-"""
+"""Gaps and segments of one long ordered series, by scans over ranges of it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.scalars import hours_between
+from colloquy.operators import scan
 
 
 def with_previous(df: DataFrame, ts: str, tie: str) -> DataFrame:
     """With ``previous``, the time before in the order (ts, tie) over all rows."""
-    t = df.where(F.col(ts).isNotNull()).withColumn("_day", F.to_date(ts))
-    days = t.groupBy("_day").agg(F.max(ts).alias("_last"))
-    days = days.select(F.col("_day").alias("_d"), F.lag("_last").over(Window.orderBy("_day")).alias("_carry"))
-    own = Window.partitionBy("_day").orderBy(ts, tie)
-    t = t.withColumn("_own", F.lag(ts).over(own)).join(days, F.col("_day") == F.col("_d"))
-    return t.withColumn("previous", F.coalesce("_own", "_carry")).drop("_own", "_carry", "_d", "_last")
+    t = scan.ranged(df.where(F.col(ts).isNotNull()), [ts, tie])
+    return scan.with_previous(t, ts, [ts, tie])
 
 
 def time_gaps(df: DataFrame, ts: str, tie: str, threshold_hours: float) -> DataFrame:
@@ -31,13 +24,9 @@ def time_gaps(df: DataFrame, ts: str, tie: str, threshold_hours: float) -> DataF
 def segments(df: DataFrame, ts: str, tie: str, threshold_hours: float) -> DataFrame:
     """(segment, start, end, n, duration_hours): a step longer than the threshold begins a segment."""
     t = with_previous(df, ts, tie)
-    t = t.withColumn("_new", F.when(hours_between(F.col("previous"), F.col(ts)) > threshold_hours, 1).otherwise(0))
-    days = t.groupBy("_day").agg(F.sum("_new").alias("_n"))
-    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_day").orderBy(ts, tie)
-    t = t.withColumn("_k", F.sum("_new").over(own)).join(days, F.col("_day") == F.col("_d"))
-    t = t.groupBy((F.col("_before") + F.col("_k")).alias("segment")).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
+    fresh = F.when(hours_between(F.col("previous"), F.col(ts)) > threshold_hours, 1).otherwise(0).cast("long")
+    t = scan.with_running(t, {"segment": fresh}, [ts, tie])
+    t = t.groupBy("segment").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
     return t.withColumn("duration_hours", hours_between(F.col("start"), F.col("end")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.scalars import hours_between
+from colloquy.operators import scan
 from colloquy.sources.scratch import written
 
 BOUNDARY_HOURS = 4
@@ -36,34 +37,38 @@ def valid(units: DataFrame) -> DataFrame:
 
 
 def two_part_columns() -> list[Column]:
-    """Incidence and conditional reply times in minutes."""
+    """Incidence and shares of reply times in minutes, all but the quantiles."""
     e, m = F.col("event_observed") == 1, F.col("duration_hours") * 60
     replied = F.when(e, m)
     n, k = F.count("*"), F.count_if(e)
     within = lambda minutes: F.count_if(e & (m <= minutes))
     return [
         n.alias("n_units"), k.alias("n_events"), (k / n).alias("incidence"),
-        F.percentile(replied, 0.5).alias("p50_minutes"), F.percentile(replied, 0.9).alias("p90_minutes"), F.percentile(replied, 0.95).alias("p95_minutes"),
         (within(0.5) / n).alias("within_30s"), (within(5) / n).alias("within_5m"), (within(0.5) / F.nullif(k, F.lit(0))).alias("within_30s_conditional"), (within(5) / F.nullif(k, F.lit(0))).alias("within_5m_conditional"),
         (F.log(F.lit(2.0)) * F.avg(replied)).alias("half_life_minutes"),
     ]
 
 
+def _with_times(units: DataFrame, by: list[str], columns: list[Column], scale: float, probs: dict[str, float]) -> DataFrame:
+    """A report by group with quantiles of the times of replies beside it; units are written once for both."""
+    t = written(units.select(*by, "event_observed", "duration_hours"), "units")
+    replied = t.where("event_observed = 1").withColumn("scaled", F.col("duration_hours") * scale)
+    return scan.with_quantiles(t.groupBy(*by).agg(*columns), replied, "scaled", probs, by)
+
+
+def two_part(units: DataFrame, by: list[str]) -> DataFrame:
+    """The two-part report by group: incidence, and times of replies in minutes."""
+    return _with_times(units, by, two_part_columns(), 60.0, {"p50_minutes": 0.5, "p90_minutes": 0.9, "p95_minutes": 0.95})
+
+
 def grouping_report(units: DataFrame, families: dict[str, str]) -> DataFrame:
-    """The two-part report overall and by each family of labels: one aggregation over grouping sets.
+    """The two-part report overall and by each family of labels, each unit once for every family.
 
     families: family name to label column; a label 'Unknown' is left out of its family.
     """
-    cols = list(families.values())
-    sets = [[], *([F.col(c)] for c in cols)]
-    t = units.groupingSets(sets, *map(F.col, cols)).agg(F.grouping_id().alias("gid"), *two_part_columns())
-    all_bits = (1 << len(cols)) - 1
-    family, label = F.lit("overall"), F.lit("all")
-    for k, (name, c) in enumerate(families.items()):
-        own = F.col("gid") == all_bits ^ (1 << (len(cols) - 1 - k))
-        family, label = F.when(own, name).otherwise(family), F.when(own, F.coalesce(c, F.lit("nan"))).otherwise(label)
-    t = t.select(family.alias("group_family"), label.alias("group_label"), *[c for c in t.columns if c not in (*cols, "gid")])
-    return t.where("group_label <> 'Unknown'")
+    own = F.array(F.struct(F.lit("overall").alias("f"), F.lit("all").alias("l")), *(F.struct(F.lit(name).alias("f"), F.coalesce(c, F.lit("nan")).alias("l")) for name, c in families.items()))
+    t = units.select("event_observed", "duration_hours", F.explode(own).alias("g")).select("*", F.col("g.f").alias("group_family"), F.col("g.l").alias("group_label"))
+    return two_part(t.where("group_label <> 'Unknown'"), ["group_family", "group_label"])
 
 
 def horizon_incidence(units: DataFrame, by: list[str], horizons=HORIZONS) -> DataFrame:
@@ -130,14 +135,14 @@ def kaplan_meier(units: DataFrame, decimals: int = 6) -> DataFrame:
     return t.select(F.round(F.col("duration_hours") * 3600, 6).alias("t_seconds"), "at_risk", F.col("d").alias("n_events"), F.round("s", decimals).alias("survival"))
 
 
-def two_part_seconds() -> list[Column]:
+def two_part_seconds(units: DataFrame, by: list[str]) -> DataFrame:
     """The report in seconds and percents: incidence, conditional times, shares within 30 s, 5 min and 1 h of all and of those replied to."""
     e, sec = F.col("event_observed") == 1, F.col("duration_hours") * 3600
     n, k = F.count("*"), F.count_if(e)
     named = {"30s": 30, "5m": 300, "1h": 3600}
-    return [
+    columns = [
         n.alias("n_parents"), k.alias("n_replies"), (100 * k / n).alias("reply_incidence_pct"),
-        F.percentile(F.when(e, sec), 0.5).alias("conditional_t50_seconds"), F.percentile(F.when(e, sec), 0.9).alias("conditional_t90_seconds"),
         *((100 * F.count_if(e & (sec <= v)) / n).alias(f"p_reply_le_{c}_uncond_pct") for c, v in named.items()),
         *((100 * F.count_if(e & (sec <= v)) / F.nullif(k, F.lit(0))).alias(f"p_reply_le_{c}_cond_pct") for c, v in named.items()),
     ]
+    return _with_times(units, by, columns, 3600.0, {"conditional_t50_seconds": 0.5, "conditional_t90_seconds": 0.9})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.scalars import hours_between, keyword_category, parent_key, parent_type
+from colloquy.operators import scan
 from colloquy.sources.scratch import written
 
 ORDER = ("created_at_utc", "comment_id")
@@ -165,9 +166,9 @@ def unit_histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
 def descriptive(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, exact median, sample deviation, extremes and count of each column, nulls left out."""
     t = df.select(F.expr("stack({}, {}) as (metric, value)".format(len(columns), ", ".join(f"'{c}', cast({c} as double)" for c in columns))))
-    return t.where("value is not null").groupBy("metric").agg(
-        F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n")
-    )
+    t = written(t.where("value is not null"), "metrics")
+    report = t.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n"))
+    return scan.with_quantiles(report, t, "value", {"median": 0.5}, ["metric"])
 
 
 def depth_tail_slope(metrics: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from math import pi
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators import scan
+
 
 def binned_counts(df: DataFrame, ts: str, minutes: int) -> DataFrame:
     """Counts by bin over the complete calendar from first to last, empty bins with 0."""
@@ -60,5 +62,6 @@ def lag_correlation(df: DataFrame, ts: str, agent: str, minutes: int, lag: int,
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with the share of rows at or below each."""
-    n = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    return n.select("value", (F.sum("n").over(Window.orderBy("value")) / F.sum("n").over(Window.partitionBy())).alias("ecdf"))
+    n = scan.ranged(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n")), ["value"])
+    t = scan.with_running(n, {"upto": F.col("n")}, ["value"]).crossJoin(F.broadcast(n.agg(F.sum("n").alias("total"))))
+    return t.select("value", (F.col("upto") / F.col("total")).alias("ecdf"))

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from colloquy.functions import scalars as sc
 from colloquy.operators import matching as mt
 from colloquy.operators import quality as ql
+from colloquy.operators import scan
 from colloquy.operators import segments as sg
 from colloquy.operators import survival as sv
 from colloquy.operators import threads as th
 from colloquy.operators import timeseries as ts
 from colloquy.plans.registry import TWO_PART, VIEWS, category_sql, hours_sql, query
 from colloquy.sources import adapters as ad
+from colloquy.sources.scratch import written
 
 SEGMENT_GAP_HOURS = 0.25
 
@@ -212,11 +214,12 @@ SELECT group_family, group_label, count(*) AS n_parent_comments, count_if(event_
 round(median(CASE WHEN event_observed = 1 THEN duration_hours * 60 END), 6) AS conditional_median_reply_minutes, count(DISTINCT thread_id) AS n_threads FROM f WHERE group_label IS NOT NULL GROUP BY 1, 2""")
 def reply_dynamics_counts(spark, d):
     """What is counted of reply dynamics, by family and label."""
-    e = F.col("event_observed") == 1
-    return rounded(family_units(spark, d).groupBy("group_family", "group_label").agg(
-        F.count("*").alias("n_parent_comments"), F.count_if(e).alias("n_events"), F.avg("event_observed").alias("observed_reply_probability"),
-        F.median(F.when(e, F.col("duration_hours") * 60)).alias("conditional_median_reply_minutes"), F.count_distinct("thread_id").alias("n_threads"),
-    ))
+    by = ["group_family", "group_label"]
+    u = written(family_units(spark, d).select(*by, "event_observed", (F.col("duration_hours") * 60).alias("minutes"), "thread_id"), "units")
+    t = u.groupBy(*by).agg(
+        F.count("*").alias("n_parent_comments"), F.count_if(F.col("event_observed") == 1).alias("n_events"), F.avg("event_observed").alias("observed_reply_probability"), F.count_distinct("thread_id").alias("n_threads"),
+    )
+    return rounded(scan.with_quantiles(t, u.where("event_observed = 1"), "minutes", {"conditional_median_reply_minutes": 0.5}, by))
 
 
 @query()
@@ -293,14 +296,14 @@ s2 AS (SELECT * REPLACE (CASE WHEN late THEN 0 ELSE event_observed END AS event_
 @query(VIEWS + SCENARIOS + "SELECT scenario, " + TWO_PART + " FROM s2 WHERE duration_hours > 0 GROUP BY 1")
 def gap_windows(spark, d):
     u = units(spark, d).crossJoin(F.broadcast(the_gap(spark, d)))
-    return rounded(sv.scenarios(u, F.col("gap_start"), F.col("gap_end")).groupBy("scenario").agg(*sv.two_part_columns()))
+    return rounded(sv.two_part(sv.scenarios(u, F.col("gap_start"), F.col("gap_end")), ["scenario"]))
 
 
 @query(VIEWS + SCENARIOS + "SELECT scenario, " + SECONDS + " FROM s2 WHERE duration_hours > 0 GROUP BY 1")
 def gap_windows_seconds(spark, d):
     """The same windows in seconds and percents."""
     u = units(spark, d).crossJoin(F.broadcast(the_gap(spark, d)))
-    return rounded(sv.scenarios(u, F.col("gap_start"), F.col("gap_end")).groupBy("scenario").agg(*sv.two_part_seconds()))
+    return rounded(sv.two_part_seconds(sv.scenarios(u, F.col("gap_start"), F.col("gap_end")), ["scenario"]))
 
 
 @query(VIEWS + """, b AS (SELECT least(floor(duration_hours * 60 / 15), 40)::INT AS b, event_observed AS e FROM su WHERE NOT excluded_censor_boundary),
@@ -493,7 +496,9 @@ def keyword_sensitivity_pivot(spark, d):
     v = F.array(*(F.struct(F.lit(k).alias("variant"), sc.keyword_category(F.col("submolt"), *a).alias("category")) for k, a in VARIANTS.items()))
     u = u.select("event_observed", "excluded_censor_boundary", "duration_hours", F.explode(v).alias("v")).select("*", "v.*")
     u = u.withColumn("filter", F.explode(F.array(*map(F.lit, ("all", "no_boundary", "large"))))).where("filter <> 'no_boundary' or not excluded_censor_boundary")
-    u = u.groupBy("variant", "filter", "category").agg(F.avg("event_observed").alias("incidence"), F.percentile(F.when(F.col("event_observed") == 1, F.col("duration_hours") * 60), 0.9).alias("t90"), F.count("*").alias("size"))
+    by = ["variant", "filter", "category"]
+    u = written(u.select(*by, "event_observed", (F.col("duration_hours") * 60).alias("minutes")), "units")
+    u = scan.with_quantiles(u.groupBy(*by).agg(F.avg("event_observed").alias("incidence"), F.count("*").alias("size")), u.where("event_observed = 1"), "minutes", {"t90": 0.9}, by)
     u = u.withColumn("keep", (F.col("filter") != "large") | (F.col("size") >= 1000))
     u = u.withColumns({c: F.when(F.col("keep"), F.col(c)) for c in ("incidence", "t90")})
     kept = u.groupBy("variant", "filter").agg(F.max("keep").alias("any"))
@@ -529,8 +534,8 @@ def one_unit_per_thread(spark, d):
     return ad.comments(spark, d).withColumn("k", F.row_number().over(w)).where("k = 1").select("post_id", "comment_id")
 
 
-@query(VIEWS + """, w AS (SELECT submolt_category AS category, round(duration_hours * 60, 3) AS x, 1 + thread_id % 3 AS w FROM su WHERE event_observed = 1), c AS (SELECT category, x, sum(w) AS w FROM w GROUP BY 1, 2),
-q AS (SELECT *, sum(w) OVER (PARTITION BY category ORDER BY x) AS cw, sum(w) OVER (PARTITION BY category) AS t FROM c) SELECT category, min(CASE WHEN cw >= 0.5 * t THEN x END) AS p50, min(CASE WHEN cw >= 0.9 * t THEN x END) AS p90 FROM q GROUP BY 1""")
+@query(VIEWS + """, w AS (SELECT submolt_category AS category, duration_hours * 60 AS x, 1 + thread_id % 3 AS w FROM su WHERE event_observed = 1), c AS (SELECT category, x, sum(w) AS w FROM w GROUP BY 1, 2),
+q AS (SELECT *, sum(w) OVER (PARTITION BY category ORDER BY x) AS cw, sum(w) OVER (PARTITION BY category) AS t FROM c) SELECT category, round(min(CASE WHEN cw >= 0.5 * t THEN x END), 6) AS p50, round(min(CASE WHEN cw >= 0.9 * t THEN x END), 6) AS p90 FROM q GROUP BY 1""")
 def weighted_quantile(spark, d):
-    u = units(spark, d).where("event_observed = 1").select(F.col("submolt_category").alias("category"), F.round(F.col("duration_hours") * 60, 3).alias("x"), (1 + F.col("thread_id") % 3).alias("w"))
-    return ql.weighted_quantiles(u, "x", "w", [0.5, 0.9], ["category"])
+    u = units(spark, d).where("event_observed = 1").select(F.col("submolt_category").alias("category"), (F.col("duration_hours") * 60).alias("x"), (1 + F.col("thread_id") % 3).alias("w"))
+    return rounded(ql.weighted_quantiles(u, "x", "w", [0.5, 0.9], ["category"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import scalars as sc
 from colloquy.operators import quality as ql
+from colloquy.operators import scan
 from colloquy.operators import timeseries as ts
 from colloquy.plans.conversation import rounded
 from colloquy.plans.registry import VIEWS, query
@@ -147,9 +148,9 @@ def campaign_projection(spark, d):
 
 @query("SELECT count(*) AS n, count_if(event_type NOT IN ('click', 'view')) AS n_bad_sort, count_if(r > 100) AS n_bad_rank, 0::BIGINT AS n_null_ids FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) AS r FROM events)")
 def feed_invariants(spark, d):
-    e = ad.table(spark, d, "events").select("event_type", F.struct("ts", "event_id").alias("s"), F.window("ts", "1 day")["start"].alias("day"))
-    feed = e.groupBy("event_type", "day").agg(F.array_sort(F.collect_list("s")).alias("l")).select(F.col("event_type").alias("sort"), F.posexplode("l").alias("p", "s"))
-    feed = feed.select("sort", (F.col("p") + 1).alias("rank"), F.col("s.event_id").alias("post_id"))
+    e = ad.table(spark, d, "events").select("event_type", "ts", "event_id", F.window("ts", "1 day")["start"].alias("day"))
+    by, order = ["event_type", "day"], ["ts", "event_id"]
+    feed = scan.with_rank(scan.ranged(e, order, by), order, by).select(F.col("event_type").alias("sort"), "rank", F.col("event_id").alias("post_id"))
     return ql.feed_invariants(feed, ["click", "view"], 100)
 
 
@@ -181,8 +182,9 @@ def numeric_bins(spark, d):
 @query("SELECT l_returnflag, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM lineitem), 6) AS share, round(avg(l_quantity), 6) AS mean, round(quantile_cont(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_quantity, 0.9), 6) AS p90, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1")
 def exact_quantiles(spark, d):
     t = ad.table(spark, d, "lineitem").groupBy("l_returnflag").agg(
-        F.count("*").alias("n"), F.avg("l_quantity").alias("mean"), F.percentile("l_quantity", 0.5).alias("p50"), F.percentile("l_quantity", 0.9).alias("p90"), F.count_distinct("l_partkey").alias("n_parts")
+        F.count("*").alias("n"), F.avg("l_quantity").alias("mean"), F.count_distinct("l_partkey").alias("n_parts")
     )
+    t = scan.with_quantiles(t, ad.table(spark, d, "lineitem"), "l_quantity", {"p50": 0.5, "p90": 0.9}, ["l_returnflag"])
     total = t.agg(F.sum("n").alias("total"))
     return rounded(t.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total")).drop("total"))
 
@@ -245,7 +247,7 @@ def partitioned_run_roundtrip(spark, d):
     """Written as run_id=/dt= partitions and one run read back through partition pruning."""
     root = shared_path(spark, "runs")
     t = ad.table(spark, d, "lineitem").select("l_linestatus", "l_returnflag", F.date_format("l_shipdate", "yyyy").alias("dt"))
-    for run in ("A", "R"):
+    for run in ("A", "N", "R"):
         files.write_run(t.where(F.col("l_returnflag") == run).drop("l_returnflag"), root, "lines", run)
     back = files.read_run(spark, root, "lines", "R")
     return back.groupBy("l_linestatus", F.col("run_id").alias("run")).agg(F.count("*").alias("n"))

@@ -195,7 +195,7 @@ def dependence_robustness(spark, d):
     u = units(spark, d)
     one = es.random_unit_per_cluster(u, "thread_id", "comment_id")
     t = u.withColumn("sample", F.lit("all")).unionByName(one.withColumn("sample", F.lit("one_per_thread")))
-    return rounded(t.groupBy("sample").agg(*sv.two_part_columns()))
+    return rounded(sv.two_part(t, ["sample"]))
 
 
 @query()
