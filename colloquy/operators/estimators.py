@@ -1,16 +1,8 @@
-"""Estimators in numpy inside grouped functions, and resampling dealt over tasks.
-
-Hazard a*exp(-b s): the likelihood in b alone after a is profiled out; Weibull: the shape
-by Newton after the scale is profiled out. A fit's sufficient input is the column of
-durations; groups are fitted in parallel. Bootstrap replicates resample threads with
-Poisson(1) counts drawn from a hash of thread and replicate, so a replicate is a grouped
-sum over (thread, replicate) rows and needs no collected arrays.
-"""
+"""Spectra, regressions, tests, and the two survival fits for durations in hand (``fits`` has them for tables)."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -28,7 +20,7 @@ def exponential_kernel(s: np.ndarray, d: np.ndarray, w: np.ndarray | None = None
     """(alpha, beta, log-likelihood) of the hazard alpha * exp(-beta s) with events d and weights w.
 
     For each beta the best alpha is events / sum w (1 - exp(-beta s)) / beta, which leaves
-    a function of log beta: a grid finds its peak, golden sections narrow it.
+    a function of log beta: a grid finds its peak, halving by the sign of its slope narrows it.
     """
     w = np.ones(len(s)) if w is None else w
     events = float((w * d).sum())
@@ -42,12 +34,16 @@ def exponential_kernel(s: np.ndarray, d: np.ndarray, w: np.ndarray | None = None
         alpha = events / mass
         return events * math.log(alpha) - beta * total - events, alpha
 
+    def slope(log_beta: float) -> float:
+        beta = math.exp(log_beta)
+        return events - beta * (total + events * float((w * s * np.exp(-beta * s)).sum()) / float((w * -np.expm1(-beta * s)).sum()))
+
     grid = np.linspace(-20, 20, 81)
     best = max(range(len(grid)), key=lambda k: profile(grid[k])[0])
-    lo, hi, g = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)], (math.sqrt(5) - 1) / 2
+    lo, hi = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
     for _ in range(80):
-        a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-        lo, hi = (lo, b) if profile(a)[0] > profile(b)[0] else (a, hi)
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if slope(mid) >= 0 else (lo, mid)
     log_beta = (lo + hi) / 2
     ll, alpha = profile(log_beta)
     return alpha, math.exp(log_beta), ll
@@ -80,96 +76,6 @@ def weibull(s: np.ndarray, d: np.ndarray, w: np.ndarray | None = None) -> tuple[
     return k, scale, ll
 
 
-def fine(hours: Column) -> Column:
-    """Seven significant digits of a duration: within 5e-7 of it, and boundedly many distinct values in each power of ten."""
-    scale = F.pow(F.lit(10.0), 6 - F.floor(F.log10(hours)))
-    return F.when(hours > 0, F.round(hours * scale) / scale).otherwise(hours)
-
-
-def fit_by_group(units: DataFrame, by: str, fit: Callable = exponential_kernel, names=("alpha", "beta"), least_units: int = 20, least_events: int = 5) -> DataFrame:
-    """One fit a group. Durations are counted at ``fine`` values first, so a group's input is bounded by distinct times, not units."""
-    ship(units.sparkSession)
-    cells = units.groupBy(by, fine(F.col("duration_hours")).alias("s"), F.col("event_observed").alias("d")).agg(F.count("*").cast("double").alias("w"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, k = pdf.w.sum(), (pdf.w * pdf.d).sum()
-        a, b, ll = fit(pdf.s.to_numpy(), pdf.d.to_numpy(float), pdf.w.to_numpy()) if n >= least_units and k >= least_events else (math.nan,) * 3
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n_units": [int(n)], "n_events": [int(k)], names[0]: [a], names[1]: [b], "log_likelihood": [ll]})
-
-    t = cells.groupBy(by).applyInPandas(run, f"{by} string, n_units long, n_events long, {names[0]} double, {names[1]} double, log_likelihood double")
-    return t.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (*names, "log_likelihood")})
-
-
-def poisson_weight(cluster: Column, replicate: Column, seed: int) -> Column:
-    """A Poisson(1) count from 52 bits of a hash: how often a replicate draws a cluster."""
-    text = F.concat_ws("|", cluster.cast("string"), replicate.cast("string"), F.lit(str(seed)))
-    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    out = F.lit(9)
-    for k, total in reversed(poisson_steps()):
-        out = F.when(u < total, k).otherwise(out)
-    return out
-
-
-def poisson_steps() -> list[tuple[int, float]]:
-    """(k, chance of at most k) of a Poisson(1) count, up to 8."""
-    bounds, p, total = [], math.exp(-1), 0.0
-    for k in range(9):
-        total += p
-        bounds.append((k, total))
-        p /= k + 1
-    return bounds
-
-
-def replicated(per: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
-    """Rows once a replicate with their cluster's weight ``w``, replicate 0 being the rows as they are; undrawn ones left out."""
-    t = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    return t.withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.col(cluster), F.col("rep"), seed))).where("w > 0")
-
-
-def percentile_interval(t: DataFrame, by: list[str], value: str) -> DataFrame:
-    """estimate (replicate 0), low, high, n_reps by group."""
-    own = F.when(F.col("rep") > 0, F.col(value))
-    return t.groupBy(*by).agg(
-        F.max(F.when(F.col("rep") == 0, F.col(value))).alias("estimate"), F.percentile(own, 0.025).alias("low"), F.percentile(own, 0.975).alias("high"), F.count(own).alias("n_reps")
-    )
-
-
-def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], ratios: dict[str, tuple[str, str]], reps: int, seed: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
-    """Percentile intervals of ratios of sums under resampled clusters, by group: (group..., metric, estimate, low, high, n_reps)."""
-    per = df.groupBy(cluster, *by).agg(*(F.sum(c).cast("double").alias(k) for k, c in sums.items()))
-    t = replicated(per, cluster, reps, seed).groupBy(*by, "rep").agg(*(F.sum(F.col("w") * F.col(k)).alias(k) for k in sums))
-    stack = ", ".join(f"'{m}', {a} / nullif({b}, 0)" for m, (a, b) in ratios.items())
-    return percentile_interval(t.select(*by, "rep", F.expr(f"stack({len(ratios)}, {stack}) as (metric, value)")), [*by, "metric"], "value")
-
-
-def bootstrap_quantiles(df: DataFrame, cluster: str, value: str, probs: dict[str, float], reps: int, seed: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
-    """Percentile intervals of quantiles under resampled clusters: the smallest value whose running weight reaches p of the total.
-
-    Rows are counted by cluster and value first; running weights go over distinct values.
-    """
-    cells = df.groupBy(cluster, *by, F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    t = replicated(cells, cluster, reps, seed).groupBy(*by, "rep", "x").agg(F.sum(F.col("w") * F.col("n")).alias("w"))
-    own = Window.partitionBy(*by, "rep")
-    t = t.withColumns({"upto": F.sum("w").over(own.orderBy("x")), "total": F.sum("w").over(own)})
-    t = t.groupBy(*by, "rep").agg(*(F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("x"))).alias(k) for k, p in probs.items()))
-    t = t.select(*by, "rep", F.expr("stack({}, {}) as (metric, value)".format(len(probs), ", ".join(f"'{k}', {k}" for k in probs))))
-    return percentile_interval(t, [*by, "metric"], "value")
-
-
-def bootstrap_fits(units: DataFrame, cluster: str, reps: int, fit: Callable = exponential_kernel, seed: int = 1) -> DataFrame:
-    """One fit a replicate of resampled clusters, each in its own group; durations are counted as in ``fit_by_group``."""
-    ship(units.sparkSession)
-    cells = units.groupBy(F.col(cluster).alias("c"), fine(F.col("duration_hours")).alias("s"), F.col("event_observed").alias("d")).agg(F.count("*").alias("n"))
-    t = replicated(cells, "c", reps, seed).where("rep > 0")
-    cells = t.groupBy("rep", "s", "d").agg(F.sum(F.col("w") * F.col("n")).cast("double").alias("w"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, _ = fit(pdf.s.to_numpy(), pdf.d.to_numpy(float), pdf.w.to_numpy())
-        return pd.DataFrame({"rep": [pdf.rep.iloc[0]], "first": [a], "second": [b]})
-
-    return cells.groupBy("rep").applyInPandas(run, "rep int, first double, second double")
-
-
 def cloglog(cells: DataFrame, levels: list[str], covariates: list[str], cluster_scores: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Binomial regression with complementary log-log link over a cell table (covariates, n, k) by Fisher scoring.
 

@@ -225,10 +225,10 @@ def reply_dynamics_counts(spark, d):
 @query()
 def reply_dynamics(spark, d):
     """Reply dynamics by family and label: counts, and the half-life and chance of a reply of the fitted hazard."""
-    from colloquy.operators import estimators as es
+    from colloquy.operators import fits as ft
 
     u = family_units(spark, d).withColumn("group", F.concat_ws("|", "group_family", "group_label"))
-    fits = es.fit_by_group(u, "group", least_units=1, least_events=1).select(F.col("group").alias("fitted"), "alpha", "beta")
+    fits = ft.fit_by_group(u, "group", least_units=1, least_events=1).select(F.col("group").alias("fitted"), "alpha", "beta")
     t = reply_dynamics_counts(spark, d).withColumn("group", F.concat_ws("|", "group_family", "group_label")).join(fits, F.col("group") == F.col("fitted"), "left").drop("group", "fitted")
     return rounded(t.withColumns({"half_life_hours": F.log(F.lit(2.0)) / F.col("beta"), "implied_eventual_reply_probability": sc.reply_probability(F.col("alpha"), F.col("beta"))}).drop("alpha", "beta"))
 
@@ -366,9 +366,12 @@ def rayleigh(spark, d):
     return rounded(ts.rayleigh(ad.comments(spark, d), "created_at_utc", 4))
 
 
-@query(VIEWS + BINS + """, ag AS (SELECT comment_agent_id AS agent FROM comments WHERE comment_agent_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 10),
+ACF = BINS + """, ag AS (SELECT comment_agent_id AS agent FROM comments WHERE comment_agent_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 10),
 g AS (SELECT agent, bin, count(c.comment_id) AS c FROM ag CROSS JOIN cal LEFT JOIN comments c ON c.comment_agent_id = agent AND time_bucket(INTERVAL 15 MINUTE, c.created_at_utc) = bin GROUP BY 1, 2),
-l AS (SELECT *, lead(c, 16) OVER (PARTITION BY agent ORDER BY bin) AS nx FROM g)
+l AS (SELECT *, lead(c, 16) OVER (PARTITION BY agent ORDER BY bin) AS nx FROM g)"""
+
+
+@query(VIEWS + ACF + """
 SELECT agent, sum(c)::BIGINT AS n, round(corr(c, nx), 6) AS correlation FROM l GROUP BY 1 HAVING var_pop(CASE WHEN nx IS NOT NULL THEN c END) > 0 AND var_pop(nx) > 0""")
 def lag_acf(spark, d):
     return rounded(ts.lag_correlation(ad.comments(spark, d), "created_at_utc", "comment_agent_id", 15, 16, 10))

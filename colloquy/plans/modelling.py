@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import scalars as sc
 from colloquy.operators import estimators as es
+from colloquy.operators import fits
 from colloquy.operators import matching as mt
+from colloquy.operators import resampling as rs
 from colloquy.operators import survival as sv
 from colloquy.operators import threads as th
 from colloquy.operators import timeseries as ts
-from colloquy.plans.conversation import flat_events, labelled_units, rounded, sides, units
+from colloquy.plans.conversation import ACF, SIDES, flat_events, labelled_units, rounded, sides, units
 from colloquy.plans.registry import TWO_PART, VIEWS, query
 from colloquy.sources import adapters as ad
 from colloquy.sources.scratch import shared_path, ship, written
@@ -25,14 +27,14 @@ REPS, PAIR_REPS, SIMS = 400, 1000, 2000
 @query()
 def exp_mle(spark, d):
     """Hazard fits by category with half-life and chance of a reply."""
-    t = es.fit_by_group(units(spark, d), "submolt_category")
+    t = fits.fit_by_group(units(spark, d), "submolt_category")
     a, b = F.col("alpha"), F.col("beta")
     return rounded(t.withColumns({"half_life_hours": math.log(2) / b, "reply_probability": sc.reply_probability(a, b), "t90_hours": sc.conditional_quantile(a, b, 0.9)}))
 
 
 @query()
 def weibull_mle(spark, d):
-    t = es.fit_by_group(units(spark, d), "submolt_category", es.weibull, ("shape", "scale"))
+    t = fits.fit_by_group(units(spark, d), "submolt_category", fits.WEIBULL, ("shape", "scale"))
     return rounded(t.withColumn("half_life_hours", F.col("scale") * F.pow(F.lit(math.log(2)), 1 / F.col("shape"))))
 
 
@@ -40,23 +42,17 @@ def weibull_mle(spark, d):
 def weibull_conditional(spark, d):
     """Times of replies alone, without censoring."""
     u = units(spark, d).where("event_observed = 1")
-    return rounded(es.fit_by_group(u, "submolt_category", es.weibull, ("shape", "scale"), 10, 10))
-
-
-def weight_sql(cluster: str, seed: int = 1) -> str:
-    """The weight of a cluster in replicate ``rep``."""
-    u = f"(('0x' || substr(md5({cluster}::VARCHAR || '|' || rep::VARCHAR || '|{seed}'), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE)"
-    steps = " ".join(f"WHEN {u} < {total!r}::DOUBLE THEN {k}" for k, total in es.poisson_steps())
-    return f"CASE WHEN rep = 0 THEN 1 {steps} ELSE 9 END"
+    return rounded(fits.fit_by_group(u, "submolt_category", fits.WEIBULL, ("shape", "scale"), 10, 10))
 
 
 INTERVAL = "round(max(CASE WHEN rep = 0 THEN v END), 6) AS estimate, round(quantile_cont(CASE WHEN rep > 0 THEN v END, 0.025), 6) AS low, round(quantile_cont(CASE WHEN rep > 0 THEN v END, 0.975), 6) AS high, count(CASE WHEN rep > 0 THEN v END) AS n_reps"
 
 
-def ratio_sql(per: str, cluster: str, ratios: dict[str, tuple[str, str]], by: str = "") -> str:
+def ratio_sql(per: str, cluster: str, ratios: dict[str, tuple[str, str]], by: str = "", reps: int = 0) -> str:
     """Of a table ``per`` of sums by cluster: the replicates' ratios and their intervals."""
     parts = " UNION ALL ".join(f"SELECT {by} rep, '{m}' AS metric, sum(w * {a})::DOUBLE / nullif(sum(w * {b}), 0) AS v FROM r GROUP BY ALL" for m, (a, b) in ratios.items())
-    return f", r AS (SELECT *, {weight_sql(cluster)} AS w FROM {per}, (SELECT unnest(range({REPS} + 1)) AS rep)), v AS ({parts}) SELECT {by} metric, {INTERVAL} FROM v GROUP BY ALL"
+    frames = f", frames AS (SELECT {by} {cluster} AS cluster FROM {per})"
+    return frames + rs.draw_sql("frames", reps or REPS, by=by) + f", r AS (SELECT {per}.*, rep, w FROM {per} JOIN w ON w.cluster = {per}.{cluster}" + (f" AND w.{by[:-1]} = {per}.{by[:-1]}" if by else "") + f"), v AS ({parts}) SELECT {by} metric, {INTERVAL} FROM v GROUP BY ALL"
 
 
 RATIOS = {"incidence": ("e", "n"), "reentry": ("again", "known"), "reciprocity": ("both_ways", "dyads")}
@@ -77,25 +73,33 @@ def cluster_bootstrap(spark, d):
     t = u.unionByName(seen, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True)
     t = t.withColumn("category", F.explode(F.array(F.lit("Overall"), F.col("submolt_category"))))
     names = ("e", "n", "again", "known", "both_ways", "dyads")
-    return rounded(es.cluster_bootstrap(t, "thread_id", {c: F.coalesce(F.col(c), F.lit(0)) for c in names}, RATIOS, REPS, by=("category",)))
+    return rounded(rs.cluster_bootstrap(t, "thread_id", {c: F.coalesce(F.col(c), F.lit(0)) for c in names}, RATIOS, REPS, by=("category",)))
 
 
-@query(VIEWS + f""", c AS (SELECT thread_id, category, round(duration_hours * 60, 2) AS x, count(*) AS n FROM (SELECT *, unnest(['Overall', submolt_category]) AS category FROM su WHERE event_observed = 1) GROUP BY ALL),
-r AS (SELECT *, {weight_sql("thread_id")} AS w FROM c, (SELECT unnest(range({REPS} + 1)) AS rep)), x AS (SELECT category, rep, x, sum(w * n) AS w FROM r WHERE w > 0 GROUP BY ALL),
+PROBS = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+QUANTILES = """, u2 AS (SELECT thread_id, unnest(['Overall', submolt_category]) AS category, event_observed, duration_hours * 3600 AS x FROM su), frames AS (SELECT DISTINCT category, thread_id AS cluster FROM u2)""" + rs.draw_sql("frames", REPS, by="category,") + """,
+c AS (SELECT category, thread_id AS cluster, x, count(*) AS n FROM u2 WHERE event_observed = 1 GROUP BY ALL), x AS (SELECT category, rep, x, sum(w * n) AS w FROM c JOIN w USING (category, cluster) WHERE rep > 0 GROUP BY ALL),
 q AS (SELECT *, sum(w) OVER (PARTITION BY category, rep ORDER BY x) AS upto, sum(w) OVER (PARTITION BY category, rep) AS total FROM x),
-v AS (SELECT category, rep, 'p50' AS metric, min(CASE WHEN upto >= 0.5 * total THEN x END) AS v FROM q GROUP BY ALL UNION ALL SELECT category, rep, 'p90', min(CASE WHEN upto >= 0.9 * total THEN x END) FROM q GROUP BY ALL)
-SELECT category, metric, {INTERVAL} FROM v GROUP BY ALL""")
+v AS (""" + " UNION ALL ".join(f"SELECT category, rep, '{k}' AS metric, min(CASE WHEN upto >= {p} * total THEN x END) AS v FROM q GROUP BY ALL" for k, p in PROBS.items()) + """),
+e AS (""" + " UNION ALL ".join(f"SELECT category, '{k}' AS metric, quantile_cont(x, {p}) AS estimate FROM u2 WHERE event_observed = 1 GROUP BY 1" for k, p in PROBS.items()) + """)
+SELECT category, metric, round(any_value(estimate), 6) AS estimate, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS n_reps FROM v JOIN e USING (category, metric) GROUP BY ALL"""
+
+
+@query(VIEWS + QUANTILES)
 def bootstrap_reply_quantiles(spark, d):
-    """Intervals of median and 90 % reply minutes (to a hundredth) under resampled threads, overall and by category."""
-    u = units(spark, d).where("event_observed = 1").withColumn("minutes", F.round(F.col("duration_hours") * 60, 2))
+    """Intervals of the 10, 50 and 90 % reply times in exact seconds under resampled threads, overall and by category.
+
+    All threads with a unit are drawn, those without a reply too.
+    """
+    u = units(spark, d).withColumn("seconds", F.when(F.col("event_observed") == 1, F.col("duration_hours") * 3600))
     u = u.withColumn("category", F.explode(F.array(F.lit("Overall"), F.col("submolt_category"))))
-    return rounded(es.bootstrap_quantiles(u, "thread_id", "minutes", {"p50": 0.5, "p90": 0.9}, REPS, by=("category",)))
+    return rounded(rs.bootstrap_quantiles(u, "thread_id", "seconds", PROBS, REPS, by=("category",)))
 
 
 @query()
 def bootstrap_weibull_shape(spark, d):
     """Percentile interval of the Weibull shape under resampled threads."""
-    t = es.bootstrap_fits(units(spark, d).where(~F.col("excluded_censor_boundary")), "thread_id", REPS, es.weibull)
+    t = fits.bootstrap_fits(units(spark, d).where(~F.col("excluded_censor_boundary")), "thread_id", REPS, fits.WEIBULL).where("rep > 0")
     return rounded(t.agg(F.percentile("first", 0.025).alias("low"), F.percentile("first", 0.5).alias("median"), F.percentile("first", 0.975).alias("high"), F.count("*").alias("n_reps")))
 
 
@@ -103,7 +107,7 @@ def bootstrap_weibull_shape(spark, d):
 def bootstrap_half_life(spark, d):
     """Percentile interval of the half-life under resampled threads."""
     u = units(spark, d).where(~F.col("excluded_censor_boundary"))
-    t = es.bootstrap_fits(u, "thread_id", REPS).withColumn("half_life", math.log(2) / F.col("second"))
+    t = fits.bootstrap_fits(u, "thread_id", REPS).where("rep > 0").withColumn("half_life", math.log(2) / F.col("second"))
     return rounded(t.agg(F.percentile("half_life", 0.025).alias("low"), F.percentile("half_life", 0.5).alias("median"), F.percentile("half_life", 0.975).alias("high"), F.count("*").alias("n_reps")))
 
 
@@ -115,29 +119,37 @@ def bootstrap_depth(spark, d):
     """Mean depth and tails of threads as independent units."""
     m = th.thread_metrics(th.thread_events(ad.comments(spark, d), ad.posts(spark, d)))
     sums = {"d": F.col("depth_max"), "one": F.lit(1), **{f"deep{k}": (F.col("depth_max") >= k).cast("int") for k in (3, 5)}}
-    return rounded(es.cluster_bootstrap(m, "thread_id", sums, DEPTHS, REPS))
+    return rounded(rs.cluster_bootstrap(m, "thread_id", sums, DEPTHS, REPS))
 
 
-@query()
+@query(VIEWS + ACF + ", per AS (SELECT agent, corr(c, nx) AS c, 1 AS one FROM l GROUP BY 1 HAVING var_pop(CASE WHEN nx IS NOT NULL THEN c END) > 0 AND var_pop(nx) > 0)" + ratio_sql("per", "agent", {"mean_correlation": ("c", "one")}))
 def bootstrap_acf(spark, d):
     """Interval of the mean 4-hour correlation of agents as independent units."""
     t = ts.lag_correlation(ad.comments(spark, d), "created_at_utc", "comment_agent_id", 15, 16, 10)
-    return rounded(es.cluster_bootstrap(t, "agent", {"c": F.col("correlation"), "one": F.lit(1)}, {"mean_correlation": ("c", "one")}, REPS))
+    return rounded(rs.cluster_bootstrap(t, "agent", {"c": F.col("correlation"), "one": F.lit(1)}, {"mean_correlation": ("c", "one")}, REPS))
 
 
-@query()
+@query(VIEWS + SIDES + ", per AS (SELECT pair_id, diff_n_comments AS d, 1 AS one FROM pr)" + ratio_sql("per", "pair_id", {"n_comments": ("d", "one")}, reps=PAIR_REPS))
 def paired_bootstrap(spark, d):
-    """Interval of the mean paired difference in comments, with p-values of both tests."""
+    """Interval of the mean paired difference in comments."""
+    pairs = mt.matched_pairs(*mt.overlap(*sides(spark, d, False)))
+    return rounded(rs.cluster_bootstrap(pairs, "pair_id", {"d": F.col("diff_n_comments"), "one": F.lit(1)}, {"n_comments": ("d", "one")}, PAIR_REPS))
+
+
+@query()
+def paired_tests(spark, d):
+    """P-values of the signed-rank and the sign test by outcome."""
     pairs = mt.matched_pairs(*mt.overlap(*sides(spark, d, False)))
-    ci = es.cluster_bootstrap(pairs, "pair_id", {"d": F.col("diff_n_comments"), "one": F.lit(1)}, {"n_comments": ("d", "one")}, PAIR_REPS)
-    p = mt.paired_effects(pairs).where("outcome = 'n_comments'")
     ship(spark)
 
-    def tests(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        return pd.DataFrame({"metric": [r.outcome], "wilcoxon_p": [es.wilcoxon_p(r.wilcoxon, int(r.n_positive + r.n_negative), r.ties)], "sign_p": [es.sign_test_p(int(r.n_positive), int(r.n_negative))]})
+    def tests(batches):
+        for pdf in batches:
+            wilcoxon = [es.wilcoxon_p(r.wilcoxon, int(r.n_positive + r.n_negative), r.ties) for r in pdf.itertuples()]
+            sign = [es.sign_test_p(int(r.n_positive), int(r.n_negative)) for r in pdf.itertuples()]
+            yield pd.DataFrame({"outcome": pdf.outcome, "wilcoxon_p": wilcoxon, "sign_p": sign})
 
-    return rounded(ci.join(p.groupBy("outcome").applyInPandas(tests, "metric string, wilcoxon_p double, sign_p double"), "metric"))
+    t = mt.paired_effects(pairs).select("outcome", "wilcoxon", "n_positive", "n_negative", "ties")
+    return rounded(t.mapInPandas(tests, "outcome string, wilcoxon_p double, sign_p double"))
 
 
 @query()
@@ -204,7 +216,7 @@ def matched_half_life(spark, d):
     pairs = mt.matched_pairs(*mt.overlap(*sides(spark, d, False)))
     ids = pairs.select(F.col("thread_id_a").alias("thread_id")).union(pairs.select("thread_id_b"))
     u = units(spark, d).where(~F.col("excluded_censor_boundary")).join(ids, "thread_id", "left_semi").withColumn("sample", F.lit("matched"))
-    return rounded(es.fit_by_group(u, "sample").withColumn("half_life_hours", math.log(2) / F.col("beta")))
+    return rounded(fits.fit_by_group(u, "sample").withColumn("half_life_hours", math.log(2) / F.col("beta")))
 
 
 def _stream(spark, d):

@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 
 from colloquy.operators import estimators as es
+from colloquy.operators import fits
+from colloquy.operators import resampling as rs
 
 
 def test_exponential_kernel_recovers_its_parameters():
@@ -59,7 +61,7 @@ def test_bootstrap_brackets_the_estimate(spark):
     from pyspark.sql import functions as F
 
     df = spark.range(2000).select((F.col("id") % 200).alias("c"), (F.col("id") % 3 == 0).cast("int").alias("e"))
-    r = es.cluster_bootstrap(df, "c", {"e": F.col("e"), "n": F.lit(1)}, {"share": ("e", "n")}, 100).first()
+    r = rs.cluster_bootstrap(df, "c", {"e": F.col("e"), "n": F.lit(1)}, {"share": ("e", "n")}, 100).first()
     assert r.low < r.estimate < r.high and r.n_reps == 100 and r.estimate == pytest.approx(667 / 2000)
 
 
@@ -68,19 +70,41 @@ def test_power_grows(spark):
     assert p[0] == pytest.approx(0.05, abs=0.02) and p[0] < p[1] < p[2]
 
 
-def test_bootstrap_and_fit_use_the_same_fine_durations(spark):
-    """Replies within seconds: whole minutes, or whole seconds, would be other data."""
-    from pyspark.sql import functions as F
+MODELS = {"kernel": (fits.KERNEL, es.exponential_kernel), "weibull": (fits.WEIBULL, es.weibull)}
+
 
+@pytest.mark.parametrize("name", MODELS)
+def test_distributed_fits_are_those_of_durations_in_hand(spark, name):
+    """Groups of seconds, hours, few units and no events: parameters within 1e-6."""
+    model, plain = MODELS[name]
     rng = np.random.default_rng(4)
-    s = rng.exponential(2 / 3600, 3000)
-    df = spark.createDataFrame(pd.DataFrame({"c": np.arange(3000) % 300, "g": "x", "duration_hours": s, "event_observed": (rng.random(3000) < 0.5).astype(int)}))
-    for fit in (es.exponential_kernel, es.weibull):
-        exact = fit(s, np.array([r.event_observed for r in df.select("event_observed").collect()], float))
-        row = es.fit_by_group(df, "g", fit).first()
-        assert (row.alpha, row.beta) == pytest.approx(exact[:2], rel=1e-5)
-        reps = es.bootstrap_fits(df, "c", 60, fit).agg(F.percentile("first", [0.0, 1.0]).alias("a"), F.percentile("second", [0.0, 1.0]).alias("b")).first()
-        assert reps.a[0] < exact[0] < reps.a[1] and reps.b[0] < exact[1] < reps.b[1]
+    parts = [("fast", rng.exponential(2 / 3600, 3000), 0.5), ("slow", 5 * rng.weibull(0.6, 800), 0.3), ("few", rng.exponential(1, 25), 0.6), ("none", rng.exponential(1, 30), 0.0), ("scant", rng.exponential(1, 4), 1.0)]
+    rows = [(g, float(s), int(d)) for g, x, share in parts for s, d in zip(x, rng.random(len(x)) < share)]
+    df = spark.createDataFrame(rows + [("fast", 0.0, 1), ("slow", None, 1)], "g string, duration_hours double, event_observed int").repartition(5)
+    got = {r.g: r for r in fits.fit_by_group(df, "g", model, ("a", "b")).collect()}
+    for g in ("fast", "slow", "few"):
+        s, d = np.array([r[1] for r in rows if r[0] == g]), np.array([r[2] for r in rows if r[0] == g], float)
+        a, b, ll = plain(s, d)
+        assert (got[g].a, got[g].b) == pytest.approx((a, b), rel=1e-6) and got[g].log_likelihood == pytest.approx(ll, rel=1e-9)
+        assert (got[g].n_units, got[g].n_events) == (len(s), d.sum())
+    assert got["none"].a is None and got["scant"].b is None and got["scant"].n_units == 4
+
+
+@pytest.mark.parametrize("name", MODELS)
+def test_fits_of_replicates_are_those_of_their_draws(spark, name):
+    model, plain = MODELS[name]
+    rng = np.random.default_rng(9)
+    n, clusters, reps = 1500, 120, 400
+    c = np.where(rng.random(n) < 0.3, 0, rng.integers(0, clusters, n))
+    s, d = 0.2 * rng.weibull(0.8, n), (rng.random(n) < 0.4).astype(int)
+    df = spark.createDataFrame([(int(a), float(b), int(e)) for a, b, e in zip(c, s, d)], "c long, duration_hours double, event_observed int")
+    got = {r["rep"]: (r["first"], r["second"]) for r in fits.bootstrap_fits(df, "c", reps, model).collect()}
+    seen = sorted(set(c))
+    w = rs.weights(len(seen), reps, 1, 0)[:, np.searchsorted(seen, c)]
+    assert len(got) == reps + 1
+    for rep in (0, 1, 2, 57, 211, 400):
+        own = w[rep] > 0
+        assert got[rep] == pytest.approx(plain(s[own], d[own].astype(float), w[rep][own])[:2], rel=1e-6)
 
 
 def test_replicates_and_simulations_are_those_of_the_reference(spark, monkeypatch):
@@ -95,15 +119,6 @@ def test_replicates_and_simulations_are_those_of_the_reference(spark, monkeypatc
     assert catalog.queries()["bootstrap_half_life"](spark, "/root/testdata/sf0.001").first().n_reps == 400
 
 
-def test_bootstrap_weights_are_poisson(spark):
-    from pyspark.sql import functions as F
-
-    t = spark.range(20_000).select(es.poisson_weight(F.col("id"), F.lit(3), 1).alias("w"))
-    n = {r.w: r["count"] for r in t.groupBy("w").count().collect()}
-    for k in range(4):
-        assert n[k] / 20_000 == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.015)
-
-
 def test_two_way_covariance_against_sums_written_out(spark):
     rng = np.random.default_rng(5)
     n, k = 300, 2
@@ -127,15 +142,13 @@ def test_two_way_covariance_against_sums_written_out(spark):
 
 def test_half_life_at_the_published_rates(spark):
     """Replies of seconds: fit and bootstrap median of the half-life within a hundredth of the truth."""
-    from colloquy.operators import estimators
-
     rng = np.random.default_rng(7)
     alpha, beta, n = 5.08585, 52.2088, 400_000
     e = rng.exponential(size=n)
     mu = alpha / beta
     t = np.where(e < mu, -np.log1p(-np.minimum(e, mu * (1 - 1e-12)) / mu) / beta, 4.0)
     df = spark.createDataFrame(pd.DataFrame({"thread_id": np.arange(n) % 4000, "duration_hours": t, "event_observed": (e < mu).astype(int), "g": "all"}))
-    b = estimators.fit_by_group(df, "g").first().beta
+    b = fits.fit_by_group(df, "g").first().beta
     assert math.log(2) / b == pytest.approx(math.log(2) / beta, rel=0.02)
-    reps = sorted(r.second for r in estimators.bootstrap_fits(df, "thread_id", 20).collect())
+    reps = sorted(r["second"] for r in fits.bootstrap_fits(df, "thread_id", 20).collect())
     assert reps[10] == pytest.approx(b, rel=0.01)
