@@ -21,9 +21,11 @@ corpus is first cut to what can repeat, without losing a repeat:
    the union of its windows.
 
 Anchors whose distinct contexts exceed BLOCK_BYTES fit no block: one task would hold
-them. Their windows are grouped instead, as bytes, after a hash has left out those that
-occur once; the result is the same. Contexts that agree in the anchor's 64 bits and 128
-bits of their own are taken as equal.
+them. Each is split by the bytes beside it, and the same steps follow: windows in which
+the anchor stands at WIDTHS[0] neighbouring places share 201 - WIDTHS[0] bytes, whose hash is
+a new anchor for these windows; what is too large again is split by single places, where
+all 200 bytes are the anchor. So the expansion decides every repeat, whatever the sizes.
+Contexts that agree in the anchor's 64 bits and 128 bits of their own are taken as equal.
 
 Defined results: null text is empty; documents of fewer than 200 bytes lose bytes to
 none; very long texts are cut in steps of STEP windows, so the arrays stay small; rows
@@ -48,8 +50,10 @@ from .tokens import ragged
 LENGTH = 200
 GRAM = 40
 WINDOW = LENGTH - GRAM + 1
-#: Anchors with more bytes of distinct contexts than BLOCK_BYTES are grouped by window; smaller ones share blocks of BATCH_BYTES.
+#: Anchors with more bytes of distinct contexts than BLOCK_BYTES are split; smaller ones share blocks of BATCH_BYTES.
 BLOCK_BYTES, BATCH_BYTES = 1 << 19, 1 << 18
+#: Places of an anchor in a window that stay together when it is split, step by step.
+WIDTHS = (8, 1)
 
 #: Windows of a text that are worked on at once.
 STEP = 1 << 20
@@ -256,30 +260,33 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            n = r["n"]
-            h = Rolling(np.frombuffer(r["bytes"], np.uint8)).every(LENGTH)[:n].view(np.int64)
-            cols = [*(np.full(n, r[c]) for c in ("anchor", "context", "context2")), np.arange(n, dtype=np.int32), h]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "context", "context2", "p", "window"])
-
-
-def _spread(hot: DataFrame, scratch: Scratch) -> DataFrame:
-    """Repeated windows among the distinct contexts of anchors too large for a block.
-
-    Windows meet under a hash of themselves, which deals them evenly and pre-aggregates;
-    of those whose hash repeats the bytes are grouped, and these decide.
-    """
-    keys = ["anchor", "context", "context2"]
-    windows = scratch.keep(hot.mapInArrow(_window_hashes, "anchor long, context long, context2 long, p int, window long"))
-    often = scratch.keep(windows.groupBy("window").agg(F.count("*").alias("uses")).where("uses > 1").select("window"))
-    likely = windows.join(often, "window").groupBy(*keys).agg(F.collect_list("p").alias("ps"))
-    t = hot.join(likely, keys).select(*keys, "bytes", F.explode("ps").alias("p"))
-    t = scratch.keep(t.select(*keys, "p", F.substring("bytes", F.col("p") + 1, F.lit(LENGTH)).alias("string")))
-    same = scratch.keep(t.groupBy("string").agg(F.count("*").alias("uses")).where("uses > 1").select("string"))
-    one = F.struct(F.col("p").alias("a"), (F.col("p") + 1).alias("b"))
-    return t.join(same, "string").groupBy(*keys).agg(F.collect_list(one).alias("runs"))
+def _split_rows(width: int):
+    """As ``_anchor_rows``, of contexts of anchors that are too large: an anchor for every ``width`` places of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.uint64((1 << 24) - 1)
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            for first, texts in bs.pieces(batch.column(1)):
+                lens = np.fromiter(map(len, texts), np.int64, len(texts))
+                at, n = np.cumsum(lens) - lens, lens - LENGTH + 1
+                buf = np.frombuffer(b"".join(texts), np.uint8)
+                rolling, second = Rolling(buf), Rolling(buf, 1)
+                h = rolling.every(GRAM) & ~low
+                place = np.argmin(h[at[:, None] + np.arange(WINDOW)], axis=1)  # of the anchor in the context, as in ``anchors``
+                # in window p it stands at place - p; these are cut into groups of width
+                least, most = (place - n + 1) // width, place // width
+                group, own = ragged(least, most - least + 1), np.repeat(np.arange(len(texts)), most - least + 1)
+                a, b = np.maximum(group * width, (place - n + 1)[own]), np.minimum(group * width + width - 1, place[own])
+                p, windows = place[own] - b, b - a + 1
+                shared = rolling.of(at[own] + place[own] - group * width, np.full(len(own), LENGTH - width + 1))
+                anchor = bs.mix(shared + group.astype(np.uint64) * np.uint64(_BASES[1]))
+                contexts = [r.of(at[own] + p, windows + LENGTH - 1).view(np.int64) for r in (rolling, second)]
+                cols = [anchor.view(np.int64), *contexts, rows[first : first + len(texts)][own], p.astype(np.int32), windows.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "context", "context2", "row", "first", "n"])
+        bs.trim()
+
+    return run
 
 
 def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, str]:
@@ -310,14 +317,16 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bs.trim()
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, anchored=_anchor_rows, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """(row, spans) of documents (row, text): windows [a, b) of starts that repeat, by row.
 
+    ``anchored`` gives the anchors; those that are too large are split at the next of ``widths``.
+
     What is joined to rows of common anchors or contexts is written before, so that skew
     handling can split the join.
     """
     keys = ["anchor", "context", "context2"]
-    rows = scratch.keep(docs.select("row", "text").mapInArrow(_anchor_rows, "anchor long, context long, context2 long, row long, first int, n int"))
+    rows = scratch.keep(docs.select("row", "text").mapInArrow(anchored, "anchor long, context long, context2 long, row long, first int, n int"))
     often = scratch.keep(rows.groupBy("anchor").agg(F.count("*").alias("uses")).where("uses > 1").select("anchor"))
     shared = scratch.keep(rows.join(often, "anchor"))
     scratch.drop(rows)
@@ -326,15 +335,17 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     contexts = scratch.keep(contexts)
     size = F.col("at.n") + LENGTH
     varied = contexts.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(size).alias("size")).where("k > 1")
-    varied = scratch.keep(varied.select("anchor", (F.col("size") > BLOCK_BYTES).alias("hot")))
+    varied = scratch.keep(varied.select("anchor", (F.col("size") > (BLOCK_BYTES if widths else 1 << 62)).alias("hot")))
     wanted = contexts.join(varied, "anchor").select("at.row", F.struct("anchor", "hot", "context", "context2", "at.first", "at.n").alias("w"))
     wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
     cut = wanted.join(docs, "row").select("text", "wanted").mapInArrow(_cut, "anchor long, hot boolean, context long, context2 long, n int, bytes binary")
     cut = scratch.keep(cut)
     found = cut.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_expanded, _FOUND)
     hot = cut.where("hot")
-    if not hot.isEmpty():
-        found = found.unionByName(_spread(hot, scratch))
+    if widths and not hot.isEmpty():
+        hot = scratch.keep(hot.select(*keys, F.monotonically_increasing_id().alias("row"), F.col("bytes").alias("text")))
+        parts = repeated_spans(hot, scratch, _split_rows(widths[0]), widths[1:])
+        found = found.unionByName(hot.drop("text").join(parts, "row").select(*keys, F.col("spans").alias("runs")))
 
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("at.n").alias("b")))
     marks = contexts.join(scratch.keep(found), keys, "left")
