@@ -14,6 +14,8 @@ than it saves. A shard is one row of a Parquet table:
                       symbol FIRST_RULE + k and refers to smaller symbols only
     lengths           unsigned 32-bit, ids that each rule expands to
     sequence          unsigned 32-bit symbols of all documents
+    doc_shard, doc_part   of a text of more than LONG_TEXT bytes, which is cut at blanks into
+                      shards of its own: the first of them, and the number of this one
 
 Pairs never cross a document's end, so one document is decoded from its own symbols
 (``decode_document``). Spark's commit protocol writes the table, so lost or repeated
@@ -24,13 +26,14 @@ run are computed once and remembered, under 64 bits of hash, up to MEMO runs a w
 
 Defined results: null text is empty and has the end id alone; null doc_ids come first;
 repeated rows are written repeatedly, rows with one doc_id in the order of their text's
-hash; a text longer than a shard is a shard of its own; an empty table gives no shards;
-other columns, whatever their names, are ignored.
+hash; a long text is compressed in parts, each with a grammar of its own, so it costs no
+more memory than others (a run of a long text without any blank is one part); an empty table gives no shards; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -52,8 +55,10 @@ LEAST_USES = 4
 RULES, BUCKET_BITS = 1024, 18
 BUCKETS = 1 << BUCKET_BITS
 MEMO = 2_400_000
+#: Bytes of a text that is cut into several shards, each of about PART_BYTES.
+LONG_TEXT, PART_BYTES = 1 << 22, 1 << 20
 
-_SHARD = "part int, shard int, doc_id array<long>, n_tokens array<int>, n_symbols array<int>, rules binary, lengths binary, sequence binary"
+_SHARD = "part int, shard int, doc_id array<long>, n_tokens array<int>, n_symbols array<int>, rules binary, lengths binary, sequence binary, doc_shard int, doc_part int"
 
 
 def default_tokenizer() -> str:
@@ -156,8 +161,8 @@ class Memo:
         self.put(h)
         self.n, self.n_flat = self.n + k, self.n_flat + total
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, each text's ended by END_ID, and their counts."""
+    def encode(self, texts: list[bytes], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, each text's ended by END_ID unless ``end`` is false, and their counts."""
         if self.n > MEMO:
             self.clear()
         h, bounds, buf, begins, ends = bs.split(texts, lower=False, spans=True)
@@ -174,9 +179,12 @@ class Memo:
         ids = self.flat[ragged(self.starts[runs], counts)]
         upto = np.concatenate(([0], np.cumsum(counts)))
         stops = upto[bounds]
+        if not end:
+            return ids, np.diff(stops)
         return np.insert(ids, stops[1:], END_ID), np.diff(stops) + 1
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _memos: dict[str, Memo] = {}
 
 
@@ -241,7 +249,7 @@ def _replaced(seq: np.ndarray, open_: np.ndarray, most: int) -> tuple[np.ndarray
     often = np.flatnonzero(uses >= floor)
     none = np.zeros(0, np.int64)
     often, bucket = at[often], bucket[often]
-    pairs = (seq[often].astype(np.int64) << 21) | seq[often + 1]
+    pairs = (seq[often].astype(np.int64) << 32) | seq[often + 1]
     ordered = np.sort(pairs)
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else none
     pair, uses = ordered[first], np.diff(np.append(first, len(ordered)))
@@ -251,7 +259,7 @@ def _replaced(seq: np.ndarray, open_: np.ndarray, most: int) -> tuple[np.ndarray
         return none, none, none, floor == LEAST_USES
     # one rule a bucket in a round; the most frequent of its pairs
     table = np.full(BUCKETS, -1, np.int32)
-    table[_bucket((best >> 21).astype(np.uint32), (best & 0x1FFFFF).astype(np.uint32))[::-1]] = np.arange(len(best))[::-1]
+    table[_bucket((best >> 32).astype(np.uint32), (best & 0xFFFFFFFF).astype(np.uint32))[::-1]] = np.arange(len(best))[::-1]
     rule = table[bucket]
     hit = np.flatnonzero(rule >= 0)
     hit = hit[best[rule[hit]] == pairs[hit]]
@@ -290,7 +298,7 @@ def compress(ids: np.ndarray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
             if all_seen:
                 break
             continue
-        new = np.stack((new >> 21, new & 0x1FFFFF), axis=1)
+        new = np.stack((new >> 32, new & 0xFFFFFFFF), axis=1)
         size = np.ones(new.shape, np.int64)
         size[new >= FIRST_RULE] = lengths[new[new >= FIRST_RULE] - FIRST_RULE]
         seq[at] = FIRST_RULE + len(rules) + rule
@@ -334,22 +342,44 @@ def expand(rules: np.ndarray, lengths: np.ndarray, seq: np.ndarray) -> np.ndarra
     return pool[ragged(np.where(is_rule, starts[k], own), np.where(is_rule, lengths[k], 1))]
 
 
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about PART_BYTES, cut after blanks."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + PART_BYTES)
+        end = blank.end() if blank else len(text)
+        yield text[at:end]
+        at = end
+
+
 def _shards(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, shard = memo(tokenizer), TaskContext.get().partitionId(), 0
-        names = ["part", "shard", "doc_id", "n_tokens", "n_symbols", "rules", "lengths", "sequence"]
+        names = ["part", "shard", "doc_id", "n_tokens", "n_symbols", "rules", "lengths", "sequence", "doc_shard", "doc_part"]
 
-        def made(held):
+        def made(held, doc_shard=None, doc_part=None):
             ids, counts = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             rules, lengths, seq, symbols = compress(ids, counts)
-            row = [part, shard, [i for h in held for i in h[0]], counts.tolist(), symbols.tolist(), *(x.astype("<u4").tobytes() for x in (rules, lengths, seq))]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+            row = [part, shard, [i for h in held for i in h[0]], counts.tolist(), symbols.tolist(), *(x.astype("<u4").tobytes() for x in (rules, lengths, seq)), doc_shard, doc_part]
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
         held, size = [], 0
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for first, texts in bs.pieces(batch.column(1)):
+                if len(texts) == 1 and len(texts[0]) > LONG_TEXT:
+                    if held:
+                        yield made(held)
+                        held, size, shard = [], 0, shard + 1
+                    begin, done = shard, 0
+                    for text in _parts(texts[0]):
+                        done += len(text)
+                        ids, counts = encoder.encode([text], done == len(texts[0]))
+                        if len(ids):  # blanks alone have no ids
+                            yield made([([doc_ids[first]], ids, counts)], begin, shard - begin)
+                            shard += 1
+                    continue
                 ids, counts = encoder.encode(texts)
                 held.append((doc_ids[first : first + len(texts)], ids, counts))
                 size += len(ids)
@@ -396,14 +426,49 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*at, ids_of, pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())], ["part", "shard", "doc_id", "local", "n_tokens", "ids_crc32"])
 
 
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo that of crc32, the highest bit being the constant term."""
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def joined_crc(first: int, second: int, n: int) -> int:
+    """The crc32 of two stretches of bytes in a row from their own, the second being of n bytes."""
+    factor, power = 1 << 31, 1 << 23  # 1, and x^8
+    while n:
+        if n & 1:
+            factor = _times(factor, power)
+        power, n = _times(power, power), n >> 1
+    return _times(factor, first) ^ second
+
+
+def _whole(t: pa.Table) -> pa.Table:
+    """One row of the parts of a long text."""
+    rows = sorted(t.to_pylist(), key=lambda r: r["shard"])
+    crc, n = 0, 0
+    for r in rows:
+        crc, n = joined_crc(crc, r["ids_crc32"], 4 * r["n_tokens"]), n + r["n_tokens"]
+    return pa.Table.from_pylist([{**rows[0], "n_tokens": n, "ids_crc32": crc}], schema=t.schema)
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in a folder of shards.
 
     Starts are running sums of ids: over the parts (one row a written partition), over
     the shards within a part, and within the shard.
     """
-    shards = spark.read.parquet(path)
-    docs = shards.mapInArrow(_decoded, "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    shards = spark.read.schema(_SHARD).parquet(path)
+    row = "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long"
+    docs = shards.where("doc_part is null").drop("doc_shard", "doc_part").mapInArrow(_decoded, row)
+    long = shards.where("doc_part is not null")
+    firsts = long.select("part", "shard", "doc_shard")
+    long = long.mapInArrow(_decoded, row).join(firsts, ["part", "shard"]).select("part", "doc_shard", "shard", "doc_id", "local", "n_tokens", "ids_crc32")
+    long = long.groupBy("part", "doc_shard").applyInArrow(_whole, f"part int, doc_shard int, {row.removeprefix('part int, ')}").drop("doc_shard")
+    docs = docs.unionByName(long)
     size = shards.select("part", "shard", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("size"))
     parts = size.groupBy("part").agg(F.sum("size").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
