@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.scalars import variant_type
 from colloquy.operators import scan
 
 
@@ -93,16 +94,47 @@ def counters(events: DataFrame) -> DataFrame:
 
 def json_keys(df: DataFrame, json: str, by: list[str]) -> DataFrame:
     """By group: each key with its rows, whether all rows have it, and the JSON types of its values."""
-    from colloquy.functions.scalars import variant_type
-
     t = df.select(*by, F.col(json).alias("_j")).where(F.json_object_keys("_j").isNotNull())
     total = t.groupBy(*by).agg(F.count("*").alias("n_objects"))
-    keys = t.select(*by, "_j", F.explode(F.json_object_keys("_j")).alias("key"))
-    value = F.from_json("_j", "map<string,variant>")[F.col("key")]
-    found = keys.groupBy(*by, "key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(variant_type(value))).alias("types"))
+    keys = t.select(*by, F.explode(F.from_json("_j", "map<string,variant>")).alias("key", "value"))
+    found = keys.groupBy(*by, "key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(variant_type(F.col("value")))).alias("types"))
     return found.join(total, by).withColumn("in_all", F.col("n") == F.col("n_objects"))
 
 
+def json_schema(df: DataFrame, json: str, by: list[str], max_array_elements: int = 1000) -> DataFrame:
+    """By group and path of nested documents: values, types with their numbers, whether every object has the key.
+
+    Each document is parsed once; a level's values are summed by (path, type) and its
+    objects and arrays opened for the next level, until none is left. Paths: ``$`` the document
+    itself, ``.key`` a member, ``[]`` the elements of an array, of which the first
+    ``max_array_elements`` count. ``n_parents``: objects that could have the key, null for
+    elements and documents. Texts that are no JSON count under ``$`` with type ``invalid``.
+    """
+    from colloquy.sources.scratch import written
+
+    text = F.col(json)
+    t = df.select(*by, F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.try_parse_json(text).alias("v"), (text.isNotNull() & F.try_parse_json(text).isNull()).alias("bad"))
+    t = t.withColumn("type", F.when(F.col("bad"), "invalid").otherwise(variant_type(F.col("v")))).drop("bad")
+    levels = []
+    while True:
+        t = written(t, "level")
+        levels.append(t.groupBy(*by, "path", "parent", "type").agg(F.count("*").alias("n")))
+        inner = t.where(F.col("type").isin("object", "array"))
+        if inner.isEmpty():
+            break
+        inner = inner.select(*by, F.col("path").alias("parent"), "type", "v").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_key", "_value"))
+        member = F.col("type") == "object"
+        inner = inner.where(member | (F.col("_pos") < max_array_elements))
+        path = F.when(member, F.concat("parent", F.lit("."), F.col("_key"))).otherwise(F.concat("parent", F.lit("[]")))
+        t = inner.select(*by, path.alias("path"), F.when(member, F.col("parent")).alias("parent"), F.col("_value").alias("v"), variant_type(F.col("_value")).alias("type"))
+    counts = written(reduce(DataFrame.unionByName, levels), "counts")  # a row a group, path and type
+    objects = counts.where("type = 'object'").groupBy(*by, F.col("path").alias("parent")).agg(F.sum("n").alias("n_parents"))
+    pairs = F.array_sort(F.collect_list(F.struct("type", "n")))
+    out = counts.groupBy(*by, "path", "parent").agg(F.sum("n").alias("n"), F.array_join(F.transform(pairs, lambda x: F.concat(x["type"], F.lit(":"), x["n"].cast("string"))), ",").alias("types"))
+    out = out.join(objects, [*by, "parent"], "left")
+    return out.select(*by, "path", "n", "types", "n_parents", (F.col("n") == F.col("n_parents")).alias("in_all"))
+
+
 def request_summary(log: DataFrame) -> DataFrame:
     """Calls by endpoint and status, with the share that failed and the time spanned."""
     ok = F.count_if(F.col("http_status") == 200)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,10 @@ def child_counts(comments: DataFrame) -> DataFrame:
 def tree_depths(comments: DataFrame, orphan_policy: str = "null", states: bool = False) -> DataFrame:
     """(comment_id, depth), roots at 1, by pointer doubling: chains of n replies take log2(n) joins.
 
+    Only comments whose chain is still open are joined and written in a round, and of the
+    resolved ones those that they may ask for: what a comment points to after a round
+    was pointed to by another one in that round.
+
     With ``states`` also why a depth is null: ``missing`` (the chain leaves the thread) or
     ``cycle`` (it closes on itself).
 
@@ -31,6 +37,15 @@ def tree_depths(comments: DataFrame, orphan_policy: str = "null", states: bool =
     is null. ``ordered``: parents count only if they stand earlier in (time, id) order;
     a comment with no such parent has -1, and its replies count on from there.
     """
+    done, open_ = chains_contracted(comments, orphan_policy)
+    parts = [*done, open_]
+    t = reduce(DataFrame.unionByName, (p.select("comment_id", "top", "steps") for p in parts))
+    state = [F.when(F.col("top").isNull(), "cycle").when(F.col("top") == 0, "missing").alias("state")] if states else []
+    return t.select("comment_id", F.when(F.col("top") != 0, F.col("top") + F.col("steps")).cast("int").alias("depth"), *state)
+
+
+def chains_contracted(comments: DataFrame, orphan_policy: str = "null") -> tuple[list[DataFrame], DataFrame]:
+    """Written tables (comment_id, top, jump, steps) of the comments resolved in each round, and of those that never end."""
     own = comments.select("post_id", "comment_id", "parent_id", "created_at_utc")
     up = own.select(F.col("comment_id").alias("up_id"), F.col("post_id").alias("up_post"), F.col("created_at_utc").alias("up_time"))
     same = (F.col("parent_id") == F.col("up_id")) & (F.col("post_id") == F.col("up_post"))
@@ -40,20 +55,23 @@ def tree_depths(comments: DataFrame, orphan_policy: str = "null", states: bool =
         top = F.when(F.col("parent_id").isNull(), 1).when(~seen, -1)
     else:
         top = F.when(F.col("parent_id").isNull(), 1).when(F.col("up_id").isNull(), 0)
-    t = t.select("comment_id", top.alias("top"), F.when(top.isNull(), F.col("parent_id")).alias("jump"), F.when(top.isNull(), 1).otherwise(0).alias("steps"))
-    t = written(t, "depths")
-    n = t.count()
-    rounds = 0
+    t = written(t.select("comment_id", top.alias("top"), F.when(top.isNull(), F.col("parent_id")).alias("jump"), F.when(top.isNull(), 1).otherwise(0).alias("steps")), "depths")
+    sizes = t.agg(F.count("*").alias("n"), F.count_if(F.col("top").isNull()).alias("open")).first()
+    done, open_, left, rounds = [t.where("top is not null")], t.where("top is null"), sizes.open, 0
+    live = done[0]  # resolved comments that an open one may point to
     # a chain has at most n steps, so what is open after log2(n) rounds is a cycle
-    while (1 << rounds) <= max(1, n) and not t.where("top is null").isEmpty():
-        up = t.select(F.col("comment_id").alias("up_id"), F.col("top").alias("up_top"), F.col("jump").alias("up_jump"), F.col("steps").alias("up_steps"))
-        t = t.join(up, F.col("jump") == F.col("up_id"), "left").select(
-            "comment_id", F.coalesce("top", "up_top").alias("top"), F.when(F.col("top").isNull(), F.col("up_jump")).alias("jump"), (F.col("steps") + F.coalesce("up_steps", F.lit(0))).alias("steps")
+    while left and (1 << rounds) <= max(1, sizes.n):
+        known = live.unionByName(open_).select(F.col("comment_id").alias("up_id"), F.col("top").alias("up_top"), F.col("jump").alias("up_jump"), F.col("steps").alias("up_steps"))
+        t = open_.join(known, F.col("jump") == F.col("up_id"), "left").select(
+            "comment_id", F.col("up_top").alias("top"), F.when(F.col("up_top").isNull(), F.col("up_jump")).alias("jump"), (F.col("steps") + F.coalesce("up_steps", F.lit(0))).alias("steps")
         )
         t = written(t, "depths")
-        rounds += 1
-    state = [F.when(F.col("top").isNull(), "cycle").when(F.col("top") == 0, "missing").alias("state")] if states else []
-    return t.select("comment_id", F.when(F.col("top") != 0, F.col("top") + F.col("steps")).cast("int").alias("depth"), *state)
+        asked, now = open_.select(F.col("jump").alias("asked")), t.where("top is not null")
+        done, open_, rounds = [*done, now], t.where("top is null"), rounds + 1
+        left = open_.count()
+        if left:
+            live = written(live.unionByName(now).join(asked, F.col("comment_id") == F.col("asked"), "left_semi"), "depths")
+    return done, open_
 
 
 def depth_diagnostics(comments: DataFrame) -> DataFrame:

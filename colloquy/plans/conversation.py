@@ -403,7 +403,7 @@ def sides(spark, d, depth: bool = True):
     m = m.withColumns({
         "topic": sc.lookup(F.col("submolt_category"), sc.TOPIC_BY_CATEGORY), "hour": F.floor(F.hour("post_created_at_utc") / 6).cast("int"), "early_bin": sc.early_bin(F.col("early_comments")),
     })
-    m = mt.eligible(m)
+    m = written(mt.eligible(m), "metrics")  # each side reads it, in overlaps and pairs
     return m.where("thread_id % 2 = 0"), m.where("thread_id % 2 = 1")
 
 

@@ -111,6 +111,34 @@ def json_key_discovery(spark, d):
     return t.select("event_type", "key", "n", F.array_join("types", ",").alias("types"), "in_all")
 
 
+NESTED_JSON = """CASE event_id % 6 WHEN 0 THEN '{"id":' || event_id::VARCHAR || ',"by":{"name":"x","tags":["a",1,{"k":null}]},"posts":[{"id":1,"score":2.5},{"id":"s"}]}' WHEN 1 THEN '{"id":"' || event_id::VARCHAR || '","by":"y","posts":[]}'
+WHEN 2 THEN '[{"id":1,"by":{"name":null}},{"id":2},"text",[true]]' WHEN 3 THEN 'not json' WHEN 4 THEN '{"posts":[{"id":3},{"id":4},{"id":5},{"id":6}],"by":{}}' ELSE '7' END"""
+
+
+def nested_json(spark, d) -> DataFrame:
+    """Documents of several shapes and depths by event id."""
+    k, text = F.col("event_id"), F.col("event_id").cast("string")
+    made = (
+        F.when(k % 6 == 0, F.concat(F.lit('{"id":'), text, F.lit(',"by":{"name":"x","tags":["a",1,{"k":null}]},"posts":[{"id":1,"score":2.5},{"id":"s"}]}'))).when(k % 6 == 1, F.concat(F.lit('{"id":"'), text, F.lit('","by":"y","posts":[]}')))
+        .when(k % 6 == 2, '[{"id":1,"by":{"name":null}},{"id":2},"text",[true]]').when(k % 6 == 3, "not json").when(k % 6 == 4, '{"posts":[{"id":3},{"id":4},{"id":5},{"id":6}],"by":{}}').otherwise("7")
+    )
+    return ad.table(spark, d, "events").select("event_type", made.alias("json"))
+
+
+@query(f"""WITH j AS (SELECT event_type, {NESTED_JSON} AS json FROM events),
+t AS (SELECT event_type, CASE WHEN json_valid(json) THEN json END AS json FROM j),
+n AS (SELECT event_type, regexp_replace(regexp_replace(fullkey, '"', '', 'g'), '\[[0-9]+\]', '[]', 'g') AS path, regexp_replace(regexp_replace(x.path, '"', '', 'g'), '\[[0-9]+\]', '[]', 'g') AS up, x.key IS NOT NULL AND x.parent IS NOT NULL AND NOT regexp_matches(fullkey, '\]$') AS member,
+  CASE x.type WHEN 'VARCHAR' THEN 'str' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' ELSE 'array' END AS type
+  FROM t, json_tree(t.json) x WHERE t.json IS NOT NULL AND NOT regexp_matches(fullkey, '\[([3-9]|[0-9][0-9]+)\]')
+  UNION ALL SELECT event_type, '$', NULL, false, 'invalid' FROM t WHERE t.json IS NULL),
+c AS (SELECT event_type, path, CASE WHEN member THEN up END AS parent, type, count(*) AS n FROM n GROUP BY ALL),
+o AS (SELECT event_type, path AS parent, sum(n)::BIGINT AS n_parents FROM c WHERE type = 'object' GROUP BY ALL)
+SELECT event_type, path, sum(n)::BIGINT AS n, string_agg(type || ':' || n::VARCHAR, ',' ORDER BY type) AS types, any_value(n_parents) AS n_parents, sum(n) = any_value(n_parents) AS in_all FROM c LEFT JOIN o USING (event_type, parent) GROUP BY event_type, path, parent""")
+def json_schema_discovery(spark, d):
+    """Paths of nested documents with numbers of values by type; of arrays the first three elements count."""
+    return ql.json_schema(nested_json(spark, d), "json", ["event_type"], 3)
+
+
 @query(f"""WITH j AS (SELECT event_id, CASE WHEN json_valid(x) THEN x END AS json, x FROM (SELECT event_id, {MADE_JSON} AS x FROM events))
 SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id WHEN 1 THEN event_id END::BIGINT AS id, CASE event_id % 5 WHEN 2 THEN event_id % 7 WHEN 3 THEN 3 END::BIGINT AS score, CASE event_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 0 END::BIGINT AS ok,
 coalesce(trunc(try_cast(value AS DOUBLE))::BIGINT, 0) AS whole, make_timestamp((event_id % 100000) * 1000000) AS at, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y') ELSE strftime(ts, '%Y-%m-%d') END AS day, value > 0 AS positive FROM j JOIN events USING (event_id)""")

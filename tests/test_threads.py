@@ -137,3 +137,16 @@ def test_differences_without_spread_are_infinite(spark):
 
     r = spark.range(1).select(mt.smd(F.lit(2.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("a"), mt.smd(F.lit(1.0), F.lit(None).cast("double"), F.lit(1.0), F.lit(0.0)).alias("b")).first()
     assert (r.a, r.b) == (float("inf"), 0.0)
+
+
+def test_open_chains_contract(spark):
+    """A long chain beside many short ones: what is written falls by round, and the depths are right."""
+    chain = [(0, k, k - 1 if k else None, k) for k in range(100)]
+    short = [(1 + k // 3, 1000 + k, 1000 + k - 1 if k % 3 else None, k) for k in range(3000)]
+    df = spark.createDataFrame(chain + short, "post_id long, comment_id long, parent_id long, created_at_utc long")
+    done, open_ = th.chains_contracted(df)
+    sizes = [p.count() for p in done]
+    assert open_.count() == 0 and sum(sizes) == 3100 and sizes[0] == 1001 and sizes[1] == 1001 and sizes[2] == 1000 + 2
+    assert all(n <= 100 for n in sizes[3:]) and len(sizes) == 8
+    got = {r.comment_id: r.depth for r in th.tree_depths(df).collect()}
+    assert got == {**{k: k + 1 for k in range(100)}, **{1000 + k: k % 3 + 1 for k in range(3000)}}
