@@ -270,15 +270,36 @@ def stream_reentry(spark, d):
     return so.read_latest(spark, path).groupBy("thread_id").agg(F.sum("n").alias("n_known"), F.sum(F.col("n") - 1).alias("n_again"))
 
 
-@query(VIEWS + ", l AS (SELECT *, lag(src) OVER w AS s0, lag(dst) OVER w AS d0 FROM edges WINDOW w AS (PARTITION BY thread_id ORDER BY created_at_utc, comment_id)) SELECT thread_id, count(*) AS n_edges, count_if(src = d0 AND dst = s0) AS n_answers FROM l GROUP BY 1")
+@query(VIEWS + """, m AS (SELECT comment_id, created_at_utc AS born, (SELECT max(created_at_utc) FROM comments WHERE parent_id IS NOT NULL) AS last FROM comments), h AS (SELECT *, unnest([3600, 14400]) AS h FROM m),
+r AS (SELECT h, h.comment_id, min(c.created_at_utc) AS reply FROM h JOIN comments c ON c.parent_id = h.comment_id AND c.created_at_utc BETWEEN born AND born + h * INTERVAL 1 SECOND GROUP BY ALL)
+SELECT h AS horizon_seconds, comment_id, born AS created_at, round(date_diff('microsecond', born, reply) / 1e6::DOUBLE, 6) AS reply_seconds FROM h LEFT JOIN r USING (h, comment_id) WHERE born + h * INTERVAL 1 SECOND < last - INTERVAL 60 SECOND""")
+def stream_reply_join(spark, d):
+    """First replies within an hour and within the 4-hour boundary, by an outer interval join; comments whose horizon the watermark has passed."""
+    s = _comment_stream(spark, d)
+    end = ad.comments(spark, d).where("parent_id is not null").agg(F.max("created_at_utc").cast("timestamp").alias("last"))  # the slower of both watermarks
+    parts = []
+    for h in (3600, 14_400):
+        t = so.run_to_end(so.replies_within(s, h), shared_path(spark, "stream"))
+        t = t.groupBy("comment_id", "created_at").agg(F.min("reply_at").alias("reply_at")).crossJoin(F.broadcast(end))
+        t = t.where(F.expr(f"created_at + INTERVAL {h} SECONDS < last - INTERVAL 60 SECONDS"))
+        parts.append(t.select(F.lit(h).alias("horizon_seconds"), "comment_id", "created_at", sc.seconds_between(F.col("created_at"), F.col("reply_at")).alias("reply_seconds")))
+    return rounded(so.untimed(parts[0].unionByName(parts[1])))
+
+
+@query(VIEWS + """, seen AS (SELECT * FROM edges WHERE epoch_us(created_at_utc) // 1000 < (SELECT max(epoch_us(created_at_utc) // 1000) FROM edges) - 60000),
+l AS (SELECT *, lag(src) OVER (PARTITION BY thread_id ORDER BY created_at_utc, comment_id) AS s0, lag(dst) OVER (PARTITION BY thread_id ORDER BY created_at_utc, comment_id) AS d0 FROM seen),
+i AS (SELECT *, sum(CASE WHEN src = d0 AND dst = s0 THEN 0 ELSE 1 END) OVER (PARTITION BY thread_id ORDER BY created_at_utc, comment_id) AS island FROM l)
+SELECT thread_id, min(created_at_utc) AS start, count(*) AS length FROM i GROUP BY thread_id, island HAVING count(*) >= 2""")
 def stream_chains(spark, d):
-    """Per thread, edges and those that reverse the one before: the steps of reciprocal chains, kept as a running state."""
+    """Reciprocal chains of the edges that the watermark has passed; files arrive in an order that is not that of time."""
     path = shared_path(spark, "edges")
-    th.interaction_edges(flat_events(spark, d)).withColumn("ts", F.col("created_at_utc")).write.parquet(path)
+    e = th.interaction_edges(flat_events(spark, d)).withColumn("ts", F.col("created_at_utc"))
+    e.repartition(6, "comment_id").write.parquet(path)
     s = so.event_stream(spark, path, 1000).select("thread_id", "ts", "comment_id", "src", "dst")
     out = shared_path(spark, "chains")
-    so.upserted(so.running_chains(s), ["thread_id"], "n_edges", out, shared_path(spark, "stream"), "update")
-    return so.read_latest(spark, out)
+    with so.state_in_rocksdb(spark):
+        so.upserted(so.running_chains(s), ["thread_id", "first_id"], "length", out, shared_path(spark, "stream"), "update")
+    return so.untimed(so.read_latest(spark, out, so.CHAIN).select("thread_id", "start", "length"))
 
 
 POLLED = "SELECT 'i' || k::VARCHAR AS id, k * 1000 AS created_at_ms, (k % 40)::INT AS comment_count, 'text ' || (k * 1000)::VARCHAR AS body FROM range({}) t(k)"

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from colloquy.sources.scratch import ship
+
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A Parquet file or folder as a stream with event time."""
@@ -73,19 +77,98 @@ def running_reentry(comments: DataFrame) -> DataFrame:
     return comments.where("comment_agent_id is not null").groupBy("thread_id", "comment_agent_id").agg(F.count("*").alias("n"))
 
 
-def running_chains(edges: DataFrame) -> DataFrame:
-    """Per thread, in arrival order: edges so far and how many reversed the one before. Update mode; the state is the last edge and two counts."""
+def replies_within(comments: DataFrame, horizon_seconds: int, late: str = "1 minute") -> DataFrame:
+    """(comment_id, created_at, reply_at): a row for each reply that came within the horizon, one with null where none did.
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        src, dst, n, answers = state.get if state.exists else (None, None, 0, 0)
-        held = pd.concat(list(parts)).sort_values(["ts", "comment_id"])
-        before_src, before_dst = held.src.shift(), held.dst.shift()
-        before_src.iloc[0], before_dst.iloc[0] = src, dst
-        n, answers = n + len(held), answers + int(((held.src == before_dst) & (held.dst == before_src)).sum())
-        state.update((held.src.iloc[-1], held.dst.iloc[-1], n, answers))
-        yield pd.DataFrame({"thread_id": [key[0]], "n_edges": [n], "n_answers": [answers]})
+    An outer interval join of the stream with itself: state is kept for the horizon alone. A comment without
+    a reply comes out when the watermark has passed its horizon. Input: comment_id, parent_id, ts.
+    """
+    own = comments.select("comment_id", F.col("ts").alias("created_at")).withWatermark("created_at", late)
+    replies = comments.where("parent_id is not null").select("parent_id", F.col("ts").alias("reply_at")).withWatermark("reply_at", late)
+    inside = F.expr(f"reply_at >= created_at and reply_at <= created_at + INTERVAL {int(horizon_seconds)} SECONDS")
+    return own.join(replies, (F.col("comment_id") == F.col("parent_id")) & inside, "left_outer").select("comment_id", "created_at", "reply_at")
+
+
+CHAIN = "thread_id long, first_id long, start timestamp, length long"
 
-    return edges.groupBy("thread_id").applyInPandasWithState(run, "thread_id long, n_edges long, n_answers long", "src string, dst string, n long, answers long", "update", GroupStateTimeout.NoTimeout)
+
+class ChainState(StatefulProcessor):
+    """Reciprocal chains of a thread, in event time whatever the order of arrival.
+
+    Edges wait in a map until the watermark has passed them; a timer then takes those that are
+    due in the order (ts, comment_id). The last edge and its chain are a value; both go
+    when a thread has been idle for long.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "us long, comment_id long", "src string, dst string")
+        self.chain = handle.getValueState("chain", "src string, dst string, first_id long, start_us long, last_us long, length long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            us = pdf.ts.astype("datetime64[us]").astype("int64")
+            for at, comment_id, src, dst in zip(us.tolist(), pdf.comment_id.tolist(), pdf.src.tolist(), pdf.dst.tolist(), strict=True):
+                self.waiting.updateValue((at, comment_id), (src, dst))
+                first = at if first is None else min(first, at)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator())
+        due = [w for w in waiting if w[0][0] // 1000 < now]
+        held = self.chain.get() if self.chain.exists() else None
+        out = []
+        for (us, comment_id), (src, dst) in due:
+            self.waiting.removeKey((us, comment_id))
+            if held and (src, dst) == (held[1], held[0]) and us - held[4] < 1000 * self.idle_ms:
+                held = (src, dst, held[2], held[3], us, held[5] + 1)
+                grown = {"thread_id": key[0], "first_id": held[2], "start": pd.Timestamp(held[3], unit="us"), "length": held[5]}
+                out = [*out[:-1], grown] if out and out[-1]["first_id"] == held[2] else [*out, grown]
+            else:
+                held = (src, dst, comment_id, us, us, 1)
+        if len(waiting) > len(due):
+            self.handle.registerTimer(waiting[len(due)][0][0] // 1000 + 1)
+        if held and held[4] // 1000 + self.idle_ms <= now:  # edges that wait come too late for its chain
+            self.chain.clear()
+        elif held:
+            self.chain.update(held)
+            self.handle.registerTimer(held[4] // 1000 + self.idle_ms)
+        if out:
+            yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which processors with timers and maps need."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def running_chains(edges: DataFrame, late: str = "1 minute", idle_hours: int = 24 * 30) -> DataFrame:
+    """(thread_id, first_id, start, length) of reciprocal chains of two or more edges, again whenever one has grown.
+
+    Edges later than the watermark are left out; a chain goes on unless its thread is idle for
+    ``idle_hours``, after which its state is removed.
+    Start the query within ``state_in_rocksdb``.
+    """
+    ship(edges.sparkSession)
+    t = edges.withWatermark("ts", late).groupBy("thread_id")
+    return t.transformWithStateInPandas(ChainState(idle_hours * 3_600_000), CHAIN, "Update", "EventTime")
 
 
 def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
@@ -131,9 +214,12 @@ def upserted(stream: DataFrame, keys: list[str], order: str, path: str, checkpoi
     upsert_latest(stream, keys, order, path).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The table that ``upsert_latest`` keeps."""
-    return spark.read.parquet(*_versions(spark, path).values())
+def read_latest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The table that ``upsert_latest`` keeps; with a schema one that has no batch yet is empty."""
+    held = _versions(spark, path).values()
+    if schema and not held:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(*held)
 
 
 def every_nth(batch_id: int, n: int) -> bool:
