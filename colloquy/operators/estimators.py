@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from colloquy.sources.scratch import ship
 
 LN2 = math.log(2)
+#: Combinations of levels that a regression's cell table may have.
+MOST_CELLS = 100_000
 #: Simulated paths of a part.
 PATHS = 50
 
@@ -83,7 +85,9 @@ def cloglog(cells: DataFrame, levels: list[str], covariates: list[str], cluster_
     Returns coefficients, the inverse information and names; the first level of each
     covariate in ``levels`` order is the reference.
     """
-    rows = cells.collect()
+    rows = cells.limit(MOST_CELLS + 1).collect()
+    if len(rows) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} combinations of levels")
     names, columns = ["intercept"], [np.ones(len(rows))]
     for c in covariates:
         seen = sorted({r[c] for r in rows}, key=lambda v: (v not in levels, v))
@@ -248,3 +252,21 @@ def two_way_covariance(units: DataFrame, score: list[Column], inverse: np.ndarra
 
     a, b, both = of([first]), of([second]), of([first, second])
     return {"first": a, "second": b, "two_way": a + b - both}
+
+
+def robust_errors(model: np.ndarray, by_cluster: np.ndarray, two_way: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
+    """Errors from covariances by cluster and by two clusters, and a note.
+
+    A two-way covariance is a difference and may have a negative diagonal; then its errors
+    are all those by cluster, and where these can't be had either, those of the model.
+    """
+    note = "two_way_cluster_thread_author"
+    first, both = np.diag(by_cluster), np.diag(two_way)
+    valid = lambda v: bool(np.all(np.isfinite(v)) and np.all(v >= 0))
+    if valid(first):
+        first = np.sqrt(first)
+    else:
+        first, note = model, f"{note};thread_cov_diag_invalid_fallback_model"
+    if valid(both):
+        return first, np.sqrt(both), note
+    return first, first, f"{note};twoway_cov_diag_invalid_fallback_thread"

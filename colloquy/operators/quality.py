@@ -27,17 +27,40 @@ def require_columns(df: DataFrame, columns: list[str], name: str) -> None:
         raise ValueError(f"{name} lacks columns: {', '.join(missing)}")
 
 
-def with_columns_present(df: DataFrame, columns: list[str]) -> DataFrame:
-    """In this order, absent ones null."""
-    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
-
-
 def resolve_columns(columns: list[str], candidates: dict[str, list[str]]) -> dict[str, str | None]:
     """For each name the first candidate present, whatever its case."""
     lower = {c.lower(): c for c in columns}
     return {name: next((lower[c.lower()] for c in options if c.lower() in lower), None) for name, options in candidates.items()}
 
 
+def column_mapping(tables: dict[str, DataFrame], candidates: dict[str, dict[str, list[str]]], either: dict[str, list[list[str]]] | None = None) -> DataFrame:
+    """(table, name, column, matches, status) of the names that each table should have.
+
+    ``column`` is the first candidate present, ``matches`` all of them. ``status``: ``mapped``;
+    ``ambiguous`` where several candidates are present; ``covered`` where the name is missing but
+    another of its OR group (``either``: lists of names of which one is enough) is there; else ``missing``.
+    """
+    rows = []
+    for table, df in tables.items():
+        wanted = candidates.get(table, {})
+        chosen = resolve_columns(df.columns, wanted)
+        lower = {c.lower(): c for c in df.columns}
+        groups = (either or {}).get(table, [])
+        for name, options in wanted.items():
+            matches = [lower[c.lower()] for c in options if c.lower() in lower]
+            covered = any(name in g and any(chosen.get(n) for n in g) for g in groups)
+            status = "ambiguous" if len(matches) > 1 else "mapped" if matches else "covered" if covered else "missing"
+            rows.append((table, name, chosen[name], ",".join(matches), status))
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, name string, column string, matches string, status string")
+
+
+def mapped_columns(df: DataFrame, candidates: dict[str, list[str]], required: list[str], name: str) -> DataFrame:
+    """The table under canonical names, in their order; absent ones are null, unless they are required."""
+    chosen = resolve_columns(df.columns, candidates)
+    require_columns(df.select(*(F.col(f"`{c}`").alias(n) for n, c in chosen.items() if c)), required, name)
+    return df.select(*(F.col(f"`{c}`").alias(n) if c else F.lit(None).cast("string").alias(n) for n, c in chosen.items()))
+
+
 def orphan_rate(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """n_refs, n_orphans and rate of a reference; null references are not counted."""
     known = parent.select(F.col(parent_key).alias("_known")).distinct()

@@ -315,23 +315,77 @@ def latex_lines(spark, d):
     return line.select(F.regexp_replace(F.get(key, F.lit(0)), ",", "").cast("long").alias("key"), F.array_join(F.slice(key, 2, 9), " & ").alias("line"))
 
 
-@query("SELECT round::INT AS round, 'new' AS sort, (id + 1)::INT AS rank, 'post_' || (id + round * 3)::VARCHAR AS post_id, ((id * 7 + round) % 50)::INT AS comment_count FROM (SELECT *, row_number() OVER (PARTITION BY id + round * 3 ORDER BY round, id) AS k FROM range(20) i(id), range(3) r(round)) WHERE k = 1")
-def stub_feed_first_seen(spark, d):
-    """Three generated polls; each post once, as it was first seen."""
-    polls = ql.union_rows([feeds.stub_feed(spark, "new", 20, k) for k in range(3)])
-    return ql.keep_first(polls, "post_id", ["round", "rank"])
+@query("""WITH f AS (SELECT ts::DATE AS round, event_type AS sort, event_id, user_id, (event_id % 50)::INT AS comment_count, row_number() OVER (PARTITION BY ts::DATE, event_type ORDER BY ts, event_id) AS rank FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round, sort, rank, event_id) AS k FROM f) SELECT round, sort, rank, 'post_' || user_id::VARCHAR AS post_id, comment_count FROM k WHERE k = 1""", name="stub_feed_first_seen")
+def feed_first_seen(spark, d):
+    """Events as polls of a feed, a round a day and a sort a type; each post (user) once, as it was first seen."""
+    e = ad.table(spark, d, "events").select(F.to_date("ts").alias("round"), F.col("event_type").alias("sort"), "ts", "event_id", F.concat(F.lit("post_"), F.col("user_id").cast("string")).alias("post_id"), (F.col("event_id") % 50).cast("int").alias("comment_count"))
+    by, order = ["round", "sort"], ["ts", "event_id"]
+    polls = scan.with_rank(scan.ranged(e, order, by), order, by)
+    first = F.min(F.struct("round", "sort", "rank", "event_id", "comment_count")).alias("r")
+    return polls.groupBy("post_id").agg(first).select("r.round", "r.sort", "r.rank", "post_id", "r.comment_count")
+
+
+@query("""WITH n AS (SELECT event_id, user_id, ts::DATE AS day, event_id % 29 = 0 AS nameless, first_value(event_id) OVER w AS top FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY event_id))
+SELECT 'p' || user_id::VARCHAR AS post, 'e' || event_id::VARCHAR AS id, CASE WHEN event_id <> top THEN 'e' || top::VARCHAR END AS parent_id, (event_id <> top)::INT AS depth, CASE WHEN NOT nameless THEN 'a' || (event_id % 13)::VARCHAR END AS author FROM n""")
+def nested_comments(spark, d):
+    """Nested comment documents of users' events, the first of a day enclosing the others of that day, flattened again."""
+    name = lambda k: F.concat(F.lit("e"), k.cast("string"))
+    author = F.when(F.col("event_id") % 29 != 0, F.concat(F.lit("a"), (F.col("event_id") % 13).cast("string")))
+    e = ad.table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("user"), F.to_date("ts").alias("day"), F.struct(name(F.col("event_id")).alias("id"), F.struct(author.alias("name")).alias("author")).alias("c"))
+    tops = e.groupBy("user", "day").agg(F.min("event_id").alias("top"), F.min_by("c", "event_id").alias("t"))
+    inner = e.join(tops, ["user", "day"]).groupBy("user", "day").agg(F.any_value("t").alias("t"), F.collect_list(F.when(F.col("event_id") != F.col("top"), F.col("c"))).alias("children"))
+    # a document a user and day: one of a whole user would grow without bound
+    doc = F.to_json(F.struct(F.array(F.struct("t.id", "t.author", "children")).alias("comments")))
+    return feeds.flatten_comments(inner.select(F.concat(F.lit("p"), "user").alias("post"), doc.alias("json")))
 
 
-@query("""WITH n AS (SELECT 'p' || p::VARCHAR AS post, i, j FROM range(3) a(p), range(3) b(i), range(-1, 2) c(j))
-SELECT post, post || '_c' || i::VARCHAR || CASE WHEN j >= 0 THEN '_' || j::VARCHAR ELSE '' END AS id, CASE WHEN j >= 0 THEN post || '_c' || i::VARCHAR END AS parent_id, CASE WHEN j >= 0 THEN 1 ELSE 0 END::INT AS depth, 'a' || CASE WHEN j >= 0 THEN j ELSE i END::VARCHAR AS author FROM n""")
-def nested_comments(spark, d):
-    return feeds.flatten_comments(ql.union_rows([feeds.stub_thread(spark, f"p{k}") for k in range(3)]))
+WINDOW = ("2024-01-03", "2024-01-20")
 
 
-@query("SELECT 'i' || k::VARCHAR AS id, k * 1000 AS created_at_ms, (k % 40)::INT AS comment_count, 'text ' || (k * 1000)::VARCHAR AS body FROM range(500) t(k)")
+@query(f"""SELECT event_id, ts, (row_number() OVER (ORDER BY ts, event_id) - 1) // 64 AS page FROM events WHERE ts >= TIMESTAMP '{WINDOW[0]}' AND ts < TIMESTAMP '{WINDOW[1]}'""")
 def cursor_window_scan(spark, d):
-    feeds.register(spark)
-    return spark.read.format("cursor_feed").options(after_ms=0, before_ms=500_000, page_size=64, partitions=4).load()
+    """Events of a window in pages of 64, in the order of a cursor over (ts, event_id)."""
+    low, high = (F.to_timestamp_ntz(F.lit(t)) for t in WINDOW)
+    e = ad.table(spark, d, "events").where((F.col("ts") >= low) & (F.col("ts") < high)).select("event_id", "ts")
+    order = ["ts", "event_id"]
+    t = scan.with_rank(scan.ranged(e, order), order)
+    return t.select("event_id", "ts", F.floor((F.col("rank") - 1) / 64).alias("page"))
+
+
+#: Names that curated tables should have, with the columns that may hold them, and names of which one is enough.
+CANDIDATES = {
+    "events": {"id": ["id", "event_id"], "created_at": ["created_at", "createdAt", "timestamp", "ts"], "author_id": ["author_id", "agent_id", "user_id"], "author_name": ["author_name", "author", "username"], "content": ["content", "body", "text", "value", "props"]},
+    "documents": {"id": ["doc_id", "id"], "created_at": ["created_at", "ts"], "content": ["content", "TEXT"], "community": ["submolt", "source"]},
+    "conversations": {"id": ["conv_id"], "author_id": ["author_id"], "author_name": ["role"], "content": ["text"]},
+}
+EITHER = {"events": [["author_id", "author_name"]], "conversations": [["author_id", "author_name"]]}
+
+
+@query("""SELECT * FROM (VALUES ('events', 'id', 'event_id', 'event_id', 'mapped'), ('events', 'created_at', 'ts', 'ts', 'mapped'), ('events', 'author_id', 'user_id', 'user_id', 'mapped'), ('events', 'author_name', NULL, '', 'covered'),
+('events', 'content', 'value', 'value,props', 'ambiguous'), ('documents', 'id', 'doc_id', 'doc_id', 'mapped'), ('documents', 'created_at', NULL, '', 'missing'), ('documents', 'content', 'text', 'text', 'mapped'),
+('documents', 'community', 'source', 'source', 'mapped'), ('conversations', 'id', 'conv_id', 'conv_id', 'mapped'), ('conversations', 'author_id', NULL, '', 'covered'), ('conversations', 'author_name', 'role', 'role', 'mapped'),
+('conversations', 'content', 'text', 'text', 'mapped')) v(table_name, name, "column", matches, status), (SELECT count(*) AS n_rows FROM events)""")
+def column_mapping(spark, d):
+    """Which columns of the tables hold the names that curation needs, beside the number of events."""
+    tables = {t: ad.table(spark, d, t) for t in CANDIDATES}
+    n = ad.table(spark, d, "events").agg(F.count("*").alias("n_rows"))
+    return ql.column_mapping(tables, CANDIDATES, EITHER).crossJoin(F.broadcast(n))
+
+
+@query("""SELECT event_id::BIGINT AS id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 6 IN (0, 1, 2) THEN NULL ELSE 'u' || (event_id % 6)::VARCHAR END AS author_name, event_id % 6 IN (0, 2) OR event_id % 10 = 0 AS deleted, NULL::VARCHAR AS title,
+'events' AS source_table, CASE WHEN value > 0 THEN CASE WHEN value < 1 THEN 'minutes' ELSE 'hours' END END AS half_life_unit FROM events""")
+def curated_comments(spark, d):
+    """Raw events under canonical names, required ones checked, authors and deletions told, constant columns added."""
+    k = F.col("event_id")
+    author = F.when(k % 6 == 0, "[deleted]").when(k % 6 == 1, " ").when(k % 6 != 2, F.concat(F.lit(" u"), (k % 6).cast("string")))
+    raw = ad.table(spark, d, "events").select(k.alias("ID"), F.col("ts").alias("createdAt"), author.alias("username"), F.when(k % 10 == 0, "[removed]").otherwise("text").alias("body"), "value")
+    names = {"id": ["id"], "created_at": ["created_at", "createdAt"], "author_name": ["author_name", "username"], "content": ["content", "body"], "title": ["title"], "value": ["value"]}
+    t = ql.mapped_columns(raw, names, ["id", "created_at", "author_name"], "comments")
+    deleted = sc.is_deleted(F.col("content"), F.col("author_name"))
+    unit = F.when(F.col("value") > 0, F.when(sc.half_life_text(F.col("value")).endswith("min"), "minutes").otherwise("hours"))
+    t = t.select("id", F.date_format("created_at", "yyyy-MM-dd").alias("day"), sc.known_author(F.col("author_name"), F.lit(False)).alias("author_name"), deleted.alias("deleted"), "title", unit.alias("half_life_unit"))
+    return sc.with_metadata(t, source_table="events")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1")

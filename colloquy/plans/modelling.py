@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -156,7 +157,9 @@ def paired_tests(spark, d):
 def cloglog_glm(spark, d):
     """Incidence by category and claim: coefficients with errors of the model, by thread, and two-way by thread and author, and the mean prediction.
 
-    Rows without a known author are left out, as they belong to no author's cluster.
+    Rows without a known author are left out, as they belong to no author's cluster. Where a
+    two-way variance is negative all its errors are those by thread, and where one of these is,
+    those of the model; ``note`` says so.
     """
     u = labelled_units(spark, d).where("comment_agent_id is not null").withColumn("claim", sc.claim_label(F.col("is_claimed"), "primary"))
     u = written(u.select("submolt_category", "claim", "thread_id", "comment_agent_id", "event_observed"), "units")  # read once a sum
@@ -168,15 +171,18 @@ def cloglog_glm(spark, d):
     p = 1 - F.exp(-hz)
     residual = (F.col("event_observed") - p) * hz * (1 - p) / (p * (1 - p))
     cov = es.two_way_covariance(u, [c * residual for c in cols], inverse, "thread_id", "comment_agent_id")
-    mean = u.agg(F.avg("event_observed").alias("observed"), F.avg(p).alias("predicted")).first()
-
-    def row(i: int, name: str) -> tuple:
-        b, s = float(beta[i]), math.sqrt(max(0.0, cov["two_way"][i][i]))
+    model = np.sqrt(np.diag(inverse))
+    thread, two_way, note = es.robust_errors(model, cov["first"], cov["two_way"])
+    mean = u.agg(F.avg("event_observed").alias("observed"), F.avg(p).alias("predicted"), F.count("*").alias("n"), F.sum("event_observed").alias("k"), F.count_distinct("thread_id").alias("threads"), F.count_distinct("comment_agent_id").alias("authors")).first()
+    sizes = (mean.n, mean.k, mean.threads, mean.authors, note)
+    rows = []
+    for i, name in enumerate(names):
+        b, s = float(beta[i]), float(two_way[i])
         z = b / s if s else None
-        return name, b, math.sqrt(inverse[i][i]), math.sqrt(max(0.0, cov["first"][i][i])), s, z, math.erfc(abs(z) / math.sqrt(2)) if s else None, b - 1.96 * s, b + 1.96 * s, None, None
-
-    rows = [row(i, n) for i, n in enumerate(names)] + [("mean_incidence", *(None,) * 8, float(mean.observed), float(mean.predicted))]
-    return rounded(spark.createDataFrame(rows, "term string, estimate double, se_model double, se_thread double, se_two_way double, z double, p double, low double, high double, observed double, predicted double"))
+        rows.append((name, b, float(model[i]), float(thread[i]), s, z, math.erfc(abs(z) / math.sqrt(2)) if s else None, b - 1.96 * s, b + 1.96 * s, None, None, *sizes))
+    rows.append(("mean_incidence", *(None,) * 8, float(mean.observed), float(mean.predicted), *sizes))
+    kinds = "term string, estimate double, se_model double, se_thread double, se_two_way double, z double, p double, low double, high double, observed double, predicted double, n_units long, n_events long, n_threads long, n_authors long, note string"
+    return rounded(spark.createDataFrame(rows, kinds))
 
 
 @query()
@@ -302,17 +308,16 @@ def stream_chains(spark, d):
     return so.untimed(so.read_latest(spark, out, so.CHAIN).select("thread_id", "start", "length"))
 
 
-POLLED = "SELECT 'i' || k::VARCHAR AS id, k * 1000 AS created_at_ms, (k % 40)::INT AS comment_count, 'text ' || (k * 1000)::VARCHAR AS body FROM range({}) t(k)"
-
-
-@query(POLLED.format(100))
+@query("SELECT event_id, 'post_' || user_id::VARCHAR AS post_id, (event_id % 40)::INT AS comment_count FROM events")
 def stream_polling(spark, d):
-    """The cursor source as a stream: a page a micro-batch until the window ends."""
-    from colloquy.sources import feeds
-
-    feeds.register(spark)
-    s = spark.readStream.format("cursor_feed").options(after_ms=0, before_ms=100_000, page_size=40).load()
-    return so.run_to_end(s, shared_path(spark, "stream"), paged=True)
+    """Events as a polled feed: each round (micro-batch) is written, and in every second one the comments of its top posts."""
+    path, out = shared_path(spark, "feed"), shared_path(spark, "polled")
+    feed = ad.table(spark, d, "events").select("event_id", "ts", F.concat(F.lit("post_"), F.col("user_id").cast("string")).alias("post_id"), (F.col("event_id") % 40).cast("int").alias("comment_count"))
+    feed.repartition(4, "event_id").write.parquet(path)
+    s = so.event_stream(spark, path, 1).select("event_id", "post_id", "comment_count")
+    q = so.polled_rounds(s, lambda top: top.select("post_id"), 2, 3, out)
+    q.option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, post_id string, comment_count int").parquet(f"{out}/feed").drop("round")
 
 
 @query("SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC) AS k FROM events) WHERE k = 1")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -133,20 +134,72 @@ def stub_page(after_ms: int, before_ms: int, size: int) -> list[dict]:
     return [{"id": f"i{t // 1000}", "created_at_ms": t, "comment_count": t // 1000 % 40, "body": f"text {t}"} for t in range(first, min(before_ms, first + 1000 * size), 1000)]
 
 
-def http_page(base_url: str) -> Callable[[int, int, int], list[dict]]:
+class FeedError(RuntimeError):
+    """A page that could not be had: what was read so far is not the whole window."""
+
+
+def http_page(base_url: str, get: Callable = http_get, log: Callable[[dict], None] | None = None) -> Callable[[int, int, int], list[dict]]:
+    """Pages of a server; a status other than 200 and a body that holds no list are errors, not ends.
+
+    ``log`` gets an entry of the request log for every call, failed ones too.
+    """
+
     def fetch(after_ms: int, before_ms: int, size: int) -> list[dict]:
-        status, body = http_get(f"{base_url}?after={after_ms}&before={before_ms}&limit={size}&sort=asc")
-        payload = json.loads(body) if status == 200 and body else []
-        return payload if isinstance(payload, list) else next((v for k in ("data", "items", "results") if isinstance(v := payload.get(k), list)), [])
+        params = {"after": str(after_ms), "before": str(before_ms), "limit": str(size), "sort": "asc"}
+        url = f"{base_url}?{urllib.parse.urlencode(params)}"
+        began, status, body, error = time.time(), None, "", None
+        try:
+            status, body = get(url)
+        except OSError as e:
+            error = f"{type(e).__name__}: {e}"
+        if log:
+            log({"method": "GET", "endpoint": urllib.parse.urlsplit(base_url).path, "url": url, "params": params, "retrieved_at_utc": began, "http_status": status, "latency_ms": (time.time() - began) * 1000, "bytes": len(body.encode()), "error": error})
+        if error or status != 200:
+            raise FeedError(f"{url}: {error or f'status {status}'}")
+        try:
+            payload = json.loads(body)
+        except ValueError as e:
+            raise FeedError(f"{url}: no JSON") from e
+        if isinstance(payload, list):
+            return payload
+        found = next((v for k in ("data", "items", "results") if isinstance(payload, dict) and isinstance(v := payload.get(k), list)), None)
+        if found is None:
+            raise FeedError(f"{url}: no list")
+        return found
 
     return fetch
 
 
+def next_page(fetch: Callable, after_ms: int, before_ms: int, size: int) -> tuple[list[dict], int]:
+    """Items from ``after_ms`` on, ascending, and the next cursor; the window is complete where there are none.
+
+    Items that share the last time of a full page may go on beyond it, so they are left to
+    the next page, which begins at that time; a page of one time alone is asked again in
+    twice the size. ``size`` must not exceed what the server gives at once.
+    """
+    while True:
+        page = fetch(after_ms, before_ms, size)
+        if not page:
+            return [], after_ms
+        last = page[-1]["created_at_ms"]
+        if len(page) < size:
+            return page, last + 1
+        whole = [i for i in page if i["created_at_ms"] < last]
+        if whole:
+            return whole, last
+        more = fetch(after_ms, before_ms, 2 * size)
+        if len(more) <= len(page):
+            if fetch(last + 1, before_ms, 1):  # the server gives no more at once, though there is more
+                raise FeedError(f"more than {len(page)} items may share the time {last}")
+            return page, last + 1
+        size *= 2
+
+
 def pages(fetch: Callable, after_ms: int, before_ms: int, size: int, cap: int) -> Iterator[dict]:
     """Items of [after, before), each id once; ends at an empty page, a cursor that stands still, or the cap."""
     seen: set[str] = set()
     while True:
-        page = fetch(after_ms, before_ms, size)
+        page, nxt = next_page(fetch, after_ms, before_ms, size)
         if not page:
             return
         for item in page:
@@ -155,7 +208,6 @@ def pages(fetch: Callable, after_ms: int, before_ms: int, size: int, cap: int) -
                 yield item
                 if len(seen) >= cap:
                     return
-        nxt = page[-1]["created_at_ms"] + 1
         if nxt <= after_ms:
             return
         after_ms = nxt
@@ -193,23 +245,24 @@ class CursorStream(SimpleDataSourceStreamReader):
     def initialOffset(self):
         return {"after_ms": int(self.options["after_ms"])}
 
-    def _page(self, after_ms: int):
+    def _page(self, after_ms: int) -> tuple[list[dict], int]:
         o = self.options
-        return (http_page(o["url"]) if "url" in o else stub_page)(after_ms, int(o["before_ms"]), int(o.get("page_size", 100)))
+        return next_page(http_page(o["url"]) if "url" in o else stub_page, after_ms, int(o["before_ms"]), int(o.get("page_size", 100)))
 
     def read(self, start: dict):
-        page = self._page(start["after_ms"])
+        page, nxt = self._page(start["after_ms"])
         rows = [(i["id"], int(i["created_at_ms"]), int(i.get("comment_count") or 0), i.get("body")) for i in page]
-        return iter(rows), {"after_ms": page[-1]["created_at_ms"] + 1 if page else start["after_ms"]}
+        return iter(rows), {"after_ms": nxt}
 
     def readBetweenOffsets(self, start: dict, end: dict):
         rows, at = [], start["after_ms"]
         while at < end["after_ms"]:
-            page = [i for i in self._page(at) if i["created_at_ms"] < end["after_ms"]]
+            page, nxt = self._page(at)
+            page = [i for i in page if i["created_at_ms"] < end["after_ms"]]
             if not page:
                 break
             rows += [(i["id"], int(i["created_at_ms"]), int(i.get("comment_count") or 0), i.get("body")) for i in page]
-            at = page[-1]["created_at_ms"] + 1
+            at = nxt
         return iter(rows)
 
 

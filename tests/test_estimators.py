@@ -152,3 +152,12 @@ def test_half_life_at_the_published_rates(spark):
     assert math.log(2) / b == pytest.approx(math.log(2) / beta, rel=0.02)
     reps = sorted(r["second"] for r in fits.bootstrap_fits(df, "thread_id", 20).collect())
     assert reps[10] == pytest.approx(b, rel=0.01)
+
+
+def test_errors_fall_back_where_a_variance_is_negative():
+    model, good, bad = np.array([1.0, 2.0]), np.diag([4.0, 9.0]), np.diag([4.0, -1e-9])
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in es.robust_errors(model, good, good)] == [[2, 3], [2, 3], "two_way_cluster_thread_author"]
+    first, both, note = es.robust_errors(model, good, bad)
+    assert both.tolist() == [2, 3] and note.endswith(";twoway_cov_diag_invalid_fallback_thread")
+    first, both, note = es.robust_errors(model, bad, np.diag([np.nan, 1.0]))
+    assert first.tolist() == both.tolist() == [1, 2] and "thread_cov_diag_invalid_fallback_model;twoway" in note

@@ -1,3 +1,4 @@
+import json
 import urllib.error
 
 import pytest
@@ -85,6 +86,55 @@ def test_paging_stops():
     assert len(list(feeds.pages(still, 0, 10, 3, 100))) == 1
 
 
+def tied(n, at, step=0):
+    return [{"id": f"i{k}", "created_at_ms": at + k * step, "comment_count": k} for k in range(n)]
+
+
+def server(items, most=10**9):
+    """Answers as a feed does: items of the window in order, at most ``most`` at once."""
+    return lambda after, before, size: [i for i in sorted(items, key=lambda i: i["created_at_ms"]) if after <= i["created_at_ms"] < before][: min(size, most)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 100, 150])
+def test_items_that_share_a_time_are_all_read(size):
+    items = tied(40, 0, 10) + [{**i, "id": "t" + i["id"]} for i in tied(150, 200)] + [{**i, "id": "u" + i["id"]} for i in tied(10, 500, 1)]
+    assert len(list(feeds.pages(server(items), 0, 1000, size, 10**6))) == 200
+
+
+def test_a_server_that_hides_tied_items_is_an_error():
+    items = tied(150, 200) + [{"id": "later", "created_at_ms": 300}]
+    with pytest.raises(feeds.FeedError, match="share the time"):
+        list(feeds.pages(server(items, 100), 0, 1000, 100, 10**6))
+
+
+@pytest.mark.parametrize("answer", [(503, ""), (403, ""), (200, "not json"), (200, '{"error": "x"}'), (200, ""), OSError("down")])
+def test_errors_are_no_end_of_the_window(answer):
+    def get(url):
+        if isinstance(answer, OSError):
+            raise answer
+        return answer
+
+    log = []
+    with pytest.raises(feeds.FeedError):
+        list(feeds.pages(feeds.http_page("http://feed/items", get, log.append), 0, 1000, 10, 100))
+    assert len(log) == 1 and log[0]["endpoint"] == "/items" and log[0]["params"]["limit"] == "10"
+    assert (log[0]["http_status"], log[0]["error"] is None) == ((None, False) if isinstance(answer, OSError) else (answer[0], True))
+
+
+def test_pages_of_a_server():
+    get = lambda url: (200, json.dumps({"items": tied(3, 0, 5) if "after=0&" in url else []}))
+    assert [i["id"] for i in feeds.pages(feeds.http_page("http://feed/items", get), 0, 1000, 10, 100)] == ["i0", "i1", "i2"]
+
+
+def test_cursor_source_as_table_and_stream(spark, tmp_path):
+    feeds.register(spark)
+    t = spark.read.format("cursor_feed").options(after_ms=0, before_ms=500_000, page_size=64, partitions=4).load()
+    assert t.count() == 500 and t.select("id").distinct().count() == 500 and t.agg({"created_at_ms": "max"}).first()[0] == 499_000
+    s = spark.readStream.format("cursor_feed").options(after_ms=0, before_ms=100_000, page_size=40).load()
+    got = so.run_to_end(s, str(tmp_path), paged=True)
+    assert sorted(r.id for r in got.collect()) == sorted(f"i{k}" for k in range(100))
+
+
 def test_nested_comments(spark):
     rows = feeds.flatten_comments(feeds.stub_thread(spark, "p", 2)).collect()
     by = {r.id: r for r in rows}
