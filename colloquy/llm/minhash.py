@@ -16,7 +16,7 @@
    3 of 4 places (a pair at the threshold agrees in 7 of 8, with a deviation of 0.023:
    one in ten million is missed).
    What is still in different components after ROUNDS rounds is compared in blocks of
-   BLOCK members: first by bits, which leaves the members that have a likely partner,
+   BLOCK members (fewer where their sets are large): first by bits, which leaves the members that have a likely partner,
    then by full sets, all pairs of two blocks as one matrix product. Only one link
    between two components leaves a block pair, so no link is lost and none is repeated.
 4. Confirmation. Links are tested on full sets: 100 * |A n B| >= 75 * |A u B|.
@@ -47,6 +47,8 @@ SHINGLE = 5
 PERCENT = 75
 PERMUTATIONS, ROWS = 100, 5
 ROUNDS, BLOCK = 2, 512
+#: Shingles that a block's sets hold on average at most, so that two blocks fit a task whatever the texts' lengths.
+BLOCK_SHINGLES = 1 << 21
 BITS = 2 * PERMUTATIONS
 
 _SIGNATURE = "n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>"
@@ -125,7 +127,8 @@ def _likely(m: str, m2: str) -> Column:
 def _meetings(t: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of (band, rep, ...) once for every pair of blocks (i, j) of their bucket that they meet in."""
     t = scratch.keep(t)
-    sizes = scratch.keep(t.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = scratch.keep(t.groupBy("band").agg(blocks.alias("blocks")))
     t = t.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(9)), "blocks").cast("int"))
     t = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return t.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "blocks")

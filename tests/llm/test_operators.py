@@ -88,6 +88,26 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
         assert got == plain.near_duplicates(rows)
 
 
+def test_large_sets_make_small_blocks(spark, monkeypatch):
+    """Blocks are cut by the shingles they hold: the same groups, in many more blocks."""
+    import random
+
+    from colloquy.llm import minhash
+
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(r.choice([2, 5, 8])):
+            w[r.randrange(300)] = f"x{k}-{r.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df).collect()} == plain.near_duplicates(rows)
+
+
 def test_texts_that_share_a_doc_id_are_one_node(spark):
     from itertools import permutations
 
@@ -503,6 +523,12 @@ def test_decontamination_of_reordered_passages(spark):
     want = plain.leaks(rows, items)
     assert {(1, 1), (2, 1), (3, 1), (8, 2)} <= want
     got = leaks(d, b).collect()
+    import duckdb
+
+    c = duckdb.connect()
+    c.register("documents", d.toPandas())
+    c.register("benchmark", b.toPandas())
+    assert sorted(c.execute(SQL["op9_decontaminate"]).fetchall()) == sorted(map(tuple, got))
     assert {(x.doc_id, x.item_id) for x in got} == want
     assert {x.doc_id: x.similarity for x in got}[1] == round(96 / 104, 6)
 
