@@ -64,20 +64,20 @@ FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source
 
 
 def decontaminate() -> str:
+    """All windows as long as an item, at every offset, of pairs with enough common shingles for any window to reach 0.75."""
     w = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
     s = "CASE WHEN len(w) >= 5 THEN [array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN ['whole ' || array_to_string(w, ' ')] ELSE [] END"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {s} AS s FROM (SELECT doc_id, {w} AS w FROM documents)),
-b AS (SELECT DISTINCT item_id, {s} AS s FROM (SELECT item_id, {w} AS w FROM benchmark)),
+b AS (SELECT row_number() OVER () AS bid, * FROM (SELECT DISTINCT item_id, {s} AS s FROM (SELECT item_id, {w} AS w FROM benchmark))),
 dp AS (SELECT rid, unnest(range(1, len(s) + 1)) AS p, unnest(s) AS h FROM d),
-bp AS (SELECT item_id, len(s) AS n, unnest(range(1, len(s) + 1)) AS q, unnest(s) AS h FROM b),
-al AS (SELECT DISTINCT dp.rid, p - q AS o, n FROM dp JOIN bp USING (h)),
-win AS (SELECT DISTINCT rid, greatest(o, 0) AS lo, least(o + n, len(s)) AS hi FROM al JOIN d USING (rid)),
-wc AS (SELECT win.rid, lo, hi, h, count(*) AS c FROM win JOIN dp ON dp.rid = win.rid AND p > lo AND p <= hi GROUP BY ALL),
-bc AS (SELECT item_id, n, h, count(*) AS c FROM bp GROUP BY ALL),
-m AS (SELECT rid, lo, hi, item_id, n, sum(least(wc.c, bc.c)) AS common FROM wc JOIN bc USING (h) GROUP BY ALL),
-v AS (SELECT doc_id, item_id, common::DOUBLE / (hi - lo + n - common) AS similarity FROM m JOIN d USING (rid))
-SELECT doc_id, item_id, round(max(similarity), 6) AS similarity FROM v WHERE similarity >= 0.75 GROUP BY ALL
+bc AS (SELECT bid, h, len(any_value(s)) AS n, count(*) AS c FROM (SELECT bid, s, unnest(s) AS h FROM b) GROUP BY ALL),
+hits AS (SELECT rid, bid, n, p, h, c FROM dp JOIN bc USING (h)),
+pr AS (SELECT rid, bid, n FROM hits GROUP BY ALL HAVING 4 * count(*) >= 3 * n),
+win AS (SELECT DISTINCT rid, bid, n, greatest(o, 0) AS lo, least(o + n, size) AS hi FROM (SELECT rid, bid, n, len(s) AS size, unnest(range(1 - n, len(s))) AS o FROM pr JOIN d USING (rid))),
+wc AS (SELECT rid, bid, lo, hi, win.n, h, least(count(*), any_value(c)) AS common FROM win JOIN hits USING (rid, bid) WHERE p > lo AND p <= hi GROUP BY ALL),
+v AS (SELECT rid, bid, sum(common)::DOUBLE / (hi - lo + n - sum(common)) AS similarity FROM wc GROUP BY rid, bid, lo, hi, n)
+SELECT doc_id, item_id, round(max(similarity), 6) AS similarity FROM v JOIN d USING (rid) JOIN b USING (bid) WHERE similarity >= 0.75 GROUP BY ALL
 """
 
 

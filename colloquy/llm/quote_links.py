@@ -90,11 +90,13 @@ def cells(turn: Column) -> dict[str, Column]:
     return {"_cell": F.floor(turn / CELL)}
 
 
-def links(m: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, parent, parent_turn, n_linked): the message replied to, if any, and how many quoted passages were found."""
+def links(m: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(id, parent, parent_turn, n_linked): the message replied to, if any, and how many quoted passages were found; none where no message quotes."""
     here = m.where("turn is not null")
     asks = here.where(F.size("quoted") > 0).select("id", "conv", "turn", F.explode("quoted").alias("q"))
     asks = scratch.keep(asks.groupBy("id", "conv", "turn", "q.level", "q.hash").agg(F.count("*").alias("n")))
+    if asks.isEmpty():
+        return None
     wanted = asks.select("conv", "turn", "hash").distinct()
     keys = scratch.keep(wanted.select("conv", "hash").distinct())
     says = here.select("conv", "turn", "id", F.explode("said").alias("hash")).join(keys, ["conv", "hash"])
@@ -146,9 +148,15 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, position, parent_turn, depth, n_quoted, n_linked, formatted."""
     scratch = Scratch(messages.sparkSession, "quotes")
     m = scratch.keep(parsed(messages))
-    m = m.join(links(m, scratch), "id", "left")
+    found = links(m, scratch)
+    if found is None:  # each message is a thread of its own
+        found = m.select("id", *(F.lit(None).cast(t).alias(c) for c, t in (("parent", "string"), ("parent_turn", m.schema["turn"].dataType), ("n_linked", "long")))).limit(0)
+    m = m.join(found, "id", "left")
     m = scratch.keep(m.select("id", "conv", "conv_id", "turn", "role", "body", F.size("quoted").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent", "parent_turn"))
-    placed = scratch.keep(threads(m, scratch))
+    if m.where("parent is not null").isEmpty():
+        placed = m.select("id", F.col("id").alias("root"), F.lit(1).cast("long").alias("place"), F.lit(0).cast("long").alias("depth"), F.lit(1).cast("long").alias("size")).limit(0)
+    else:
+        placed = scratch.keep(threads(m, scratch))
     # threads by their first message, those of a turn in the order of ids
     roots = m.where("parent is null").select("id", "conv", "turn").join(placed.where("id = root").select("id", "size"), "id", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     null_turn = F.when(F.col("turn").isNull(), 0).otherwise(1)

@@ -1,7 +1,8 @@
 """Operator 6, URL filters: rules first, else boosted trees on lexical features.
 
 Native: DataFrame functions only, training included. A rule is a host suffix and a path
-prefix; of the rules that fit a URL the longest decides. All other URLs are judged by
+prefix, which begins with ``/`` (so ``http://a.net``, whose path is empty, fits no rule); of
+the rules that fit a URL the longest decides. All other URLs are judged by
 gradient-boosted regression trees on the logistic loss. Features are cut into bins by
 fixed edges. Each level of a tree is one grouped sum of gradients by leaf,
 feature and bin over the training rows; these sums, at most 2^DEPTH leaves times all
