@@ -92,8 +92,8 @@ def paired_effects(pairs: DataFrame) -> DataFrame:
     base = scan.with_quantiles(base, long, "d", {"median_diff": 0.5}, ["outcome"])
     # ranks over distinct absolute differences: a row a value, not a row a pair
     v = long.where("d <> 0").groupBy("outcome", F.abs("d").alias("x")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("np"))
-    w = Window.partitionBy("outcome").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2
+    v = scan.with_running(scan.ranged(v, ["x"], ["outcome"]), {"before": F.col("n")}, ["x"], ["outcome"], before=True)
+    rank = F.col("before") + (F.col("n") + 1) / 2
     ranks = v.withColumn("rank", rank).groupBy("outcome").agg(
         F.sum(F.col("rank") * F.col("np")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("np"))).alias("w_minus"), F.sum(F.col("n") ** 3 - F.col("n")).alias("ties")
     )

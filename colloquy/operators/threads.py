@@ -127,9 +127,11 @@ def thread_metrics(events: DataFrame) -> DataFrame:
 
 
 def seen_before(events: DataFrame) -> DataFrame:
-    """(thread_id, comment_id, seen): whether the author wrote earlier in the thread."""
-    w = Window.partitionBy("thread_id", "comment_agent_id").orderBy(*ORDER)
-    return events.where("comment_agent_id is not null").select("thread_id", "comment_id", (F.row_number().over(w) > 1).alias("seen"))
+    """(thread_id, comment_id, seen): whether the author wrote earlier in the thread: all but an author's first comment, found by a minimum."""
+    known = events.where("comment_agent_id is not null").select("thread_id", "comment_agent_id", *ORDER)
+    first = known.groupBy("thread_id", "comment_agent_id").agg(F.min(F.struct(*ORDER)).alias("first"))
+    t = known.join(first, ["thread_id", "comment_agent_id"])
+    return t.select("thread_id", "comment_id", (F.struct(*ORDER) != F.col("first")).alias("seen"))
 
 
 def interaction_edges(events: DataFrame) -> DataFrame:
@@ -151,11 +153,15 @@ def reciprocity(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def reciprocal_chains(events: DataFrame) -> DataFrame:
-    """(thread_id, start, length) of runs of edges that each reverse the one before, of two or more."""
-    w = Window.partitionBy("thread_id").orderBy(*ORDER)
-    e = interaction_edges(events).withColumns({"src0": F.lag("src").over(w), "dst0": F.lag("dst").over(w)})
-    e = e.withColumn("fresh", F.when((F.col("src") == F.col("dst0")) & (F.col("dst") == F.col("src0")), 0).otherwise(1))
-    e = e.withColumn("island", F.sum("fresh").over(w))
+    """(thread_id, start, length) of runs of edges that each reverse the one before, of two or more.
+
+    Edges are scanned over ranges of (thread, time), so a thread of any size is no single task.
+    """
+    order, by = list(ORDER), ["thread_id"]
+    e = scan.ranged(interaction_edges(events).withColumn("edge", F.struct("src", "dst")), order, by)
+    e = scan.with_previous(e, "edge", order, by, "before")
+    fresh = F.when((F.col("src") == F.col("before.dst")) & (F.col("dst") == F.col("before.src")), 0).otherwise(1).cast("long")
+    e = scan.with_running(e, {"island": fresh}, order, by)
     return e.groupBy("thread_id", "island").agg(F.count("*").alias("length"), F.min("created_at_utc").alias("start")).where("length >= 2").drop("island")
 
 

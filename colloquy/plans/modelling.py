@@ -218,11 +218,13 @@ def dependence_robustness(spark, d):
 
 @query()
 def matched_half_life(spark, d):
-    """Fit on the threads that were matched."""
-    pairs = mt.matched_pairs(*mt.overlap(*sides(spark, d, False)))
+    """Fit on the threads that were matched, with the half-life's interval under resampled threads."""
+    pairs = written(mt.matched_pairs(*mt.overlap(*sides(spark, d, False))).select("thread_id_a", "thread_id_b"), "pairs")
     ids = pairs.select(F.col("thread_id_a").alias("thread_id")).union(pairs.select("thread_id_b"))
-    u = units(spark, d).where(~F.col("excluded_censor_boundary")).join(ids, "thread_id", "left_semi").withColumn("sample", F.lit("matched"))
-    return rounded(fits.fit_by_group(u, "sample").withColumn("half_life_hours", math.log(2) / F.col("beta")))
+    u = written(units(spark, d).where(~F.col("excluded_censor_boundary")).join(ids, "thread_id", "left_semi").withColumn("sample", F.lit("matched")), "units")
+    reps = fits.bootstrap_fits(u, "thread_id", REPS).where("rep > 0").withColumn("h", math.log(2) / F.col("second"))
+    reps = reps.agg(F.percentile("h", 0.025).alias("low"), F.percentile("h", 0.975).alias("high"), F.count("h").alias("n_reps"))
+    return rounded(fits.fit_by_group(u, "sample").withColumn("half_life_hours", math.log(2) / F.col("beta")).crossJoin(F.broadcast(reps)))
 
 
 def _stream(spark, d):

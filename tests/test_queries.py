@@ -17,7 +17,7 @@ def test_against_sql(same_rows, name):
 WITHOUT = {
     "exp_mle": (5, {"reply_probability": (0, 1), "beta": (0, 1e6)}), "weibull_mle": (5, {"shape": (0.01, 100)}), "weibull_conditional": (5, {"shape": (0.01, 100)}), "reply_dynamics": (9, {"implied_eventual_reply_probability": (0, 1)}),
     "bootstrap_half_life": (1, {"n_reps": (400, 400)}), "bootstrap_weibull_shape": (1, {"n_reps": (400, 400), "median": (0.01, 100)}), "paired_tests": (4, {"wilcoxon_p": (0, 1), "sign_p": (0, 1)}),
-    "cloglog_glm": (4, {"se_two_way": (0, 100), "predicted": (0, 1)}), "welch_psd": (1, {"p_value": (0, 1), "fisher_g": (0, 1)}), "spectrum_by_bin_width": (3, {"p_value": (0, 1)}), "power_curve": (8, {"power": (0, 1)}), "matched_half_life": (1, {"half_life_hours": (0, 1e9)}),
+    "cloglog_glm": (4, {"se_two_way": (0, 100), "predicted": (0, 1)}), "welch_psd": (1, {"p_value": (0, 1), "fisher_g": (0, 1)}), "spectrum_by_bin_width": (3, {"p_value": (0, 1)}), "power_curve": (8, {"power": (0, 1)}), "matched_half_life": (1, {"half_life_hours": (0, 1e9), "low": (0, 1e9), "n_reps": (400, 400)}),
 }
 
 
