@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.scalars import early_bin, keyword_category
 from colloquy.operators.threads import dyads, reciprocity
 from colloquy.sources.files import write_csv
+from colloquy.sources.scratch import written
 from jobs.common import command_line, table_at
 
 log = logging.getLogger("jobs.conversation_report")
@@ -38,35 +39,38 @@ class Settings:
     keyword_variant: str = "baseline"
 
 
-def messages(raw: DataFrame) -> DataFrame:
-    """One row a conversation and turn: the smallest of those that share it; a blank role is unknown."""
+def messages(raw: DataFrame, settings: Settings) -> DataFrame:
+    """One row a conversation and turn: role, words, and of an opening message the topic; the smallest of those that share a turn.
+
+    A blank role is unknown. What is needed of a text is taken where it is read: texts are not shuffled.
+    """
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda x: x != "")
-    t = raw.withColumns({"role": F.nullif(F.btrim("role"), F.lit("")), "n_words": F.size(words).cast("long")})
-    return t.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "n_words", "text")).alias("r")).select("conv_id", "turn", "r.*")
+    topic = F.when(F.col("turn") == 0, keyword_category(F.col("text"), settings.keyword_variant, settings.token_only))
+    t = raw.select("conv_id", "turn", F.nullif(F.btrim("role"), F.lit("")).alias("role"), F.size(words).cast("long").alias("n_words"), topic.alias("topic"))
+    return t.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "n_words", "topic")).alias("r")).select("conv_id", "turn", "r.*")
 
 
 def answers(m: DataFrame) -> DataFrame:
     """Each message with the role and words of the turn before; the columns that edges of replies need."""
     before = m.select(F.col("conv_id").alias("up_conv"), (F.col("turn") + 1).alias("up_next"), F.col("role").alias("parent_agent_id"), F.col("n_words").alias("parent_words"))
-    t = m.drop("text").join(before, (F.col("conv_id") == F.col("up_conv")) & (F.col("turn") == F.col("up_next")), "left")
+    t = m.join(before, (F.col("conv_id") == F.col("up_conv")) & (F.col("turn") == F.col("up_next")), "left")
     return t.select(
         F.col("conv_id").alias("thread_id"), F.col("turn").alias("created_at_utc"), F.col("turn").alias("comment_id"), F.col("role").alias("comment_agent_id"), "n_words",
-        "parent_agent_id", "parent_words", ((F.col("turn") > 0) & F.col("up_conv").isNull()).alias("orphan"),
+        "topic", "parent_agent_id", "parent_words", ((F.col("turn") > 0) & F.col("up_conv").isNull()).alias("orphan"),
     )
 
 
-def thread_report(m: DataFrame, settings: Settings) -> DataFrame:
-    e = answers(m)
+def thread_report(e: DataFrame) -> DataFrame:
+    """A row a conversation from the messages of ``answers``."""
     known, roles = F.count("comment_agent_id"), F.count_distinct("comment_agent_id")
     answered = F.col("parent_words").isNotNull()
     t = e.groupBy("thread_id").agg(
         F.count("*").alias("n_turns"), roles.alias("n_roles"), known.alias("n_known"), F.sum("n_words").alias("n_words"), F.avg("n_words").alias("mean_words"),
         ((known - roles) / F.nullif(known, F.lit(0))).alias("reentry_rate"), F.count_if("orphan").alias("n_orphans"), F.count_if(answered).alias("n_answers"),
-        (F.sum(F.when(answered, F.col("n_words"))) / F.nullif(F.sum("parent_words"), F.lit(0))).alias("answer_ratio"),
+        (F.sum(F.when(answered, F.col("n_words"))) / F.nullif(F.sum("parent_words"), F.lit(0))).alias("answer_ratio"), F.max("topic").alias("topic"),
     )
     pairs = reciprocity(dyads(e), ["thread_id"]).withColumnRenamed("thread_id", "pair_thread")
-    opening = m.where("turn = 0").select(F.col("conv_id").alias("opened"), keyword_category(F.col("text"), settings.keyword_variant, settings.token_only).alias("topic"))
-    t = t.join(pairs, F.col("thread_id") == F.col("pair_thread"), "left").join(opening, F.col("thread_id") == F.col("opened"), "left")
+    t = t.join(pairs, F.col("thread_id") == F.col("pair_thread"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return t.select(
         F.col("thread_id").alias("conv_id"), "n_turns", "n_roles", "n_known", "n_words", "mean_words", "reentry_rate", "n_orphans", "n_answers", "answer_ratio", zero("dyads"),
@@ -88,7 +92,8 @@ def run(spark: SparkSession, source: str, out: str, settings: Settings | None =
     raw = spark.read.parquet(source).select("conv_id", "turn", "role", "text")
     placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     raw.where(~placed).write.mode("overwrite").parquet(f"{out}/rejected")
-    thread_report(messages(raw.where(placed)), s).write.mode("overwrite").partitionBy("topic").parquet(f"{out}/threads")
+    e = written(answers(messages(raw.where(placed), s)), "answers")  # read for sums and for pairs
+    thread_report(e).write.mode("overwrite").partitionBy("topic").parquet(f"{out}/threads")
     threads = read_threads(spark, out)
     write_csv(summary(threads), f"{out}/summary", 6)
     n = threads.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_turns"), F.lit(0)).alias("turns")).first()

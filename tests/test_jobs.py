@@ -76,10 +76,20 @@ def test_repeats_and_rows_without_time_or_id(spark, tmp_path):
     assert (got[1].n_rows, got[1].n_events, got[1].n_repeats, got[1].n_users, got[1].active_bins) == (4, 2, 2, 1, 2)
     assert got[1].coverage == 2 / 96 and got[1].first_at == t and (got[2].n_events, got[2].n_repeats) == (1, 0)
     assert daily_activity.read_rejected(spark, out).count() == 2
+    assert (got[1].status, got[2].status) == ("FAIL", "PASS")
+    total = daily_activity.read_summary(spark, out).first()
+    assert (total.n_days, total.n_events, total.n_pass, total.n_fail, total.overall, total.first_at) == (2, 3, 1, 1, "FAIL", t)
     bins = common.table_at(spark, f"{out}/activity", daily_activity.ACTIVITY).where("n > 0").collect()
     assert sorted((b.bin, b.n) for b in bins) == [(t.replace(minute=0), 1), (t.replace(hour=23, minute=0), 1), (t.replace(day=2, minute=0), 1)]
 
 
+def test_a_source_without_events(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.createDataFrame([], daily_activity.SOURCE).coalesce(1).write.parquet(source)
+    assert daily_activity.run(spark, source, out, state)["rows_read"] == 0
+    assert daily_activity.read_daily(spark, out).collect() == [] and daily_activity.read_summary(spark, out).first().n_days == 0
+
+
 TALK = [
     (1, 0, "user", "Which music tools"), (1, 1, "assistant", "one two three"), (1, 2, "user", "four"), (1, 2, "user", "four"), (1, 4, " ", ""), (2, 0, "user", None), (None, 0, "user", "x"), (3, None, "user", "y"),
     (4, 1, "assistant", "no opening"), (5, 0, "user", "airdrop now"), (5, 1, "user", "again"),
