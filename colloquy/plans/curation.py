@@ -127,9 +127,9 @@ def nested_json(spark, d) -> DataFrame:
 
 @query(f"""WITH j AS (SELECT event_type, {NESTED_JSON} AS json FROM events),
 t AS (SELECT event_type, CASE WHEN json_valid(json) THEN json END AS json FROM j),
-n AS (SELECT event_type, regexp_replace(regexp_replace(fullkey, '"', '', 'g'), '\[[0-9]+\]', '[]', 'g') AS path, regexp_replace(regexp_replace(x.path, '"', '', 'g'), '\[[0-9]+\]', '[]', 'g') AS up, x.key IS NOT NULL AND x.parent IS NOT NULL AND NOT regexp_matches(fullkey, '\]$') AS member,
+n AS (SELECT event_type, regexp_replace(regexp_replace(fullkey, '"', '', 'g'), '\\[[0-9]+\\]', '[]', 'g') AS path, regexp_replace(regexp_replace(x.path, '"', '', 'g'), '\\[[0-9]+\\]', '[]', 'g') AS up, x.key IS NOT NULL AND x.parent IS NOT NULL AND NOT regexp_matches(fullkey, '\\]$') AS member,
   CASE x.type WHEN 'VARCHAR' THEN 'str' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' ELSE 'array' END AS type
-  FROM t, json_tree(t.json) x WHERE t.json IS NOT NULL AND NOT regexp_matches(fullkey, '\[([3-9]|[0-9][0-9]+)\]')
+  FROM t, json_tree(t.json) x WHERE t.json IS NOT NULL AND NOT regexp_matches(fullkey, '\\[([3-9]|[0-9][0-9]+)\\]')
   UNION ALL SELECT event_type, '$', NULL, false, 'invalid' FROM t WHERE t.json IS NULL),
 c AS (SELECT event_type, path, CASE WHEN member THEN up END AS parent, type, count(*) AS n FROM n GROUP BY ALL),
 o AS (SELECT event_type, path AS parent, sum(n)::BIGINT AS n_parents FROM c WHERE type = 'object' GROUP BY ALL)
