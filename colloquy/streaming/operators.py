@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from colloquy.sources.scratch import ship
-
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A Parquet file or folder as a stream with event time."""
@@ -166,7 +166,8 @@ def running_chains(edges: DataFrame, late: str = "1 minute", idle_hours: int = 2
     ``idle_hours``, after which its state is removed.
     Start the query within ``state_in_rocksdb``.
     """
-    ship(edges.sparkSession)
+    # the processor travels by value: the driver's own worker, which sets its state up, sees no shipped package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     t = edges.withWatermark("ts", late).groupBy("thread_id")
     return t.transformWithStateInPandas(ChainState(idle_hours * 3_600_000), CHAIN, "Update", "EventTime")
 
