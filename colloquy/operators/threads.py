@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.scalars import hours_between, keyword_category, parent_key, parent_type
@@ -55,22 +55,27 @@ def chains_contracted(comments: DataFrame, orphan_policy: str = "null") -> tuple
         top = F.when(F.col("parent_id").isNull(), 1).when(~seen, -1)
     else:
         top = F.when(F.col("parent_id").isNull(), 1).when(F.col("up_id").isNull(), 0)
-    t = written(t.select("comment_id", top.alias("top"), F.when(top.isNull(), F.col("parent_id")).alias("jump"), F.when(top.isNull(), 1).otherwise(0).alias("steps")), "depths")
-    sizes = t.agg(F.count("*").alias("n"), F.count_if(F.col("top").isNull()).alias("open")).first()
-    done, open_, left, rounds = [t.where("top is not null")], t.where("top is null"), sizes.open, 0
+    t = t.select("comment_id", top.alias("top"), F.when(top.isNull(), F.col("parent_id")).alias("jump"), F.when(top.isNull(), 1).otherwise(0).alias("steps"))
+    n, left = F.count("*").alias("n"), F.count_if(F.col("top").isNull()).alias("open")
+    seen = Observation()  # counted as the table is written
+    t = written(t.observe(seen, n, left), "depths")
+    size, still = seen.get["n"], seen.get["open"]
+    done, open_, rounds = [t.where("top is not null")], t.where("top is null"), 0
     live = done[0]  # resolved comments that an open one may point to
     # a chain has at most n steps, so what is open after log2(n) rounds is a cycle
-    while left and (1 << rounds) <= max(1, sizes.n):
+    while still and (1 << rounds) <= max(1, size):
         known = live.unionByName(open_).select(F.col("comment_id").alias("up_id"), F.col("top").alias("up_top"), F.col("jump").alias("up_jump"), F.col("steps").alias("up_steps"))
         t = open_.join(known, F.col("jump") == F.col("up_id"), "left").select(
-            "comment_id", F.col("up_top").alias("top"), F.when(F.col("up_top").isNull(), F.col("up_jump")).alias("jump"), (F.col("steps") + F.coalesce("up_steps", F.lit(0))).alias("steps")
-        )
-        t = written(t, "depths")
-        asked, now = open_.select(F.col("jump").alias("asked")), t.where("top is not null")
-        done, open_, rounds = [*done, now], t.where("top is null"), rounds + 1
-        left = open_.count()
-        if left:
-            live = written(live.unionByName(now).join(asked, F.col("comment_id") == F.col("asked"), "left_semi"), "depths")
+            "comment_id", F.col("up_top").alias("top"), F.when(F.col("up_top").isNull(), F.col("up_jump")).alias("jump"), (F.col("steps") + F.coalesce("up_steps", F.lit(0))).alias("steps"),
+            F.when(F.col("up_top").isNotNull(), F.struct("up_id", "up_steps")).alias("asked"),
+        )
+        seen = Observation()
+        t = written(t.observe(seen, left), "depths")
+        still, rounds = seen.get["open"], rounds + 1
+        now = t.where("top is not null")
+        asked = now.select(F.col("asked.up_id").alias("comment_id"), "top", F.lit(None).cast(t.schema["jump"].dataType).alias("jump"), F.col("asked.up_steps").alias("steps")).distinct()
+        live = asked.unionByName(now.drop("asked"))
+        done, open_ = [*done, now.drop("asked")], t.where("top is null").drop("asked")
     return done, open_
 
 
