@@ -261,13 +261,20 @@ def test_comments_of_top_posts_in_every_second_round(spark, tmp_path):
 
 
 def test_chains_of_edges_over_batches(spark, tmp_path):
-    edges = [(1, k, k, *("ab" if k % 2 == 0 else "ba")) for k in range(6)] + [(2, k, k, "c", "d") for k in range(6)]
-    for k in range(3):
-        spark.createDataFrame([e for e in edges if e[1] // 2 == k], "thread_id long, ts long, comment_id long, src string, dst string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
-    s = spark.readStream.schema("thread_id long, ts long, comment_id long, src string, dst string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
-    so.upserted(so.running_chains(s), ["thread_id"], "n_edges", f"{tmp_path}/out", f"{tmp_path}/state", "update")
-    got = {x.thread_id: (x.n_edges, x.n_answers) for x in so.read_latest(spark, f"{tmp_path}/out").collect()}
-    assert got[1][0] == got[2][0] == 6 and got[2][1] == 0 and got[1][1] >= 3
+    """Six edges back and forth, two a batch, are one chain of six; six in one direction are none. A later edge lets the watermark pass."""
+    import datetime as dt
+
+    at = lambda k: dt.datetime(2024, 1, 1, 0, k)
+    edges = [(1, at(k), k, *("ab" if k % 2 == 0 else "ba")) for k in range(6)] + [(2, at(k), 10 + k, "c", "d") for k in range(6)] + [(3, at(50), 99, "x", "y")]
+    kind = "thread_id long, ts timestamp, comment_id long, src string, dst string"
+    for k in range(4):
+        own = [e for e in edges if min(3, e[1].minute // 2) == k]
+        spark.createDataFrame(own, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
+    s = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    with so.state_in_rocksdb(spark):
+        so.upserted(so.running_chains(s), ["thread_id", "first_id"], "length", f"{tmp_path}/out", f"{tmp_path}/state", "update")
+    got = [(x.thread_id, x.first_id, x.length) for x in so.read_latest(spark, f"{tmp_path}/out").collect()]
+    assert got == [(1, 0, 6)]
 
 
 def test_exports_with_a_manifest(spark, tmp_path):
