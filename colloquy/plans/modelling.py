@@ -266,8 +266,8 @@ def _comment_stream(spark, d):
 SELECT comment_id, make_timestamp(born * 1000) AS created_at, CASE WHEN reply - born BETWEEN 0 AND 3600000 THEN (reply - born) / 1000.0::DOUBLE END AS reply_seconds FROM m WHERE born + 3600000 < (SELECT max(epoch_us(created_at_utc) // 1000) FROM comments) - 60000""")
 def stream_first_reply(spark, d):
     """Comments whose hour of observation the watermark has passed."""
-    s = _comment_stream(spark, d).withWatermark("ts", "1 minute")
-    return so.untimed(so.run_to_end(so.first_replies(s, 3600), shared_path(spark, "stream")))
+    with so.state_of_one_stream(spark):
+        return so.untimed(so.run_to_end(so.first_replies(_comment_stream(spark, d), 3600), shared_path(spark, "stream")))
 
 
 @query(VIEWS + "SELECT thread_id, count(comment_agent_id) AS n_known, count(comment_agent_id) - count(DISTINCT comment_agent_id) AS n_again FROM te GROUP BY 1 HAVING count(comment_agent_id) > 0")

@@ -11,7 +11,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -36,37 +35,17 @@ def first_seen(stream: DataFrame, ts: str, key: str, horizon: str = "2 days") ->
     return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def first_replies(comments: DataFrame, horizon_seconds: int) -> DataFrame:
-    """(comment_id, created_at, reply_seconds): reply_seconds null if none came within the horizon.
+def first_replies(comments: DataFrame, horizon_seconds: int, late: str = "1 minute") -> DataFrame:
+    """(comment_id, created_at, reply_seconds): reply_seconds null if none came within the horizon; times in whole milliseconds.
 
-    State by comment: its own time and its earliest reply; the row is emitted when event
-    time has passed the horizon, so a reply that arrives later than the watermark is lost.
-    Input: comment_id, parent_id, ts with a watermark.
+    The interval join of ``replies_within``, then the earliest reply of each comment: the row is emitted when
+    event time has passed the horizon, so a reply that arrives later than the watermark is lost.
+    All state is native and kept for the horizon alone. Input: comment_id, parent_id, ts.
+    Start the query within ``state_of_one_stream``.
     """
-    own = comments.select(F.col("comment_id").alias("key"), F.col("ts"), F.lit(True).alias("own"))
-    replies = comments.where("parent_id is not null").select(F.col("parent_id").alias("key"), "ts", F.lit(False).alias("own"))
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            born, reply = state.get
-            state.remove()
-            if born is not None:
-                inside = reply is not None and 0 <= reply - born <= horizon_seconds * 1000
-                yield pd.DataFrame({"comment_id": [key[0]], "created_at": [pd.Timestamp(born, unit="ms")], "reply_seconds": [(reply - born) / 1000 if inside else None]})
-            return
-        born, reply = state.get if state.exists else (None, None)
-        for pdf in parts:
-            ms = pdf.ts.astype("datetime64[ms]").astype("int64")
-            if pdf.own.any():
-                born = int(ms[pdf.own].min())
-            if (~pdf.own).any():
-                first = int(ms[~pdf.own].min())
-                reply = first if reply is None else min(reply, first)
-        state.update((born, reply))
-        base = born if born is not None else reply
-        state.setTimeoutTimestamp(max(base + horizon_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    return own.unionByName(replies).groupBy("key").applyInPandasWithState(run, "comment_id long, created_at timestamp, reply_seconds double", "born long, reply long", "append", GroupStateTimeout.EventTimeTimeout)
+    t = comments.where("ts is not null").withColumn("ts", F.date_trunc("millisecond", "ts"))
+    t = replies_within(t, horizon_seconds, late).groupBy("comment_id", "created_at").agg(F.min("reply_at").alias("reply_at"))
+    return t.select("comment_id", "created_at", ((F.unix_millis("reply_at") - F.unix_millis("created_at")) / F.lit(1000.0)).alias("reply_seconds"))
 
 
 def running_reentry(comments: DataFrame) -> DataFrame:
@@ -148,15 +127,29 @@ class ChainState(StatefulProcessor):
 
 
 @contextmanager
-def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, which processors with timers and maps need."""
-    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, provider)
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Queries started inside have these settings; those of before come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
     try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def state_in_rocksdb(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which processors with timers and lists need."""
+    return settings(spark, ROCKSDB)
+
+
+def state_of_one_stream(spark: SparkSession):
+    """For a stream joined with a part of itself: its watermark is that of the whole stream, the faster one; state in RocksDB, off the heap."""
+    return settings(spark, {**ROCKSDB, "spark.sql.streaming.multipleWatermarkPolicy": "max"})
 
 
 def running_chains(edges: DataFrame, late: str = "1 minute", idle_hours: int = 24 * 30) -> DataFrame:

@@ -77,3 +77,20 @@ def test_replies_by_an_interval_join(spark, tmp_path):
             inside = [u for _, p, u in rows if p == k and t <= u <= t + dt.timedelta(seconds=horizon)]
             if t < end:
                 assert k in best and best[k] == min(inside, default=None)
+
+
+def test_first_replies_are_native_and_keep_to_the_watermark(spark, tmp_path):
+    """Rows of a comment whose id comes twice, replies at and after the horizon, comments at the watermark's edge."""
+    s, ms = (lambda x: dt.timedelta(seconds=x)), dt.timedelta(milliseconds=1)
+    end = T0 + s(20_000)  # the last comment, a root: the watermark is that of all comments, not of replies
+    rows = [(1, None, T0), (2, 1, T0 + s(3600)), (3, None, T0), (4, 3, T0 + s(3600) + ms), (5, None, T0 + s(7)), (5, None, T0 + s(9)), (6, 5, T0 + s(10)), (7, 5, T0 + s(20))]
+    rows += [(8, None, end - s(3660)), (9, None, end - s(3660) - ms), (10, None, end), (11, 9, end - s(3000))]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, "comment_id long, parent_id long, ts timestamp_ntz").coalesce(1).write.parquet(source)
+    t = so.first_replies(so.event_stream(spark, source), 3600)
+    assert "InPandas" not in t._jdf.queryExecution().analyzed().toString()
+    with so.state_of_one_stream(spark):
+        got = so.untimed(so.run_to_end(t, str(tmp_path / "out"))).collect()
+    assert spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "min"
+    want = {(1, T0, 3600.0), (2, T0 + s(3600), None), (3, T0, None), (4, T0 + s(3600) + ms, None), (5, T0 + s(7), 3.0), (5, T0 + s(9), 1.0), (6, T0 + s(10), None), (7, T0 + s(20), None), (9, end - s(3660) - ms, 660.001)}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
