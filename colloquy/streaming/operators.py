@@ -74,9 +74,10 @@ CHAIN = "thread_id long, first_id long, start timestamp, length long"
 class ChainState(StatefulProcessor):
     """Reciprocal chains of a thread, in event time whatever the order of arrival.
 
-    Edges wait in a map until the watermark has passed them; a timer then takes those that are
-    due in the order (ts, comment_id). The last edge and its chain are a value; both go
-    when a thread has been idle for long.
+    Edges wait in a list until the watermark has passed them; a timer then takes those that are
+    due in the order (ts, comment_id). Lists are appended to and read whole, so what a thread
+    asks of the state store in a batch does not grow with its edges. The last edge and its chain are a
+    value; both go when a thread has been idle for long.
     """
 
     def __init__(self, idle_ms: int):
@@ -84,40 +85,50 @@ class ChainState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us long, comment_id long", "src string, dst string")
+        self.waiting = handle.getListState("waiting", "us array<long>, comment_id array<long>, src array<string>, dst array<string>")
         self.chain = handle.getValueState("chain", "src string, dst string, first_id long, start_us long, last_us long, length long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
-            us = pdf.ts.astype("datetime64[us]").astype("int64")
-            for at, comment_id, src, dst in zip(us.tolist(), pdf.comment_id.tolist(), pdf.src.tolist(), pdf.dst.tolist(), strict=True):
-                self.waiting.updateValue((at, comment_id), (src, dst))
-                first = at if first is None else min(first, at)
+            us = pdf.ts.astype("datetime64[us]").astype("int64").tolist()
+            self.waiting.appendValue((us, pdf.comment_id.tolist(), pdf.src.tolist(), pdf.dst.tolist()))
+            first = min(us) if first is None else min(first, *us)
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator())
+        edges = {}  # an edge that came twice counts once
+        for part in self.waiting.get():
+            edges.update(((us, comment_id), (src, dst)) for us, comment_id, src, dst in zip(*part, strict=True))
+        waiting = sorted(edges.items())
         due = [w for w in waiting if w[0][0] // 1000 < now]
         held = self.chain.get() if self.chain.exists() else None
         out = []
         for (us, comment_id), (src, dst) in due:
-            self.waiting.removeKey((us, comment_id))
             if held and (src, dst) == (held[1], held[0]) and us - held[4] < 1000 * self.idle_ms:
                 held = (src, dst, held[2], held[3], us, held[5] + 1)
                 grown = {"thread_id": key[0], "first_id": held[2], "start": pd.Timestamp(held[3], unit="us"), "length": held[5]}
-                out = [*out[:-1], grown] if out and out[-1]["first_id"] == held[2] else [*out, grown]
+                if out and out[-1]["first_id"] == held[2]:
+                    out[-1] = grown
+                else:
+                    out.append(grown)
             else:
                 held = (src, dst, comment_id, us, us, 1)
-        if len(waiting) > len(due):
-            self.handle.registerTimer(waiting[len(due)][0][0] // 1000 + 1)
+        rest = waiting[len(due) :]
+        if rest:
+            if due:
+                self.waiting.put([([k[0] for k, _ in rest], [k[1] for k, _ in rest], [v[0] for _, v in rest], [v[1] for _, v in rest])])
+            self.handle.registerTimer(rest[0][0][0] // 1000 + 1)
+        elif waiting:
+            self.waiting.clear()
         if held and held[4] // 1000 + self.idle_ms <= now:  # edges that wait come too late for its chain
             self.chain.clear()
         elif held:
-            self.chain.update(held)
+            if due:
+                self.chain.update(held)
             self.handle.registerTimer(held[4] // 1000 + self.idle_ms)
         if out:
             yield pd.DataFrame(out)

@@ -94,3 +94,48 @@ def test_first_replies_are_native_and_keep_to_the_watermark(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "min"
     want = {(1, T0, 3600.0), (2, T0 + s(3600), None), (3, T0, None), (4, T0 + s(3600) + ms, None), (5, T0 + s(7), 3.0), (5, T0 + s(9), 1.0), (6, T0 + s(10), None), (7, T0 + s(20), None), (9, end - s(3660) - ms, 660.001)}
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+class Held:
+    """A state of any kind that counts what is asked of it."""
+
+    def __init__(self):
+        self.asked, self.rows, self.timers = 0, [], []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.asked += 1
+            if name.startswith("get") and name != "get":
+                return self
+            if name == "registerTimer":
+                self.timers.append(args[0])
+            elif name == "appendValue":
+                self.rows.append(args[0])
+            elif name == "put":
+                self.rows = list(args[0])
+            elif name == "clear":
+                self.rows = []
+            return iter(self.rows) if name == "get" else False if name == "exists" else None
+
+        return call
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_what_a_thread_asks_of_its_state_does_not_grow_with_its_edges():
+    import pandas as pd
+
+    asked = {}
+    for n in (10, 1000):
+        p, state = so.ChainState(10**9), Held()
+        p.init(state)
+        ts = pd.Timestamp(0) + pd.to_timedelta(range(n), unit="s")
+        pdf = pd.DataFrame({"ts": ts, "comment_id": range(n), "src": ["ab"[k % 2] for k in range(n)], "dst": ["ba"[k % 2] for k in range(n)]})
+        assert list(p.handleInputRows((1,), iter([pdf.sample(frac=1, random_state=1), pdf.head(5)]), Now(0))) == [] and state.timers == [1]
+        out = list(p.handleExpiredTimer((1,), Now(1000 * n - 4999), None))  # four edges wait
+        assert [(r.first_id, r.length) for r in out[0].itertuples()] == [(0, n - 4)] and len(state.rows) == 1 and len(state.rows[0][0]) == 4
+        asked[n] = state.asked
+    assert asked[10] == asked[1000]
