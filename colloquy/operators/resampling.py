@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import scan
@@ -151,12 +151,17 @@ def replicate_sums(rows: DataFrame, columns: list[str], features: Callable[[str,
     return t.groupBy("_g", "rep").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("p")).select("_g", "rep", F.col("p.v").alias("x"))
 
 
+def between_ranks(values: Column, p: float) -> Column:
+    """The quantile of an array in order, between its two nearest ranks."""
+    at = F.lit(p) * (F.size(values) - 1)
+    return scan.between(F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int")), at - F.floor(at))
+
+
 def percentile_interval(t: DataFrame, by: list[str], value: str) -> DataFrame:
-    """estimate (replicate 0), low, high, n_reps by group."""
+    """estimate (replicate 0), low, high, n_reps by group; a group has a row a replicate."""
     own = F.when(F.col("rep") > 0, F.col(value))
-    return t.groupBy(*by).agg(
-        F.max(F.when(F.col("rep") == 0, F.col(value))).alias("estimate"), F.percentile(own, 0.025).alias("low"), F.percentile(own, 0.975).alias("high"), F.count(own).alias("n_reps")
-    )
+    t = t.groupBy(*by).agg(F.max(F.when(F.col("rep") == 0, F.col(value))).alias("estimate"), F.array_sort(F.collect_list(own)).alias("_all"))
+    return t.select(*by, "estimate", between_ranks(F.col("_all"), 0.025).alias("low"), between_ranks(F.col("_all"), 0.975).alias("high"), F.size("_all").cast("long").alias("n_reps"))
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict, ratios: dict[str, tuple[str, str]], reps: int, seed: int = 1, by: tuple[str, ...] = ()) -> DataFrame:

@@ -59,6 +59,12 @@ def with_rank(t: DataFrame, order: list[str], by: list[str] | None = None, name:
     return with_running(t, {name: F.lit(1).cast("long")}, order, by)
 
 
+def between(below: Column, above: Column, share: Column) -> Column:
+    """below * (1 - share) + above * share, the first product not rounded, as quantile_cont computes it: ties of later roundings fall alike."""
+    known = below.isNotNull() & above.isNotNull() & (share > 0)
+    return F.when(known, F.reflect(F.lit("java.lang.Math"), F.lit("fma"), below, 1 - share, above * share).cast("double")).otherwise(below)
+
+
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, rule: str = "linear", weight: str | None = None) -> DataFrame:
     """One row a group with exact quantiles in columns named by ``probs``; nulls don't count.
 
@@ -75,11 +81,11 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
     asked = []
     for name, p in probs.items():
         if rule == "least":
-            asked.append(F.struct(F.lit(name).alias("name"), (F.lit(p) * F.col("_total")).alias("at"), F.lit(1.0).alias("share")))
+            asked.append(F.struct(F.lit(name).alias("name"), (F.lit(p) * F.col("_total")).alias("at"), F.lit(-1.0).alias("share")))
         else:  # ranks count from 1; a rank is reached where the running count is at least it
             at = F.lit(p) * (F.col("_total") - 1)
             low, part = F.floor(at), at - F.floor(at)
-            asked += [F.struct(F.lit(name).alias("name"), (low + 1).cast("double").alias("at"), (1 - part).alias("share")), F.struct(F.lit(name).alias("name"), (F.least(low + 1, F.col("_total") - 1) + 1).cast("double").alias("at"), part.alias("share"))]
+            asked += [F.struct(F.lit(name).alias("name"), (low + 1).cast("double").alias("at"), F.lit(-1.0).alias("share")), F.struct(F.lit(name).alias("name"), (F.least(low + 1, F.col("_total") - 1) + 1).cast("double").alias("at"), part.alias("share"))]
     # a positive rank is asked, so a quantile of p = 0 is the first value
     carry = carry.withColumn("_asked", F.explode(F.array(*asked))).select(RANGE, *by, "_before", "_upto", F.col("_asked.name").alias("_name"), F.greatest("_asked.at", F.lit(1e-300)).alias("_at"), F.col("_asked.share").alias("_share"))
     carry = carry.where("_at > _before and _at <= _upto")
@@ -87,8 +93,10 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str]
     inside = _joined(t, holding, by)
     inside = inside.withColumn("_upto_v", F.col("_before") + F.sum("_w").over(Window.partitionBy(RANGE, *by).orderBy("_v"))).drop("_before")
     found = _joined(inside, carry.select(RANGE, *by, "_name", "_at", "_share"), by).where("_at <= _upto_v and _at > _upto_v - _w")
-    each = [F.sum(F.when(F.col("_name") == n, F.col("_share") * F.col("_v"))).alias(n) for n in probs]
-    return found.groupBy(*by).agg(*each)
+    # the rank below has a share of -1, the one above its own
+    each = [f(F.when((F.col("_name") == n) & at, c)).alias(f"_{k}_{j}") for k, n in enumerate(probs) for j, (f, at, c) in enumerate(
+        ((F.max, F.col("_share") < 0, F.col("_v").cast("double")), (F.max, F.col("_share") >= 0, F.col("_v").cast("double")), (F.max, F.col("_share") >= 0, F.col("_share"))))]
+    return found.groupBy(*by).agg(*each).select(*by, *(between(F.col(f"_{k}_0"), F.col(f"_{k}_1"), F.col(f"_{k}_2")).alias(n) for k, n in enumerate(probs)))
 
 
 def with_quantiles(report: DataFrame, rows: DataFrame, value: str, probs: dict[str, float], by: list[str], rule: str = "linear") -> DataFrame:

@@ -21,7 +21,9 @@ SEGMENT_GAP_HOURS = 0.25
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
+    """Doubles rounded as the statements round them, half away from zero after scaling, so that ties fall alike."""
+    scaled = lambda c: F.col(c) * 10.0**digits
+    return df.withColumns({c: F.when(F.abs(scaled(c)) < float("inf"), F.round(scaled(c)) / 10.0**digits).otherwise(F.col(c)) for c, t in df.dtypes if t == "double"})
 
 
 def events(spark, d) -> DataFrame:

@@ -106,3 +106,24 @@ def test_only_ranges_that_hold_a_rank_are_ordered(spark):
     assert q.first().p50 == 24_999.5
     plan = q._jdf.queryExecution().toString()
     assert "percentile(" not in plan
+
+
+def test_quantiles_and_roundings_fall_as_in_sql_at_ties(spark):
+    """Times of whole microseconds, whose quantiles end half a microsecond from the sixth digit."""
+    import random
+
+    import duckdb
+
+    from colloquy.operators import resampling as rs
+    from colloquy.plans.conversation import rounded
+
+    r = random.Random(5)
+    rows = [(k, rep, us / 3.6e9 * 3600) for k in range(120) for rep, us in enumerate([2 * r.randrange(4 * 10**9, 5 * 10**9) for _ in range(41)], 1)]
+    df = spark.createDataFrame(rows, "k int, rep int, x double")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t AS SELECT * FROM (SELECT unnest(?) AS k, unnest(?) AS x)", [[a for a, _, _ in rows], [x for _, _, x in rows]])
+    want = {a[0]: a[1:] for a in c.execute("SELECT k, quantile_cont(x, 0.025), quantile_cont(x, 0.975), round(quantile_cont(x, 0.025), 6), round(quantile_cont(x, 0.975), 6) FROM t GROUP BY 1").fetchall()}
+    for got in (rs.percentile_interval(df, ["k"], "x"), scan.quantiles(df, "x", {"low": 0.025, "high": 0.975}, ["k"])):
+        fine = {a.k: (a.low, a.high) for a in got.collect()}
+        assert fine == {k: w[:2] for k, w in want.items()}
+        assert {a.k: (a.low, a.high) for a in rounded(got).collect()} == {k: w[2:] for k, w in want.items()}
