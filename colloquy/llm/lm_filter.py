@@ -14,11 +14,11 @@ with c from the filter, c(hw) at most c(h), N training tokens and V distinct one
 
 The n-grams are dealt to blocks by their hash, as many as the corpus has need of
 (CHARS_A_BLOCK of text each); tasks send counts summed over runs of 4 million n-grams,
-packed by block, and a block's task sums them and sets its part of the filter. The filter
-has at most MAX_BYTES, which bounds the broadcast. Where its blocks have no room for all
-levels at the planned share of errors, the lowest levels are left out, from the first
-that fits on, and n-grams that reach none count as unseen by ``score``: on the
-test tables that never happens.
+packed by block, and a block's task sums them and sets its part of the filter. Every block
+has room for all levels of all its n-grams, however large the corpus. A filter of up to
+MAX_BYTES is broadcast. A larger one stays in its written blocks: the n-grams of each piece
+of texts are sent to them, packed by block, a block answers with their levels, and
+the answers of a piece meet its texts again. Both ways ask the same bits, so scores agree.
 
 Exact counts for ``base_score`` and ``n_known`` do not pass through the filter: the HOT
 most frequent words are broadcast (a word beyond them holds at most 1 / HOT of all tokens, so
@@ -33,12 +33,12 @@ tables give no rows; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +54,8 @@ MAX_BYTES = 64 << 20
 CHARS_A_BLOCK = 1 << 22
 RUN = 1 << 22
 HOT = 1 << 18
+#: A block's bits are numbered by 32 bits of hash; one of CHARS_A_BLOCK of text needs about a hundredth.
+ANY_BITS = (1 << 32) - 8
 END = np.uint64(0x9D3F5A1C7B2E6481)
 _PAIR = bs.seeds(2, 51) | np.uint64(1)
 _PROBE = bs.seeds(LEVELS + 1, 52)
@@ -148,8 +150,11 @@ def places(first: np.ndarray, stride: np.ndarray, bits: np.ndarray | np.uint64,
     return (((first + np.uint64(k) * stride & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)).astype(np.int64)
 
 
-def filter_block(parts: list[tuple[np.ndarray, np.ndarray]], most_bits: int) -> tuple[bytes, int, int]:
-    """(bits, number of bits, lowest level) of n-grams given as (hashes, levels)."""
+def filter_block(parts: list[tuple[np.ndarray, np.ndarray]], most_bits: int = ANY_BITS) -> tuple[bytes, int, int]:
+    """(bits, number of bits, lowest level) of n-grams given as (hashes, levels).
+
+    The lowest level is 1 unless a caller asks for fewer bits than all levels need; ``learn`` never does.
+    """
     h, top = (np.concatenate(x) for x in zip(*parts, strict=True))
     h, top = h[top > 0], top[top > 0]
     floor, need = 1, lambda f: math.ceil(HASHES * int(np.maximum(top - f + 1, 0).sum()) / math.log(2))
@@ -200,22 +205,27 @@ def counted(docs: DataFrame, log_blocks: int) -> DataFrame:
 
 @dataclass
 class Model:
-    filter: Filter
+    """``filter`` is None where it is not broadcast but stays in ``blocks``, written."""
+
+    filter: Filter | None
+    shift: int
     train_tokens: int
     distinct: int
     hot: np.ndarray
     hot_counts: np.ndarray
 
-    def score(self, texts: list[bytes]) -> dict[str, list | np.ndarray]:
+    def score(self, texts: list[bytes], levels: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[str, list | np.ndarray]:
+        """By text all that ``score`` sends on; levels: of n-grams, by default from the filter in hand."""
+        levels = levels or self.filter.levels
         t, starts = tokens(texts)
         word, back = np.unique(t, return_inverse=True)
-        one = count_of(self.filter.levels(word), LEAST[0])
+        one = count_of(levels(word), LEAST[0])
         history, pair = pairs(t, starts)
         c, before = one[back], one[np.searchsorted(word, history)]
         seen = np.flatnonzero((c > 0) & (before > 0))
         two = np.zeros(len(t))
         pair, which = np.unique(pair[seen], return_inverse=True)  # in the order of blocks, so that probes stay close
-        two[seen] = np.minimum(count_of(self.filter.levels(pair), LEAST[1])[which], before[seen])
+        two[seen] = np.minimum(count_of(levels(pair), LEAST[1])[which], before[seen])
         p = (c + 1) / (self.train_tokens + self.distinct + 1)
         p = (two + MU * p) / (before + MU)
         at = np.minimum(np.searchsorted(self.hot, word), max(0, len(self.hot) - 1))
@@ -234,9 +244,13 @@ class Model:
 
 def learn(docs: DataFrame, scratch: Scratch, max_bytes: int = MAX_BYTES, hot: int = HOT) -> tuple[Model, DataFrame]:
     """The model of all rows of ``docs``, and the exact counts (word, c) of all tokens by hash."""
+    return learned(docs, scratch, max_bytes, hot)[:2]
+
+
+def learned(docs: DataFrame, scratch: Scratch, max_bytes: int, hot: int) -> tuple[Model, DataFrame, DataFrame]:
+    """What ``learn`` gives, and the written blocks of the filter."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     log_blocks = max(4, math.ceil(math.log2(max(1, chars / CHARS_A_BLOCK))))
-    most_bits = max(64, (max_bytes * 8 >> log_blocks) & ~7)
 
     def build(t: pa.Table) -> pa.Table:
         size = np.asarray(t["size"])
@@ -246,7 +260,7 @@ def learn(docs: DataFrame, scratch: Scratch, max_bytes: int = MAX_BYTES, hot: in
             h, n = _summed(np.frombuffer(b"".join(raw[0]), np.uint64), np.frombuffer(b"".join(raw[1]), np.uint32).astype(np.int64))
             own = own if k else (h, n)
             out.append((h, levels_of(n, least)))
-        data, bits, floor = filter_block(out, most_bits)
+        data, bits, floor = filter_block(out)
         arrays = [pa.array([t["block"][0].as_py()], pa.int64()), pa.array([data]), pa.array([bits], pa.int64()), pa.array([floor], pa.int32())]
         lists = [pa.array([x.view(np.int64)], pa.list_(pa.int64())) for x in own]
         return pa.Table.from_arrays([*arrays, *lists], ["block", "data", "bits", "floor", "words", "counts"])
@@ -255,7 +269,8 @@ def learn(docs: DataFrame, scratch: Scratch, max_bytes: int = MAX_BYTES, hot: in
     t = scratch.keep(t)
     words = t.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     totals = words.agg(F.sum("c"), F.count("*")).first()
-    blocks = t.select("block", "data", "bits", "floor").collect()  # at most max_bytes
+    size = t.agg(F.sum(F.length("data"))).first()[0] or 0
+    blocks = t.select("block", "data", "bits", "floor").collect() if size <= max_bytes else []
     n = 1 << log_blocks
     bits, floors, starts, parts, at = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64), [], 0
     for r in blocks:
@@ -266,26 +281,84 @@ def learn(docs: DataFrame, scratch: Scratch, max_bytes: int = MAX_BYTES, hot: in
     at_hot = top["word"].to_numpy().view(np.uint64)
     by = np.argsort(at_hot)
     data = np.concatenate(parts) if parts else np.zeros(1, np.uint8)
-    return Model(Filter(data, starts, bits, floors, 64 - log_blocks), totals[0] or 0, totals[1], at_hot[by], top["c"].to_numpy()[by]), words
+    held = Filter(data, starts, bits, floors, 64 - log_blocks) if size <= max_bytes else None
+    return Model(held, 64 - log_blocks, totals[0] or 0, totals[1], at_hot[by], top["c"].to_numpy()[by]), words, t
+
+
+NAMES = ["n_tokens", "n_hot", "hot_sum", "score", "words", "times"]
+
+
+def scored(model: Model, key: int, ids: pa.Array, texts: list[bytes], levels: Callable[[np.ndarray], np.ndarray] | None = None) -> pa.RecordBatch:
+    """The rows of a piece of texts, with keys from ``key`` on."""
+    found = model.score(texts, levels)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(texts))), ids, *(found[c] if isinstance(found[c], pa.Array) else pa.array(found[c]) for c in NAMES)], ["key", "doc_id", *NAMES])
+
+
+def asked_of(texts: list[bytes]) -> np.ndarray:
+    """All n-grams of a piece of texts, each once, in the order of blocks."""
+    t, starts = tokens(texts)
+    return np.unique(np.concatenate((t, pairs(t, starts)[1])))
+
+
+def by_answers(docs: DataFrame, sent: Broadcast, blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """What ``scored`` gives, where the filter is asked block by block in the blocks' own tasks."""
+    kind, shift = docs.schema["doc_id"].dataType.simpleString(), np.uint64(sent.value.shift)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for first, texts in bs.pieces(batch.column(1)):
+                h = asked_of(texts)
+                block = (h >> shift).astype(np.int64)
+                begins = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+                ends = np.append(begins[1:], len(h))
+                own = [[x] for x in (key, batch.column(0).slice(first, len(texts)).to_pylist(), texts, block[begins].tolist(), [h[a:b].tobytes() for a, b in zip(begins, ends, strict=True)])]
+                kinds = [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, kinds, strict=True)], ["piece", "ids", "texts", "blocks", "hashes"])
+                key += len(texts)
+        bs.trim()
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        levels = []
+        if held.num_rows and asked.num_rows:
+            own = Filter(np.frombuffer(held["data"][0].as_py(), np.uint8), np.zeros(1, np.int64), np.asarray(held["bits"]), np.asarray(held["floor"]).astype(np.int64), 64)
+            levels = [own.levels(np.frombuffer(x.as_buffer(), np.uint64)).astype(np.uint8).tobytes() for x in asked["hashes"]]
+        elif asked.num_rows:  # no n-gram fell in this block
+            levels = [bytes(len(x.as_buffer()) // 8) for x in asked["hashes"]]
+        return pa.table([asked["piece"], asked["block"], pa.array(levels, pa.binary())], ["piece", "block", "levels"])
+
+    def finish(piece: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("block")
+        found = np.frombuffer(b"".join(answers["levels"].to_pylist()), np.uint8).astype(np.int64)
+        texts = piece["texts"][0].as_py()
+        h = asked_of(texts)
+        ids = pa.array(piece["ids"][0].as_py(), piece.schema.field("ids").type.value_type)
+        return pa.Table.from_batches([scored(sent.value, piece["piece"][0].as_py(), ids, texts, lambda x: found[np.searchsorted(h, x)])])
+
+    t = scratch.keep(docs.select("doc_id", "text").mapInArrow(ask, f"piece long, ids array<{kind}>, texts array<binary>, blocks array<long>, hashes array<binary>"))
+    asks = t.select("piece", F.explode(F.arrays_zip("blocks", "hashes")).alias("x")).select("piece", F.col("x.blocks").alias("block"), "x.hashes")
+    answers = asks.groupBy("block").cogroup(blocks.select("block", "data", "bits", "floor").groupBy("block")).applyInArrow(answer, "piece long, block long, levels binary")
+    return t.select("piece", "ids", "texts").groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(finish, scored_schema(kind))
+
+
+def scored_schema(kind: str) -> str:
+    return f"key long, doc_id {kind}, n_tokens long, n_hot long, hot_sum double, score double, words array<long>, times array<long>"
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame, scratch: Scratch) -> DataFrame:
+def score(docs: DataFrame, model: Model, words: DataFrame, blocks: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["n_tokens", "n_hot", "hot_sum", "score", "words", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, texts in bs.pieces(batch.column(1)):
-                found = sent.value.score(texts)
-                own = pa.array(np.arange(key, key + len(texts)))
+                yield scored(sent.value, key, batch.column(0).slice(first, len(texts)), texts)
                 key += len(texts)
-                yield pa.RecordBatch.from_arrays([own, batch.column(0).slice(first, len(texts)), *(found[c] if isinstance(found[c], pa.Array) else pa.array(found[c]) for c in names)], ["key", "doc_id", *names])
         bs.trim()
 
-    t = docs.select("doc_id", "text").mapInArrow(run, f"key long, doc_id {kind}, n_tokens long, n_hot long, hot_sum double, score double, words array<long>, times array<long>")
+    t = docs.select("doc_id", "text").mapInArrow(run, scored_schema(kind)) if model.filter is not None else by_answers(docs, sent, blocks, scratch)
     t = scratch.keep(t)
     sent.unpersist()
     rest = t.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
@@ -299,8 +372,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame, scratch: Scratch) ->
 def lm_scores(docs: DataFrame, max_bytes: int = MAX_BYTES, hot: int = HOT) -> DataFrame:
     """Scores of all rows under the model of those outside the held-out fold."""
     scratch = Scratch(docs.sparkSession, "lm")
-    model, words = learn(docs.where(~held_out()), scratch, max_bytes, hot)
-    return score(docs, model, words, scratch)
+    model, words, blocks = learned(docs.where(~held_out()), scratch, max_bytes, hot)
+    return score(docs, model, words, blocks, scratch)
 
 
 def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

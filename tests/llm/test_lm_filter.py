@@ -141,3 +141,12 @@ def test_quantised_counts_are_close(least):
     q = lm_filter.count_of(lm_filter.levels_of(n, least), least)
     assert (np.abs(q - n) <= 0.25 * n).all() and (np.diff(q) >= 0).all()
     assert (lm_filter.levels_of(np.arange(least), least) == 0).all()
+
+
+def test_a_filter_too_large_to_broadcast_loses_nothing(spark, odd_dir):
+    """Asked block by block in the blocks' tasks, it gives the same scores as the broadcast one."""
+    for path in (odd_dir, "/root/testdata/sf0.001"):
+        docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+        rows = lambda **x: sorted(map(tuple, lm_filter.lm_scores(docs, **x).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "score").collect()), key=repr)
+        small = rows(max_bytes=1)
+        assert small == rows() and len(small) == docs.count()
