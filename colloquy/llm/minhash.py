@@ -15,12 +15,15 @@
    set sizes must allow the threshold and one bit of each signature value must agree in
    3 of 4 places (a pair at the threshold agrees in 7 of 8, with a deviation of 0.023:
    one in ten million is missed).
-   What is still in different components after ROUNDS rounds is compared in blocks of
-   BLOCK members (fewer where their sets are large): first by bits, which leaves the members that have a likely partner,
-   then by full sets, all pairs of two blocks as one matrix product. Only one link
+   The first round tests the only pair of a bucket of two, which is done then. What is
+   still in different components after ROUNDS rounds is compared in blocks of BLOCK members
+   (fewer where their sets are large): first by bits, which leaves the members that have a
+   likely partner, then by full sets, all pairs of two blocks as one matrix product. Only one link
    between two components leaves a block pair, so no link is lost and none is repeated.
 4. Confirmation. Links are tested on full sets: 100 * |A n B| >= 75 * |A u B|.
-5. Components by alternating stars over nodes; the smallest doc_id names each.
+5. Components by alternating stars; the smallest doc_id names each. Links found in a
+   later round are between components that are known, so stars run over these alone,
+   however many nodes and links there were before.
 
 Every stage is written to the shared folder. Only counts come to the driver.
 
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import bytesplit as bs
 from .common import Scratch, table
-from .components import components
+from .components import stars
 
 SHINGLE = 5
 PERCENT = 75
@@ -110,11 +113,11 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """Links between the components ca and cb of the pairs (a, b) whose full sets reach the threshold."""
     t = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     t = t.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return t.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return t.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 def _likely(m: str, m2: str) -> Column:
@@ -124,6 +127,11 @@ def _likely(m: str, m2: str) -> Column:
     return (100 * low >= PERCENT * high) & (4 * apart <= BITS)
 
 
+def _untested(rounds: int) -> Column:
+    """Whether a bucket has components apart and, after so many rounds, pairs without its centre: the first round tests the only pair of two members."""
+    return (F.col("c1") < F.col("c2")) & (F.col("size") > (2 if rounds else 1))
+
+
 def _meetings(t: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of (band, rep, ...) once for every pair of blocks (i, j) of their bucket that they meet in."""
     t = scratch.keep(t)
@@ -154,9 +162,9 @@ def _hopeful(t: pa.Table) -> pa.Table:
 
 
 def _linked(t: pa.Table) -> pa.Table:
-    """One link between any two components that have one in this pair of blocks."""
+    """The components (a, b) that a pair in this pair of blocks links, each once."""
     sets = t["s"].combine_chunks()
-    m, n, c, rep = len(t), t["n"].to_numpy(), t["c"].to_numpy(), t["rep"].to_numpy()
+    m, n, c = len(t), t["n"].to_numpy(), t["c"].to_numpy()
     flat, owner = sets.values.to_numpy(), np.repeat(np.arange(m), np.diff(sets.offsets.to_numpy()))
     shingle, column, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count > 1
@@ -173,15 +181,16 @@ def _linked(t: pa.Table) -> pa.Table:
         common += block @ block.T
     links = _fit(n, c) & (100 * common >= PERCENT * (n[:, None] + n[None, :] - common))
     x, y = np.nonzero(np.triu(links))
-    _, first = np.unique(np.stack((np.minimum(c[x], c[y]), np.maximum(c[x], c[y]))), axis=1, return_index=True)
-    x, y = x[first], y[first]
-    return pa.table({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y])})
+    a, b = np.unique(np.stack((np.minimum(c[x], c[y]), np.maximum(c[x], c[y]))), axis=1)
+    return pa.table({"a": a, "b": b})
 
 
-def _shared_ids(linked: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links between the sets of a doc_id that has several."""
+def _shared_ids(linked: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links between the sets of a doc_id that has several; None if there is none."""
     own = F.struct("k1", "k2")
-    several = linked.groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low != high").select("doc_id")
+    several = scratch.keep(linked.groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low != high").select("doc_id"))
+    if several.isEmpty():
+        return None
     at = linked.join(several, "doc_id").select("doc_id", "k1", "k2").distinct().join(reps.select("k1", "k2", "node"), ["k1", "k2"])
     low = at.groupBy("doc_id").agg(F.min("node").alias("b"))
     return at.join(low, "doc_id").where("node != b").select(F.col("node").alias("a"), "b")
@@ -208,46 +217,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = scratch.keep(chosen.select(F.col("node").alias("id"), F.col("least").alias("doc_id"), "k1", "k2"))
     # a doc_id may have other texts too: a set is known by its key
     sets = docs.join(chosen.select("doc_id").distinct().hint("merge"), "doc_id").select("text").mapInArrow(_full_sets, "k1 long, k2 long, s array<long>")
-    sets = scratch.keep(sets.join(chosen.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "s").dropDuplicates(["id"]))
+    sets = scratch.keep(sets.dropDuplicates(["k1", "k2"]).join(chosen.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "s"))
 
-    links = labels = tested = None
+    #: (u, v): each node u that is not the smallest of its component, and that smallest v, which is the component
+    labels = tested = None
 
     def linked_by(found: DataFrame) -> None:
-        nonlocal links, labels
-        links = scratch.keep(found if links is None else links.union(found))
-        labels = scratch.keep(components(links, scratch))
+        """Takes in links (a, b) between components."""
+        nonlocal labels
+        new = stars(found, scratch)
+        if labels is not None:
+            # a component that moves is in no row as u yet
+            moved = new.select(F.col("u").alias("v"), F.col("v").alias("w"))
+            new = scratch.keep(labels.join(moved, "v", "left").select("u", F.coalesce("w", "v").alias("v")).union(new))
+        labels = new
 
     def in_components() -> DataFrame:
         if labels is None:
             return members.withColumn("c", F.col("m.rep"))
-        return members.join(labels, F.col("m.rep") == F.col("node"), "left").select("band", "m", F.coalesce("component", "m.rep").alias("c"))
+        return scratch.keep(members.join(labels, F.col("m.rep") == F.col("u"), "left").select("band", "m", F.coalesce("v", "m.rep").alias("c")))
 
-    same_id = scratch.keep(_shared_ids(linked, reps))
-    if not same_id.isEmpty():
+    same_id = _shared_ids(linked, reps, scratch)
+    if same_id is not None:
         linked_by(same_id)
     for k in range(ROUNDS):
-        here = scratch.keep(in_components())
+        here = in_components()
         first = F.struct(-F.col("m.copies") if k == 0 else F.lit(0), F.xxhash64("m.k1", F.lit(k)))
-        open_ = here.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min_by(F.struct("m", "c"), first).alias("x")).where("c1 < c2")
+        open_ = here.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min_by(F.struct("m", "c"), first).alias("x"), F.count("*").alias("size"))
+        open_ = open_.where(_untested(k))
         centre = scratch.keep(open_.select("band", F.col("x.m").alias("m2"), F.col("x.c").alias("c2")))
         new = here.join(centre.hint("merge"), (here["band"] == centre["band"]) & (F.col("c") != F.col("c2")) & _likely("m", "m2"))
-        new = new.select(F.least("m.rep", "m2.rep").alias("a"), F.greatest("m.rep", "m2.rep").alias("b")).distinct()
+        ends = F.least("m.rep", "m2.rep").alias("a"), F.greatest("m.rep", "m2.rep").alias("b")
+        new = new.select(*ends, F.least("c", "c2").alias("ca"), F.greatest("c", "c2").alias("cb")).distinct()
         new = scratch.keep(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
-        tested = new if tested is None else tested.union(new)
+        tested = new.select("a", "b") if tested is None else tested.union(new.select("a", "b"))
         if not new.isEmpty():
             linked_by(_confirmed(new, sets))
 
-    here = scratch.keep(in_components().select("band", "m.rep", "m.n", "m.bits", "c"))
-    open_ = scratch.keep(here.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("band"))
+    here = in_components().select("band", "m.rep", "m.n", "m.bits", "c")
+    open_ = scratch.keep(here.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("size")).where(_untested(ROUNDS)).select("band"))
     rest = _meetings(here.join(open_, "band"), scratch).groupBy("band", "i", "j").applyInArrow(_hopeful, "band long, rep long, n long, c long")
     rest = scratch.keep(rest.distinct())
     if not rest.isEmpty():
         rest = _meetings(rest, scratch).join(sets.withColumnRenamed("id", "rep"), "rep")
-        linked_by(rest.groupBy("band", "i", "j").applyInArrow(_linked, "a long, b long").distinct())
+        linked_by(rest.groupBy("band", "i", "j").applyInArrow(_linked, "a long, b long"))
     if labels is None:
-        labels = reps.select("node", F.col("node").alias("component")).limit(0)
+        labels = reps.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
 
-    top = scratch.keep(reps.join(labels, "node", "left").select("k1", "k2", "least", F.coalesce("component", "node").alias("c")))
+    top = scratch.keep(reps.join(labels, F.col("node") == F.col("u"), "left").select("k1", "k2", "least", F.coalesce("v", "node").alias("c")))
     names = scratch.keep(top.groupBy("c").agg(F.min("least").alias("component_id")))
     top = scratch.keep(top.join(names.hint("merge"), "c").select("k1", "k2", "component_id"))
     out = signatures.select("doc_id", "n_shingles", "k1", "k2").join(top.hint("merge"), ["k1", "k2"], "left")

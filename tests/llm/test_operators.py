@@ -108,6 +108,46 @@ def test_large_sets_make_small_blocks(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df).collect()} == plain.near_duplicates(rows)
 
 
+def test_a_chain_and_a_shared_doc_id_make_one_component(spark, monkeypatch):
+    """Links between texts are taken in over the component that a shared doc_id gives."""
+    import random
+
+    from colloquy.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(160)]
+    rows = []
+    for k in range(90):  # each text changes the one before: a chain whose ends are unlike
+        rows.append((500 - k, " ".join(words)))
+        for _ in range(2):
+            words[r.randrange(160)] = f"x{k}-{r.randrange(9)}"
+    other = [f"o{k}" for k in range(60)]
+    rows += [(7, " ".join(other)), (450, " ".join(other)), (3, " ".join(other + ["end"])), (450, "quite another text of seven words here")]
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 90, 9)]
+    for shuffled in (rows, rows[::-1]):
+        got = {(x.doc_id, x.n_shingles): x.component_id for x in minhash.near_duplicates(spark.createDataFrame(shuffled, "doc_id long, text string")).collect()}
+        assert {i for i, _ in got} == {i for i, _ in rows} and set(got.values()) == {3}
+
+
+def test_a_bucket_of_two_is_compared_once(spark, monkeypatch):
+    """Pairs that share bands and stay below the threshold are tested in the first round, and not again in blocks."""
+    from colloquy.llm import minhash
+
+    compared = []
+    meetings = minhash._meetings
+    monkeypatch.setattr(minhash, "_meetings", lambda t, scratch: (compared.append(t.count()), meetings(t, scratch))[1])
+    rows = []
+    for k in range(20):
+        w = [f"d{k}-{i}" for i in range(104)]
+        rows.append((2 * k, " ".join(w)))
+        rows.append((2 * k + 1, " ".join(f"new-{i}" if i in (30, 60, 90) else x for i, x in enumerate(w))))  # 85 of 115 shingles
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df).collect()}
+    assert got == plain.near_duplicates(rows) and all(i == c for i, (_, c) in got.items())
+    assert sum(compared) == 0
+
+
 def test_texts_that_share_a_doc_id_are_one_node(spark):
     from itertools import permutations
 
