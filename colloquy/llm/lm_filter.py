@@ -16,13 +16,16 @@ The n-grams are dealt to blocks by their hash, as many as the corpus has need of
 (CHARS_A_BLOCK of text each); tasks send counts summed over runs of 4 million n-grams,
 packed by block, and a block's task sums them and sets its part of the filter. Every block
 has room for all levels of all its n-grams, however large the corpus. A filter of up to
-MAX_BYTES is broadcast. A larger one stays in its written blocks: the n-grams of each piece
-of texts are sent to them, packed by block, a block answers with their levels, and
-the answers of a piece meet its texts again. Both ways ask the same bits, so scores agree.
+MAX_BYTES is broadcast. A larger one, or one of a corpus that may need a larger one, is never
+sent: texts are packed in runs, the n-grams of a run, each once, go to their blocks with their
+counts, and the task of a block, which counts them and sets the bits, asks these once for every n-gram
+and answers each run with the levels of its n-grams, which then meet the run's texts. So one
+shuffle of n-grams serves to learn and to ask. Both ways ask the same bits, so scores agree.
 
-Exact counts for ``base_score`` and ``n_known`` do not pass through the filter: the HOT
-most frequent words are broadcast (a word beyond them holds at most 1 / HOT of all tokens, so
-none is hot), all others are joined by their hash.
+Exact counts for ``base_score`` and ``n_known`` do not pass through the filter: with a
+broadcast filter the HOT most frequent words are broadcast too (a word beyond them holds at most
+1 / HOT of all tokens, so none is hot) and all others joined by their hash; else they are part
+of a block's answers.
 
 Defined results: null and empty texts have the end as their only token; a null doc_id is
 not held out and learns; repeated rows learn and are scored each; without training rows
@@ -33,12 +36,12 @@ tables give no rows; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +54,14 @@ BASE, HASHES, MU = 1.5, 8, 100.0
 LEAST = (1, 2)
 LEVELS = 100
 MAX_BYTES = 64 << 20
-CHARS_A_BLOCK = 1 << 22
+CHARS_A_BLOCK = 1 << 24
+#: A corpus with more characters than this for each byte of a broadcast filter is not tried with one.
+CHARS_A_BYTE = 2
+#: Bytes of texts whose n-grams are asked together.
+RUN_BYTES = 1 << 23
 RUN = 1 << 22
 HOT = 1 << 18
-#: A block's bits are numbered by 32 bits of hash; one of CHARS_A_BLOCK of text needs about a hundredth.
+#: A block's bits are numbered by 32 bits of hash; one of CHARS_A_BLOCK of text needs a few hundredths.
 ANY_BITS = (1 << 32) - 8
 END = np.uint64(0x9D3F5A1C7B2E6481)
 _PAIR = bs.seeds(2, 51) | np.uint64(1)
@@ -203,20 +210,25 @@ def counted(docs: DataFrame, log_blocks: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "block long, size int, hashes binary, counts binary")
 
 
+def probability(c: np.ndarray, before: np.ndarray, two: np.ndarray, train_tokens: int, distinct: int) -> np.ndarray:
+    """Of tokens by their counts, those of their histories, and those of both."""
+    p = (c + 1) / (train_tokens + distinct + 1)
+    return (two + MU * p) / (before + MU)
+
+
 @dataclass
 class Model:
-    """``filter`` is None where it is not broadcast but stays in ``blocks``, written."""
+    """``filter`` is None where it is too large to be broadcast."""
 
     filter: Filter | None
-    shift: int
     train_tokens: int
     distinct: int
     hot: np.ndarray
     hot_counts: np.ndarray
 
-    def score(self, texts: list[bytes], levels: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[str, list | np.ndarray]:
-        """By text all that ``score`` sends on; levels: of n-grams, by default from the filter in hand."""
-        levels = levels or self.filter.levels
+    def score(self, texts: list[bytes]) -> dict[str, list | np.ndarray]:
+        """By text all that ``score`` sends on."""
+        levels = self.filter.levels
         t, starts = tokens(texts)
         word, back = np.unique(t, return_inverse=True)
         one = count_of(levels(word), LEAST[0])
@@ -226,8 +238,7 @@ class Model:
         two = np.zeros(len(t))
         pair, which = np.unique(pair[seen], return_inverse=True)  # in the order of blocks, so that probes stay close
         two[seen] = np.minimum(count_of(levels(pair), LEAST[1])[which], before[seen])
-        p = (c + 1) / (self.train_tokens + self.distinct + 1)
-        p = (two + MU * p) / (before + MU)
+        p = probability(c, before, two, self.train_tokens, self.distinct)
         at = np.minimum(np.searchsorted(self.hot, word), max(0, len(self.hot) - 1))
         hot = self.hot[at] == word if len(self.hot) else np.zeros(len(word), bool)
         exact = np.where(hot, self.hot_counts[at] if len(self.hot) else 0, 0)
@@ -242,15 +253,18 @@ class Model:
         }
 
 
-def learn(docs: DataFrame, scratch: Scratch, max_bytes: int = MAX_BYTES, hot: int = HOT) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``docs``, and the exact counts (word, c) of all tokens by hash."""
-    return learned(docs, scratch, max_bytes, hot)[:2]
+def chars_of(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
+def blocks_for(chars: int) -> int:
+    """The binary logarithm of the number of blocks of a corpus."""
+    return max(4, math.ceil(math.log2(max(1, chars / CHARS_A_BLOCK))))
 
 
-def learned(docs: DataFrame, scratch: Scratch, max_bytes: int, hot: int) -> tuple[Model, DataFrame, DataFrame]:
-    """What ``learn`` gives, and the written blocks of the filter."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    log_blocks = max(4, math.ceil(math.log2(max(1, chars / CHARS_A_BLOCK))))
+def learn(docs: DataFrame, scratch: Scratch, max_bytes: int = MAX_BYTES, hot: int = HOT) -> tuple[Model, DataFrame]:
+    """The model of all rows of ``docs``, and the exact counts (word, c) of all tokens by hash."""
+    log_blocks = blocks_for(chars_of(docs))
 
     def build(t: pa.Table) -> pa.Table:
         size = np.asarray(t["size"])
@@ -282,70 +296,181 @@ def learned(docs: DataFrame, scratch: Scratch, max_bytes: int, hot: int) -> tupl
     by = np.argsort(at_hot)
     data = np.concatenate(parts) if parts else np.zeros(1, np.uint8)
     held = Filter(data, starts, bits, floors, 64 - log_blocks) if size <= max_bytes else None
-    return Model(held, 64 - log_blocks, totals[0] or 0, totals[1], at_hot[by], top["c"].to_numpy()[by]), words, t
+    return Model(held, totals[0] or 0, totals[1], at_hot[by], top["c"].to_numpy()[by]), words
 
 
 NAMES = ["n_tokens", "n_hot", "hot_sum", "score", "words", "times"]
 
 
-def scored(model: Model, key: int, ids: pa.Array, texts: list[bytes], levels: Callable[[np.ndarray], np.ndarray] | None = None) -> pa.RecordBatch:
+def scored(model: Model, key: int, ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
     """The rows of a piece of texts, with keys from ``key`` on."""
-    found = model.score(texts, levels)
+    found = model.score(texts)
     return pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(texts))), ids, *(found[c] if isinstance(found[c], pa.Array) else pa.array(found[c]) for c in NAMES)], ["key", "doc_id", *NAMES])
 
 
-def asked_of(texts: list[bytes]) -> np.ndarray:
-    """All n-grams of a piece of texts, each once, in the order of blocks."""
-    t, starts = tokens(texts)
-    return np.unique(np.concatenate((t, pairs(t, starts)[1])))
+def narrow(x: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Each stretch of whole numbers in as few bytes a number as its largest has need of, told by a first byte."""
+    raw, out = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8), []
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+        width = max(1, int(x[a:b].max()).bit_length() + 7 >> 3) if b > a else 0
+        out.append(bytes([width]) + raw[a:b, :width].tobytes() if width else b"")
+    return out
 
 
-def by_answers(docs: DataFrame, sent: Broadcast, blocks: DataFrame, scratch: Scratch) -> DataFrame:
-    """What ``scored`` gives, where the filter is asked block by block in the blocks' own tasks."""
-    kind, shift = docs.schema["doc_id"].dataType.simpleString(), np.uint64(sent.value.shift)
+def wide(stretch: bytes) -> np.ndarray:
+    """The numbers of a stretch from ``narrow``."""
+    if not stretch:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(stretch, np.uint8, offset=1).reshape(-1, stretch[0])
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : stretch[0]] = raw
+    return out.view("<u8").ravel()
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def in_runs(docs: DataFrame) -> DataFrame:
+    """(run, held, ids, sizes, data): texts packed in runs of about RUN_BYTES, those held out apart from the others."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 33
+        own: dict[bool, tuple[list[pa.Array], list[bytes]]] = {False: ([], []), True: ([], [])}
+        size = {False: 0, True: 0}
+
+        def flush(held: bool) -> pa.RecordBatch:
+            ids, texts = own[held]
+            ids, sizes = pa.concat_arrays(ids), pa.array(np.fromiter(map(len, texts), np.int32, len(texts)))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), x) for x in (ids, sizes)]
+            data = pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary())
+            own[held], size[held] = ([], []), 0
+            return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([held]), *lists, data], ["run", "held", "ids", "sizes", "data"])
+
         for batch in batches:
-            for first, texts in bs.pieces(batch.column(1)):
-                h = asked_of(texts)
-                block = (h >> shift).astype(np.int64)
-                begins = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-                ends = np.append(begins[1:], len(h))
-                own = [[x] for x in (key, batch.column(0).slice(first, len(texts)).to_pylist(), texts, block[begins].tolist(), [h[a:b].tobytes() for a, b in zip(begins, ends, strict=True)])]
-                kinds = [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, kinds, strict=True)], ["piece", "ids", "texts", "blocks", "hashes"])
-                key += len(texts)
+            flags = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+            for first, texts in bs.pieces(batch.column(2)):
+                for held in (False, True):
+                    at = np.flatnonzero(flags[first : first + len(texts)] == held)
+                    if not len(at):
+                        continue
+                    own[held][0].append(batch.column(0).take(pa.array(at + first)))
+                    own[held][1].extend(texts[k] for k in at)
+                    size[held] += sum(len(texts[k]) + 1 for k in at)
+                    if size[held] >= RUN_BYTES:
+                        yield flush(held)
+                        key += 1
+        for held in (False, True):
+            if own[held][1]:
+                yield flush(held)
+                key += 1
         bs.trim()
 
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        levels = []
-        if held.num_rows and asked.num_rows:
-            own = Filter(np.frombuffer(held["data"][0].as_py(), np.uint8), np.zeros(1, np.int64), np.asarray(held["bits"]), np.asarray(held["floor"]).astype(np.int64), 64)
-            levels = [own.levels(np.frombuffer(x.as_buffer(), np.uint64)).astype(np.uint8).tobytes() for x in asked["hashes"]]
-        elif asked.num_rows:  # no n-gram fell in this block
-            levels = [bytes(len(x.as_buffer()) // 8) for x in asked["hashes"]]
-        return pa.table([asked["piece"], asked["block"], pa.array(levels, pa.binary())], ["piece", "block", "levels"])
+    return docs.select("doc_id", held_out().alias("held"), "text").mapInArrow(run, f"run long, held boolean, ids array<{kind}>, sizes array<int>, data binary")
 
-    def finish(piece: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("block")
-        found = np.frombuffer(b"".join(answers["levels"].to_pylist()), np.uint8).astype(np.int64)
-        texts = piece["texts"][0].as_py()
-        h = asked_of(texts)
-        ids = pa.array(piece["ids"][0].as_py(), piece.schema.field("ids").type.value_type)
-        return pa.Table.from_batches([scored(sent.value, piece["piece"][0].as_py(), ids, texts, lambda x: found[np.searchsorted(h, x)])])
 
-    t = scratch.keep(docs.select("doc_id", "text").mapInArrow(ask, f"piece long, ids array<{kind}>, texts array<binary>, blocks array<long>, hashes array<binary>"))
-    asks = t.select("piece", F.explode(F.arrays_zip("blocks", "hashes")).alias("x")).select("piece", F.col("x.blocks").alias("block"), "x.hashes")
-    answers = asks.groupBy("block").cogroup(blocks.select("block", "data", "bits", "floor").groupBy("block")).applyInArrow(answer, "piece long, block long, levels binary")
-    return t.select("piece", "ids", "texts").groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(finish, scored_schema(kind))
+def run_tokens(sizes: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What ``tokens`` gives, of a run, made piece by piece."""
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int32)))
+    raw = pa.decompress(data, int(ends[-1]), "zstd") if ends[-1] else pa.py_buffer(b"")
+    column = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), raw])
+    parts = [tokens(texts) for _, texts in bs.pieces(column)]
+    before = np.cumsum([0, *(len(t) for t, _ in parts)])
+    starts = [s[:-1] + n for (_, s), n in zip(parts, before[:-1], strict=True)]
+    return np.concatenate([t for t, _ in parts]), np.concatenate([*starts, before[-1:]])
 
 
-def scored_schema(kind: str) -> str:
-    return f"key long, doc_id {kind}, n_tokens long, n_hot long, hot_sum double, score double, words array<long>, times array<long>"
+def asked(runs: DataFrame, log_blocks: int) -> DataFrame:
+    """(block, run, words, word_counts, pairs, pair_counts): the n-grams of each run, each once, dealt to blocks; no counts of those held out."""
+    edges = np.arange(1 << log_blocks, dtype=np.uint64) << np.uint64(64 - log_blocks)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                t, starts = run_tokens(np.asarray(batch.column(2)[k].values), batch.column(3)[k].as_py())
+                packed, some = [], np.zeros(len(edges), bool)
+                for x in (t, pairs(t, starts)[1]):
+                    h, c = np.unique(x, return_counts=True)
+                    begins = np.searchsorted(h, edges)
+                    ends = np.append(begins[1:], len(h))
+                    full = ends > begins
+                    steps = np.diff(h, prepend=np.uint64(0))
+                    steps[begins[full]] = h[begins[full]] - edges[full]
+                    some |= full
+                    packed.append((steps, c, begins, ends))
+                block = np.flatnonzero(some)
+                held = batch.column(1)[k].as_py()
+                raw = [pa.array(narrow(y, begins[block], ends[block]) if y is not None else [b""] * len(block), pa.binary()) for steps, c, begins, ends in packed for y in (steps, None if held else c)]
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.full(len(block), batch.column(0)[k].as_py())), *raw], ["block", "run", "words", "word_counts", "pairs", "pair_counts"])
+        bs.trim()
 
-def score(docs: DataFrame, model: Model, words: DataFrame, blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    return runs.select("run", "held", "sizes", "data").mapInArrow(run, "block long, run long, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
+def by_answers(docs: DataFrame, log_blocks: int, scratch: Scratch) -> DataFrame:
+    """Scores where no filter is sent: each block's task counts its n-grams, sets its bits, asks them once for every n-gram and answers the runs.
+
+    The answers, levels and the words' exact counts, meet the texts of their run.
+    """
+    kind, shift = docs.schema["doc_id"].dataType.simpleString(), np.uint64(64 - log_blocks)
+
+    def answer(t: pa.Table) -> pa.Table:
+        block, n_runs = t["block"][0].as_py(), t.num_rows
+        grams = []
+        for names, least in zip((("words", "word_counts"), ("pairs", "pair_counts")), LEAST, strict=True):
+            steps, counts = ([wide(x) for x in t[c].to_pylist()] for c in names)
+            h = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in steps]) + (np.uint64(block) << shift)
+            c = np.concatenate([y if len(y) else np.zeros(len(x), np.uint64) for x, y in zip(steps, counts, strict=True)]).astype(np.int64)
+            ends = np.cumsum([len(x) for x in steps])
+            by = np.argsort(h, kind="stable")
+            s = h[by]
+            new = np.concatenate(([True], s[1:] != s[:-1]))[: len(s)]
+            which = np.empty(len(s), np.int64)
+            which[by] = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(c[by], first) if len(first) else np.zeros(0, np.int64)
+            grams.append((s[first], total, which, np.concatenate(([0], ends[:-1])), ends, levels_of(total, least)))
+        data, bits, floor = filter_block([(h, level) for h, *_, level in grams])
+        own = Filter(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([bits]), np.array([floor]), 64)
+        out = []
+        for k, (h, total, which, begins, ends, _) in enumerate(grams):
+            level = own.levels(h).astype(np.uint8)[which]
+            out.append([level[a:b].tobytes() for a, b in zip(begins, ends, strict=True)])
+            if not k:
+                out.append(narrow(total[which], begins, ends))
+        total = grams[0][1]
+        n, v = np.zeros((2, n_runs), np.int64)  # the block's own, once
+        n[0], v[0] = total.sum(), (total > 0).sum()
+        return pa.table([t["run"], t["block"], *(pa.array(x, pa.binary()) for x in out), pa.array(n), pa.array(v)], ["run", "block", "levels", "counts", "pairs", "n", "v"])
+
+    runs = scratch.keep(in_runs(docs))
+    answers = scratch.keep(asked(runs, log_blocks).groupBy("block").applyInArrow(answer, "run long, block long, levels binary, counts binary, pairs binary, n long, v long"))
+    n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
+
+    def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("block")
+        one, two = (np.frombuffer(b"".join(answers[c].to_pylist()), np.uint8) for c in ("levels", "pairs"))
+        exact = np.concatenate([wide(x) for x in answers["counts"].to_pylist()]).astype(np.int64)
+        t, starts = run_tokens(np.asarray(own["sizes"][0].values), own["data"][0].as_py())
+        pair = np.unique(pairs(t, starts)[1], return_inverse=True)[1]
+        two = count_of(two, LEAST[1])[pair]
+        word, back = np.unique(t, return_inverse=True)
+        one = count_of(one, LEAST[0])
+        c = one[back]
+        before = np.concatenate(([0.0], c[:-1]))
+        before[starts[:-1]] = one[np.searchsorted(word, END)]
+        two = np.where((c > 0) & (before > 0), np.minimum(two, before), 0.0)
+        sums = lambda x: np.add.reduceat(x, starts[:-1])
+        score = sums(np.log10(probability(c, before, two, n, v)))
+        n_tokens = np.diff(starts)
+        base = sums(np.log10(exact + 1.0)[back]) - n_tokens * math.log10(n + v + 1)
+        columns = [own["ids"].combine_chunks().flatten(), pa.array(n_tokens), pa.array(sums((exact > 0)[back].astype(np.int64))), pa.array(base), pa.array(score)]
+        return pa.table(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    t = runs.select("run", "ids", "sizes", "data").groupBy("run").cogroup(answers.select("run", "block", "levels", "counts", "pairs").groupBy("run"))
+    t = scratch.keep(t.applyInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"))
+    scratch.drop(runs, answers)
+    return t.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score(docs: DataFrame, model: Model, words: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -358,7 +483,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, blocks: DataFrame, sc
                 key += len(texts)
         bs.trim()
 
-    t = docs.select("doc_id", "text").mapInArrow(run, scored_schema(kind)) if model.filter is not None else by_answers(docs, sent, blocks, scratch)
+    t = docs.select("doc_id", "text").mapInArrow(run, f"key long, doc_id {kind}, n_tokens long, n_hot long, hot_sum double, score double, words array<long>, times array<long>")
     t = scratch.keep(t)
     sent.unpersist()
     rest = t.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
@@ -372,8 +497,13 @@ def score(docs: DataFrame, model: Model, words: DataFrame, blocks: DataFrame, sc
 def lm_scores(docs: DataFrame, max_bytes: int = MAX_BYTES, hot: int = HOT) -> DataFrame:
     """Scores of all rows under the model of those outside the held-out fold."""
     scratch = Scratch(docs.sparkSession, "lm")
-    model, words, blocks = learned(docs.where(~held_out()), scratch, max_bytes, hot)
-    return score(docs, model, words, blocks, scratch)
+    train = docs.where(~held_out())
+    chars = chars_of(train)
+    if chars <= CHARS_A_BYTE * max_bytes:
+        model, words = learn(train, scratch, max_bytes, hot)
+        if model.filter is not None:
+            return score(docs, model, words, scratch)
+    return by_answers(docs, blocks_for(chars), scratch)
 
 
 def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

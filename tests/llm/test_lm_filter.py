@@ -150,3 +150,28 @@ def test_a_filter_too_large_to_broadcast_loses_nothing(spark, odd_dir):
         rows = lambda **x: sorted(map(tuple, lm_filter.lm_scores(docs, **x).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "score").collect()), key=repr)
         small = rows(max_bytes=1)
         assert small == rows() and len(small) == docs.count()
+
+
+def test_a_filter_in_blocks_is_asked_where_it_is_learned(spark, monkeypatch):
+    """Beside its texts, a corpus asked by blocks moves its n-grams once, and no more rows than its runs and blocks make."""
+    monkeypatch.setattr(lm_filter, "CHARS_A_BLOCK", 1 << 14)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(8).localCheckpoint()
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, none, jvm.java.util.ArrayList())
+        return {s.stageId(): (s.shuffleWriteRecords(), s.shuffleWriteBytes()) for s in map(found.apply, range(found.size()))}
+
+    def moved(**x):
+        before = stages()
+        rows = sorted(map(tuple, lm_filter.lm_scores(docs, **x).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "score").collect()), key=repr)
+        own = [v for s, v in stages().items() if s not in before]
+        return rows, sum(n for n, _ in own), sum(size for _, size in own)
+
+    rows, n, size = moved(max_bytes=1)
+    theirs, _, other = moved()
+    assert rows == theirs
+    assert n < 3 * 16 * 128  # 8 tasks, a run of each held out and one not; 128 blocks; asked and answered
+    assert size < 1.6 * other
