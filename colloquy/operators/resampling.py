@@ -1,11 +1,11 @@
 """Cluster resampling: n draws of n clusters a replicate, applied where rows are read.
 
-Clusters of a group are ranked; a replicate draws exactly as many clusters as there are. Ranks
-are cut into blocks of BLOCK: how many draws fall in a block follows from binomials down a
-tree of block ranges, seeded by replicate and range, so every task finds the same number on its
-own; within a block each draw is a hash of seed, replicate, block and its number. A task makes
-the weights of the blocks that it reads (replicates x clusters) and adds up weights times rows as
-matrix products, so what is shuffled is a row a replicate and task, whatever the rows.
+Clusters of a group are ranked; a replicate draws exactly as many clusters as there are, and
+each draw is a hash of seed, replicate and its number, as SQL states it. The weights (replicates x
+clusters) of a group of up to BLOCK clusters are made by each task that reads it. Those of
+larger groups are drawn once, in parallel, by number of clusters, dealt to blocks of BLOCK ranks and
+written; a range of rows meets the blocks that it needs. Weights times rows are added up as
+matrix products, so what is shuffled on is a row a replicate and task, whatever the rows.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from colloquy.operators import scan
 from colloquy.sources.scratch import ship, written
 
 BLOCK = 4096
+#: Draws that a task makes at a time.
+DRAWS = 1 << 20
 #: Odd multipliers of the hash; SQL states the same numbers.
-BY_SEED, BY_REP, BY_BLOCK, BY_DRAW = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93
+BY_SEED, BY_REP, BY_DRAW = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 FIRST, SECOND = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _64 = (1 << 64) - 1
 
@@ -34,20 +36,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(1 << 16)
-def _left(n: int, seed: int, rep: int, lo: int, hi: int, count: int, block: int) -> int:
-    """Of ``count`` draws in blocks lo to hi, how many fall in the left half of them."""
-    mid, end = (lo + hi) // 2, min(n, hi * block)
-    return int(np.random.Generator(np.random.Philox([seed, rep, lo, hi])).binomial(count, (mid - lo) * block / (end - lo * block)))
+def draws(n: int, seed: int, rep: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Ranks that a replicate's draws number ``begin`` to ``end`` take, of n; by default all n draws."""
+    base = mixed(np.array([(seed * BY_SEED + rep * BY_REP) & _64], np.uint64))
+    u = mixed(base + np.arange(begin, n if end is None else end, dtype=np.uint64) * np.uint64(BY_DRAW))
+    return (((u >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def draws_in(n: int, seed: int, rep: int, at: int, block: int = BLOCK) -> int:
     """How many of a replicate's n draws fall in a block."""
-    lo, hi, count = 0, -(-n // block), n
-    while hi - lo > 1:
-        left, mid = _left(n, seed, rep, lo, hi, count, block), (lo + hi) // 2
-        lo, hi, count = (lo, mid, left) if at < mid else (mid, hi, count - left)
-    return count
+    return int((draws(n, seed, rep) // block == at).sum())
 
 
 @lru_cache(4)
@@ -56,14 +54,42 @@ def weights(n: int, reps: int, seed: int, at: int, block: int = BLOCK) -> np.nda
     size = min(block, n - at * block)
     out = np.ones((reps + 1, size))
     for rep in range(1, reps + 1):
-        base = mixed(np.array([(seed * BY_SEED + rep * BY_REP + at * BY_BLOCK) & _64], np.uint64))
-        u = mixed(base + np.arange(draws_in(n, seed, rep, at, block), dtype=np.uint64) * np.uint64(BY_DRAW))
-        out[rep] = np.bincount((((u >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64), minlength=size)
+        own = draws(n, seed, rep) - at * block
+        out[rep] = np.bincount(own[(own >= 0) & (own < size)], minlength=size)
     return out
 
 
+def drawn(rows: DataFrame, reps: int, seed: int = 1) -> DataFrame | None:
+    """(_wn, _block, w): for each number of clusters beyond BLOCK the weights of each block of ranks, replicate by replicate; written. None without such a group."""
+    ship(rows.sparkSession)
+    sizes = rows.where(F.col("_n") > BLOCK).select(F.col("_n").alias("_wn")).distinct()
+    if sizes.isEmpty():
+        return None
+    t = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_wn") - 1, F.lit(DRAWS).cast("long"))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, rep, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.sort(draws(n, seed, rep, begin, min(n, begin + DRAWS)))
+                block, first = np.unique(own // BLOCK, return_index=True)
+                parts = np.split((own % BLOCK).astype(np.uint16), first[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), n)), pa.array(block), pa.array(np.full(len(block), rep, np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["_wn", "_block", "rep", "ranks"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        n, block = t["_wn"][0].as_py(), t["_block"][0].as_py()
+        size = min(BLOCK, n - block * BLOCK)
+        out = np.zeros((reps, size), np.uint32)
+        for rep, ranks in zip(t["rep"].to_pylist(), t["ranks"].to_pylist(), strict=True):
+            out[rep - 1] += np.bincount(np.frombuffer(ranks, np.uint16), minlength=size).astype(np.uint32)
+        w = out.astype(np.min_scalar_type(int(out.max()))).tobytes()
+        return pa.table([pa.array([n]), pa.array([block]), pa.array([w], pa.binary())], ["_wn", "_block", "w"])
+
+    t = t.repartition("_wn", "rep", "begin").mapInArrow(deal, "_wn long, _block long, rep int, ranks binary")
+    return written(t.groupBy("_wn", "_block").applyInArrow(gather, "_wn long, _block long, w binary"), "drawn")
+
+
 def draw_sql(frames: str, reps: int, seed: int = 1, by: str = "") -> str:
-    """DuckDB: CTEs ``ids`` (by, cluster, rank, n) and ``w`` (by, rep, cluster, w) for a table ``frames`` of (by, cluster), where n <= BLOCK."""
+    """DuckDB: CTEs ``ids`` (by, cluster, rank, n) and ``w`` (by, rep, cluster, w) for a table ``frames`` of (by, cluster)."""
     m = f"{_64 + 1}::UHUGEINT"
     step = lambda x, shift, by_: f"(xor({x}, {x} >> {shift}) * {by_}::UHUGEINT % {m})"
 
@@ -102,26 +128,44 @@ def framed(df: DataFrame, cluster: str, by: list[str]) -> DataFrame:
     return t.join(ranked, (F.col("_g") == F.col("_fg")) & F.col("_c").eqNullSafe(F.col("_fc"))).drop("_fg", "_fc")
 
 
-def replicate_sums(rows: DataFrame, columns: list[str], features: Callable[[str, list[np.ndarray]], np.ndarray], width: Callable[[str], int] | int, reps: int, seed: int = 1) -> DataFrame:
+def replicate_sums(rows: DataFrame, columns: list[str], features: Callable[[str, list[np.ndarray]], np.ndarray], width: Callable[[str], int] | int, reps: int, seed: int = 1, own_draws: DataFrame | None = ...) -> DataFrame:
     """(_g, rep, x): by group and replicate the weighted sums of what ``features`` makes of the rows' columns.
 
     rows: from ``framed``, or with reps = 0 any with _g; features(group, arrays) gives a row
-    of ``width`` numbers each. Replicate 0 is the sum of the rows as they are.
+    of ``width`` numbers each. Replicate 0 is the sum of the rows as they are. own_draws:
+    what ``drawn`` gives, for callers that have asked it.
     """
     ship(rows.sparkSession)
+    large = None
     if reps:
         rows = rows.select("_g", "_rank", "_n", *columns)
+        own_draws = drawn(rows, reps, seed) if own_draws is ... else own_draws
+        if own_draws is not None:
+            large = scan.ranged(rows.where(F.col("_n") > BLOCK), ["_rank", *columns], ["_g"])
+            rows = rows.where(F.col("_n") <= BLOCK)
         rows = rows.repartitionByRange("_g", "_rank", *columns).sortWithinPartitions("_g", "_rank")
     else:
         rows = rows.select("_g", F.lit(0).cast("long").alias("_rank"), F.lit(1).cast("long").alias("_n"), *columns)
     width_of = width if callable(width) else lambda g: width
 
+    def add(to: np.ndarray, name: str, rank: np.ndarray, values: list[np.ndarray], weights_at: Callable[[int], np.ndarray]) -> None:
+        """Rows of a group in order of rank: those of a cluster are added up before they are weighted."""
+        x = features(name, values)
+        starts = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
+        x, at = np.add.reduceat(x, starts), rank[starts]
+        for b in np.unique(at // BLOCK):
+            inside = at // BLOCK == b
+            to += weights_at(int(b))[:, at[inside] % BLOCK] @ x[inside]
+
+    def rows_of(g: str, m: np.ndarray) -> list[pa.Array]:
+        return [pa.array([g] * len(m)), pa.array(np.arange(len(m), dtype=np.int32)), pa.array(list(m), pa.list_(pa.float64()))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for g, m in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(m)), pa.array(np.arange(len(m), dtype=np.int32)), pa.array(list(m), pa.list_(pa.float64()))], ["_g", "rep", "x"])
+                yield pa.RecordBatch.from_arrays(rows_of(g, m), ["_g", "rep", "x"])
             held.clear()
 
         for batch in batches:
@@ -130,23 +174,37 @@ def replicate_sums(rows: DataFrame, columns: list[str], features: Callable[[str,
             values = [c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]]
             for k, name in enumerate(g.dictionary.to_pylist()):
                 own = np.flatnonzero(code == k)
-                x = features(name, [v[own] for v in values])
                 if name not in held:
                     if len(held) >= 64:
                         yield from flush()
                     held[name] = np.zeros((reps + 1, width_of(name)))
                 if not reps:
-                    held[name][0] += x.sum(axis=0)
+                    held[name][0] += features(name, [v[own] for v in values]).sum(axis=0)
                     continue
-                at = rank[own]  # in order: rows of a cluster are added up before they are weighted
-                starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                x, at = np.add.reduceat(x, starts), at[starts]
-                for b in np.unique(at // BLOCK):
-                    inside = at // BLOCK == b
-                    held[name] += weights(int(n[own[0]]), reps, seed, int(b))[:, at[inside] % BLOCK] @ x[inside]
+                size = int(n[own[0]])
+                add(held[name], name, rank[own], [v[own] for v in values], lambda b, size=size: weights(size, reps, seed, b))
         yield from flush()
 
-    t = rows.mapInArrow(run, "_g string, rep int, x array<double>")
+    def run_large(own: pa.Table, blocks: pa.Table) -> pa.Table:
+        name, rank = own["_g"][0].as_py(), np.asarray(own["_rank"])
+        by = np.argsort(rank, kind="stable")
+        packed = dict(zip(blocks["_block"].to_pylist(), blocks["w"].to_pylist(), strict=True))
+        n, out = own["_n"][0].as_py(), np.zeros((reps + 1, width_of(name)))
+
+        def weights_at(b: int) -> np.ndarray:
+            cells = reps * min(BLOCK, n - b * BLOCK)
+            w = np.frombuffer(packed[b], f"u{len(packed[b]) // cells}").reshape(reps, -1)
+            return np.concatenate((np.ones((1, w.shape[1])), w))
+
+        add(out, name, rank[by], [own[c].to_numpy()[by] for c in columns], weights_at)
+        return pa.table(rows_of(name, out), ["_g", "rep", "x"])
+
+    schema = "_g string, rep int, x array<double>"
+    t = rows.mapInArrow(run, schema)
+    if large is not None:
+        asked = large.select(F.col(scan.RANGE).alias("_wr"), F.col("_g").alias("_wg"), F.col("_n").alias("_wn"), F.floor(F.col("_rank") / BLOCK).alias("_block")).distinct()
+        asked = asked.join(own_draws, ["_wn", "_block"]).select("_wr", "_wg", "_block", "w")
+        t = t.unionByName(large.groupBy(scan.RANGE, "_g").cogroup(asked.groupBy("_wr", "_wg")).applyInArrow(run_large, schema))
     t = t.select("_g", "rep", F.posexplode("x").alias("k", "v")).groupBy("_g", "rep", "k").agg(F.sum("v").alias("v"))
     return t.groupBy("_g", "rep").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("p")).select("_g", "rep", F.col("p.v").alias("x"))
 
@@ -193,6 +251,7 @@ def bootstrap_quantiles(df: DataFrame, cluster: str, value: str, probs: dict[str
         return df.sparkSession.createDataFrame([], f"{kinds}{', ' if kinds else ''}metric string, estimate double, low double, high double, n_reps long")
     cells = t.join(values, (F.col("_g") == F.col("_vg")) & (F.col("_v") == F.col("_vv")))
     cells = written(cells.groupBy("_g", "_rank", "_n", "_number").agg(F.count("*").cast("double").alias("_w")), "cells")
+    own_draws = drawn(cells, reps, seed)
     width = 1
     while width * fan <= most:
         width *= fan
@@ -205,7 +264,7 @@ def bootstrap_quantiles(df: DataFrame, cluster: str, value: str, probs: dict[str
         slots = here.select("_g", "_part").distinct().groupBy("_g").agg(F.array_sort(F.collect_set("_part")).alias("_slots"))
         slot = {r._g: np.array(r._slots) for r in slots.collect()}  # at most fan for each part asked
         pick = lambda g, v, s=slot: (v[0][:, None] == s[g][None, :]) * v[1][:, None]
-        found = replicate_sums(here.groupBy("_g", "_rank", "_n", "_part").agg(F.sum("_w").alias("_w")), ["_part", "_w"], pick, lambda g, s=slot: len(s[g]), reps, seed)
+        found = replicate_sums(here.groupBy("_g", "_rank", "_n", "_part").agg(F.sum("_w").alias("_w")), ["_part", "_w"], pick, lambda g, s=slot: len(s[g]), reps, seed, own_draws)
         found = found.join(slots, "_g").select("_g", "rep", F.explode(F.arrays_zip("_slots", "x")).alias("z")).select("_g", "rep", F.col("z._slots").alias("part"), F.col("z.x").alias("w"))
         if asked is None:
             whole = Window.partitionBy("_g", "rep")

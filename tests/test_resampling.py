@@ -104,3 +104,22 @@ def test_a_hot_cluster_is_dealt_to_many_tasks(spark):
     rows = rs.framed(df, "c", []).repartitionByRange(8, "_g", "_rank", "v")
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 2 * 30_000 / 8
+
+
+def test_groups_beyond_a_block_draw_as_sql_states(spark, duck):
+    """A group of more clusters than BLOCK, one of fewer, and a cluster of many rows: sums of all replicates by SQL's draws."""
+    reps, sizes = 6, {"a": 2 * rs.BLOCK + 808, "b": 57}
+    rows = [(g, c, (c * 37 + k) % 101) for g, n in sizes.items() for c in range(n) for k in range(3000 if c == 5000 else 1 + c % 2)]
+    df = spark.createDataFrame(rows, "g string, c long, v long").repartition(5)
+    duck.execute("CREATE OR REPLACE TEMP TABLE fr AS SELECT * FROM (SELECT 'a' AS g, range AS cluster FROM range(?) UNION ALL SELECT 'b', range FROM range(?))", [*sizes.values()])
+    weight = {(g, rep, c): w for g, rep, c, w in duck.execute("WITH RECURSIVE one AS (SELECT 1)" + rs.draw_sql("fr", reps, 3, "g,") + "SELECT g, rep, cluster, w FROM w").fetchall()}
+    want = {(f'{{"g":"{g}"}}', rep): [0.0, 0.0] for g in sizes for rep in range(reps + 1)}
+    for g, c, v in rows:
+        for rep in range(reps + 1):
+            own, w = want[f'{{"g":"{g}"}}', rep], weight.get((g, rep, c), 0)
+            own[0] += w
+            own[1] += w * v
+    got = rs.replicate_sums(rs.framed(df, "c", ["g"]), ["v"], lambda g, v: np.column_stack((np.ones(len(v[0])), v[0])), 2, reps, 3)
+    assert {(r._g, r.rep): r.x for r in got.collect()} == want
+    by_block = np.concatenate([rs.weights(sizes["a"], reps, 3, b) for b in range(3)], axis=1)
+    assert all(by_block[rep, c] == weight.get(("a", rep, c), 0) for rep in range(reps + 1) for c in range(sizes["a"]))
